@@ -4,6 +4,7 @@ from kmerloom.llm.bpe import op3_byte_bpe
 from kmerloom.llm.exact_dedup import OP7_SQL, op7_exact_dedup
 from kmerloom.llm.language_id import op9_language_id
 from kmerloom.llm.mixing import OP1_SQL, op1_mixing
+from kmerloom.llm.near_dedup import op5_near_dedup
 from kmerloom.llm.quality import op6_quality
 from kmerloom.llm.sharding import op10_sharding
 from kmerloom.llm.token_counts import op2_token_counts
@@ -12,6 +13,7 @@ QUERIES = {
     "op1_mixing": op1_mixing,
     "op2_token_counts": op2_token_counts,
     "op3_byte_bpe": op3_byte_bpe,
+    "op5_near_dedup": op5_near_dedup,
     "op6_quality": op6_quality,
     "op7_exact_dedup": op7_exact_dedup,
     "op9_language_id": op9_language_id,
