@@ -3,6 +3,7 @@
 from kmerloom.llm.bpe import op3_byte_bpe
 from kmerloom.llm.exact_dedup import OP7_SQL, op7_exact_dedup
 from kmerloom.llm.language_id import op9_language_id
+from kmerloom.llm.language_model import op8_language_model
 from kmerloom.llm.mixing import OP1_SQL, op1_mixing
 from kmerloom.llm.near_dedup import op5_near_dedup
 from kmerloom.llm.quality import op6_quality
@@ -16,6 +17,7 @@ QUERIES = {
     "op5_near_dedup": op5_near_dedup,
     "op6_quality": op6_quality,
     "op7_exact_dedup": op7_exact_dedup,
+    "op8_language_model": op8_language_model,
     "op9_language_id": op9_language_id,
     "op10_sharding": op10_sharding,
 }
