@@ -7,6 +7,7 @@ from kmerloom.llm.language_model import op8_language_model
 from kmerloom.llm.mixing import OP1_SQL, op1_mixing
 from kmerloom.llm.near_dedup import op5_near_dedup
 from kmerloom.llm.quality import op6_quality
+from kmerloom.llm.secrets import op4_secrets
 from kmerloom.llm.sharding import op10_sharding
 from kmerloom.llm.token_counts import op2_token_counts
 
@@ -14,6 +15,7 @@ QUERIES = {
     "op1_mixing": op1_mixing,
     "op2_token_counts": op2_token_counts,
     "op3_byte_bpe": op3_byte_bpe,
+    "op4_secrets": op4_secrets,
     "op5_near_dedup": op5_near_dedup,
     "op6_quality": op6_quality,
     "op7_exact_dedup": op7_exact_dedup,
