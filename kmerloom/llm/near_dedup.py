@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from kmerloom.llm.common import discard, documents, field, join_small, materialize, only
+from kmerloom.llm.common import discard, documents, field, materialize, only
 from kmerloom.llm.components import components
 from kmerloom.llm.textkit import mix, slices, words
 
@@ -23,7 +23,7 @@ BANDS, BAND_ROWS, HASHES, BITS = 38, 5, 192, 4
 #: Estimates have a standard deviation of 0.03 at similarity 0.8: those so far below the threshold, 6.7 of them, are not confirmed.
 SLACK = 0.2
 #: Classes of one bucket that are compared in one block.
-BLOCK = 2000
+BLOCK = 600
 ODD = np.uint64(0x9E3779B97F4A7C15)
 MULTIPLIERS = np.random.Generator(np.random.PCG64(5)).integers(0, 2**31, size=(HASHES, 1), dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 #: Lowest bit of each 4-bit field of a 64-bit number.
@@ -116,30 +116,67 @@ def _confirm(size: int, percent: int):
     return run
 
 
-def _across(least: float):
-    """Pairs of one block of a bucket in different components whose signatures are near enough."""
+def _open(least: float):
+    """Of one block of a bucket the members that have a likely partner in another component."""
     chance = 2.0**-BITS
     most = int(HASHES - HASHES * (least * (1 - chance) + chance))
 
     def run(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
-        node, root, part = (table.column(c).to_numpy() for c in ("__set", "root", "part"))
+        root, part = table.column("root").to_numpy(), table.column("part").to_numpy()
         low, high = table.column("low")[0].as_py(), table.column("high")[0].as_py()
-        bits = np.array(table.column("__bits").to_pylist(), np.int64).view(np.uint64).reshape(len(node), -1)
-        one = np.flatnonzero(part == low)
-        two = one if low == high else np.flatnonzero(part == high)
-        found_a, found_b = [], []
-        for k, i in enumerate(one):
-            rest = two[k + 1 :] if low == high else two
-            rest = rest[root[rest] != root[i]]
+        bits = np.array(table.column("__bits").to_pylist(), np.int64).view(np.uint64).reshape(len(root), -1)
+        one, two = np.flatnonzero(part == low), np.flatnonzero(part == high)
+        wanted = np.zeros(len(root), bool)
+        for i in one:
+            rest = two[root[two] != root[i]]
             d = bits[rest] ^ bits[i]
             d |= d >> np.uint64(1)
             d |= d >> np.uint64(2)
             near = rest[np.bitwise_count(d & np.uint64(LOWEST)).sum(axis=1) <= most]
-            found_a.append(np.minimum(node[i], node[near]))
-            found_b.append(np.maximum(node[i], node[near]))
-        cat = lambda x: np.concatenate(x) if x else np.zeros(0, np.int64)
-        return pa.table({"a": pa.array(cat(found_a), pa.int64()), "b": pa.array(cat(found_b), pa.int64())})
+            wanted[near] = True
+            wanted[i] |= len(near) > 0
+        return table.filter(pa.array(wanted)).select(["band", "low", "high", "part", "__set", "root", "__bits"])
+
+    return run
+
+
+def _join_up(size: int, percent: int, least: float):
+    """Links between components in one block of a bucket, on full sets. A link makes two components one, so a block of n members has fewer than n links to tell; which pairs are measured is up to the estimate, as everywhere."""
+    chance = 2.0**-BITS
+    most = int(HASHES - HASHES * (least * (1 - chance) + chance))
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        node, root, part = table.column("__set").to_numpy(), table.column("root").to_numpy().copy(), table.column("part").to_numpy()
+        low, high = table.column("low")[0].as_py(), table.column("high")[0].as_py()
+        bits = np.array(table.column("__bits").to_pylist(), np.int64).view(np.uint64).reshape(len(node), -1)
+        sets = [x for _, x in shingle_sets(table.column("text").combine_chunks(), size)]
+        sizes = np.array([len(x) for x in sets])
+        _, number = np.unique(np.concatenate(sets), return_inverse=True)
+        begin = np.cumsum(sizes) - sizes
+        mark = np.zeros(int(number.max()) + 1, np.int32)
+        one, two = np.flatnonzero(part == low), np.flatnonzero(part == high)
+        found = []
+        for i in one:
+            rest = two[root[two] != root[i]]
+            d = bits[rest] ^ bits[i]
+            d |= d >> np.uint64(1)
+            d |= d >> np.uint64(2)
+            rest = rest[np.bitwise_count(d & np.uint64(LOWEST)).sum(axis=1) <= most]
+            if not len(rest):
+                continue
+            own = number[begin[i] : begin[i] + sizes[i]]
+            mark[own] = 1
+            n = sizes[rest]
+            first = np.cumsum(n) - n
+            both = np.add.reduceat(mark[number[np.repeat(begin[rest] - first, n) + np.arange(int(n.sum()))]], first)
+            mark[own] = 0
+            for j in rest[100 * both >= percent * (n + sizes[i] - both)]:
+                if root[j] != root[i]:
+                    found.append((min(node[i], node[j]), max(node[i], node[j])))
+                    root[root == root[j]] = root[i]
+        return pa.table({"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([y for _, y in found], pa.int64())})
 
     return run
 
@@ -168,31 +205,27 @@ def near_dedup(df: DataFrame, key: str = "doc_id", text: str = "text", shingle:
         pairs = pairs.join(a, "a").join(b, "b")
         return pairs.filter(likeness(F.col("bits_a"), F.col("bits_b")) >= percent / 100 - SLACK).select("a", "b")
 
-    def confirmed(pairs: DataFrame) -> DataFrame:
-        """Of pairs of classes those whose full sets are near enough: the texts of one row for each class are fetched."""
-        wanted = materialize(pairs.select(F.explode(F.array("a", "b")).alias("__set")).distinct().join(classes.select("__set", F.col("__row.__id").alias("i"), F.col("__row.__hash").alias("h")), "__set"), "near-wanted")
-        there = wanted.select("__set", F.coalesce(F.col("i").cast("string"), F.lit("")).alias("__at"), F.col("h").alias("__hash"))
-        full = join_small(df.select("__text", "__hash", F.coalesce(F.col("__id").cast("string"), F.lit("")).alias("__at")), there, ["__at", "__hash"], salt=["__hash"], salts=1)
-        texts = materialize(full.groupBy("__set").agg(F.first("__text").alias("text")), "near-texts")
-        a, b = (texts.select(F.col("__set").alias(x), F.col("text").alias(f"text_{x}")) for x in "ab")
-        out = materialize(pairs.join(a, "a").join(b, "b").mapInArrow(_confirm(shingle, percent), "a long, b long"), "near-links")
-        discard(wanted, texts)
-        return out
-
-    stars = materialize(near(members.select(F.col("center").alias("a"), F.col("__set").alias("b")).distinct()), "near-pairs")
-    links = confirmed(stars)
+    # The texts of all classes that share a bucket, one row for each class, fetched once.
+    wanted = materialize(members.select(F.explode(F.array("center", "__set")).alias("__set")).distinct().join(classes.select("__set", F.col("__row.__id").alias("i"), F.col("__row.__hash").alias("__hash")), "__set").select("__set", "__hash", F.coalesce(F.col("i").cast("string"), F.lit("")).alias("__at")), "near-wanted")
+    full = df.select("__text", "__hash", F.coalesce(F.col("__id").cast("string"), F.lit("")).alias("__at")).hint("shuffle_merge").join(wanted, ["__at", "__hash"])
+    texts = materialize(full.groupBy("__set").agg(F.first("__text").alias("text")), "near-texts")
+    discard(wanted)
+    a, b = (texts.select(F.col("__set").alias(x), F.col("text").alias(f"text_{x}")) for x in "ab")
+    stars = near(members.select(F.col("center").alias("a"), F.col("__set").alias("b")).distinct())
+    links = materialize(stars.join(a, "a").join(b, "b").mapInArrow(_confirm(shingle, percent), "a long, b long"), "near-links")
     roots = materialize(components(links), "near-roots")
     # What a bucket's members other than the center may have in common: only pairs across components are open.
     rest = members.join(roots.withColumnRenamed("node", "__set"), "__set", "left").withColumn("root", F.coalesce("root", "__set"))
     torn = rest.groupBy("band").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count(F.lit(1)).alias("n")).filter("x <> y").select("band", F.ceil(F.col("n") / BLOCK).cast("int").alias("parts"))
     rest = rest.join(torn, "band").join(bits, "__set").withColumn("part", F.pmod(F.xxhash64("__set"), F.col("parts")).cast("int"))
     rest = rest.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumns({"low": F.least("part", "other"), "high": F.greatest("part", "other")})
-    rest = rest.select("band", "__set", "root", "__bits", "part", "low", "high")
-    across = rest.groupBy("band", "low", "high").applyInArrow(_across(percent / 100 - SLACK), "a long, b long").distinct()
-    across = materialize(across.join(stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"), "near-across")
-    if across.limit(1).count():
-        more = confirmed(across)
+    rest = rest.select("band", "low", "high", "part", "__set", "root", "__bits")
+    least = percent / 100 - SLACK
+    opened = materialize(rest.groupBy("band", "low", "high").applyInArrow(_open(least), rest.schema), "near-open")
+    more = materialize(opened.join(texts, "__set").groupBy("band", "low", "high").applyInArrow(_join_up(shingle, percent, least), "a long, b long").distinct(), "near-links")
+    if more.limit(1).count():
         roots = materialize(components(links.unionByName(more)), "near-roots")
+    discard(members, texts, opened)
     own = classes.select("__set", "__least").join(roots.withColumnRenamed("node", "__set"), "__set", "left").withColumn("root", F.coalesce("root", "__set"))
     least = own.groupBy("root").agg(F.min("__least").alias("component_id"))
     named = own.join(least, "root").select("__set", "component_id")
