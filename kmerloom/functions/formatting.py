@@ -33,9 +33,24 @@ def format_bp(v: float) -> str:
 def format_bp_column(v: Column) -> Column:
     """format_bp for a column of doubles."""
 
+    def fixed(x: Column, decimals: int) -> Column:
+        """x with so many decimals, ties away from zero, as the double itself is (not as its shortest decimal form)."""
+        scale = 10**decimals
+        size = F.abs(x)
+        below = F.floor(size * scale)
+        # 2 * scale * size without rounding, as a sum: the product and its error.
+        split = size * 134217729.0
+        high = split - (split - size)
+        product = size * (2 * scale)
+        error = (high * (2 * scale) - product) + (size - high) * (2 * scale)
+        n = below + F.when((product - (2 * below + 1)) + error >= 0, 1).otherwise(0)
+        whole = F.floor(n / scale).cast("string")
+        digits = F.concat(whole, F.lit("."), F.lpad((n % scale).cast("string"), decimals, "0")) if decimals else whole
+        return F.concat(F.when(x < 0, "-").otherwise(""), digits)
+
     def short(x: Column) -> Column:
         a = F.abs(x)
-        text = F.when(a < 10, F.format_string("%.2f", x)).when(a < 100, F.format_string("%.1f", x)).otherwise(F.format_string("%.0f", x))
+        text = F.when(a < 10, fixed(x, 2)).when(a < 100, fixed(x, 1)).otherwise(fixed(x, 0))
         return F.when(text.contains("."), F.regexp_replace(text, r"\.?0+$", "")).otherwise(text)
 
     out = F.concat(F.floor(v + 0.5).cast("string"), F.lit(" bp"))

@@ -613,9 +613,9 @@ def parse_bp(spark, sf_dir):
     return read(spark, sf_dir, "part").select("p_partkey", F.concat(F.col("p_size").cast("string"), F.lit(".5"), unit).alias("value")).withColumn("bp", grammar.parse_bp_column(F.col("value")))
 
 
-@query("""WITH t AS (SELECT o_orderkey, floor(o_totalprice) * (o_orderkey % 1000) AS v FROM orders), u AS (SELECT o_orderkey, v, CASE WHEN v >= 999.5e6 THEN v / 1e9 WHEN v >= 999.5e3 THEN v / 1e6 WHEN v >= 999.5 THEN v / 1e3 END AS x, CASE WHEN v >= 999.5e6 THEN ' Gb' WHEN v >= 999.5e3 THEN ' Mb' WHEN v >= 999.5 THEN ' kb' END AS unit FROM t),
+@query("""WITH t AS (SELECT o_orderkey, floor(o_totalprice) * (o_orderkey % 1000) + 0.3 AS v FROM orders), u AS (SELECT o_orderkey, v, CASE WHEN v >= 999.5e6 THEN v / 1e9 WHEN v >= 999.5e3 THEN v / 1e6 WHEN v >= 999.5 THEN v / 1e3 END AS x, CASE WHEN v >= 999.5e6 THEN ' Gb' WHEN v >= 999.5e3 THEN ' Mb' WHEN v >= 999.5 THEN ' kb' END AS unit FROM t),
 s AS (SELECT *, CASE WHEN x < 10 THEN printf('%.2f', x) WHEN x < 100 THEN printf('%.1f', x) ELSE printf('%.0f', x) END AS text FROM u)
 SELECT o_orderkey, CASE WHEN x IS NULL THEN CAST(CAST(floor(v + 0.5) AS BIGINT) AS VARCHAR) || ' bp' ELSE CASE WHEN contains(text, '.') THEN regexp_replace(text, '\\.?0+$', '') ELSE text END || unit END AS label FROM s""")
 def format_bp(spark, sf_dir):
     """F5."""
-    return read(spark, sf_dir, "orders").select("o_orderkey", formatting.format_bp_column(F.floor("o_totalprice").cast("double") * (F.col("o_orderkey") % 1000)).alias("label"))
+    return read(spark, sf_dir, "orders").select("o_orderkey", formatting.format_bp_column(F.floor("o_totalprice").cast("double") * (F.col("o_orderkey") % 1000) + 0.3).alias("label"))
