@@ -22,8 +22,8 @@ from kmerloom.llm.textkit import mix, slices, words
 BANDS, BAND_ROWS, HASHES, BITS = 38, 5, 192, 4
 #: Estimates have a standard deviation of 0.03 at similarity 0.8: those so far below the threshold, 6.7 of them, are not confirmed.
 SLACK = 0.2
-#: Classes of one bucket that are compared in one block.
-BLOCK = 600
+#: Of one bucket so many classes are compared in one block, or as many as have so many shingles together: that bounds a task's memory.
+BLOCK, BLOCK_SHINGLES = 2000, 4_000_000
 ODD = np.uint64(0x9E3779B97F4A7C15)
 MULTIPLIERS = np.random.Generator(np.random.PCG64(5)).integers(0, 2**31, size=(HASHES, 1), dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 #: Lowest bit of each 4-bit field of a 64-bit number.
@@ -193,10 +193,10 @@ def near_dedup(df: DataFrame, key: str = "doc_id", text: str = "text", shingle:
     schema = T.StructType([T.StructField("__id", kind), field("__hash", "long"), field("__set", "long"), field("n_shingles", "long"), field("__bands", "array<long>"), field("__bits", "array<long>")])
     rows = materialize(df.mapInArrow(_sign(shingle), schema), "near-rows")
     classes = materialize(
-        rows.filter("__set IS NOT NULL").groupBy("__set").agg(F.min("__id").alias("__least"), F.min(F.struct("__id", "__hash")).alias("__row"), F.first("__bands").alias("__bands"), F.first("__bits").alias("__bits")), "near-classes"
+        rows.filter("__set IS NOT NULL").groupBy("__set").agg(F.min("__id").alias("__least"), F.min(F.struct("__id", "__hash")).alias("__row"), F.first("__bands").alias("__bands"), F.first("__bits").alias("__bits"), F.first("n_shingles").alias("n")), "near-classes"
     )
-    each = classes.select("__set", F.explode("__bands").alias("band"))
-    buckets = each.groupBy("band").agg(F.min("__set").alias("center"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
+    each = classes.select("__set", "n", F.explode("__bands").alias("band"))
+    buckets = each.groupBy("band").agg(F.min("__set").alias("center"), F.count(F.lit(1)).alias("size")).filter("size > 1").drop("size")
     members = materialize(each.join(buckets, "band").filter("__set <> center"), "near-members")
     bits = classes.select("__set", "__bits")
 
@@ -216,7 +216,7 @@ def near_dedup(df: DataFrame, key: str = "doc_id", text: str = "text", shingle:
     roots = materialize(components(links), "near-roots")
     # What a bucket's members other than the center may have in common: only pairs across components are open.
     rest = members.join(roots.withColumnRenamed("node", "__set"), "__set", "left").withColumn("root", F.coalesce("root", "__set"))
-    torn = rest.groupBy("band").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count(F.lit(1)).alias("n")).filter("x <> y").select("band", F.ceil(F.col("n") / BLOCK).cast("int").alias("parts"))
+    torn = rest.groupBy("band").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.greatest(F.count(F.lit(1)) / BLOCK, F.sum("n") / BLOCK_SHINGLES).alias("load")).filter("x <> y").select("band", F.ceil("load").cast("int").alias("parts"))
     rest = rest.join(torn, "band").join(bits, "__set").withColumn("part", F.pmod(F.xxhash64("__set"), F.col("parts")).cast("int"))
     rest = rest.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumns({"low": F.least("part", "other"), "high": F.greatest("part", "other")})
     rest = rest.select("band", "low", "high", "part", "__set", "root", "__bits")
