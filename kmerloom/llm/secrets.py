@@ -48,6 +48,11 @@ def placed(text: Column, matches: Column, pattern: str) -> Column:
     return F.when(F.size(matches) > 0, spans).otherwise(F.array().cast("array<struct<start:int,end:int,text:string>>"))
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with the value's expression once in the plan however often it is used."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def upper_tail(z: Column) -> Column:
     """P(Z > z) of a normal variable for z >= 0: formula 26.2.17 of Abramowitz and Stegun, good to 1e-7."""
     t = 1 / (1 + 0.2316419 * z)
@@ -68,33 +73,46 @@ def encoding(token: Column) -> Column:
 
 def battery(symbols: Column, size: Column) -> Column:
     """P-value that a run of symbols 0 to size-1 is uniformly random: of the three tests the least, times three."""
-    n = F.size(symbols).cast("double")
     m = size.cast("double")
     counts = F.transform(F.sequence(F.lit(0), size - 1), lambda c: F.size(F.filter(symbols, lambda s: s == c)).cast("double"))
-    squares = F.aggregate(counts, F.lit(0.0), lambda a, c: a + c * c)
-    # Mean m-1 and variance 2(m-1)(n-1)/n hold for short tokens as well.
-    uneven = (m / n * squares - n - (m - 1)) / F.sqrt(2 * (m - 1) * (n - 1) / n)
     pairs = F.zip_with(F.slice(symbols, F.lit(1), F.size(symbols) - 1), F.slice(symbols, F.lit(2), F.size(symbols) - 1), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
-    high = lambda s: s.cast("double") >= m / 2
-    turns = F.aggregate(pairs, F.lit(0.0), lambda t, p: t + F.when(high(p["a"]) != high(p["b"]), 1.0).otherwise(0.0))
-    runs = (turns - (n - 1) / 2) / F.sqrt((n - 1) / 4)
-    mid = (m - 1) / 2
-    product = F.aggregate(pairs, F.lit(0.0), lambda t, p: t + (p["a"].cast("double") - mid) * (p["b"].cast("double") - mid))
-    serial = product / ((m * m - 1) / 12 * F.sqrt(n - 1))
-    least = F.least(upper_tail(F.greatest(uneven, F.lit(0.0))), 2 * upper_tail(F.abs(runs)), 2 * upper_tail(F.abs(serial)))
-    return F.least(F.lit(1.0), 3 * least)
+    high, mid = (lambda s: s.cast("double") >= m / 2), (m - 1) / 2
+    sums = F.struct(
+        F.size(symbols).cast("double").alias("n"), F.aggregate(counts, F.lit(0.0), lambda a, c: a + c * c).alias("squares"),
+        F.aggregate(pairs, F.lit(0.0), lambda t, p: t + F.when(high(p["a"]) != high(p["b"]), 1.0).otherwise(0.0)).alias("turns"),
+        F.aggregate(pairs, F.lit(0.0), lambda t, p: t + (p["a"].cast("double") - mid) * (p["b"].cast("double") - mid)).alias("product"),
+    )
+
+    def tests(x: Column) -> Column:
+        n = x["n"]
+        # Mean m-1 and variance 2(m-1)(n-1)/n hold for short tokens as well.
+        uneven = (m / n * x["squares"] - n - (m - 1)) / F.sqrt(2 * (m - 1) * (n - 1) / n)
+        runs = (x["turns"] - (n - 1) / 2) / F.sqrt((n - 1) / 4)
+        serial = x["product"] / ((m * m - 1) / 12 * F.sqrt(n - 1))
+        return F.array(F.greatest(uneven, F.lit(0.0)), F.abs(runs), F.abs(serial))
+
+    tails = F.transform(bound(sums, tests), lambda z, i: F.when(i == 0, 1).otherwise(2) * upper_tail(z))
+    return F.least(F.lit(1.0), 3 * F.array_min(tails))
 
 
 def tested(token: Column) -> Column:
-    """(encoding, group, p, bin) of a token; all null without an encoding. group: the encoding and length class."""
+    """(start, end, text, group, p, bin) of a token; p and bin null without an encoding. group: the encoding and length class."""
+    alphabets = F.create_map(*[x for k, v in ALPHABETS.items() for x in (F.lit(k), F.lit(v))])
+
+    def named(x: Column) -> Column:
+        digits = F.when(x["kind"] == "hex", F.lower(x["bare"])).otherwise(x["bare"])
+        alphabet = F.element_at(alphabets, x["kind"])
+        symbols = F.transform(F.split(digits, ""), lambda c: F.instr(alphabet, c) - 1)
+        p = F.when(x["kind"].isNotNull(), bound(symbols, lambda s: battery(s, F.length(alphabet))))
+        group = F.concat_ws("/", x["kind"], F.floor(F.log2(F.length(x["bare"]).cast("double"))).cast("string"))
+        return F.struct(group.alias("group"), p.alias("p"))
+
+    def listed(x: Column) -> Column:
+        bin_ = F.least(F.lit(LAST_BIN), F.floor(-BINS_A_DECADE * F.log10(F.greatest(x["p"], F.lit(1e-300)))).cast("int"))
+        return F.struct(token["start"].alias("start"), token["end"].alias("end"), token["text"].alias("text"), x["group"].alias("group"), x["p"].alias("p"), F.when(x["p"].isNotNull(), bin_).alias("bin"))
+
     bare = F.translate(F.regexp_replace(token["text"], "=+$", ""), "-_", "+/")
-    kind = encoding(bare)
-    alphabet = F.element_at(F.create_map(*[x for k, v in ALPHABETS.items() for x in (F.lit(k), F.lit(v))]), kind)
-    folded = F.when(kind == "hex", F.lower(bare)).otherwise(bare)
-    symbols = F.transform(F.split(folded, ""), lambda c: F.instr(alphabet, c) - 1)
-    p = F.when(kind.isNotNull(), battery(symbols, F.length(alphabet)))
-    bin_ = F.least(F.lit(LAST_BIN), F.floor(-BINS_A_DECADE * F.log10(F.greatest(p, F.lit(1e-300)))).cast("int"))
-    return F.struct(token["start"].alias("start"), token["end"].alias("end"), token["text"].alias("text"), F.concat_ws("/", kind, F.floor(F.log2(F.length(bare).cast("double"))).cast("string")).alias("group"), p.alias("p"), bin_.alias("bin"))
+    return bound(bound(bound(bare, lambda b: F.struct(b.alias("bare"), encoding(b).alias("kind"))), named), listed)
 
 
 def find_secrets(df: DataFrame, key: str = "doc_id", text: str = "text", rate: float = RATE) -> DataFrame:
