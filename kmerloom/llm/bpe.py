@@ -19,9 +19,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from kmerloom.llm.common import documents, field, only
+from kmerloom.llm.textkit import give_back, parts
 
 #: Pieces that a worker remembers: twice so many, the older half goes first.
-REMEMBERED = 150_000
+REMEMBERED = 100_000
 #: Ids that are decoded at a time.
 IDS = 1 << 18
 NEVER = 1 << 62
@@ -113,12 +114,13 @@ def _pieces(file: bytes) -> Pieces:
 def _encode(text: str, out: str, file, pattern: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         find, ids_of = regex.compile(pattern).findall, _pieces(file.value).__getitem__
-        for batch in batches:
+        for batch in parts(batches):
             ids = [b"".join(map(ids_of, find(x))) if x else b"" for x in batch.column(text).to_pylist()]
             at = np.zeros(len(ids) + 1, np.int64)
             np.cumsum([len(x) // 4 for x in ids], out=at[1:])
             flat = np.frombuffer(b"".join(ids), "<i4")
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(flat, pa.int32()))], names=[*batch.schema.names, out])
+        give_back()
 
     return run
 
@@ -154,20 +156,22 @@ def decode_ids(ids: np.ndarray, table: tuple[np.ndarray, np.ndarray, np.ndarray]
 def _decode(ids: str, out: str, file):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = _table(file.value)
-        for batch in batches:
+        for batch in parts(batches):
             column = batch.column(ids)
             if column.null_count:
                 column = pa.array([x or [] for x in column.to_pylist()], column.type)
             at = np.asarray(column.offsets).astype(np.int64)
-            flat = np.asarray(column.values)
+            flat = np.asarray(column.values)[at[0] : at[-1]]
+            at -= at[0]
             sizes = np.zeros(len(flat) + 1, np.int64)
             np.cumsum(table[2][flat], out=sizes[1:])
-            data = np.empty(int(sizes[at[-1]] - sizes[at[0]]) if len(column) else 0, np.uint8)
-            for lo in range(int(at[0]), int(at[-1]), IDS):
-                hi = min(lo + IDS, int(at[-1]))
-                data[sizes[lo] - sizes[at[0]] : sizes[hi] - sizes[at[0]]] = decode_ids(flat[lo:hi], table)
-            texts = pa.Array.from_buffers(pa.binary(), len(column), [None, pa.py_buffer((sizes[at] - sizes[at[0]]).astype(np.int32)), pa.py_buffer(data)])
+            data = np.empty(int(sizes[-1]), np.uint8)
+            for lo in range(0, len(flat), IDS):
+                hi = min(lo + IDS, len(flat))
+                data[sizes[lo] : sizes[hi]] = decode_ids(flat[lo:hi], table)
+            texts = pa.Array.from_buffers(pa.binary(), len(column), [None, pa.py_buffer(sizes[at].astype(np.int32)), pa.py_buffer(data)])
             yield pa.RecordBatch.from_arrays([*batch.columns, texts], names=[*batch.schema.names, out])
+        give_back()
 
     return run
 

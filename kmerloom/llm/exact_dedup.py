@@ -12,20 +12,22 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from kmerloom.llm.common import documents, field, materialize, only
+from kmerloom.llm.textkit import give_back, parts
 
 #: Bytes of the normalised text that lead the sort key; its digest follows, so that texts with a common start are dealt out as well.
 LEAD = 32
-ROWS_OUT = 4096
+ROWS_OUT = 512
 
 
 def _keyed(text: str, schema: pa.Schema):
     """Adds the sort key. Texts count as equal when they are so after A-Z is lower-cased, null as empty: bytes.lower() does just that."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parts(batches):
             norm = [(x or b"").lower() for x in batch.column(text).cast(pa.binary()).to_pylist()]
             lead, digest = pa.array([x[:LEAD] for x in norm], pa.binary()), pa.array([hashlib.sha256(x).digest() for x in norm], pa.binary())
             yield pa.RecordBatch.from_arrays([*batch.columns, lead, digest], names=[*batch.schema.names, "__lead", "__digest"])
+        give_back()
 
     return run
 
@@ -57,7 +59,7 @@ def _runs(key: str, text: str, carried: list[str], heads_only: bool):
 
         names = ["__id", "keep_id", "group_size", "kept", "__digest", "__pid", "__run", "__edge", "__text", *(carried if heads_only else [])]
         kinds = None
-        for batch in batches:
+        for batch in parts(batches):
             if kinds is None:
                 kind = batch.schema.field(key).type
                 kinds = [kind, kind, pa.int64(), pa.bool_(), pa.binary(), pa.int32(), pa.int64(), pa.bool_(), pa.binary(), *([batch.schema.field(c).type for c in carried] if heads_only else [])]
@@ -77,6 +79,7 @@ def _runs(key: str, text: str, carried: list[str], heads_only: bool):
             yield from flush(ROWS_OUT)
         close(True)
         yield from flush(1)
+        give_back()
 
     return run
 

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from kmerloom.llm.common import documents, field, only, random_key
-from kmerloom.llm.textkit import Slice, slices, words
+from kmerloom.llm.textkit import Slice, give_back, parts, slices, words
 
 #: Trigrams are hashed into so many cells.
 CELLS = 1 << 16
@@ -114,7 +114,7 @@ def proportions(logs: np.ndarray, first: np.ndarray, rounds: int = ROUNDS) -> np
 def _predict(text: str, names: list[str], model: np.ndarray):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parts(batches):
             tags, scores, sets = [], [], []
             column = batch.column(text)
             for s in slices(column):
@@ -131,6 +131,7 @@ def _predict(text: str, names: list[str], model: np.ndarray):
                 scores.append(np.clip(pi[np.arange(len(pick)), pick], 0, 1))
                 sets += [",".join(names[j] for j in np.argsort(-row, kind="stable") if row[j] > 0) if ok else "" for row, ok in zip(pi, some, strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(tags, pa.string()), pa.array(np.concatenate(scores) if scores else [], pa.float64()), pa.array(sets, pa.string())], names=[*batch.schema.names, "lang_pred", "score", "lang_set"])
+        give_back()
 
     return run
 

@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 
 from kmerloom.llm.common import discard, documents, field, materialize, only
 from kmerloom.llm.components import components
-from kmerloom.llm.textkit import mix, slices, words
+from kmerloom.llm.textkit import give_back, mix, parts, slices, words
 
 #: 38 bands of 5 minima: two sets at similarity 0.8 share no band with a chance of (1 - 0.8^5)^38 = 3e-7.
 BANDS, BAND_ROWS, HASHES, BITS = 38, 5, 192, 4
@@ -75,7 +75,7 @@ def bands(m: np.ndarray) -> np.ndarray:
 
 def _sign(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parts(batches):
             n = batch.num_rows
             prints, counts, m, some = np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros((n, HASHES), np.uint32), np.zeros(n, bool)
             for i, x in shingle_sets(batch.column("__text"), size):
@@ -85,6 +85,7 @@ def _sign(size: int):
             at = np.concatenate([[0], np.cumsum(some)]).astype(np.int32)
             lists = [pa.ListArray.from_arrays(pa.array(at * x.shape[1], pa.int32()), pa.array(x.ravel().view(np.int64))) for x in (np.ascontiguousarray(bands(m[some])), np.ascontiguousarray(pack(m[some])))]
             yield pa.RecordBatch.from_arrays([batch.column("__id"), batch.column("__hash"), pa.array(prints, mask=~some), pa.array(counts), *lists], names=["__id", "__hash", "__set", "n_shingles", "__bands", "__bits"])
+        give_back()
 
     return run
 
@@ -105,13 +106,14 @@ def likeness(a: Column, b: Column) -> Column:
 
 def _confirm(size: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parts(batches):
             keep = np.zeros(batch.num_rows, bool)
             for (i, x), (_, y) in zip(shingle_sets(batch.column("text_a"), size), shingle_sets(batch.column("text_b"), size), strict=True):
                 if x is not None and y is not None:
                     both = len(np.intersect1d(x, y, assume_unique=True))
                     keep[i] = 100 * both >= percent * (len(x) + len(y) - both)
             yield batch.select(["a", "b"]).filter(pa.array(keep))
+        give_back()
 
     return run
 

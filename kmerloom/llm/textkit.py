@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 
+#: Rows that a function on Arrow batches handles at a time, where each takes much memory.
+ROWS = 512
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
 LOWER = np.arange(256, dtype=np.uint8)
@@ -89,3 +92,18 @@ def words(s: Slice, lower: bool = True) -> Words:
     closes[:-1] &= ~ink[1:] | new[1:n]
     begins = np.flatnonzero(opens)
     return Words(begins, np.flatnonzero(closes) + 1, np.searchsorted(begins, s.offsets), data, np.flatnonzero(ink))
+
+
+def parts(batches: Iterator[pa.RecordBatch], rows: int = ROWS) -> Iterator[pa.RecordBatch]:
+    """Batches in parts of so many rows."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
+def give_back() -> None:
+    """Return free memory to the system at a partition's end: workers are kept, and share the executor's memory."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
