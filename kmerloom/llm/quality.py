@@ -15,6 +15,8 @@ from kmerloom.llm.textkit import Slice, mix, slices, words
 
 #: A line goes if it stands in more than LINE_DOCS distinct documents of a host and in more than the fraction LINE_SHARE of them.
 LINE_DOCS, LINE_SHARE = 100, 0.02
+#: In op6_quality either is enough, the fraction from more than so many documents on.
+FEW_DOCS = 5
 #: A document is depleted if less than this fraction of its words is left.
 LEFT = 0.3
 #: Base rules: fewest words, most words in repeated windows in a hundred, words in a window.
@@ -104,10 +106,10 @@ def _measure(text: str, names: list[str]):
     return run
 
 
-def judge(df: DataFrame, key: str = "doc_id", text: str = "text", host: str = "source", line_docs: int = LINE_DOCS, line_share: float = LINE_SHARE, left: float = LEFT) -> DataFrame:
+def judge(df: DataFrame, key: str = "doc_id", text: str = "text", host: str = "source", line_docs: int = LINE_DOCS, line_share: float = LINE_SHARE, left: float = LEFT, few_docs: int | None = None) -> DataFrame:
     """One row for each row of df: key, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, n_removed_words, kept.
 
-    n_removed_words: words in lines that stand in more than line_docs distinct documents of the same host and in more than line_share of them; documents whose normalised lines are all alike are one. kept: not base_failed, and at least the fraction `left` of the words is left.
+    n_removed_words: words in lines that stand in more than line_docs distinct documents of the same host and in more than line_share of them; documents whose normalised lines are all alike are one. With few_docs one of the two is enough, line_share for lines in more than few_docs documents: then hosts of any size lose lines. kept: not base_failed, and at least the fraction `left` of the words is left.
     A null text has no words and fails. Null is a host of its own. Repeated rows are judged alike. Other columns, whatever their names, are not read. Empty tables give empty ones.
     """
     df = only(df, [key, text, host]).select(F.col(key).alias("__id"), F.when(F.col(host).isNull(), "1").otherwise(F.concat(F.lit("0"), F.col(host))).alias("__host"), F.col(text).alias("__text"))
@@ -116,8 +118,10 @@ def judge(df: DataFrame, key: str = "doc_id", text: str = "text", host: str = "s
     rows = materialize(df.mapInArrow(_measure("__text", schema.names), schema).withColumn("__row", F.monotonically_increasing_id()), "quality-rows")
     each = rows.select("__row", "__host", "__whole", F.explode(F.arrays_zip("__lines", "__sizes")).alias("x")).select("__row", "__host", "__whole", F.col("x.__lines").alias("line"), F.col("x.__sizes").alias("size"))
     hosts = rows.groupBy("__host").agg(F.countDistinct("__whole").alias("docs"))
-    often = each.groupBy("__host", "line").agg(F.countDistinct("__whole").alias("n")).filter(F.col("n") > line_docs)
-    often = materialize(often.join(hosts, "__host").filter(F.col("n") > line_share * F.col("docs")).select("__host", "line"), "quality-lines")
+    many, shared = F.col("n") > line_docs, F.col("n") > line_share * F.col("docs")
+    common = many & shared if few_docs is None else many | (shared & (F.col("n") > few_docs))
+    often = each.groupBy("__host", "line").agg(F.countDistinct("__whole").alias("n")).filter(F.col("n") > (line_docs if few_docs is None else min(line_docs, few_docs)))
+    often = materialize(often.join(hosts, "__host").filter(common).select("__host", "line"), "quality-lines")
     removed = join_small(each, often, ["__host", "line"], salt=["__row"]).groupBy("__row").agg(F.sum("size").cast("long").alias("n_removed_words"))
     out = rows.drop("__lines", "__sizes").join(removed, "__row", "left").withColumn("n_removed_words", F.coalesce("n_removed_words", F.lit(0).cast("long")))
     failed: Column = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > REPEAT_PERCENT * F.col("n_words"))
@@ -126,4 +130,4 @@ def judge(df: DataFrame, key: str = "doc_id", text: str = "text", host: str = "s
 
 
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return judge(documents(spark, sf_dir))
+    return judge(documents(spark, sf_dir), few_docs=FEW_DOCS)

@@ -316,6 +316,35 @@ def test_quality_of_common_lines(spark):
     assert all(out[i].n_removed_words == n for i in range(150)) and all(out[200 + i].n_removed_words == 0 for i in range(50))
 
 
+def test_quality_of_hosts_of_any_size(spark, tmp_path):
+    common_ = "this line stands in all of the documents of one host and has many words in it indeed"
+    rare, n = "this one stands in just a hundred", len(common_.split())
+    own = lambda i: " ".join(f"w{i}x{j}" for j in range(30))
+    table = [(i, f"{common_}\n{own(i)}", "small") for i in range(7)] + [(7, f"{common_}\nfour words are left", "small")]
+    table += [(10 + i, f"{common_}\n{own(i)}", "few") for i in range(5)]
+    table += [(100 + i, "\n".join([own(i), *[common_] * (i < 101), *[rare] * (i < 100)]), "hot") for i in range(6000)]
+    spark.createDataFrame(table, "doc_id long, text string, source string").repartition(4).write.parquet(f"{tmp_path}/documents.parquet")
+    out = {r.doc_id: r for r in quality.op6_quality(spark, str(tmp_path)).collect()}
+    assert len(out) == len(table) and not any(r.base_failed for r in out.values())
+    assert all(out[i].n_removed_words == n for i in range(8)) and all(out[10 + i].n_removed_words == 0 for i in range(5))
+    assert all(out[100 + i].n_removed_words == n * (i < 101) for i in range(6000))  # above the count, below the share
+    assert [i for i, r in out.items() if not r.kept] == [7]  # depleted
+
+
+def test_quality_query_by_hand(spark, data):
+    folder = data.replace("0.001", "0.01")
+    norm = {(i, s): [" ".join(x.decode() for x in y.split()) for y in lower(t).split(b"\n") if y.split()] for i, t, _, s in read(spark, folder)}
+    docs_of, lines_of = defaultdict(set), defaultdict(set)
+    for (_, s), own in norm.items():
+        docs_of[s].add(tuple(own))
+        for x in own:
+            lines_of[s, x].add(tuple(own))
+    gone = {k for k, v in lines_of.items() if len(v) > 100 or (len(v) > 5 and len(v) > 0.02 * len(docs_of[k[0]]))}
+    want = {i: sum(len(x.split()) for x in own if (s, x) in gone) for (i, s), own in norm.items()}
+    out = {r.doc_id: r.n_removed_words for r in quality.op6_quality(spark, folder).collect()}
+    assert out == want and any(want.values())
+
+
 # ------------------------------------------------------------------ language
 def test_language_id(spark, docs, clashing, empty, data):
     table = spark.read.parquet(f"{data}/documents.parquet")
