@@ -20,6 +20,8 @@ ASSIGN_LEAST = 12
 KINDS = ("assign", "access", "hex", "random")
 #: Tokens that are tested, and characters they have at least.
 TOKEN = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}={0,2}"
+#: Digits that a token has at least when what sets its parts off is left out.
+LEAST = 16
 #: The rate of random tokens among those found not to be random.
 RATE = 0.05
 #: P-values are counted in bins of a twentieth of a decade, the last for all that are smaller.
@@ -31,6 +33,8 @@ ALPHABETS = {
     "base36": "0123456789abcdefghijklmnopqrstuvwxyz",
     "base64": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/",
 }
+#: Base64 tokens without 0 to 9 are among many names in CamelCase, so they have classes of their own.
+ALPHABETS["letters"] = ALPHABETS["base64"]
 
 
 def placed(text: Column, matches: Column, pattern: str) -> Column:
@@ -60,14 +64,31 @@ def upper_tail(z: Column) -> Column:
     return F.exp(-z * z / 2) * 0.3989422804014327 * series
 
 
+def digits_of(token: Column) -> Column:
+    """The token without trailing '='. With letters of both cases '-' and '_' are base64's last digits.
+
+    With letters of one case '-', '_', '+' and '/' set parts off (UUIDs, prefixed keys) and are left out. What then is not hex has two fifths of its digits in parts with a letter and a digit; else it is words and numbers, and nothing is left.
+    """
+    mixed: Callable[[Column], Column] = lambda x: x.rlike("[a-z]") & x.rlike("[A-Z]")
+    both: Callable[[Column], Column] = lambda x: x.rlike("[A-Za-z]") & x.rlike("[0-9]")
+
+    def joined(x: Column) -> Column:
+        parts = F.filter(F.split(x, "[-_+/]"), both)
+        whole = F.translate(x, "-_+/", "")
+        return F.when(whole.rlike("^([0-9a-f]+|[0-9A-F]+)$") | (5 * F.length(F.array_join(parts, "")) >= 2 * F.length(whole)), whole).otherwise("")
+
+    return bound(F.regexp_replace(token, "=+$", ""), lambda x: F.when(mixed(x), F.translate(x, "-_", "+/")).otherwise(joined(x)))
+
+
 def encoding(token: Column) -> Column:
-    """What the characters suggest, without trailing '='; null for what no encoding with digits would give."""
+    """What the characters suggest; null for what no encoding would give, for letters of one case without digits, and for fewer than LEAST digits. `letters` is base64 that happens to have no 0 to 9: one in thirty random tokens of 20."""
     has: Callable[[str], Column] = lambda p: token.rlike(p)
-    return (
+    return F.when(
+        F.length(token) >= LEAST,
         F.when(has("^([0-9a-f]+|[0-9A-F]+)$") & has("[0-9]") & has("[A-Fa-f]"), "hex")
         .when(has("^[A-Z2-7]+$") & has("[2-7]") & has("[A-Z]"), "base32")
-        .when(has("^[a-z0-9]+$") & has("[0-9]") & has("[a-z]"), "base36")
-        .when(has("^[A-Za-z0-9+/]+$") & has("[0-9]") & has("[a-z]") & has("[A-Z]"), "base64")
+        .when(has("^([a-z0-9]+|[A-Z0-9]+)$") & has("[0-9]") & has("[A-Za-z]"), "base36")
+        .when(has("^[A-Za-z0-9+/]+$") & has("[a-z]") & has("[A-Z]"), F.when(has("[0-9]"), "base64").otherwise("letters")),
     )
 
 
@@ -100,7 +121,7 @@ def tested(token: Column) -> Column:
     alphabets = F.create_map(*[x for k, v in ALPHABETS.items() for x in (F.lit(k), F.lit(v))])
 
     def named(x: Column) -> Column:
-        digits = F.when(x["kind"] == "hex", F.lower(x["bare"])).otherwise(x["bare"])
+        digits = F.when(x["kind"].isin("hex", "base36"), F.lower(x["bare"])).otherwise(x["bare"])
         alphabet = F.element_at(alphabets, x["kind"])
         symbols = F.transform(F.split(digits, ""), lambda c: F.instr(alphabet, c) - 1)
         p = F.when(x["kind"].isNotNull(), bound(symbols, lambda s: battery(s, F.length(alphabet))))
@@ -111,8 +132,7 @@ def tested(token: Column) -> Column:
         bin_ = F.least(F.lit(LAST_BIN), F.floor(-BINS_A_DECADE * F.log10(F.greatest(x["p"], F.lit(1e-300)))).cast("int"))
         return F.struct(token["start"].alias("start"), token["end"].alias("end"), token["text"].alias("text"), x["group"].alias("group"), x["p"].alias("p"), F.when(x["p"].isNotNull(), bin_).alias("bin"))
 
-    bare = F.translate(F.regexp_replace(token["text"], "=+$", ""), "-_", "+/")
-    return bound(bound(bound(bare, lambda b: F.struct(b.alias("bare"), encoding(b).alias("kind"))), named), listed)
+    return bound(bound(bound(digits_of(token["text"]), lambda b: F.struct(b.alias("bare"), encoding(b).alias("kind"))), named), listed)
 
 
 def find_secrets(df: DataFrame, key: str = "doc_id", text: str = "text", rate: float = RATE) -> DataFrame:

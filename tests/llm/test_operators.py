@@ -287,6 +287,21 @@ def test_secrets(spark, empty, clashing):
     assert secrets.find_secrets(clashing).count() == len(rows())
 
 
+def test_secrets_of_each_class(spark):
+    rng = np.random.default_rng(9)
+    draw = lambda letters, n: "".join(rng.choice(list(letters), n))
+    low, up, digits = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+    uuid = lambda: "-".join(draw("0123456789abcdef", n) for n in (8, 4, 4, 4, 12))
+    classes = [lambda: draw(up + digits, 23) + "0", lambda: f"sk_live_{draw(low + digits, 24)}", uuid, lambda: "-".join(draw(up + digits, 5) for _ in range(5)), lambda: draw(up + low, 20), lambda: draw(up + low, 10) + "_-" + draw(up + low, 12)]
+    tokens = [(c, f()) for c, f in enumerate(classes) for _ in range(50)]
+    words_ = ["z" * 30 + "1", "Th" + "z" * 28 + "End", "user-profile-settings-page-2", "config/handler/service/page2", "TOP_TEN_REASONS_FOR_2026", "state-of-the-art-and-so-on", "2026-11-28-2026-11-29-2026", "a1" + "-" * 20, "-" * 40]
+    table = [(i, f"key {t} here") for i, t in enumerate([t for _, t in tokens] + words_)]
+    out = {r.doc_id: [(s.start, s.end, s.kind, s.text) for s in r.spans] for r in secrets.find_secrets(spark.createDataFrame(table, "doc_id long, text string")).collect()}
+    found = Counter(c for i, (c, t) in enumerate(tokens) if out[i] == [(4, 4 + len(t), "random", t)])
+    assert len(found) == len(classes) and min(found.values()) >= 45, found
+    assert [t for i, t in table[len(tokens) :] if out[i]] == []
+
+
 # ------------------------------------------------------------------ quality
 def by_hand(text):
     text = text or ""
