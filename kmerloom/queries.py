@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from kmerloom.functions import formatting, grammar
@@ -402,10 +402,13 @@ def contamination_scan(spark, sf_dir):
 
 
 def source_axis(spark, sf_dir) -> DataFrame:
-    """Sources as records: their documents' bases, joined in the order of ids."""
+    """Sources as records: their documents' bases, joined in the order of ids. Sources are numbered from 0 by the number in their name, then those without one by name, null last."""
     rows = read(spark, sf_dir, "documents").groupBy("source").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("doc_id", letters_as_bases(F.col("text")).alias("s")))), lambda x: x["s"]), "N").alias("seq"))
-    rows = rows.withColumn("rec", F.regexp_extract("source", "[0-9]+", 0).try_cast("long"))
-    return kmers.as_axis(rows.filter("rec IS NOT NULL"), "rec", "source", "seq")
+    names = read(spark, sf_dir, "documents").select("source").distinct()
+    order = Window.orderBy(F.regexp_extract("source", "[0-9]+", 0).try_cast("long").asc_nulls_last(), F.col("source").asc_nulls_last())
+    numbers = names.select(F.col("source").alias("__source"), (F.row_number().over(order) - 1).cast("long").alias("rec"))
+    rows = rows.join(numbers, F.col("source").eqNullSafe(F.col("__source"))).drop("__source")
+    return kmers.as_axis(rows, "rec", "source", "seq")
 
 
 @query()

@@ -290,6 +290,16 @@ def test_gather(spark):
     assert math.isclose(sum(r.share for r in table), 1.0)
 
 
+def test_source_axis_of_any_names(spark, tmp_path):
+    from kmerloom.queries import source_axis
+
+    names = ["src2", "b", None, "src10", "x2", "a", "src2"]
+    spark.createDataFrame([(i, "acgt" * (i + 1), n) for i, n in enumerate(names)], "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    out = sorted((r.rec, r.name, r.start, r.len) for r in source_axis(spark, str(tmp_path)).collect())
+    lengths = {"src2": 4 + 1 + 28, "x2": 20, "src10": 16, "a": 24, "b": 8, None: 12}
+    assert out == [(i, n, sum(list(lengths.values())[:i]), k) for i, (n, k) in enumerate(lengths.items())]
+
+
 def test_gather_of_equal_sources(spark):
     x = bases(3000, 1)
     a = axis(spark, x, x, x)
