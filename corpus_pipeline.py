@@ -5,15 +5,19 @@ Stages write Parquet and read it again, so a lost executor never costs more than
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kmerloom.llm.bpe import decode, encode
 from kmerloom.llm.common import documents, join_small, materialize
 from kmerloom.llm.exact_dedup import exact_dedup
-from kmerloom.llm.language_id import UNDETERMINED, identify
+from kmerloom.llm.language_id import LETTER, UNDETERMINED, identify
 from kmerloom.llm.mixing import copies, mix
 from kmerloom.llm.near_dedup import near_dedup
+from kmerloom.llm.textkit import give_back, parts
 
 
 def _row(docs: DataFrame) -> list[Column]:
@@ -21,8 +25,17 @@ def _row(docs: DataFrame) -> list[Column]:
     return [F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("__at"), F.xxhash64(F.col("text")).alias("__hash")]
 
 
+def _lettered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows whose text has a letter, by the rule of identify()."""
+    for batch in parts(batches):
+        yield batch.filter(pa.array([x is not None and bool(LETTER.search(x)) for x in batch.column("text").to_pylist()], pa.bool_()))
+    give_back()
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a language go (no text, no letter); a missing lang is filled in."""
+    """Documents without a language go (no text, no letter); a missing lang is filled in, or stays null where no row has one to learn from."""
+    if docs.filter(F.col("text").isNotNull() & F.col("lang").isNotNull()).isEmpty():
+        return docs.mapInArrow(_lettered, docs.schema)
     known = identify(docs, docs)
     return known.filter(F.col("lang_pred") != UNDETERMINED).withColumn("lang", F.coalesce("lang", "lang_pred")).select(docs.columns)
 

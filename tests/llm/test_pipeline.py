@@ -39,3 +39,12 @@ def test_run(spark, data):
     known = {r.doc_id: r.text for r in docs.collect()}
     got = out.collect()
     assert got and all(known[r.doc_id] == r.text for r in got) and P.ORACLE_SQL is None
+
+
+def test_language_without_labels(spark, docs, data):
+    from pyspark.sql import functions as F
+
+    out = P.language(spark, docs.withColumn("lang", F.lit(None).cast("string")), data)
+    assert out.columns == docs.columns
+    got = out.collect()
+    assert got and Counter(r.doc_id for r in got) == Counter(i for i, t, *_ in rows() if any(c.isalpha() for c in t or "")) and all(r.lang is None for r in got)
