@@ -6,9 +6,9 @@ from kmerloom.llm.language_id import op9_language_id
 from kmerloom.llm.language_model import op8_language_model
 from kmerloom.llm.mixing import OP1_SQL, op1_mixing
 from kmerloom.llm.near_dedup import op5_near_dedup
-from kmerloom.llm.quality import op6_quality
+from kmerloom.llm.quality import OP6_SQL, op6_quality
 from kmerloom.llm.secrets import op4_secrets
-from kmerloom.llm.sharding import op10_sharding
+from kmerloom.llm.sharding import OP10_SQL, op10_sharding
 from kmerloom.llm.token_counts import op2_token_counts
 
 QUERIES = {
@@ -24,4 +24,4 @@ QUERIES = {
     "op10_sharding": op10_sharding,
 }
 
-ORACLE_SQL = {"op1_mixing": OP1_SQL, "op7_exact_dedup": OP7_SQL}
+ORACLE_SQL = {"op1_mixing": OP1_SQL, "op6_quality": OP6_SQL, "op7_exact_dedup": OP7_SQL, "op10_sharding": OP10_SQL}

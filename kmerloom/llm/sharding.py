@@ -72,3 +72,19 @@ def shard(df: DataFrame, shards: int = 16, key: str = "doc_id", text: str = "tex
 
 def op10_sharding(spark: SparkSession, sf_dir: str, shards: int = 16) -> DataFrame:
     return shard(documents(spark, sf_dir), shards)
+
+
+#: In SQL: a recursion over the jumps of each key, slots in the order of the same random key, and the checksum byte by byte.
+OP10_SQL = f"""
+WITH RECURSIVE docs AS (SELECT doc_id, text, CAST(coalesce(doc_id, 0) AS HUGEINT) AS key, coalesce(strlen(text), 0) + 1 AS size, substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 15) AS k FROM documents),
+jumps AS (
+  SELECT DISTINCT key, key AS state, CAST(0 AS BIGINT) AS j FROM docs
+  UNION ALL
+  SELECT key, now, CAST(floor(least((j + 1) * (2147483648.0::DOUBLE / CAST(now // 8589934592 + 1 AS DOUBLE)), 1e15)) AS BIGINT) FROM (SELECT key, j, (state * {MULTIPLIER} + 1) % 18446744073709551616 AS now FROM jumps WHERE j <= 16)),
+put AS (SELECT key, CAST(max(j) FILTER (WHERE j < 16) AS INTEGER) AS shard, CAST(max(j) FILTER (WHERE j < 17) AS INTEGER) AS grown_shard FROM jumps GROUP BY key),
+steps AS (SELECT i, i AS v, 0 AS n FROM range(0, 256) t(i) UNION ALL SELECT i, CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END, n + 1 FROM steps WHERE n < 8),
+lookup AS (SELECT list(v ORDER BY i) AS t FROM steps WHERE n = 8),
+bytes AS (SELECT DISTINCT text, list_transform(regexp_extract_all(hex(encode(text)), '..'), lambda x: CAST(16 * (instr('0123456789ABCDEF', x[1]) - 1) + instr('0123456789ABCDEF', x[2]) - 1 AS BIGINT)) AS b FROM documents WHERE text IS NOT NULL),
+crc AS (SELECT text, xor(list_reduce(list_concat([CAST(4294967295 AS BIGINT)], b), lambda x, y: xor(x >> 8, t[CAST(xor(x, y) & 255 AS BIGINT) + 1])), 4294967295) AS c FROM bytes, lookup)
+SELECT doc_id, CAST(size AS BIGINT) AS size, coalesce(c, 0) AS text_crc32, 'key' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY k, doc_id, size, c) - 1 AS slot, grown_shard
+FROM docs JOIN put USING (key) LEFT JOIN crc ON crc.text = docs.text"""
