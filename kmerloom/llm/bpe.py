@@ -21,10 +21,10 @@ from pyspark.sql import types as T
 from kmerloom.llm.common import documents, field, only
 from kmerloom.llm.textkit import give_back, parts
 
-#: Pieces that a worker remembers: twice so many, the older half goes first.
-REMEMBERED = 100_000
-#: Ids that are decoded at a time.
-IDS = 1 << 18
+#: Pieces that a worker remembers: twice so many, the older half goes first. None is longer than so many characters, which bounds their bytes.
+REMEMBERED, LONGEST = 100_000, 64
+#: Ids that are decoded at a time, and bytes of decoded texts in a batch: Arrow's offsets have 32 bits.
+IDS, BATCH_BYTES = 1 << 18, 1 << 29
 NEVER = 1 << 62
 
 
@@ -99,6 +99,8 @@ class Pieces(dict):
         ids = self.older.get(piece)
         if ids is None:
             ids = np.array(encode_piece(piece.encode(), self.ranks), "<i4").tobytes()
+            if len(piece) > LONGEST:
+                return ids
         if len(self) >= self.limit:
             self.older = dict(self)
             self.clear()
@@ -128,7 +130,7 @@ def _encode(text: str, out: str, file, pattern: str):
 def encode(df: DataFrame, text: str = "text", out: str = "ids", ranks: str | None = None, pattern: str = public_tokenizers.PATTERN) -> DataFrame:
     """df with the array of token ids of each whole text.
 
-    Each match of the pattern is encoded for itself; no special tokens. ranks: path of a rank file, which the driver reads. Null and empty texts have no ids. A column of df with the name `out` is replaced. Repeated rows and empty tables are no special case.
+    Each match of the pattern is encoded for itself; no special tokens. ranks: path of a rank file, which the driver reads. Null and empty texts have no ids; texts of any length are encoded whole. A column of df with the name `out` is replaced. Repeated rows and empty tables are no special case.
     """
     df = only(df, [text], [out])
     file = df.sparkSession.sparkContext.broadcast(read_ranks(ranks or public_tokenizers.path("byte_bpe_multi_50k.tiktoken")))
@@ -153,10 +155,23 @@ def decode_ids(ids: np.ndarray, table: tuple[np.ndarray, np.ndarray, np.ndarray]
     return blob[np.repeat(shift, lengths) + np.arange(int(lengths.sum()))]
 
 
+def _bounded(batches: Iterator[pa.RecordBatch], ids: str, sizes: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Parts of batches that decode to BATCH_BYTES at most, or are one row."""
+    for batch in parts(batches):
+        column = batch.column(ids)
+        at = np.asarray(column.offsets).astype(np.int64)
+        total = np.concatenate([[0], np.cumsum(sizes[np.asarray(column.values)[at[0] : at[-1]]])])[at - at[0]]
+        lo = 0
+        while lo < batch.num_rows:
+            hi = max(lo + 1, int(np.searchsorted(total, total[lo] + BATCH_BYTES, "right")) - 1)
+            yield batch.slice(lo, hi - lo)
+            lo = hi
+
+
 def _decode(ids: str, out: str, file):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = _table(file.value)
-        for batch in parts(batches):
+        for batch in _bounded(batches, ids, table[2]):
             column = batch.column(ids)
             if column.null_count:
                 column = pa.array([x or [] for x in column.to_pylist()], column.type)

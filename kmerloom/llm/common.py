@@ -18,16 +18,19 @@ WORD = r"[^\x20\x09-\x0D]+"
 BROADCAST_ROWS = 20_000
 
 _written: dict[str, SparkSession] = {}
+_folders: dict[str, str] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir. Where it is unset, a local session gets one of its own and a cluster an error."""
+    """The folder in spark.checkpoint.dir. Where it is unset, a local application gets a folder of its own and a cluster an error."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        if not spark.sparkContext.master.startswith("local["):
+        context = spark.sparkContext
+        if context.master.partition("[")[0] != "local":
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        folder = "file://" + tempfile.mkdtemp(prefix="kmerloom-")
-        spark.conf.set("spark.checkpoint.dir", folder)
+        if context.applicationId not in _folders:
+            _folders[context.applicationId] = "file://" + tempfile.mkdtemp(prefix="kmerloom-")
+        folder = _folders[context.applicationId]
     return folder.rstrip("/")
 
 
@@ -53,6 +56,17 @@ def discard(*tables: DataFrame) -> None:
             _delete(_written.pop(path), path)
 
 
+def written() -> set[str]:
+    """The tables that materialize() has written and that are still there."""
+    return set(_written)
+
+
+def discard_since(before: set[str], keep: DataFrame) -> None:
+    """Delete the tables written since, but for the one that is read on."""
+    for path in set(_written) - before - {getattr(keep, "_kmerloom_path", None)}:
+        _delete(_written.pop(path), path)
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     place = jvm.org.apache.hadoop.fs.Path(path)

@@ -1,4 +1,7 @@
-"""Exact dedup by content sort: sampled splitters deal normalised content into ranges, each range is sorted so that equal texts lie side by side, and neighbours are compared in full."""
+"""Exact dedup by content sort: sampled splitters deal normalised content into ranges, each range is sorted so that equal texts lie side by side, and neighbours are compared in full.
+
+The order is that of the first bytes of the normalised text and, among texts that begin alike, of its digest. Spark samples whole keys for its splitters and sends them to the driver, some dozens for each partition, so keys must be of bounded length: the digest stands for the content beyond the first bytes. It is equal for equal contents and spreads those that begin alike. Whether neighbours are equal is settled by their contents.
+"""
 
 from __future__ import annotations
 
@@ -89,7 +92,7 @@ def exact_dedup(df: DataFrame, key: str = "doc_id", text: str = "text", heads_on
 
     Returned is a row for each row of df: key, keep_id (key of the row that stays), group_size, kept, text_sha256 (hex, of the normalised text). Of rows that repeat with the same key, one stays.
     With `heads_only` the rows that stay come with all columns of df, and nothing else. Columns of df with names of the operator's own (any case) or a name that occurs twice are left out. Empty tables give empty ones.
-    A group of copies may be of any size: the sort ends with the key, so splitters cut the group, and what lies in neighbouring partitions is put together from one row for each, two for a partition at most.
+    Texts of any length are compared whole. A group of copies may be of any size: the sort ends with the key, so splitters cut the group, and what lies in neighbouring partitions is put together from one row for each, two for a partition at most.
     """
     own = ["__id", "keep_id", "group_size", "kept", "text_sha256", "__lead", "__digest", "__pid", "__run", "__edge", "__text"]
     df = only(df, [key, text], own)
@@ -105,7 +108,7 @@ def exact_dedup(df: DataFrame, key: str = "doc_id", text: str = "text", heads_on
         field("__pid", "int"), field("__run", "long"), field("__edge", "boolean"), field("__text", "binary"), *[df.schema[c] for c in carried],
     ])
     runs = materialize(sorted_.mapInArrow(_runs(key, text, carried, heads_only), schema), "dedup-runs")
-    # A row for the first and the last run of each partition: as many as two for each partition.
+    # A row for the first and the last run of each partition, two for each partition at most: without texts, some dozens of bytes a row.
     edges = runs.filter("__edge AND kept").select("__digest", "__text", "__pid", "__run", "keep_id", "group_size")
     whole = Window.partitionBy("__digest", "__text")
     fixes = edges.select("__pid", "__run", F.sum("group_size").over(whole).alias("__n"), F.min(F.struct("__pid", "__run", "keep_id")).over(whole).alias("__first"))

@@ -111,9 +111,10 @@ def proportions(logs: np.ndarray, first: np.ndarray, rounds: int = ROUNDS) -> np
     return kept.T
 
 
-def _predict(text: str, names: list[str], model: np.ndarray):
+def _predict(text: str, names: list[str], shared):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = shared.value
         for batch in parts(batches):
             tags, scores, sets = [], [], []
             column = batch.column(text)
@@ -139,11 +140,12 @@ def _predict(text: str, names: list[str], model: np.ndarray):
 def identify(df: DataFrame, labelled: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", sample: int = SAMPLE) -> DataFrame:
     """df with lang_pred, score (its proportion, 0 to 1) and lang_set (languages kept, most first), learned from `labelled`.
 
-    Only the text counts. `und` with score 0 stands for a text that is null or has no letter, and for any text where nothing was learned. Columns of df with the names added are replaced. Repeated rows are predicted alike; empty tables give empty ones.
+    Only the text counts, and all of it, however long. `und` with score 0 stands for a text that is null or has no letter, and for any text where nothing was learned. Columns of df with the names added are replaced. Repeated rows are predicted alike; empty tables give empty ones.
     """
     names, model = fit(labelled, key, text, lang, sample)
     df = only(df, [text], ["lang_pred", "score", "lang_set"])
-    return df.mapInArrow(_predict(text, names, model), T.StructType([*df.schema.fields, field("lang_pred", "string"), field("score", "double"), field("lang_set", "string")]))
+    # The model has CELLS numbers for each language: a quarter of a megabyte.
+    return df.mapInArrow(_predict(text, names, df.sparkSession.sparkContext.broadcast(model)), T.StructType([*df.schema.fields, field("lang_pred", "string"), field("score", "double"), field("lang_set", "string")]))
 
 
 def remainder(key: Column, by: int) -> Column:

@@ -42,7 +42,7 @@ def mix(df: DataFrame, key: str = "doc_id", source: str = "source", text: str =
     """One row for each row of df: key, source, size (words), source_size, target (of its source), taken (words that the mix takes from it, repeats counted); and `mark`, a column expression that tells rows apart, if given.
 
     In each source rows lie in the order of a random key made from the row's key. A source's budget is its target, rounded; the mix takes every row as often as the source's size goes into the budget, then rows from the start until the rest is used up, the last of them in part.
-    A null source is a source of its own and comes last. A null text has no words and is taken 0 times. Rows with equal keys lie side by side; wholly equal rows share what falls on them in any order. Other columns are not read. Empty tables give empty ones.
+    A null source is a source of its own and comes last. A null text has no words and is taken 0 times; texts of any length count whole. Rows with equal keys lie side by side; wholly equal rows share what falls on them in any order. Other columns are not read. Empty tables give empty ones.
     """
     df = only(df, [key, source, text])
     code = F.when(F.col(source).isNull(), F.lit("1")).otherwise(F.concat(F.lit("0"), F.col(source)))

@@ -187,7 +187,7 @@ def near_dedup(df: DataFrame, key: str = "doc_id", text: str = "text", shingle:
     """One row for each row of df: key, n_shingles, component_id, kept, and __hash (of the text, to tell rows of one key apart).
 
     Words are runs of anything but white space, A-Z lower-cased. A text's set holds its distinct shingles of `shingle` words; with fewer words the whole text is one. Texts are linked if 100 * intersection >= percent * union. component_id: least key that can be reached over links, its own included; kept: key = component_id.
-    Null texts and texts without words have n_shingles 0, are linked with nothing and kept. Null keys are above all others; a component of null keys alone has a null component_id, and all of it is kept. Rows with equal keys are kept or dropped by the same rule. Other columns are not read; an empty table gives an empty one.
+    Texts of any length are read whole. Null texts and texts without words have n_shingles 0, are linked with nothing and kept. Null keys are above all others; a component of null keys alone has a null component_id, and all of it is kept. Rows with equal keys are kept or dropped by the same rule. Other columns are not read; an empty table gives an empty one.
     Classes are known by 64-bit hashes of their sets.
     """
     kind = only(df, [key, text]).schema[key].dataType

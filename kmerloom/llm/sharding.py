@@ -58,7 +58,7 @@ def shard(df: DataFrame, shards: int = 16, key: str = "doc_id", text: str = "tex
     """Put rows into shards 0 to shards-1. Returned: the key, the columns `keep` and
 
     size (UTF-8 bytes of the text plus 1, a null text has none), text_crc32 (unsigned, of the UTF-8 bytes; 0 for null), law ('key'), shard, slot (gapless from 0 in each shard, by a random key, then key, size and checksum) and grown_shard (the shard if there were one more).
-    A null key is key 0. Keys may repeat, equal rows get slots of their own. Other columns, whatever their names, are not read. An empty table gives an empty one. Slots are counted over ranges of keys, so no task gets a whole shard.
+    A null key is key 0. Texts of any length count whole. Keys may repeat, equal rows get slots of their own. Other columns, whatever their names, are not read. An empty table gives an empty one. Slots are counted over ranges of keys, so no task gets a whole shard.
     """
     df = only(df, [key, text, *keep]).select(key, text, *keep)
     total = df.count()

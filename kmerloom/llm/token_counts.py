@@ -15,8 +15,8 @@ from pyspark.sql import types as T
 from kmerloom.llm.bpe import ranks_of, read_ranks
 from kmerloom.llm.common import documents, field, only
 
-#: Words that a worker remembers before it starts anew.
-REMEMBERED = 400_000
+#: Words that a worker remembers before it starts anew; none is longer than so many bytes.
+REMEMBERED, LONGEST = 400_000, 64
 NOWHERE = -1
 
 
@@ -82,9 +82,11 @@ class Lengths(dict):
         self.automaton, self.limit = automaton, limit
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= self.limit:
-            self.clear()
-        n = self[word] = self.automaton.count(word)
+        n = self.automaton.count(word)
+        if len(word) <= LONGEST:
+            if len(self) >= self.limit:
+                self.clear()
+            self[word] = n
         return n
 
 
@@ -109,7 +111,7 @@ def _count(text: str, file):
 def count_tokens(df: DataFrame, key: str = "doc_id", text: str = "text", vocabulary: str | None = None) -> DataFrame:
     """One row for each row of df: key, n_words and n_tokens of the whole text, words being runs of anything but white space.
 
-    vocabulary: path of a rank file, which the driver reads; its tokens are the pieces. Null and empty texts count 0. Repeated rows are counted alike; other columns are not read; an empty table gives an empty one.
+    vocabulary: path of a rank file, which the driver reads; its tokens are the pieces. Null and empty texts count 0, texts of any length are read whole. Repeated rows are counted alike; other columns are not read; an empty table gives an empty one.
     """
     df = only(df, [key, text]).select(key, text)
     file = df.sparkSession.sparkContext.broadcast(read_ranks(vocabulary or public_tokenizers.path("byte_bpe_multi_50k.tiktoken")))
