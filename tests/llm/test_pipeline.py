@@ -4,11 +4,15 @@ from __future__ import annotations
 
 from collections import Counter
 
+import pytest
 from conftest import rows
 from test_operators import encoding, lower, near_by_hand, words
 
 import corpus_pipeline as P
 
+#: Names that the operators and the stages use themselves, or that Spark takes for the same.
+NAMES = ["score", "Lang_Pred", "lang_set", "kept", "keep_id", "GROUP_SIZE", "text_sha256", "__lead", "__digest", "__id", "__text", "__hash", "__at", "__n", "__copy", "c0", "C1", "mark", "taken", "size", "n_shingles", "component_id", "decoded", "__salt"]
+
 
 def ids(df):
     return sorted((r.doc_id is None, r.doc_id or 0) for r in df.select("doc_id").collect())
@@ -33,6 +37,27 @@ def test_stages(spark, docs, data):
         assert r.ids == enc.encode_ordinary(r.text) and r.n_tokens == len(r.ids)
 
 
+@pytest.mark.parametrize("name", [n for n, _ in P.STAGES])
+def test_extra_columns_of_any_name(spark, docs, data, name):
+    """Extra columns come out with the values that they had; what is kept is the same with and without them."""
+    from pyspark.sql import functions as F
+
+    stage = dict(P.STAGES)[name]
+    wide = docs.select("*", *[F.concat_ws("/", F.lit(c), "doc_id", F.xxhash64("text")).alias(c) for c in NAMES])
+    out = stage(spark, wide, data)
+    assert out.columns[: len(wide.columns)] == wide.columns
+    got, want = out.collect(), stage(spark, docs, data).collect()
+    mark = lambda r: (str(r.doc_id), r.text or "", str(r.source))
+    assert Counter(map(mark, got)) == Counter(map(mark, want))
+    known = {tuple(r[c] for c in NAMES) for r in wide.collect()}
+    assert got and all(tuple(r[c] for c in NAMES) in known for r in got)
+
+
+def test_empty_table(spark, empty, data):
+    for _, stage in P.STAGES:
+        assert stage(spark, empty, data).count() == 0
+
+
 def test_run(spark, data):
     out = P.run(spark, data)
     docs = spark.read.parquet(f"{data}/documents.parquet")
