@@ -177,6 +177,30 @@ def test_near_dedup_of_families(spark):
     assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in out) == near_by_hand(table, 2, 80)
 
 
+def test_near_dedup_in_small_blocks(spark, monkeypatch):
+    """Buckets torn into many blocks, and classes that share a number."""
+    monkeypatch.setattr(near_dedup, "BLOCK", 4)
+    monkeypatch.setattr(near_dedup, "NUMBER", 1)
+    rng = np.random.default_rng(7)
+    table = []
+    for family in range(4):
+        base = [f"f{family}w{i}" for i in range(60)]
+        for m in range(25):
+            text = list(base)
+            for at in rng.choice(60, size=int(rng.integers(0, 8)), replace=False):
+                text[at] = f"x{family}{m}{at}"
+            table.append((len(table), " ".join(text)))
+    table += [(len(table) + i, None if i % 2 else " ") for i in range(30)]
+    out = near_dedup.near_dedup(spark.createDataFrame(table, "doc_id long, text string"), shingle=2).collect()
+    assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in out) == near_by_hand(table, 2, 80)
+
+
+def test_near_dedup_of_a_table(spark, data):
+    folder = data.replace("0.001", "0.01")
+    out = near_dedup.op5_near_dedup(spark, folder).collect()
+    assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in out) == near_by_hand([(i, t) for i, t, *_ in read(spark, folder)], 2, 80)
+
+
 def test_signatures_estimate_similarity():
     rng = np.random.default_rng(1)
     a = rng.integers(0, 2**63, 2000, dtype=np.uint64)
