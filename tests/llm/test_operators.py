@@ -8,6 +8,7 @@ import math
 import re
 import zlib
 from collections import Counter, defaultdict
+from itertools import pairwise
 
 import numpy as np
 import public_tokenizers
@@ -516,6 +517,100 @@ def test_language_model(spark, docs, clashing, empty, data):
     assert all(math.isfinite(r.score) for r in language_model.score(docs.withColumn("held", F.lit(True)), "held").collect())
 
 
+def plain_forward(seen, model):
+    """Scaled forward and backward probabilities of one text, word by word."""
+    k = len(model.start)
+    alpha, scale = [], []
+    for t, w in enumerate(seen):
+        now = [(model.start[i] if t == 0 else sum(alpha[-1][j] * model.move[j][i] for j in range(k))) * model.emit[i][w] for i in range(k)]
+        scale.append(sum(now))
+        alpha.append([x / scale[-1] for x in now])
+    beta = [[1.0] * k]
+    for t in range(len(seen) - 2, -1, -1):
+        beta.insert(0, [sum(model.move[i][j] * model.emit[j][seen[t + 1]] * beta[0][j] for j in range(k)) / scale[t + 1] for i in range(k)])
+    return alpha, beta, scale
+
+
+def plain_pass(texts, model):
+    """Expected counts of starts, moves and emissions over all texts, and the log-likelihood."""
+    k, m = model.emit.shape
+    starts, moves, emits, like = np.zeros(k), np.zeros((k, k)), np.zeros((k, m)), 0.0
+    for seen in texts:
+        alpha, beta, scale = plain_forward(seen, model)
+        like += sum(math.log(c) for c in scale)
+        for t, w in enumerate(seen):
+            for i in range(k):
+                emits[i, w] += alpha[t][i] * beta[t][i]
+                starts[i] += alpha[t][i] * beta[t][i] * (t == 0)
+                for j in range(k) if t else ():
+                    moves[j, i] += alpha[t - 1][j] * model.move[j][i] * model.emit[i][w] * beta[t][i] / scale[t]
+    return starts, moves, emits, like
+
+
+def test_training_and_scores_of_whole_texts(spark, monkeypatch):
+    """The query's way from texts to scores against Baum-Welch and the forward recursion in plain loops: blocks, lanes, passes, stop and word shares included."""
+    from kmerloom.llm.textkit import slices
+    from kmerloom.llm.textkit import words as cut
+
+    rng = np.random.default_rng(6)
+    vocabulary = [f"w{i}" for i in range(30)]
+    texts = [None, "", *[" ".join(rng.choice(vocabulary, int(rng.integers(1, 40)))) for _ in range(40)]]
+    states, n = 3, 7
+    seen, real = {}, language_model.train
+    monkeypatch.setattr(language_model, "BLOCK", 100)
+    monkeypatch.setattr(language_model, "train", lambda blocks, model, *a: seen.update(first=model, out=real(blocks, model, *a)) or seen["out"])
+    df = spark.createDataFrame([(i, t, i % 5 == 0) for i, t in enumerate(texts)], "doc_id long, text string, held boolean").repartition(3)
+    out = {r.doc_id: r for r in language_model.score(df, "held", states=states, n_classes=n, gain=-1.0, passes=4).collect()}
+    names = {}
+    for s in slices(pa.array(vocabulary)):
+        names = dict(zip(vocabulary, cut(s).hashes(), strict=True))
+    of = lambda t: language_model.classes(np.array([*[names[w] for w in (t or "").split()], language_model.END], np.uint64), n).tolist()
+    model, likes = seen["first"], []
+    training = [of(t) for i, t in enumerate(texts) if i % 5]
+    while len(likes) < 4:
+        *counts, like = plain_pass(training, model)
+        model = language_model.Model.from_counts(*counts)
+        likes.append(like)
+    assert np.allclose(likes, seen["out"][1], rtol=1e-6) and likes[-1] > likes[0]
+    assert all(np.allclose(getattr(model, x), getattr(seen["out"][0], x), rtol=1e-3) for x in ("start", "move", "emit"))
+    model = seen["out"][0]
+    words_ = Counter(w for i, t in enumerate(texts) if i % 5 for w in (t or "").split())
+    mass = Counter()
+    for w, c in words_.items():
+        mass[of(w)[0]] += c + 1
+    for i, t in enumerate(texts):
+        inside = sum(math.log10((words_[w] + 1) / (mass[of(w)[0]] + 1)) for w in (t or "").split())
+        want = sum(math.log10(c) for c in plain_forward(of(t), model)[2]) + inside
+        assert math.isclose(out[i].score, want, rel_tol=1e-6) and out[i].passes == len(likes)
+
+
+def test_mixture_against_plain_steps():
+    """Proportions against expectation-maximisation and the choice of the set in plain loops."""
+    rng = np.random.default_rng(8)
+    for _ in range(12):
+        langs, sizes = int(rng.integers(2, 5)), [int(x) for x in rng.integers(1, 30, 4)]
+        logs = rng.normal(-20, 4, (langs, sum(sizes))).astype(np.float32)
+        first = np.concatenate([[0], np.cumsum(sizes)])
+        got = language_id.proportions(logs, first)
+        for d, (lo, hi) in enumerate(pairwise(first.tolist())):
+            p, live, best = [[math.exp(x - max(col)) for x in col] for col in logs[:, lo:hi].T.astype(float).tolist()], list(range(langs)), None
+            base, pi = sum(max(col) for col in logs[:, lo:hi].T.astype(float).tolist()), [1 / langs] * langs
+            for k in range(langs, 0, -1):
+                for _ in range(0 if k == 1 else language_id.ROUNDS if k == langs else language_id.ROUNDS // 2):
+                    sums = [0.0] * langs
+                    for w in p:
+                        total = sum(w[i] * pi[i] for i in live)
+                        for i in live:
+                            sums[i] += w[i] * pi[i] / total
+                    pi = [x / (hi - lo) for x in sums]
+                cost = -2 * (base + sum(math.log(max(sum(w[i] * pi[i] for i in live), 1e-30)) for w in p)) + (k - 1) * math.log(hi - lo)
+                if best is None or cost < best[0] - 1e-4:
+                    best = cost, list(pi)
+                live.remove(min(live, key=lambda i: (pi[i], i)))
+                pi = [pi[i] / max(sum(pi[j] for j in live), 1e-30) if i in live else 0.0 for i in range(langs)]
+            assert np.allclose(got[d], best[1], atol=2e-3), (got[d], best)
+
+
 # ------------------------------------------------------------------ shared
 def test_word_hashes_tell_words_apart():
     from kmerloom.llm.textkit import slices
