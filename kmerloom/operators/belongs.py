@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kmerloom.model import BELONGS_MAX, BELONGS_MIN, EngineError
 
 
 def species_counts(kmers: DataFrame) -> DataFrame:
-    """rec, kv, n: copies of each canonical k-mer in each record."""
+    """rec, kv, n: copies of each canonical k-mer in each record, of a k-mer table; record_kmers() makes the same of an axis."""
     return kmers.groupBy("rec", "kv").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -27,10 +27,9 @@ def masses(counts: DataFrame) -> DataFrame:
 
 def belongs(counts: DataFrame) -> DataFrame:
     """A row for each ordered pair of records i, j that share a k-mer: shared (sum of the lesser copies), exclusive (the same over k-mers of just these two records), unique (k-mers that i holds once and j holds), cross_mass (i's copies of shared k-mers)."""
-    spread = counts.groupBy("kv").agg(F.count(F.lit(1)).alias("n_rec")).filter("n_rec > 1")
-    common = counts.join(spread, "kv")
+    common = counts.withColumn("n_rec", F.count(F.lit(1)).over(Window.partitionBy("kv"))).filter("n_rec > 1")
     a, b = (common.select("kv", "n_rec", F.col("rec").alias(i), F.col("n").alias(f"n_{i}")) for i in "ij")
-    pairs = a.join(b.drop("n_rec"), "kv").filter("i <> j")
+    pairs = a.join(b.drop("n_rec"), "kv").filter("NOT i <=> j")
     less = F.least("n_i", "n_j")
     return pairs.groupBy("i", "j").agg(
         F.sum(less).cast("long").alias("shared"), F.sum(F.when(F.col("n_rec") == 2, less).otherwise(0)).cast("long").alias("exclusive"),

@@ -1,28 +1,53 @@
 """Containment of tile pairs: how much of a tile's k-mers, counted with copies, another tile holds, and the identity that this stands for.
 
-Counts are added up for each tile and k-mer before the join, so a pair costs by tiles that a k-mer touches, not by its copies.
+Counts are added up for each tile and k-mer before the join, so a pair costs by tiles that a k-mer touches, not by its copies. They are dealt out by k-mer once, for the counts and for the join.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kmerloom.model import EngineError
+from kmerloom.operators.kmers import kmers, tile_kmers
+from kmerloom.operators.profile import occurrences
+from kmerloom.plans.density import grid_side
 
 
-def tile_counts(index: DataFrame, lo: int, hi: int, n: int, tile: str) -> DataFrame:
-    """Copies of each k-mer in each of n equal tiles of [lo, hi); what falls past the last edge by rounding counts to the last tile."""
+def tile_counts(axis: DataFrame, lo: int, hi: int, n: int, k: int) -> DataFrame:
+    """tile, kv and n: copies of each k-mer in each of n equal tiles of [lo, hi)."""
     if hi - lo < 100:
         raise EngineError("The window is too small: 100 bases on each side are needed.")
-    at = F.least(F.lit(n - 1), F.floor((F.col("pos") - lo) * (n / (hi - lo)))).cast("int")
-    return index.filter((F.col("pos") >= lo) & (F.col("pos") < hi)).groupBy(at.alias(tile), "kv").agg(F.count(F.lit(1)).alias(f"n_{tile}"))
-
-
-def containment_grid(x_index: DataFrame, y_index: DataFrame, x_range: tuple[int, int], y_range: tuple[int, int], n: int, k: int) -> DataFrame:
-    """tx, ty, shared, containment and identity = containment^(1/k) of tile pairs that share a k-mer; forward k-mers, no occurrence cap. Both sides may be one index and their ranges may overlap."""
-    x, y = tile_counts(x_index, *x_range, n, "tx"), tile_counts(y_index, *y_range, n, "ty")
-    total_x, total_y = x.groupBy("tx").agg(F.sum("n_tx").alias("total_x")), y.groupBy("ty").agg(F.sum("n_ty").alias("total_y"))
-    shared = x.join(y, "kv").groupBy("tx", "ty").agg(F.sum(F.least("n_tx", "n_ty")).cast("long").alias("shared"))
+    return tile_kmers(axis, k, grid=(lo, hi, n))
+
+
+def side_of(axis: DataFrame, k: int, asked: int | None = None, most: int = 512) -> int:
+    """Tiles on a side: what is asked for within limits, or the finest grid whose expected cost for this axis is in bounds. The driver gets a row for each number of occurrences, up to 1,024."""
+    if asked:
+        return grid_side({}, asked)
+    classes = occurrences(kmers(axis, k)).groupBy(F.least(F.col("occ"), F.lit(1024)).alias("o")).count().collect()
+    return grid_side({r["o"]: r["count"] for r in classes}, None, most)
+
+
+def containment_grid(x_axis: DataFrame, y_axis: DataFrame | None, x_range: tuple[int, int], y_range: tuple[int, int] | None, n: int, k: int) -> DataFrame:
+    """tx, ty, shared, containment and identity = containment^(1/k) of tile pairs that share a k-mer; forward k-mers, no occurrence cap. Axes come in pieces (spread). Without a second axis, or with one that is the first, x_range is held against y_range of the same axis; without y_range against itself.
+
+    Of a grid against itself a tile shares all its k-mers with itself, and only k-mers of several tiles are paired, each pair of tiles once.
+    """
+    x = tile_counts(x_axis, *x_range, n, k)
+    if y_axis is None and y_range in (None, x_range):
+        total = x.groupBy("tile").agg(F.sum("n").cast("long").alias("total"))
+        several = x.withColumn("tiles", F.count(F.lit(1)).over(Window.partitionBy("kv"))).filter("tiles > 1").drop("tiles")
+        a, b = (several.select("kv", F.col("tile").alias(t), F.col("n").alias(f"n_{t}")) for t in ("tx", "ty"))
+        half = a.join(b, "kv").filter("tx < ty").groupBy("tx", "ty").agg(F.sum(F.least("n_tx", "n_ty")).cast("long").alias("shared"))
+        both = half.select(F.explode(F.array(F.struct(F.col("tx").alias("tx"), F.col("ty").alias("ty")), F.struct(F.col("ty").alias("tx"), F.col("tx").alias("ty")))).alias("t"), "shared").select("t.*", "shared")
+        shared = both.unionByName(total.select(F.col("tile").alias("tx"), F.col("tile").alias("ty"), F.col("total").alias("shared")))
+        total_x, total_y = total, total
+    else:
+        y = tile_counts(x_axis if y_axis is None else y_axis, *(y_range or x_range), n, k)
+        total_x, total_y = (c.groupBy("tile").agg(F.sum("n").cast("long").alias("total")) for c in (x, y))
+        a, b = (c.select("kv", F.col("tile").alias(t), F.col("n").alias(f"n_{t}")) for c, t in ((x, "tx"), (y, "ty")))
+        shared = a.join(b, "kv").groupBy("tx", "ty").agg(F.sum(F.least("n_tx", "n_ty")).cast("long").alias("shared"))
+    rows = shared.join(total_x.select(F.col("tile").alias("tx"), F.col("total").alias("total_x")), "tx").join(total_y.select(F.col("tile").alias("ty"), F.col("total").alias("total_y")), "ty")
     c = F.col("shared") / F.least("total_x", "total_y")
-    return shared.join(total_x, "tx").join(total_y, "ty").select("tx", "ty", "shared", c.alias("containment"), F.pow(c, F.lit(1.0) / max(1, k)).alias("identity"))
+    return rows.select(F.col("tx").cast("int").alias("tx"), F.col("ty").cast("int").alias("ty"), "shared", c.alias("containment"), F.pow(c, F.lit(1.0) / max(1, k)).alias("identity"))

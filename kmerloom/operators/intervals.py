@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kmerloom.model import EngineError
+from kmerloom.plans.ordering import with_group
 
 #: Width of the bins that turn an interval join into an equi-join.
 BIN = 1 << 16
@@ -26,10 +27,11 @@ def overlap_join(left: DataFrame, right: DataFrame, on: tuple[str, ...] = (), wi
 
 def locate(points: DataFrame, catalog: DataFrame, at: str = "g") -> DataFrame:
     """Records of places on an axis: the columns of `points`, rec, name, local and shown (local plus the record's offset); null outside. Records without bases hold no place."""
-    left = points.withColumn("__point", F.monotonically_increasing_id()).withColumns({"l0": F.col(at), "l1": F.col(at) + 1})
-    right = catalog.filter("end > start").select("rec", "name", F.col("start").alias("r0"), F.col("end").alias("r1"), "offset")
-    found = overlap_join(left, right).select("__point", "rec", "name", (F.col("l0") - F.col("r0")).alias("local"), (F.col("l0") - F.col("r0") + F.col("offset")).alias("shown"))
-    return left.drop("l0", "l1").join(found, "__point", "left").drop("__point")
+    # Records don't overlap, so a place has one record at most, and the bin of a place has a row for each record that touches it.
+    right = catalog.filter("end > start").select("rec", "name", F.col("start").alias("__r0"), F.col("end").alias("__r1"), F.col("offset").alias("__offset")).withColumn("__bin", F.explode(bins(F.col("__r0"), F.col("__r1"))))
+    here = (F.floor(F.col(at) / BIN) == F.col("__bin")) & (F.col(at) >= F.col("__r0")) & (F.col(at) < F.col("__r1"))
+    local = F.col(at) - F.col("__r0")
+    return points.join(right, here, "left").select(*points.columns, "rec", "name", local.alias("local"), (local + F.col("__offset")).alias("shown"))
 
 
 def bands(catalog: DataFrame, w0: float, w1: float) -> DataFrame:
@@ -63,10 +65,7 @@ def hit(lane: DataFrame, world: float) -> DataFrame:
 
 def cluster(intervals: DataFrame, gap: float, keys: tuple[str, ...] = ()) -> DataFrame:
     """Intervals a, b of weight w in clusters: a new one begins where an interval starts more than `gap` after all before it end. Adds `place`, by weight."""
-    order = Window.partitionBy(*(keys or (F.lit(0),))).orderBy("a", "b")
-    far = F.col("a") - F.max("b").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    rows = intervals.withColumn("__new", F.when(far <= gap, 0).otherwise(1)).withColumn("cluster", F.sum("__new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    out = rows.groupBy(*keys, "cluster").agg(F.min("a").alias("a"), F.max("b").alias("b"), F.sum("w").alias("w"))
+    out = with_group(intervals, "a", "b", gap, keys, "cluster").groupBy(*keys, "cluster").agg(F.min("a").alias("a"), F.max("b").alias("b"), F.sum("w").alias("w"))
     return out.withColumn("place", F.row_number().over(Window.partitionBy(*(keys or (F.lit(0),))).orderBy(F.desc("w"), "a"))).drop("cluster")
 
 

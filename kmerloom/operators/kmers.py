@@ -13,8 +13,8 @@ from kmerloom.functions.sequence import batch_codes, batch_kmers, canonical, has
 from kmerloom.model import K_MAX, K_MIN, EngineError
 from kmerloom.plans.ordering import with_running_total
 
-#: Bases that are packed at a time.
-PIECE = 1 << 20
+#: Bases that are packed at a time, and bases of a piece of a record.
+BATCH, PIECE = 1 << 20, 1 << 21
 
 
 def as_axis(df: DataFrame, order: str, name: str, seq: str, offset: str | None = None) -> DataFrame:
@@ -32,36 +32,112 @@ def total_length(axis: DataFrame) -> int:
     return axis.agg(F.coalesce(F.sum("len"), F.lit(0))).first()[0]
 
 
-def _pieces(column: pa.Array) -> Iterator[tuple[int, pa.Array]]:
+def concatenate(first: DataFrame, second: DataFrame) -> DataFrame:
+    """Two axes on one: the second's places are shifted by the first's length, and its records by the first's greatest number plus one."""
+    shift = first.agg(F.coalesce(F.sum("len"), F.lit(0)).alias("__bases"), (F.coalesce(F.max("rec"), F.lit(-1)) + 1).alias("__records"))
+    moved = second.join(F.broadcast(shift), F.lit(True)).withColumns({"rec": F.col("rec") + F.col("__records"), "start": F.col("start") + F.col("__bases")})
+    return first.unionByName(moved.select(first.columns))
+
+
+def cut(axis: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Records in pieces of PIECE bases: rec, the columns `keep`, start and len (where windows of the piece may start), parts (pieces of the record), seq, which goes on for the longest window's length.
+
+    Long records thus are dealt out like short ones, and no task holds k-mers of more than a piece.
+    """
+    own = F.struct("start", "len", F.lit(1).alias("parts"), "seq")
+    parts = F.ceil(F.col("len") / PIECE).cast("int")
+
+    def piece(i):
+        at = i.cast("long") * PIECE
+        seq = F.substring(F.col("seq").cast("binary"), i * PIECE + 1, F.lit(PIECE + K_MAX - 1)).cast("string")
+        return F.struct((F.col("start") + at).alias("start"), F.least(F.col("len") - at, F.lit(PIECE).cast("long")).alias("len"), parts.alias("parts"), seq.alias("seq"))
+
+    each = F.when(F.col("len") <= PIECE, F.array(own)).otherwise(F.transform(F.sequence(F.lit(0), parts - 1), piece))
+    return axis.select("rec", *keep, F.inline(each))
+
+
+def spread(axis: DataFrame, tasks: int | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Deal pieces of records out: the scan of one file may be one task, and k-mers multiply its rows."""
+    return cut(axis, keep).repartition(tasks or int(axis.sparkSession.conf.get("spark.sql.shuffle.partitions")), "rec", "start")
+
+
+def _batches(column: pa.Array) -> Iterator[tuple[int, pa.Array]]:
+    """Runs of rows with about BATCH bases, and the number of the first row of each."""
     at = 0
     while at < len(column):
         size, n = 0, 0
-        while at + n < len(column) and (n == 0 or size < PIECE):
+        while at + n < len(column) and (n == 0 or size < BATCH):
             size += len(column[at + n].as_buffer()) if column[at + n].is_valid else 0
             n += 1
         yield at, column.slice(at, n)
         at += n
 
 
+def _windows(batches: Iterator[pa.RecordBatch], k: int, stride: int, scaled: int, both: bool, least: bool) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, np.ndarray, np.ndarray | None]]:
+    """For runs of rows: the batch, and row, place on the axis, k-mer and reverse complement of the windows kept."""
+    for batch in batches:
+        starts, owned = batch.column("start").to_numpy(zero_copy_only=False), batch.column("len").to_numpy(zero_copy_only=False) if "len" in batch.schema.names else None
+        for first, column in _batches(batch.column("seq")):
+            codes, at = batch_codes(column)
+            record, pos, kv, rc = batch_kmers(codes, at, k, both or least)
+            inside, row = pos - at[record], record + first
+            place = starts[row] + inside
+            keep = inside < owned[row] if owned is not None else np.ones(len(place), bool)
+            if stride > 1:
+                keep &= place % stride == 0
+            if least:
+                kv = np.minimum(kv, rc)
+            if scaled > 1:
+                keep &= hash32_array(kv) < np.uint64((1 << 32) // scaled)
+            yield batch, row[keep], place[keep], kv[keep], rc[keep] if both else None
+
+
 def _kmers(k: int, stride: int, scaled: int, both: bool, least: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            recs, starts = batch.column("rec").to_numpy(zero_copy_only=False), batch.column("start").to_numpy(zero_copy_only=False)
-            for first, column in _pieces(batch.column("seq")):
-                codes, at = batch_codes(column)
-                record, pos, kv, rc = batch_kmers(codes, at, k, both or least)
-                inside = pos - at[record]
-                row = record + first
-                place = starts[row] + inside
-                keep = place % stride == 0 if stride > 1 else np.ones(len(place), bool)
-                if least:
-                    kv = np.minimum(kv, rc)
-                if scaled > 1:
-                    keep &= hash32_array(kv) < np.uint64((1 << 32) // scaled)
-                columns = {"rec": recs[row][keep], "pos": place[keep], "kv": kv[keep]}
-                if both:
-                    columns["rc"] = rc[keep]
-                yield pa.RecordBatch.from_pydict({c: pa.array(x, pa.int64()) for c, x in columns.items()})
+        for batch, row, place, kv, rc in _windows(batches, k, stride, scaled, both, least):
+            recs = batch.column("rec").to_numpy(zero_copy_only=False)
+            columns = {"rec": recs[row], "pos": place, "kv": kv} | ({"rc": rc} if both else {})
+            yield pa.RecordBatch.from_pydict({c: pa.array(x, pa.int64()) for c, x in columns.items()})
+
+    return run
+
+
+def _counted(group: np.ndarray, kv: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct pairs of group and k-mer, and how often each occurs."""
+    order = np.lexsort((kv, group))
+    group, kv = group[order], kv[order]
+    new = np.flatnonzero(np.append(True, (group[1:] != group[:-1]) | (kv[1:] != kv[:-1]))) if len(kv) else np.zeros(0, np.int64)
+    return group[new], kv[new], np.diff(np.append(new, len(kv)))
+
+
+def _by_record(k: int, scaled: int, by: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, row, _, kv, _ in _windows(batches, k, 1, scaled, False, True):
+            row, kv, n = _counted(row, kv)
+            yield pa.RecordBatch.from_arrays([batch.column(by).take(pa.array(row)), pa.array(kv, pa.int64()), pa.array(n, pa.int64())], names=[by, "kv", "n"])
+
+    return run
+
+
+def _by_tile(k: int, stride: int, tile):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, _, place, kv, _ in _windows(batches, k, stride, 1, False, False):
+            at = tile(place)
+            at, kv, n = _counted(at[at >= 0], kv[at >= 0])
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (at, kv, n)], names=["tile", "kv", "n"])
+
+    return run
+
+
+def _distinct(k: int, scaled: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, row, _, kv, _ in _windows(batches, k, 1, scaled, False, True):
+            row, kv, _ = _counted(row, kv)
+            recs, whole = batch.column("rec").to_numpy(zero_copy_only=False), batch.column("parts").to_numpy(zero_copy_only=False) == 1
+            one = np.bincount(row[whole[row]], minlength=len(recs))
+            hit, rest = np.flatnonzero(one), ~whole[row]
+            rec, n = np.concatenate([recs[hit], recs[row[rest]]]), np.concatenate([one[hit], np.zeros(rest.sum(), np.int64)])
+            yield pa.RecordBatch.from_arrays([pa.array(rec, pa.int64()), pa.array(np.concatenate([np.zeros(len(hit), np.int64), kv[rest]]), pa.int64(), mask=n > 0), pa.array(n, pa.int64())], names=["rec", "kv", "n"])
 
     return run
 
@@ -71,21 +147,45 @@ def _checked(k: int) -> None:
         raise EngineError(f"k must be {K_MIN}..{K_MAX} (got {k})")
 
 
-def spread(axis: DataFrame, tasks: int | None = None) -> DataFrame:
-    """Deal long records out: the scan of one file may be one task, and k-mers multiply its rows."""
-    return axis.repartition(tasks or int(axis.sparkSession.conf.get("spark.sql.shuffle.partitions")), "rec")
+def _rows(axis: DataFrame) -> DataFrame:
+    return axis.select("rec", "start", *[c for c in ("len",) if c in axis.columns], "seq")
 
 
 def kmers(axis: DataFrame, k: int, stride: int = 1, both: bool = False) -> DataFrame:
     """rec, pos (on the axis), kv (packed); with `both` also rc, the packed reverse complement. Kept are positions that `stride` divides."""
     _checked(k)
-    return axis.select("rec", "start", "seq").mapInArrow(_kmers(k, stride, 1, both, False), "rec long, pos long, kv long" + (", rc long" if both else ""))
+    return _rows(axis).mapInArrow(_kmers(k, stride, 1, both, False), "rec long, pos long, kv long" + (", rc long" if both else ""))
 
 
 def canonical_kmers(axis: DataFrame, k: int, scaled: int = 1) -> DataFrame:
     """rec, pos, kv: the lesser of each k-mer and its reverse complement, sampled by value (1 in `scaled` distinct ones)."""
     _checked(k)
-    return axis.select("rec", "start", "seq").mapInArrow(_kmers(k, 1, scaled, False, True), "rec long, pos long, kv long")
+    return _rows(axis).mapInArrow(_kmers(k, 1, scaled, False, True), "rec long, pos long, kv long")
+
+
+def record_kmers(axis: DataFrame, k: int, scaled: int = 1, by: str = "rec") -> DataFrame:
+    """`by` (rec, or a column that spread() has kept), kv and n: copies of each canonical k-mer in each record or group of records. Copies are added up in each piece first, then dealt out by k-mer: what is asked of k-mers afterwards needs no further shuffle."""
+    _checked(k)
+    each = axis.select(*dict.fromkeys(["rec", by]), "start", "len", "seq").mapInArrow(_by_record(k, scaled, by), f"{by} {axis.schema[by].dataType.simpleString()}, kv long, n long")
+    return each.repartition("kv").groupBy(by, "kv").agg(F.sum("n").alias("n"))
+
+
+def tile_kmers(axis: DataFrame, k: int, width: int | None = None, stride: int = 1, grid: tuple[int, int, int] | None = None) -> DataFrame:
+    """tile, kv and n: copies of each forward k-mer in each tile of `width` bases, or in each of n equal tiles of lo to hi (`grid`: lo, hi, n), where what falls past the last edge by rounding counts to the last tile. Dealt out by k-mer, as record_kmers()."""
+    _checked(k)
+    if grid:
+        lo, hi, n = grid
+        tile = lambda place: np.where((place >= lo) & (place < hi), np.minimum(n - 1, np.floor((place - lo) * (n / (hi - lo))).astype(np.int64)), -1)
+    else:
+        tile = lambda place: place // width
+    return _rows(axis).mapInArrow(_by_tile(k, stride, tile), "tile long, kv long, n long").repartition("kv").groupBy("tile", "kv").agg(F.sum("n").alias("n"))
+
+
+def distinct_kmers(axis: DataFrame, k: int, scaled: int = 1) -> DataFrame:
+    """rec and species, the number of distinct canonical k-mers, of records that have one. axis: pieces; only the k-mers of records of several pieces are shuffled."""
+    _checked(k)
+    each = axis.select("rec", "start", "len", "parts", "seq").mapInArrow(_distinct(k, scaled), "rec long, kv long, n long")
+    return each.groupBy("rec").agg((F.sum("n") + F.count_distinct("kv")).alias("species"))
 
 
 def kmers_by_expressions(axis: DataFrame, k: int) -> DataFrame:

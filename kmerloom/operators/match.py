@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kmerloom.model import SEGMENT_WALL_HARD, EngineError, MatchOptions
 from kmerloom.operators.kmers import kmers, spread, total_length
 
+#: Starts of a range in which the anchors of a diagonal are put together.
+RANGE = 1 << 20
+
 
 def occurrence_cap(index: DataFrame, cap: int | None) -> DataFrame:
     """Index entries whose k-mer has at most `cap` of them. Counted before the join, so a repeat never multiplies."""
@@ -35,38 +38,54 @@ def probes(query: DataFrame, options: MatchOptions, q_total: int, window: tuple[
     return strands
 
 
-def anchors(target: DataFrame, query: DataFrame, options: MatchOptions, q_total: int, t_window: tuple[int, int] | None = None, q_window: tuple[int, int] | None = None) -> DataFrame:
-    """strand, qrec, trec, p, t: one row for each pair of equal k-mers."""
-    index = kmers(target, options.k, options.stride).select(F.col("rec").alias("trec"), F.col("pos").alias("t"), "kv")
+def target_index(target: DataFrame, options: MatchOptions) -> DataFrame:
+    """trec, t, kv of a target axis."""
+    return kmers(target, options.k, options.stride).select(F.col("rec").alias("trec"), F.col("pos").alias("t"), "kv")
+
+
+def anchors(index: DataFrame, query: DataFrame, options: MatchOptions, q_total: int, t_window: tuple[int, int] | None = None, q_window: tuple[int, int] | None = None) -> DataFrame:
+    """strand, qrec, trec, p, t: one row for each pair of equal k-mers of the index and the query axis."""
     if t_window:
         index = index.filter((F.col("t") >= t_window[0]) & (F.col("t") < t_window[1]))
     return probes(query, options, q_total, q_window).join(occurrence_cap(index, options.cap), "kv").select("strand", "qrec", "trec", "p", "t")
 
 
+def _runs(rows: DataFrame, keys: list[str], first: str, last: str, missing: Column, options: MatchOptions) -> DataFrame:
+    """Stretches first..last of each key put together where at most max_gap starts lie between, in the order of `first`; `run` counts from 1."""
+    order = Window.partitionBy(*keys).orderBy(first)
+    gap = F.col(first) - F.lag(last).over(order) - 1
+    breaks = F.col("__gap").isNull() | (F.col("__gap") > options.max_gap + options.hole)
+    rows = rows.withColumn("__gap", gap).withColumns({"run": F.sum(F.when(breaks, 1).otherwise(0)).over(order), "__missing": missing + F.when(breaks, 0).otherwise(F.greatest(F.lit(0), F.col("__gap") - options.hole))})
+    return rows.groupBy(*keys, "run").agg(F.min("t").alias("t"), F.min(first).alias("first"), F.max(last).alias("last"), F.sum("__missing").cast("long").alias("missing"))
+
+
 def merge_runs(found: DataFrame, options: MatchOptions, q_total: int) -> DataFrame:
-    """Runs: on one diagonal of one pair of records an anchor goes on with the run if at most max_gap starts are missing between, those that sampling leaves out not counted. The gap is in k-mer starts: one substitution costs k of them."""
-    k = options.k
-    order = Window.partitionBy("strand", "qrec", "trec", "diag").orderBy("p")
-    rows = found.withColumn("diag", F.col("p") - F.col("t")).withColumn("gap", F.col("p") - F.lag("p").over(order) - 1)
-    breaks = F.col("gap").isNull() | (F.col("gap") > options.max_gap + options.hole)
-    rows = rows.withColumns({"run": F.sum(F.when(breaks, 1).otherwise(0)).over(order), "missing": F.when(breaks, 0).otherwise(F.greatest(F.lit(0), F.col("gap") - options.hole))})
-    runs = rows.groupBy("strand", "qrec", "trec", "diag", "run").agg(F.min("t").alias("x"), F.min("p").alias("first"), F.max("p").alias("last"), F.sum("missing").cast("long").alias("gap_bases"))
+    """Runs: on one diagonal of one pair of records an anchor goes on with the run if at most max_gap starts are missing between, those that sampling leaves out not counted. The gap is in k-mer starts: one substitution costs k of them.
+
+    A diagonal may hold as many anchors as a record has bases, so runs are formed in ranges of RANGE starts first. Only the first and the last run of a range may go on in another; these are put together by diagonal, two for each range at most.
+    """
+    k, line = options.k, ["strand", "qrec", "trec", "diag"]
+    rows = found.withColumns({"diag": F.col("p") - F.col("t"), "part": F.floor(F.col("p") / RANGE)})
+    runs = _runs(rows, [*line, "part"], "p", "p", F.lit(0), options)
+    edge = (F.col("run") == 1) | (F.col("run") == F.max("run").over(Window.partitionBy(*line, "part")))
+    runs = runs.withColumn("edge", edge).withColumn("part", F.when(F.col("edge"), F.lit(-1).cast("long")).otherwise(F.col("part"))).drop("run", "edge")
+    runs = _runs(runs, [*line, "part"], "first", "last", F.col("missing"), options)
     length = F.col("last") - F.col("first") + k
     y = F.when(F.col("strand") == 0, F.col("first")).otherwise(F.lit(q_total) - F.col("last") - k)
-    runs = runs.select("x", y.cast("long").alias("y"), length.cast("long").alias("dx"), length.cast("long").alias("dy"), "strand", "qrec", "trec", "gap_bases", ((length - F.col("gap_bases")) / length).alias("identity"))
+    runs = runs.select(F.col("t").alias("x"), y.cast("long").alias("y"), length.cast("long").alias("dx"), length.cast("long").alias("dy"), "strand", "qrec", "trec", F.col("missing").alias("gap_bases"), ((length - F.col("missing")) / length).alias("identity"))
     return runs.filter(F.col("dx") >= options.least_run)
 
 
 def match(target: DataFrame, query: DataFrame, options: MatchOptions = MatchOptions(), t_window: tuple[int, int] | None = None, q_window: tuple[int, int] | None = None) -> DataFrame:
     """Segments of two axes. A self comparison is match(axis, axis): the diagonal and both mirror images stay."""
     q_total = total_length(query)
-    return merge_runs(anchors(spread(target), spread(query), options, q_total, t_window, q_window), options, q_total)
+    return merge_runs(anchors(target_index(spread(target), options), spread(query), options, q_total, t_window, q_window), options, q_total)
 
 
 def guarded(segments: DataFrame, options: MatchOptions = MatchOptions()) -> DataFrame:
-    """Raise if there are more segments than the wall."""
+    """The segments, or an error with remedies if there are more than the wall. They are counted, so they should be stored."""
     wall = min(options.max_segments, SEGMENT_WALL_HARD)
-    if segments.limit(wall + 1).count() > wall:
+    if segments.count() > wall:
         raise EngineError(f"Too many segments: more than {wall:,}.", {"min_run": max(300, 2 * options.min_run), "q_sample": 4, "max_segments": min(2 * wall, SEGMENT_WALL_HARD)})
     return segments
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kmerloom.model import OCC_CLASSES, SATURATION_TILE
+from kmerloom.plans.ordering import with_group
 
 
 def occurrences(index: DataFrame) -> DataFrame:
@@ -26,17 +27,18 @@ def occurrence_classes(index: DataFrame) -> DataFrame:
 
 def islands(df: DataFrame, start: str, end: str, keys: tuple[str, ...] = ()) -> DataFrame:
     """Union of intervals: those that touch or overlap become one."""
-    order = Window.partitionBy(*(keys or (F.lit(0),))).orderBy(start, end)
-    reach = F.max(end).over(order.rowsBetween(Window.unboundedPreceding, -1))
-    rows = df.withColumn("__new", F.when(reach >= F.col(start), 0).otherwise(1)).withColumn("__island", F.sum("__new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    return rows.groupBy(*keys, "__island").agg(F.min(start).alias(start), F.max(end).alias(end)).drop("__island")
+    return with_group(df, start, end, 0, keys, "__island").groupBy(*keys, "__island").agg(F.min(start).alias(start), F.max(end).alias(end)).drop("__island")
 
 
-def saturated(index: DataFrame, t_len: int, cap: int, tile: int = SATURATION_TILE) -> DataFrame:
-    """start, end of runs of tiles in which half of the entries or more are of k-mers above the cap. The last tile ends with the axis."""
-    occ = occurrences(index)
-    tiles = index.join(occ, "kv").groupBy(F.floor(F.col("pos") / tile).alias("t")).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("occ") > cap).alias("over"))
-    hot = tiles.filter(2 * F.col("over") >= F.col("n")).select((F.col("t") * tile).cast("long").alias("start"), F.least((F.col("t") + 1) * tile, F.lit(t_len)).cast("long").alias("end"))
+def tile_occurrences(tiles: DataFrame) -> DataFrame:
+    """tile, kv, n with occ, the k-mer's entries in all tiles. A k-mer has a row for each of its tiles, not for each of its places."""
+    return tiles.withColumn("occ", F.sum("n").over(Window.partitionBy("kv")))
+
+
+def saturated(tiles: DataFrame, t_len: int, cap: int, tile: int = SATURATION_TILE) -> DataFrame:
+    """start, end of runs of tiles in which half of the entries or more are of k-mers above the cap. The last tile ends with the axis. tiles: tile_kmers() of width `tile`."""
+    each = tile_occurrences(tiles).groupBy(F.col("tile").alias("t")).agg(F.sum("n").alias("n"), F.sum(F.when(F.col("occ") > cap, F.col("n")).otherwise(0)).alias("over"))
+    hot = each.filter(2 * F.col("over") >= F.col("n")).select((F.col("t") * tile).cast("long").alias("start"), F.least((F.col("t") + 1) * tile, F.lit(t_len)).cast("long").alias("end"))
     return islands(hot, "start", "end")
 
 
@@ -48,13 +50,13 @@ def splice(old: DataFrame, new: DataFrame, lo: int, hi: int) -> DataFrame:
     return islands(left.unionByName(right).unionByName(mid).filter("start < end"), "start", "end")
 
 
-def multiplicity(index: DataFrame, t_len: int, tile_bp: int, stride: int = 1) -> DataFrame:
-    """tile, mult (geometric mean of copies, 0 without entries) and uniq_frac (share of entries that occur once), a row for each tile of the axis."""
-    spark = index.sparkSession
-    copies = (F.col("occ") - 1) * stride + 1
-    tiles = index.join(occurrences(index), "kv").groupBy(F.floor(F.col("pos") / tile_bp).cast("long").alias("tile")).agg(F.avg(F.log2(copies.cast("double"))).alias("lg"), F.avg(F.when(F.col("occ") == 1, 1.0).otherwise(0.0)).alias("uniq_frac"))
+def multiplicity(tiles: DataFrame, t_len: int, tile_bp: int, stride: int = 1) -> DataFrame:
+    """tile, mult (geometric mean of copies, 0 without entries) and uniq_frac (share of entries that occur once), a row for each tile of the axis. tiles: tile_kmers() of width tile_bp."""
+    spark = tiles.sparkSession
+    copies, n = ((F.col("occ") - 1) * stride + 1).cast("double"), F.sum("n")
+    own = tile_occurrences(tiles).groupBy("tile").agg((F.sum(F.col("n") * F.log2(copies)) / n).alias("lg"), (F.sum(F.when(F.col("occ") == 1, F.col("n")).otherwise(0)) / n).alias("uniq_frac"))
     every = spark.range((t_len + tile_bp - 1) // tile_bp).withColumnRenamed("id", "tile")
-    return every.join(tiles, "tile", "left").select("tile", F.coalesce(F.pow(F.lit(2.0), "lg"), F.lit(0.0)).alias("mult"), F.coalesce("uniq_frac", F.lit(0.0)).alias("uniq_frac"))
+    return every.join(own, "tile", "left").select("tile", F.coalesce(F.pow(F.lit(2.0), "lg"), F.lit(0.0)).alias("mult"), F.coalesce("uniq_frac", F.lit(0.0)).alias("uniq_frac"))
 
 
 def strength(mult: Column) -> Column:
@@ -67,3 +69,15 @@ def multiplicity_lane(profile: DataFrame, tile_bp: int, bp_per_px: float, least:
     width = max(tile_bp, int(2 * bp_per_px))
     lane = profile.filter("mult > 0").groupBy(F.floor(F.col("tile") * tile_bp / width).cast("long").alias("bucket")).agg(F.pow(F.lit(2.0), F.avg(F.log2("mult"))).alias("mult"), F.avg("uniq_frac").alias("uniq_frac"))
     return lane.select((F.col("bucket") * width).cast("long").alias("start"), "mult", "uniq_frac", strength(F.col("mult")).alias("tone")).filter(F.col("tone") >= least)
+
+
+def multiplicity_texture(profile: DataFrame, n_tiles: int, width: int = 8192) -> DataFrame:
+    """texel and value (0 to 255): the tone of the geometric mean over the tiles that a texel stands for, 0 without entries. With more texels asked for than there are tiles a texel is a tile."""
+    w = max(1, min(width, n_tiles))
+    # Tile t lies in texel x if floor(x * n / w) <= t < floor((x + 1) * n / w): the last x whose first tile is not above t.
+    at = (F.floor((F.col("tile") * w + w - 1) / n_tiles)).cast("long")
+    at = F.when(F.floor(at * n_tiles / w) > F.col("tile"), at - 1).otherwise(at)
+    own = profile.withColumn("texel", at).groupBy("texel").agg(F.avg(F.when(F.col("mult") > 0, F.log10("mult"))).alias("lg"))
+    every = profile.sparkSession.range(w).withColumnRenamed("id", "texel")
+    value = F.floor(strength(F.pow(F.lit(10.0), "lg")) * 255 + 0.5)
+    return every.join(own, "texel", "left").select("texel", F.coalesce(value, F.lit(0)).cast("int").alias("value"))

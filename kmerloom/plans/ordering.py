@@ -1,4 +1,4 @@
-"""Running totals over rows in the order of an integer, in two levels: over ranges of the integer, then inside each, so that no task sorts the whole table."""
+"""Running totals, and unions of intervals, over rows in order, in two levels: over ranges of the order, then inside each, so that no task sorts the whole table."""
 
 from __future__ import annotations
 
@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 RANGE = 4096
+#: Width of the ranges of an axis in which intervals are put together.
+SPAN = 1 << 20
 
 
 def with_running_total(df: DataFrame, order: str, value: str, out: str, width: int = RANGE) -> DataFrame:
@@ -16,3 +18,22 @@ def with_running_total(df: DataFrame, order: str, value: str, out: str, width: i
     sums = ranged.groupBy("__range").agg(F.sum(value).alias("__sum")).select("__range", F.coalesce(F.sum("__sum").over(before), F.lit(0)).alias("__earlier"))
     own = ranged.withColumn(out, F.sum(value).over(inside) - F.col(value))
     return own.join(sums, "__range").withColumn(out, (F.col(out) + F.col("__earlier")).cast("long")).drop("__range", "__earlier")
+
+
+def with_group(df: DataFrame, start: str, end: str, gap: float = 0, keys: tuple[str, ...] = (), out: str = "group", width: int = SPAN) -> DataFrame:
+    """Add, in `out`, the start of the group that an interval belongs to: a group begins where an interval starts more than `gap` after all before it end.
+
+    How far the intervals of earlier ranges reach, and where the last group before a range begins, are found from one row for each range.
+    """
+    own = [F.col(c) for c in keys]
+    earlier = Window.partitionBy(*(own or [F.lit(0)])).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy(*own, "__part").orderBy(start, end)
+    rows = df.withColumn("__part", F.floor(F.col(start) / width))
+    reach = rows.groupBy(*keys, "__part").agg(F.max(end).alias("__end")).select(*keys, "__part", F.max("__end").over(earlier).alias("__reach"))
+    rows = rows.join(reach, [*keys, "__part"])
+    before = F.greatest(F.max(end).over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.col("__reach"))
+    rows = rows.withColumn("__new", F.when(F.col(start) - before <= gap, None).otherwise(F.col(start)))
+    last = rows.groupBy(*keys, "__part").agg(F.max("__new").alias("__last")).select(*keys, "__part", F.max("__last").over(earlier).alias("__from"))
+    rows = rows.join(last, [*keys, "__part"])
+    begun = F.max("__new").over(inside.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return rows.withColumn(out, F.coalesce(begun, "__from")).drop("__part", "__reach", "__new", "__from")

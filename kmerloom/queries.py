@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from kmerloom.functions import formatting, grammar
 from kmerloom.functions.sequence import HASH_HIGH, HASH_LOW, HASH_STEP, letters_as_bases, text_as_bases
-from kmerloom.model import MatchOptions
+from kmerloom.model import SATURATION_TILE, MatchOptions
 from kmerloom.operators import belongs as B
 from kmerloom.operators import contain, gather, intervals, kmers, match, profile, raster, summary
 from kmerloom.plans import density
@@ -137,7 +137,7 @@ def kmer_breaks(spark, sf_dir):
 @query(f"WITH {DOC_KM} SELECT rec, count(DISTINCT least(km, {rc('km')})) AS species FROM dk GROUP BY rec")
 def kmer_canonical(spark, sf_dir):
     """Distinct canonical k-mers of each record."""
-    return kmers.canonical_kmers(kmers.spread(document_axis(spark, sf_dir)), K).groupBy("rec", "kv").agg(F.count(F.lit(1))).groupBy("rec").agg(F.count(F.lit(1)).alias("species"))
+    return kmers.distinct_kmers(kmers.spread(document_axis(spark, sf_dir)), K)
 
 
 @query(f"WITH {ITEM}, {sql_kmers('ik', 'item')} SELECT rec, pos, km, {digits('km')} AS kv, {digits(rc('km'))} AS rc, least(km, {rc('km')}) AS canon FROM ik")
@@ -155,7 +155,7 @@ h2 AS (SELECT c, xor(h, h >> 15) AS h FROM h1), h3 AS (SELECT c, (h * {HASH_STEP
 @query(f"WITH {HASH} SELECT rec, count(*) AS sampled FROM canon JOIN h4 USING (c) WHERE h < {(1 << 32) // SCALED} GROUP BY rec")
 def fracminhash_sample(spark, sf_dir):
     """Canonical k-mers that pass the value sampling."""
-    return kmers.canonical_kmers(kmers.spread(document_axis(spark, sf_dir)), K, SCALED).groupBy("rec", "kv").agg(F.count(F.lit(1))).groupBy("rec").agg(F.count(F.lit(1)).alias("sampled"))
+    return kmers.distinct_kmers(kmers.spread(document_axis(spark, sf_dir)), K, SCALED).withColumnRenamed("species", "sampled")
 
 
 # ---------------------------------------------------------------- occurrences, densities
@@ -275,7 +275,7 @@ saturated AS (SELECT CAST(min(t) * 512 AS BIGINT) AS start, CAST(least((max(t) +
 def saturated(spark, sf_dir) -> tuple[DataFrame, int]:
     axis = document_axis(spark, sf_dir)
     total = kmers.total_length(axis)
-    return profile.saturated(kmers.kmers(kmers.spread(axis), K), total, 1), total
+    return profile.saturated(kmers.tile_kmers(kmers.spread(axis), K, SATURATION_TILE), total, 1), total
 
 
 @query(f"WITH {SATURATED} SELECT * FROM saturated")
@@ -302,7 +302,7 @@ profile AS (SELECT r.tile, coalesce(pow(2, lg), 0) AS mult, coalesce(u, 0) AS un
 
 def multiplicity(spark, sf_dir) -> DataFrame:
     axis = document_axis(spark, sf_dir)
-    return profile.multiplicity(kmers.kmers(kmers.spread(axis), K), kmers.total_length(axis), TILE)
+    return profile.multiplicity(kmers.tile_kmers(kmers.spread(axis), K, TILE), kmers.total_length(axis), TILE)
 
 
 @query(f"WITH {PROFILE} SELECT tile, round(mult, 6) AS mult, round(CAST(uniq_frac AS DOUBLE), 6) AS uniq_frac FROM profile")
@@ -337,18 +337,16 @@ def nine(df: DataFrame, *columns: str) -> DataFrame:
 
 @query(f"WITH {DOC_KM}, {sql_grid('dk', 'dk', '(SELECT sum(len) FROM doc)', '(SELECT sum(len) FROM doc)')}")
 def containment_grid(spark, sf_dir):
-    """Tile pairs of all documents, laid end to end."""
+    """Tile pairs of all documents, laid end to end."""
     axis = document_axis(spark, sf_dir)
-    total = kmers.total_length(axis)
-    index = kmers.kmers(kmers.spread(axis), K)
-    return nine(contain.containment_grid(index, index, (0, total), (0, total), GRID_N, K), "containment", "identity")
+    return nine(contain.containment_grid(kmers.spread(axis), None, (0, kmers.total_length(axis)), None, GRID_N, K), "containment", "identity")
 
 
 @query(f"WITH {ITEM}, {DOC}, {sql_kmers('ik', 'item')}, {sql_kmers('dk', 'doc')}, {sql_grid('ik', 'dk', '(SELECT sum(len) FROM item)', '(SELECT sum(len) FROM doc)')}")
 def containment_grid_cross(spark, sf_dir):
     """Tiles of one axis on tiles of another."""
     x, y = benchmark_axis(spark, sf_dir), document_axis(spark, sf_dir)
-    return nine(contain.containment_grid(kmers.kmers(kmers.spread(x), K), kmers.kmers(kmers.spread(y), K), (0, kmers.total_length(x)), (0, kmers.total_length(y)), GRID_N, K), "containment", "identity")
+    return nine(contain.containment_grid(kmers.spread(x), kmers.spread(y), (0, kmers.total_length(x)), (0, kmers.total_length(y)), GRID_N, K), "containment", "identity")
 
 
 SOURCES = f"""{DOC_KM}, sk AS (SELECT source AS rec, least(km, {rc("km")}) AS c, count(*) AS n FROM dk JOIN documents ON rec = doc_id GROUP BY 1, 2),
@@ -357,13 +355,13 @@ many AS (SELECT c, count(*) AS n_rec FROM sk GROUP BY 1 HAVING count(*) > 1),
 pairs AS (
   SELECT a.rec AS i, b.rec AS j, CAST(sum(least(a.n, b.n)) AS BIGINT) AS shared, CAST(sum(CASE WHEN n_rec = 2 THEN least(a.n, b.n) ELSE 0 END) AS BIGINT) AS exclusive,
     count(*) FILTER (WHERE a.n = 1) AS "unique", CAST(sum(a.n) AS BIGINT) AS cross_mass
-  FROM sk a JOIN sk b ON a.c = b.c AND a.rec <> b.rec JOIN many ON many.c = a.c GROUP BY 1, 2)"""
+  FROM sk a JOIN sk b ON a.c = b.c AND a.rec IS DISTINCT FROM b.rec JOIN many ON many.c = a.c GROUP BY 1, 2)"""
 
 
 def source_counts(spark, sf_dir) -> DataFrame:
     names = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("rec"), "source")
-    each = kmers.canonical_kmers(kmers.spread(document_axis(spark, sf_dir)), K)
-    return B.species_counts(each.groupBy("rec", "kv").agg(F.count(F.lit(1)).alias("m")).join(names, "rec").select(F.col("source").alias("rec"), "kv", "m").withColumn("x", F.explode(F.array_repeat(F.lit(1), F.col("m").cast("int")))))
+    axis = document_axis(spark, sf_dir).join(names, "rec")
+    return kmers.record_kmers(kmers.spread(axis, keep=("source",)), K, by="source").withColumnRenamed("source", "rec")
 
 
 @query(f"WITH {SOURCES} SELECT * FROM tot")
@@ -397,7 +395,7 @@ SELECT item, doc, CAST(sum(least(ic.n, dc.n)) AS BIGINT) AS shared, round(sum(le
 @query(CONTAMINATION)
 def contamination_scan(spark, sf_dir):
     """How much of each benchmark item each document holds."""
-    items, docs = (B.species_counts(kmers.canonical_kmers(kmers.spread(a), K)) for a in (benchmark_axis(spark, sf_dir), document_axis(spark, sf_dir)))
+    items, docs = (kmers.record_kmers(kmers.spread(a), K) for a in (benchmark_axis(spark, sf_dir), document_axis(spark, sf_dir)))
     return nine(B.contamination(items, docs), "containment")
 
 

@@ -114,7 +114,7 @@ def test_worked_matches(spark):
 def test_windows_of_both_strands(spark):
     t, q = bases(80, 5), bases(90, 6)
     o = MatchOptions(4, 0, None)
-    got = match.anchors(axis(spark, t), axis(spark, q), o, 90, (10, 50), (20, 60)).collect()
+    got = match.anchors(match.target_index(axis(spark, t), o), axis(spark, q), o, 90, (10, 50), (20, 60)).collect()
     want = Counter()
     for p in range(87):
         for strand, s, lo, hi in ((0, q, 20, 60), (1, rc(q), 30, 70)):
@@ -167,12 +167,13 @@ def test_normalise(spark):
 def test_saturation_splice_profile(spark):
     s = bases(2048, 1) + "AC" * 1024 + bases(2048, 2)
     index = kmers.kmers(axis(spark, s), 8)
-    assert [(r.start, r.end) for r in profile.saturated(index, len(s), 64).collect()] == [(2048, 4096)]
+    tiles = lambda width: kmers.tile_kmers(kmers.cut(axis(spark, s)), 8, width)
+    assert [(r.start, r.end) for r in profile.saturated(tiles(512), len(s), 64).collect()] == [(2048, 4096)]
     old = spark.createDataFrame([(100, 200), (300, 500), (800, 900)], "start long, end long")
     new = spark.createDataFrame([(400, 450)], "start long, end long")
     assert sorted((r.start, r.end) for r in profile.splice(old, new, 150, 850).collect()) == [(100, 150), (400, 450), (850, 900)]
     occ = Counter(w for _, _, w in windows([s], 8))
-    rows = {r.tile: r for r in profile.multiplicity(index, len(s), 1000).collect()}
+    rows = {r.tile: r for r in profile.multiplicity(tiles(1000), len(s), 1000).collect()}
     assert sorted(rows) == list(range(7))
     for t, r in rows.items():
         own = [occ[w] for _, p, w in windows([s], 8) if p // 1000 == t]
@@ -206,15 +207,15 @@ def test_containment_grid(spark):
     a, r = bases(1000, 1), random.Random(2)
     b = "".join(r.choice("ACGT") if r.random() < 0.05 else c for c in a)
     s = a + a + b + bases(1000, 3)
-    index = kmers.kmers(axis(spark, s), 12)
-    grid = {(x.tx, x.ty): x.identity for x in contain.containment_grid(index, index, (0, 4000), (0, 4000), 4, 12).collect()}
+    own = kmers.spread(axis(spark, s))
+    grid = {(x.tx, x.ty): x.identity for x in contain.containment_grid(own, None, (0, 4000), None, 4, 12).collect()}
     assert grid[0, 0] >= 0.999 and grid[0, 1] >= 0.98 and 0.9 < grid[0, 2] < 0.99 and grid.get((0, 3), 0) < 0.8
     counts = lambda t: Counter(w for _, p, w in windows([s], 12) if min(3, p * 4 // 4000) == t)
-    for x in contain.containment_grid(index, index, (0, 4000), (0, 4000), 4, 12).collect():
-        cx, cy = counts(x.tx), counts(x.ty)
-        assert x.shared == (cx & cy).total()
+    for y in (None, own):
+        rows = contain.containment_grid(own, y, (0, 4000), (0, 4000), 4, 12).collect()
+        assert {(x.tx, x.ty): x.shared for x in rows} == {(i, j): n for i in range(4) for j in range(4) if (n := (counts(i) & counts(j)).total())}
     with pytest.raises(EngineError):
-        contain.tile_counts(index, 0, 50, 4, "tx")
+        contain.tile_counts(own, 0, 50, 4, 12)
 
 
 def test_belongs(spark):
@@ -402,3 +403,97 @@ def test_stream_counts(spark, tmp_path):
     assert q.awaitTermination(120)
     want = Counter(min(w, rc(w)) for s in seqs for _, _, w in windows([s], 7))
     assert spark.table("kmer_stream").agg(F.sum("n"), F.count("*")).first() == (want.total(), len(want))
+
+
+# ------------------------------------------------------------------ long records and diagonals
+@pytest.fixture
+def short_pieces(monkeypatch):
+    monkeypatch.setattr(kmers, "PIECE", 64)
+    monkeypatch.setattr(kmers, "BATCH", 50)
+    monkeypatch.setattr(match, "RANGE", 16)
+
+
+def test_records_in_pieces(spark, short_pieces):
+    """Records of many pieces have the k-mers that they have whole; each window is in one piece."""
+    seqs = [bases(1000, 1), "", bases(63, 2), bases(64, 3), bases(65, 4), bases(200, 5) + "N" + bases(300, 6), bases(40, 7) * 8]
+    for k in (4, 15, 26):
+        own = kmers.spread(axis(spark, *seqs))
+        assert own.agg(F.sum("len")).first()[0] == sum(map(len, seqs)) and own.agg(F.max(F.length("seq"))).first()[0] <= 64 + 25
+        want = Counter((r, p, w) for r, p, w in windows(seqs, k))
+        number = lambda w: int("".join(str("ACGT".index(c)) for c in w), 4)
+        assert Counter(tuple(r) for r in kmers.kmers(own, k).collect()) == Counter({(r, p, number(w)): n for (r, p, w), n in want.items()})
+        canon = [Counter(number(min(w, rc(w))) for r, _, w in windows(seqs, k) if r == i) for i in range(len(seqs))]
+        assert {(r.rec, r.kv): r.n for r in kmers.record_kmers(own, k).collect()} == {(i, w): n for i, c in enumerate(canon) for w, n in c.items()}
+        assert {r.rec: r.species for r in kmers.distinct_kmers(own, k).collect()} == {i: len(c) for i, c in enumerate(canon) if c}
+        assert {(r.tile, r.kv): r.n for r in kmers.tile_kmers(own, k, 100, 3).collect()} == Counter((p // 100, number(w)) for _, p, w in windows(seqs, k) if p % 3 == 0)
+
+
+def test_runs_over_many_ranges(spark, short_pieces):
+    """A diagonal in ranges: runs that go on over several of them, gaps at their ends, and runs inside one."""
+    r = random.Random(11)
+    t = bases(700, 8)
+    q = "".join(r.choice("ACGT") if r.random() < 0.03 else c for c in t)
+    for o in (MatchOptions(8, 12, None), MatchOptions(8, 0, None), MatchOptions(10, 30, 5), MatchOptions(9, 20, None, 0, 2, 3)):
+        assert found(match.match(axis(spark, t), axis(spark, q), o)) == match_by_hand([t], [q], o)
+        assert found(match.match(axis(spark, t), axis(spark, t), o)) == match_by_hand([t], [t], o)
+
+
+def test_groups_of_intervals(spark):
+    """Unions and clusters in ranges, with intervals that reach over many of them, against one pass in order."""
+    from kmerloom.plans.ordering import with_group
+
+    rng = random.Random(5)
+    rows = [(k, a, a + rng.choice([1, 5, 30, 700]), 1.0) for k in range(3) for a in rng.sample(range(6000), 120)]
+    df = spark.createDataFrame(rows, "k long, a long, b long, w double")
+    for gap in (0, 7):
+        got = Counter(tuple(x) for x in with_group(df, "a", "b", gap, ("k",), "g", 50).groupBy("k", "g").agg(F.max("b").alias("b"), F.sum("w").alias("n")).collect())
+        want = Counter()
+        for k in range(3):
+            groups = []
+            for _, a, b, _ in sorted(x for x in rows if x[0] == k):
+                if groups and a - groups[-1][1] <= gap:
+                    groups[-1][1:] = max(groups[-1][1], b), groups[-1][2] + 1
+                else:
+                    groups.append([a, b, 1.0])
+            want.update((k, *g) for g in groups)
+        assert got == want
+
+
+def test_concatenated_axes(spark):
+    a, b = axis(spark, "ACGT", "GG"), axis(spark, "TTT", "C")
+    both = [tuple(r) for r in kmers.concatenate(a, b).select("rec", "start", "len", "seq").orderBy("rec").collect()]
+    assert both == [(0, 0, 4, "ACGT"), (1, 4, 2, "GG"), (2, 6, 3, "TTT"), (3, 9, 1, "C")]
+
+
+def test_compare_guards_and_notes(spark):
+    from kmerloom.plans.compare import run_notes
+
+    s = bases(200, 9) + "AC" * 600
+    a = axis(spark, s)
+    copies = axis(spark, bases(12, 4) * 30)
+    with pytest.raises(EngineError) as e:
+        compare(copies, copies, MatchOptions(8, 0, max_segments=3))
+    assert e.value.remedies["max_segments"] == 6
+    warnings = spark.createDataFrame([("empty", "x"), ("empty", "y")], "kind string, name string")
+    c = compare(a, a, MatchOptions(8, 0, max_occ=4), warnings=warnings)
+    assert c.notes[0] == "2 records: empty" and any(n.endswith("which were not searched") for n in c.notes)
+    assert found(c.segments) == match_by_hand([s], [s], MatchOptions(8, 0, max_occ=4))
+    c.close()
+    assert run_notes(MatchOptions(15, 0, max_occ=5), 2, 1, 2, 100, 0)[1].startswith("the occurrence cap 5 counts as 4")
+
+
+def test_multiplicity_texture(spark):
+    mult = [0.0, 1.0, 10.0, 0.0, 100.0, 1000.0, 3.0]
+    df = spark.createDataFrame([(t, m, 0.0) for t, m in enumerate(mult)], "tile long, mult double, uniq_frac double")
+    for width in (3, 4, 7, 100):
+        w = min(width, 7)
+        want = []
+        for x in range(w):
+            own = [m for m in mult[x * 7 // w : max(x * 7 // w + 1, (x + 1) * 7 // w)] if m > 0]
+            want.append(math.floor(min(1, max(0, np.mean(np.log10(own))) / 2.5) * 255 + 0.5) if own else 0)
+        assert [r.value for r in profile.multiplicity_texture(df, 7, width).orderBy("texel").collect()] == want
+
+
+def test_grid_side_of_an_axis(spark):
+    own = kmers.spread(axis(spark, bases(500, 1)))
+    assert contain.side_of(own, 12) == 512 and contain.side_of(own, 12, 80) == 80 and contain.side_of(own, 12, 5000) == 1024
