@@ -82,6 +82,17 @@ def format_percent(share: float) -> str:
     return f"{rounded(p)}%" if p >= 9.5 else f"{p:.1f}%"
 
 
+def record_labels(target: Sequence[str], query: Sequence[str]) -> list[str]:
+    """Names of the records of both axes, target first; a name that the other axis has as well gets (x) or (y)."""
+    here, there = set(target), set(query)
+    return [f"{n} (x)" if n in there else n for n in target] + [f"{n} (y)" if n in here else n for n in query]
+
+
+def record_region(name: str, offset: int, lo: int, hi: int) -> str:
+    """A window of a record, from 1 and with the record's offset."""
+    return f"{name}:{offset + lo + 1:,}-{offset + hi:,}"
+
+
 def nice_step(span: float, most: int) -> float:
     """A step of 1, 2 or 5 times a power of ten that cuts a span into about `most` parts."""
     raw = span / max(1, most)

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from kmerloom.model import SEGMENT_WALL, SEGMENT_WALL_HARD, EngineError
 
+#: The grammar of lengths, its units, and what parts the ends of a range.
 LENGTH = r"^([0-9]*\.?[0-9]+)(bp|k|kb|m|mb|g|gb)?$"
 FACTORS = {"": 1, "b": 1, "k": 10**3, "m": 10**6, "g": 10**9}
 DASH = re.compile("[-–]")
@@ -19,8 +20,11 @@ DASH = re.compile("[-–]")
 
 def parse_bp(text: str) -> float:
     """A number of bases with a unit, commas and blanks ignored; NaN for anything else."""
-    found = re.match(LENGTH, text.strip().lower().replace(",", "").replace(" ", ""))
-    return float(found[1]) * FACTORS[(found[2] or "")[:1]] if found else math.nan
+    found = re.match(LENGTH, re.sub("[, ]", "", text.strip().lower()))
+    if found is None:
+        return math.nan
+    number, unit = found.groups(default="")
+    return float(number) * FACTORS[unit[:1]]
 
 
 def parse_bp_column(text: Column) -> Column:
@@ -43,35 +47,44 @@ def _find(records: list[Record], name: str) -> Record | None:
     return next((r for r in records if r.name.lower() == name.lower()), None)
 
 
-def resolve_region(text: str, records: list[Record]) -> tuple[float, float, str] | None:
-    """Place of `name`, `name:a-b` or `a-b` on an axis, and a label. 0-based. A whole name comes first, even one with a colon; coordinates at or beyond the record's offset are taken as outside ones."""
-    text = text.strip()
-    if whole := _find(records, text):
-        return whole.start, whole.end, whole.name
+@dataclass(frozen=True)
+class Place:
+    """What a text asks for: a name (None for the whole axis), the text of a range (None for all), and its ends in bases."""
+
+    name: str | None
+    span: str | None
+    ends: tuple[float, float] | None
+
+
+def read_place(text: str) -> Place | None:
+    """`name:a-b`, `name:` or `a-b` in parts; None for anything else. Whether a name is known is not asked here."""
     name, colon, span = text.rpartition(":")
-    if not text or (colon and not name):
-        return None
-    if not colon and not text[0].isdigit():
+    if colon and not name or not colon and not span[:1].isdigit():
         return None
-    low, high, offset = 0, max((r.end for r in records), default=0), 0
-    if colon:
-        record = _find(records, name.strip())
-        if record is None:
-            return None
-        low, high, offset = record.start, record.end - record.start, record.offset
-        if not span.strip():
-            return record.start, record.end, record.name
-    ends = DASH.split(span)
-    if len(ends) != 2:
+    if not span.strip():
+        return Place(name.strip(), None, None)
+    parts = DASH.split(span)
+    numbers = [parse_bp(x) for x in parts]
+    if len(numbers) != 2 or not numbers[0] < numbers[1]:
         return None
-    a, b = map(parse_bp, ends)
-    if not b > a:
+    return Place(name.strip() if colon else None, "-".join(parts), (numbers[0], numbers[1]))
+
+
+def resolve_region(text: str, records: list[Record]) -> tuple[float, float, str] | None:
+    """Place of `name`, `name:a-b` or `a-b` on an axis, and a label. 0-based. A whole name comes first, even one with a colon; coordinates at or beyond the record's offset are taken as outside ones."""
+    text = text.strip()
+    whole, asked = _find(records, text), read_place(text)
+    if whole or asked is None:
+        return (whole.start, whole.end, whole.name) if whole else None
+    record = Record("", 0, max((r.end for r in records), default=0)) if asked.name is None else _find(records, asked.name)
+    if record is None:
         return None
-    if 0 < offset <= a:
-        a, b = a - offset, b - offset
-    x0, x1 = (low + min(max(v, 0), high) for v in (a, b))
-    label = f"{ends[0]}-{ends[1]}"
-    return (x0, x1, f"{name.strip()}:{label}" if colon else label) if x1 > x0 else None
+    if asked.ends is None:
+        return record.start, record.end, record.name
+    outside = record.offset if 0 < record.offset <= asked.ends[0] else 0
+    x0, x1 = (record.start + min(max(end - outside, 0), record.end - record.start) for end in asked.ends)
+    label = asked.span if asked.name is None else f"{asked.name}:{asked.span}"
+    return (x0, x1, label) if x0 < x1 else None
 
 
 def parse_browser_region(text: str) -> tuple[str, int | None, int | None, str | None] | None:
@@ -108,6 +121,14 @@ def split_regions(text: str) -> list[str]:
     return [x.strip() for x in re.split(r";|,(?=\s*[A-Za-z_])", text) if x.strip()]
 
 
+def regions_label(regions: list[tuple[str, int, int, str | None]]) -> str:
+    """Of windows (chrom, start, end, name; 0-based): how many there are, or the one's name, or its coordinates from 1."""
+    if len(regions) != 1:
+        return f"{len(regions)} regions"
+    chrom, start, end, name = regions[0]
+    return name or f"{chrom}:{start + 1:,}-{end:,}"
+
+
 def split_cross(text: str) -> tuple[str, str | None]:
     """Both sides of `a vs b`; without it all is the target."""
     found = re.fullmatch(r"(.*?\S)\s+vs\.?\s+(\S.*)", text.strip(), re.IGNORECASE | re.DOTALL)

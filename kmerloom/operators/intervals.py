@@ -58,6 +58,22 @@ def annotate(items: DataFrame, visible: DataFrame) -> DataFrame:
     return overlap_join(left, right, ("chrom",)).select("rec", (F.greatest("l0", "r0") + shift).alias("w0"), (F.least("l1", "r1") + shift).alias("w1"), "item_name", "strand", "rgb")
 
 
+def lane_rects(lane: DataFrame, w0: float, w1: float, px: float, colored: bool = False, accent: str = "accent") -> DataFrame:
+    """a and b (pixels), fill, item_name and strand of what a view of w0 to w1 on px pixels shows of each lane item; slivers under three quarters of a pixel are not drawn."""
+    scale = px / max(w1 - w0, 1e-9)
+    a, b = F.greatest(F.lit(0.0), (F.greatest(F.col("w0"), F.lit(float(w0))) - w0) * scale), F.least(F.lit(float(px)), (F.least(F.col("w1"), F.lit(float(w1))) - w0) * scale)
+    fill = F.when(F.lit(colored) & F.col("rgb").isNotNull(), F.concat(F.lit("rgb("), "rgb", F.lit(")"))).otherwise(accent)
+    return lane.select(a.alias("a"), b.alias("b"), fill.alias("fill"), "item_name", "strand").filter(F.col("b") - F.col("a") >= 0.75)
+
+
+def boundary_lines(catalog: DataFrame, w0: float, w1: float, px: float) -> DataFrame:
+    """g, where a record begins, for the records that a range touches, all but the axis's first; none if there are so many that one has six pixels or less."""
+    seen = bands(catalog, w0, w1)
+    if px / max(1, seen.count()) <= 6:
+        return seen.filter(F.lit(False)).select(F.col("start").alias("g"))
+    return seen.filter("rec > 0").select(F.col("start").alias("g"))
+
+
 def hit(lane: DataFrame, world: float) -> DataFrame:
     """The first lane item at a place."""
     return lane.filter((F.col("w0") <= world) & (F.col("w1") > world)).orderBy("w0", "item_name").limit(1)

@@ -7,6 +7,9 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from kmerloom.functions.formatting import format_bp_column
+from kmerloom.operators.intervals import locate
+
 #: Rungs of a ladder, and the least lengths that a dense result may be shown from.
 RUNGS = (1, 2, 5)
 DENSE, DENSE_SHOWN, DENSE_LENGTHS = 2_000_000, 500_000, (100, 500, 2_000, 10_000, 50_000)
@@ -17,6 +20,21 @@ def segment_totals(segments: DataFrame) -> DataFrame:
     return segments.groupBy("strand").agg(F.count(F.lit(1)).alias("n"), F.sum("dx").cast("long").alias("bp"))
 
 
+def described(segments: DataFrame, target: DataFrame, query: DataFrame) -> DataFrame:
+    """The segments with labels of where they lie: target and query (`name : first–last`, or `name:first → other:last` over several records; 1-based, with the records' offsets; ? outside), direction, length and percent."""
+    out = segments
+    for side, at, size, catalog in (("target", "x", "dx", target), ("query", "y", "dy", query)):
+        total = catalog.agg(F.max("end")).first()[0] or 0
+        for end, place in (("0", F.col(at)), ("1", F.least(F.col(at) + F.col(size) - 1, F.lit(total - 1)))):
+            out = locate(out.withColumn("__g", place), catalog, "__g").withColumnsRenamed({"name": f"__n{end}", "shown": f"__s{end}"}).drop("__g", "rec", "local")
+        first, last = (F.format_number(F.col(f"__s{i}") + 1, 0) for i in "01")
+        one = F.concat("__n0", F.lit(" : "), first, F.lit("–"), last)
+        two = F.concat("__n0", F.lit(":"), first, F.lit(" → "), "__n1", F.lit(":"), last)
+        out = out.withColumn(side, F.when(F.col("__n0").isNull() | F.col("__n1").isNull(), "?").when(F.col("__n0") == F.col("__n1"), one).otherwise(two)).drop("__n0", "__n1", "__s0", "__s1")
+    percent = F.when(F.col("identity") >= 0.999, F.format_string("%.0f%%", 100 * F.col("identity"))).otherwise(F.format_string("%.1f%%", 100 * F.col("identity")))
+    return out.withColumns({"direction": F.when(F.col("strand") == 1, "reverse").otherwise("forward"), "length": format_bp_column(F.col("dx").cast("double")), "percent": percent})
+
+
 def ladder(lo: float, hi: float) -> list[int]:
     """Upper edges 1, 2, 5, 10, ... from the first not below lo to the first not below hi."""
     lo = max(1, lo)

@@ -10,14 +10,14 @@ RANGE = 4096
 SPAN = 1 << 20
 
 
-def with_running_total(df: DataFrame, order: str, value: str, out: str, width: int = RANGE) -> DataFrame:
-    """Add, in `out`, the sum of `value` over rows with smaller `order` (an integer that no two rows share)."""
+def with_running_total(df: DataFrame, order: str, value: str, out: str, width: int = RANGE, keys: tuple[str, ...] = ()) -> DataFrame:
+    """Add, in `out`, the sum of `value` over rows (of equal keys, if any) with smaller `order` (an integer that no two rows share)."""
     ranged = df.withColumn("__range", F.floor(F.col(order) / width))
-    inside = Window.partitionBy("__range").orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    before = Window.partitionBy(F.lit(0)).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
-    sums = ranged.groupBy("__range").agg(F.sum(value).alias("__sum")).select("__range", F.coalesce(F.sum("__sum").over(before), F.lit(0)).alias("__earlier"))
+    inside = Window.partitionBy(*keys, "__range").orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    before = Window.partitionBy(*(keys or (F.lit(0),))).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    sums = ranged.groupBy(*keys, "__range").agg(F.sum(value).alias("__sum")).select(*keys, "__range", F.coalesce(F.sum("__sum").over(before), F.lit(0)).alias("__earlier"))
     own = ranged.withColumn(out, F.sum(value).over(inside) - F.col(value))
-    return own.join(sums, "__range").withColumn(out, (F.col(out) + F.col("__earlier")).cast("long")).drop("__range", "__earlier")
+    return own.join(sums, [*keys, "__range"]).withColumn(out, (F.col(out) + F.col("__earlier")).cast("long")).drop("__range", "__earlier")
 
 
 def with_group(df: DataFrame, start: str, end: str, gap: float = 0, keys: tuple[str, ...] = (), out: str = "group", width: int = SPAN) -> DataFrame:

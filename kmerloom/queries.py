@@ -5,6 +5,8 @@ The tables hold no sequences: a text's letters stand in for bases (functions.seq
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -16,7 +18,8 @@ from kmerloom.model import SATURATION_TILE, MatchOptions
 from kmerloom.operators import belongs as B
 from kmerloom.operators import contain, gather, intervals, kmers, match, profile, raster, summary
 from kmerloom.plans import density
-from kmerloom.sources import paf
+from kmerloom.plans.ordering import with_running_total
+from kmerloom.sources import fasta, paf
 
 K = 15
 SCALED = 16
@@ -319,6 +322,40 @@ def multiplicity_lane(spark, sf_dir):
     return lane.select("start", *[F.round(c, 6).alias(c) for c in ("mult", "uniq_frac", "tone")])
 
 
+TEXELS = 100
+
+
+@query(f"""WITH {PROFILE}, n AS (SELECT count(*) AS n FROM profile), x AS (SELECT x, x * n // {TEXELS} AS t0, greatest(x * n // {TEXELS} + 1, (x + 1) * n // {TEXELS}) AS t1 FROM range(0, {TEXELS}) r(x), n)
+SELECT x AS texel, CAST(coalesce(floor(least(1.0, greatest(0.0, avg(log10(mult)) / 2.5)) * 255 + 0.5), 0) AS INTEGER) AS value FROM x LEFT JOIN profile ON tile >= t0 AND tile < t1 AND mult > 0 GROUP BY x""")
+def multiplicity_texture(spark, sf_dir):
+    """A23."""
+    axis = document_axis(spark, sf_dir)
+    total = kmers.total_length(axis)
+    found = profile.multiplicity(kmers.tile_kmers(kmers.spread(axis), K, TILE), total, TILE)
+    return profile.multiplicity_texture(found, (total + TILE - 1) // TILE, TEXELS)
+
+
+SIDES = ", ".join(f"({n})" for n in density.GRID_SIDES if n <= 512)
+
+
+@query(f"""WITH {SPECTRUM}, cost AS (SELECT n, sum(occ_count * pow(n * (1 - exp(-cls / CAST(n AS DOUBLE))), 2)) AS c FROM spectrum, (VALUES {SIDES}) s(n) GROUP BY n)
+SELECT CAST(coalesce(max(n) FILTER (WHERE c <= {density.GRID_COST}), {density.GRID_LEAST}) AS INTEGER) AS side FROM cost""")
+def grid_side_pick(spark, sf_dir):
+    """The finest grid that the documents' k-mers allow."""
+    return spark.createDataFrame([(contain.side_of(kmers.spread(document_axis(spark, sf_dir)), K),)], "side int")
+
+
+@query(f"""WITH {SPECTRUM}, t AS (SELECT 2 * sum(CASE WHEN cls <= 200 THEN occ_sumsq ELSE 0 END) AS anchors FROM spectrum), n AS (SELECT sum(len) AS n FROM doc)
+SELECT anchors, round(least(anchors / 2, 2 * n) * 28 * 8 / 3 / 1e9, 9) AS table_gb FROM t, n""")
+def volume_preflight(spark, sf_dir):
+    """Anchors of both strands and GB of diagonals of a self comparison with a cap of 200."""
+    axis = document_axis(spark, sf_dir)
+    total = kmers.total_length(axis)
+    _, sumsq = density.histogram(profile.spectrum(kmers.kmers(kmers.spread(axis), K)))
+    found = density.check_volume(density.estimate_anchors(sumsq, 200, density.anchor_scale(total, total, 1, 1)), total, total, confirm=True)
+    return spark.createDataFrame([(found["anchors"], round(found["table_gb"], 9))], "anchors double, table_gb double")
+
+
 # ---------------------------------------------------------------- containment
 GRID_N = 64
 
@@ -399,25 +436,88 @@ def contamination_scan(spark, sf_dir):
     return nine(B.contamination(items, docs), "containment")
 
 
-def source_axis(spark, sf_dir) -> DataFrame:
-    """Sources as records: their documents' bases, joined in the order of ids. Sources are numbered from 0 by the number in their name, then those without one by name, null last."""
-    rows = read(spark, sf_dir, "documents").groupBy("source").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("doc_id", letters_as_bases(F.col("text")).alias("s")))), lambda x: x["s"]), "N").alias("seq"))
-    names = read(spark, sf_dir, "documents").select("source").distinct()
+def source_texts(spark, sf_dir) -> DataFrame:
+    """Documents with the number of their source (rec): from 0 by the number in its name, then those without one by name, null last."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "source", letters_as_bases(F.col("text")).alias("seq"))
     order = Window.orderBy(F.regexp_extract("source", "[0-9]+", 0).try_cast("long").asc_nulls_last(), F.col("source").asc_nulls_last())
-    numbers = names.select(F.col("source").alias("__source"), (F.row_number().over(order) - 1).cast("long").alias("rec"))
-    rows = rows.join(numbers, F.col("source").eqNullSafe(F.col("__source"))).drop("__source")
-    return kmers.as_axis(rows, "rec", "source", "seq")
+    numbers = docs.select("source").distinct().select(F.col("source").alias("name"), (F.row_number().over(order) - 1).cast("long").alias("rec"))
+    return docs.join(numbers, F.col("source").eqNullSafe(F.col("name"))).drop("source")
+
+
+def source_axis(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """Sources as records, their documents' bases in the order of ids with an N between two: the records, without sequences, and the documents as pieces of them. No row and no task holds a source."""
+    texts = source_texts(spark, sf_dir)
+    sizes = with_running_total(texts.select("doc_id", "rec", (F.length("seq") + 1).cast("long").alias("size")), "doc_id", "size", "at", keys=("rec",))
+    records = with_running_total(texts.groupBy("rec", "name").agg((F.sum(F.length("seq") + 1) - 1).cast("long").alias("len")), "rec", "len", "start").select("rec", "name", "start", "len", F.lit(0).cast("long").alias("offset"))
+    pieces = texts.join(sizes.select("doc_id", "at"), "doc_id").join(records.select("rec", "start"), "rec")
+    return records, pieces.select("rec", (F.col("start") + F.col("at")).alias("start"), F.length("seq").cast("long").alias("len"), "seq")
 
 
 @query()
 def gather_components(spark, sf_dir):
     """The first source as a cover by windows of the others. Rounds have no SQL; tests hold them against a plain model."""
-    axis = source_axis(spark, sf_dir)
+    axis, pieces = source_axis(spark, sf_dir)
     rec = axis.agg(F.min("rec")).first()[0]
-    rows, width, _ = gather.gather(kmers.canonical_kmers(kmers.spread(axis), K), axis, rec)
+    rows, width, _ = gather.gather(kmers.canonical_kmers(kmers.spread(pieces), K), axis, rec)
     return gather.components(rows, axis, width)
 
 
+# Claims that stand in for a cover: records and windows of 1,024 bases with a mass.
+CLAIMS = """claims AS (SELECT l_suppkey AS rec, CAST(1024 * (l_partkey % 40) AS BIGINT) AS place, CAST(sum(l_quantity) AS DOUBLE) AS mass, CAST(sum(CASE WHEN l_linenumber = 1 THEN l_quantity ELSE 0 END) AS DOUBLE) AS contested FROM lineitem WHERE l_partkey % 3 < 2 GROUP BY 1, 2),
+comp AS (
+  SELECT rec, min(place) AS lo, least(max(place) + 1024, 40000) AS hi, sum(mass) AS mass, sum(contested) AS contested
+  FROM (SELECT *, place // 1024 - row_number() OVER (PARTITION BY rec ORDER BY place) AS g FROM claims) GROUP BY rec, g)"""
+
+
+def claims(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    l = read(spark, sf_dir, "lineitem").filter("l_partkey % 3 < 2")
+    rows = l.groupBy(F.col("l_suppkey").alias("rec"), (1024 * (F.col("l_partkey") % 40)).cast("long").alias("place")).agg(F.sum("l_quantity").cast("double").alias("mass"), F.sum(F.when(F.col("l_linenumber") == 1, F.col("l_quantity")).otherwise(0)).cast("double").alias("contested"))
+    return rows.withColumn("kind", F.lit("claim")), rows.select("rec").distinct().withColumn("len", F.lit(40_000).cast("long"))
+
+
+@query(f"WITH {CLAIMS} SELECT * FROM comp")
+def cover_components(spark, sf_dir):
+    """Neighbouring claimed windows of a record as one."""
+    return gather.components(*claims(spark, sf_dir), 1024)
+
+
+@query(f"""WITH {CLAIMS}, ranked AS (SELECT mass, row_number() OVER (ORDER BY mass DESC, rec, lo) AS p FROM comp), parts AS (
+  SELECT CAST(least(p, 9) AS INTEGER) AS place, sum(mass) AS mass FROM ranked GROUP BY 1 UNION ALL SELECT 10, 2e6 - sum(mass) FROM comp)
+SELECT place, mass, round(mass / 2e6, 9) AS share FROM parts""")
+def cover_summary(spark, sf_dir):
+    """The heaviest components, the others and what is unexplained."""
+    found = gather.summary(gather.components(*claims(spark, sf_dir), 1024), 2e6)
+    return nine(found.withColumn("place", F.col("place").cast("int")), "share")
+
+
+@query("""WITH paint AS (SELECT CAST(o_custkey % 97 AS BIGINT) AS place, o_orderkey % 11 AS rec, sum(CAST(o_totalprice AS DOUBLE)) AS mass FROM orders GROUP BY 1, 2), totals AS (SELECT place AS slice, 3e6 + 1e5 * place AS total FROM (SELECT DISTINCT place FROM paint)),
+top AS (SELECT place, arg_max(rec, (mass, -rec)) AS rec, sum(mass) AS mass FROM paint GROUP BY 1)
+SELECT slice, rec, round(least(1.0, mass / total), 6) AS explained FROM top JOIN totals ON slice = place WHERE least(1.0, mass / total) > 0.02""")
+def cover_strip(spark, sf_dir):
+    """Of each slice the record that explains most of it."""
+    paint = read(spark, sf_dir, "orders").groupBy((F.col("o_custkey") % 97).cast("long").alias("place"), (F.col("o_orderkey") % 11).alias("rec")).agg(F.sum(F.col("o_totalprice").cast("double")).alias("mass")).withColumn("kind", F.lit("paint"))
+    totals = paint.select(F.col("place").alias("slice")).distinct().withColumn("total", 3e6 + 1e5 * F.col("slice"))
+    return gather.strip(paint, totals).withColumn("explained", F.round("explained", 6))
+
+
+@query(f"WITH {DOC}, {ITEM}, t AS (SELECT max(rec) + 1 AS r, sum(len) AS n FROM doc) SELECT rec, CAST(start AS BIGINT) AS start, len FROM doc UNION ALL SELECT CAST(item.rec + r AS BIGINT), CAST(start + n AS BIGINT), len FROM item, t")
+def axis_concat(spark, sf_dir):
+    """M2: two axes on one."""
+    return kmers.concatenate(document_axis(spark, sf_dir), benchmark_axis(spark, sf_dir)).select("rec", "start", "len")
+
+
+@query(f"""WITH {DOC}, {ITEM}, both_ AS (SELECT rec AS ord, 0 AS f, 'doc' || rec AS name, seq, len, CAST(3 * rec AS BIGINT) AS "offset" FROM doc UNION ALL SELECT rec, 1, 'item' || rec, seq, len, 0 FROM item)
+SELECT row_number() OVER o - 1 AS rec, name, CAST(sum(len) OVER (o ROWS UNBOUNDED PRECEDING) - len AS BIGINT) AS start, len, "offset", md5(seq) AS seq_md5 FROM both_ WINDOW o AS (ORDER BY f, ord)""")
+def fasta_axis(spark, sf_dir):
+    """Documents and benchmark items as two FASTA files, read back and stacked. The files stand in the shared folder, or in a local one where none is set."""
+    folder = f"{spark.conf.get('spark.checkpoint.dir', None) or 'file://' + tempfile.mkdtemp(prefix='kmerloom-')}/fasta-{uuid.uuid4().hex}"
+    for name, axis, offset in (("doc", document_axis(spark, sf_dir), 3 * F.col("rec")), ("item", benchmark_axis(spark, sf_dir), F.lit(0))):
+        lines = F.regexp_replace("seq", "(.{60})", "$1\n")
+        text = axis.select("rec", F.concat(F.lit(">"), "name", F.lit(" @offset="), offset.cast("string"), F.lit("\n"), lines).alias("value"))
+        text.repartitionByRange(4, "rec").sortWithinPartitions("rec").select("value").write.text(f"{folder}/{name}")
+    return fasta.read_axis(spark, f"{folder}/doc", f"{folder}/item").select("rec", "name", "start", "len", "offset", F.md5("seq").alias("seq_md5"))
+
+
 # ---------------------------------------------------------------- intervals
 CATALOG = f'{DOC}, cat AS (SELECT rec, \'doc\' || rec AS name, start, start + len AS "end", CAST(1000 * rec AS BIGINT) AS "offset" FROM doc)'
 
@@ -583,6 +683,52 @@ def saturation_mask(spark, sf_dir):
     return raster.saturation_mask(found, 0, total, 200)
 
 
+@query(f"""WITH {SATURATED}, {ITEM}, {sql_match(OPTIONS)}, {{HEAT_TAIL}}, f AS (SELECT 100 / CAST((SELECT n FROM total) AS DOUBLE) AS f),
+mask AS (SELECT DISTINCT CAST(c AS INTEGER) AS cy FROM (SELECT CAST(greatest(0, floor(start * f)) AS BIGINT) AS a, CAST(least(100, ceil("end" * f)) AS BIGINT) AS b FROM saturated, f), UNNEST(range(a, b)) u(c))
+SELECT m.cy AS cx, CAST(r.x AS INTEGER) AS cy FROM mask m, range(0, 50) r(x) WHERE (m.cy + r.x) & 3 < 2 AND NOT EXISTS (SELECT 1 FROM heat WHERE heat.cx = r.x AND heat.cy = m.cy)""".replace("{HEAT_TAIL}", HEAT.split(SEG + ", ")[1]))
+def hatch_cells(spark, sf_dir):
+    """Empty cells where the documents are saturated, with documents across."""
+    found, total = saturated(spark, sf_dir)
+    cells = heat(spark, sf_dir).select(F.col("cy").alias("cx"), F.col("cx").alias("cy"))
+    return raster.hatched(cells, raster.saturation_mask(found, 0, total, 100), 100, 50)
+
+
+@query(f"""WITH {SEG}, tcat AS (SELECT 'item' || rec AS name, start, start + len AS "end" FROM item WHERE len > 0), qcat AS (SELECT 'doc' || rec AS name, start, start + len AS "end" FROM doc WHERE len > 0),
+p AS (SELECT seg.*, a.name AS an, x - a.start + 1 AS a1, b.name AS bn, x + dx - b.start AS b1, c.name AS cn, y - c.start + 1 AS c1, d.name AS dn, y + dy - d.start AS d1 FROM seg
+  JOIN tcat a ON a.start <= x AND x < a."end" JOIN tcat b ON b.start <= x + dx - 1 AND x + dx - 1 < b."end" JOIN qcat c ON c.start <= y AND y < c."end" JOIN qcat d ON d.start <= y + dy - 1 AND y + dy - 1 < d."end")
+SELECT x, y, strand, CASE WHEN an = bn THEN an || ' : ' || format('{{:,}}', a1) || '–' || format('{{:,}}', b1) ELSE an || ':' || format('{{:,}}', a1) || ' → ' || bn || ':' || format('{{:,}}', b1) END AS target,
+  CASE WHEN cn = dn THEN cn || ' : ' || format('{{:,}}', c1) || '–' || format('{{:,}}', d1) ELSE cn || ':' || format('{{:,}}', c1) || ' → ' || dn || ':' || format('{{:,}}', d1) END AS query, CASE strand WHEN 1 THEN 'reverse' ELSE 'forward' END AS direction FROM p""")
+def segment_labels(spark, sf_dir):
+    """F16: where segments lie, in words."""
+    catalogs = [kmers.catalog(a) for a in (benchmark_axis(spark, sf_dir), document_axis(spark, sf_dir))]
+    return summary.described(segments(spark, sf_dir), *catalogs).select("x", "y", "strand", "target", "query", "direction")
+
+
+@query(f"WITH {SEG}, s AS (SELECT count(*) AS n, min(identity) AS low FROM seg) SELECT CAST(CASE WHEN n > {summary.DENSE} THEN 0 END AS INTEGER) AS dense, round(CASE WHEN low >= 0.999 THEN 0.9 ELSE floor(low * 100) / 100 END, 9) AS floor FROM s")
+def scale_picks(spark, sf_dir):
+    """The least length that a dense result is shown from (none here) and where its identity scale begins."""
+    found = segments(spark, sf_dir)
+    return spark.createDataFrame([(summary.dense_length(found), round(summary.identity_floor(found.agg(F.min("identity")).first()[0]), 9))], "dense int, floor double")
+
+
+LANE = "SELECT doc_id AS w0, doc_id + 3 + doc_id % 40 AS w1, source AS item_name, CASE doc_id % 3 WHEN 0 THEN '1,2,3' END AS rgb FROM documents"
+
+
+@query(f"""WITH lane AS ({LANE}), r AS (SELECT greatest(0.0, (greatest(w0, 100.5) - 100.5) * (300 / 700.0::DOUBLE)) AS a, least(300.0, (least(w1, 800.5) - 100.5) * (300 / 700.0::DOUBLE)) AS b, CASE WHEN rgb IS NULL THEN 'accent' ELSE 'rgb(' || rgb || ')' END AS fill, item_name, '+' AS strand FROM lane)
+SELECT round(a, 6) AS a, round(b, 6) AS b, fill, item_name, strand FROM r WHERE b - a >= 0.75""")
+def lane_rects(spark, sf_dir):
+    """lane items in a view, clipped to pixels."""
+    i = F.col("doc_id")
+    lane = read(spark, sf_dir, "documents").select(i.alias("w0"), (i + 3 + i % 40).alias("w1"), F.col("source").alias("item_name"), F.lit("+").alias("strand"), F.when(i % 3 == 0, "1,2,3").alias("rgb"))
+    return intervals.lane_rects(lane, 100.5, 800.5, 300, colored=True).withColumns({c: F.round(c, 6) for c in "ab"})
+
+
+@query(f"WITH {CATALOG}, seen AS (SELECT * FROM cat WHERE \"end\" > 5000 AND start < 250000) SELECT start AS g FROM seen WHERE rec > 0 AND 9000 / (SELECT count(*) FROM seen) > 6")
+def boundary_lines(spark, sf_dir):
+    """where records begin, if a view has room for it."""
+    return intervals.boundary_lines(document_catalog(spark, sf_dir), 5000, 250_000, 9000)
+
+
 @query(f"""WITH {SEG}, e AS (SELECT *, x AS x0, CASE WHEN strand = 0 THEN y ELSE y + dy END AS y0, x + dx AS x1, CASE WHEN strand = 0 THEN y + dy ELSE y END AS y1 FROM seg WHERE x < 3000 + 50000 AND x + dx > 3000 - 50000 AND y < 400000 + 50000 AND y + dy > 400000 - 50000),
 t AS (SELECT *, least(1.0, greatest(0.0, -((x0 - 3000.0) * (x1 - x0) + (y0 - 400000.0) * (y1 - y0)) / CAST((x1 - x0) * (x1 - x0) + (y1 - y0) * (y1 - y0) AS DOUBLE))) AS t FROM e)
 SELECT x, y, strand, round(sqrt(pow(x0 - 3000.0 + t * (x1 - x0), 2) + pow(y0 - 400000.0 + t * (y1 - y0), 2)), 6) AS distance FROM t WHERE sqrt(pow(x0 - 3000.0 + t * (x1 - x0), 2) + pow(y0 - 400000.0 + t * (y1 - y0), 2)) < 50000 ORDER BY distance, x, y, strand LIMIT 1""")

@@ -13,9 +13,15 @@ NUMBERS = ("qlen", "qs", "qe", "tlen", "ts", "te", "nmatch", "alnlen")
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """line_no and value. Numbers grow with a line's place in its file."""
-    lines = spark.read.text(path).withColumns({"f": F.col("_metadata.file_path"), "b": F.col("_metadata.file_block_start"), "m": F.monotonically_increasing_id()})
-    return lines.select((F.row_number().over(Window.orderBy("f", "b", "m")) - 1).cast("long").alias("line_no"), "value")
+    """line_no (from 0) and value, in the order of files and of places in them.
+
+    Inside a split of a file Spark numbers rows as it reads them; what comes before is added up from one row for each split, so no task sorts the lines.
+    """
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_block_start").alias("b"), F.monotonically_increasing_id().alias("m"))
+    splits = lines.groupBy("f", "b").agg(F.count(F.lit(1)).alias("n"), F.min("m").alias("first"))
+    earlier = Window.orderBy("f", "b").rowsBetween(Window.unboundedPreceding, -1)
+    splits = splits.select("f", "b", (F.coalesce(F.sum("n").over(earlier), F.lit(0)) - F.col("first")).alias("shift"))
+    return lines.join(splits, ["f", "b"]).select((F.col("m") + F.col("shift")).cast("long").alias("line_no"), "value")
 
 
 def parse(lines: DataFrame) -> DataFrame:

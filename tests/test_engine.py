@@ -296,9 +296,11 @@ def test_source_axis_of_any_names(spark, tmp_path):
 
     names = ["src2", "b", None, "src10", "x2", "a", "src2"]
     spark.createDataFrame([(i, "acgt" * (i + 1), n) for i, n in enumerate(names)], "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
-    out = sorted((r.rec, r.name, r.start, r.len) for r in source_axis(spark, str(tmp_path)).collect())
+    out = sorted((r.rec, r.name, r.start, r.len) for r in source_axis(spark, str(tmp_path))[0].collect())
     lengths = {"src2": 4 + 1 + 28, "x2": 20, "src10": 16, "a": 24, "b": 8, None: 12}
     assert out == [(i, n, sum(list(lengths.values())[:i]), k) for i, (n, k) in enumerate(lengths.items())]
+    pieces = sorted((r.rec, r.start, r.len) for r in source_axis(spark, str(tmp_path))[1].collect())
+    assert pieces == [(0, 0, 4), (0, 5, 28), (1, 33, 20), (2, 53, 16), (3, 69, 24), (4, 93, 8), (5, 101, 12)]
 
 
 def test_gather_of_equal_sources(spark):

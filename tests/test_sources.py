@@ -179,3 +179,28 @@ def test_formatting(spark):
     assert formatting.flow([(40, 10), (40, 20), (40, 5)], 90, 5) == ([(0, 0), (45, 0), (0, 25)], 30)
     c = formatting.Camera.fit(0, 1000, 0, 500, 100, 100)
     assert c.bounds() == (0, 1000, -250, 750) and c.zoom(0.5, 100, 50).bounds()[1] == 1000
+
+
+def test_lines_are_numbered_in_order(spark, tmp_path):
+    """Over files and over splits of a file."""
+    for f in range(3):
+        write(tmp_path / f"{f}.paf", "".join(f"{f}\t{i}\t{'x' * (i % 50)}\n" for i in range(4000)))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    try:
+        got = paf.read_lines(spark, str(tmp_path)).orderBy("line_no").collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert [(r.line_no, *map(int, r.value.split("\t")[:2])) for r in got] == [(4000 * f + i, f, i) for f in range(3) for i in range(4000)]
+
+
+def test_head_of_files(spark, tmp_path):
+    text = b">x\n" + b"ACGT" * 100_000
+    assert intake.head_of(spark, write(tmp_path / "a", text)) == text[: intake.HEAD]
+    packed = intake.head_of(spark, write(tmp_path / "b.gz", gzip.compress(text)))
+    assert packed == text[: len(packed)] and len(packed) > 1000
+
+
+def test_labels():
+    assert grammar.regions_label([("chr1", 99, 2000, None)]) == "chr1:100-2,000" and grammar.regions_label([("c", 0, 1, "arm")]) == "arm" and grammar.regions_label([("c", 0, 1, None)] * 2) == "2 regions"
+    assert formatting.record_labels(["a", "b"], ["b", "c"]) == ["a", "b (x)", "b (y)", "c"] and formatting.record_region("a", 1000, 0, 5000) == "a:1,001-6,000"
