@@ -38,53 +38,64 @@ def species(kmers: DataFrame, axis: DataFrame, rec: int, tile_bp: int, slice_bp:
     return own, tiles
 
 
+class Lists:
+    """Rows by the number of the list that they are in, as one array; of many lists at once the rows."""
+
+    def __init__(self, number: np.ndarray, n: int):
+        self.rows, self.size = np.argsort(number, kind="stable"), np.bincount(number, minlength=n)
+        self.first = np.cumsum(self.size) - self.size
+
+    def of(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rows of the lists, and for each the place in `which` of its list."""
+        size = self.size[which]
+        place = np.repeat(np.arange(len(which)), size)
+        return self.rows[np.arange(len(place)) + np.repeat(self.first[which] - (np.cumsum(size) - size), size)], place
+
+
 class Cover:
-    """Greedy rounds over species (rows) and windows (columns) of copies."""
+    """Greedy rounds over species (k-mers that a window shares) and windows of copies. A window has a row for each of its species, so a round takes all of them at once."""
 
     def __init__(self, own: pd.DataFrame, tiles: pd.DataFrame, rounds: int = ROUNDS, share: float = SHARE):
-        self.mass = int(own["n"].sum()) if len(own) else 0
-        held = own.groupby("kv")["n"].sum() if len(own) else pd.Series(dtype="int64")
+        self.mass = int(own["n"].sum())
         tiles = tiles.sort_values(["tile_rec", "lo", "kv"], kind="stable")
-        self.windows = tiles[["tile_rec", "lo"]].drop_duplicates().reset_index(drop=True)
-        names = pd.MultiIndex.from_frame(self.windows)
-        window = names.get_indexer(pd.MultiIndex.from_frame(tiles[["tile_rec", "lo"]])) if len(tiles) else np.zeros(0, int)
-        kinds = pd.Index(tiles["kv"].unique())
-        kind = kinds.get_indexer(tiles["kv"])
-        left = held.reindex(kinds).to_numpy(float)
-        total, room = left.copy(), tiles["n"].to_numpy(float)
-        several = tiles.groupby("kv")["tile_rec"].nunique().reindex(kinds).to_numpy() > 1
-        by_kind, by_window = _groups(kind, len(kinds)), _groups(window, len(self.windows))
-        gain = np.bincount(window, np.minimum(room, left[kind]), minlength=len(self.windows)) if len(room) else np.zeros(0)
-        self.claimed, self.contested = np.zeros(len(self.windows)), np.zeros(len(self.windows))
-        slices = own.set_index("kv").loc[own["kv"].isin(kinds).to_numpy()] if len(own) else own
-        parts = {k: (g["slice"].to_numpy(), g["n"].to_numpy(float)) for k, g in slices.groupby(level=0)} if len(slices) else {}
-        self.paint: dict[tuple[int, int], float] = {}
-        self.truncated = False
+        place = tiles[["tile_rec", "lo"]].to_numpy(np.int64).reshape(-1, 2)
+        begins = np.flatnonzero(np.append(True, (place[1:] != place[:-1]).any(1))) if len(place) else np.zeros(0, np.int64)
+        self.windows = pd.DataFrame(place[begins], columns=["tile_rec", "lo"])
+        window = np.repeat(np.arange(len(begins)), np.diff(np.append(begins, len(place))))
+        kinds, kind = np.unique(tiles["kv"].to_numpy(np.int64), return_inverse=True)
+        at = np.searchsorted(kinds, own["kv"].to_numpy(np.int64))
+        shared = (at < len(kinds)) & (kinds[np.minimum(at, len(kinds) - 1)] == own["kv"].to_numpy(np.int64)) if len(kinds) else np.zeros(len(own), bool)
+        own_kind, own_slice, own_n = at[shared], own["slice"].to_numpy(np.int64)[shared], own["n"].to_numpy(float)[shared]
+        total = np.bincount(own_kind, own_n, minlength=len(kinds))
+        left, room = total.copy(), tiles["n"].to_numpy(float)
+        pairs = np.unique(np.stack([kind, place[:, 0]]), axis=1)[0] if len(kinds) else kind
+        several = np.bincount(pairs, minlength=len(kinds)) > 1
+        of_kind, of_own = Lists(kind, len(kinds)), Lists(own_kind, len(kinds))
+        gain = np.bincount(window, np.minimum(room, left[kind]), minlength=len(begins)) if len(room) else np.zeros(0)
+        slices = int(own_slice.max()) + 1 if len(own_slice) else 0
+        painted: dict[int, np.ndarray] = {}
+        self.claimed, self.contested, self.truncated = np.zeros(len(begins)), np.zeros(len(begins)), False
+        ends = np.append(begins, len(place))
         for turn in range(rounds):
             if not len(gain) or gain.max() < max(1.0, share * self.mass):
                 break
             self.truncated = turn == rounds - 1
             best = int(gain.argmax())  # of equal ones the first by record and place
-            for row in by_window[best]:
-                s = kind[row]
-                take = min(left[s], room[row])
-                if take <= 0:
-                    continue
-                rows = by_kind[s]
-                gain[window[rows]] -= np.minimum(room[rows], left[s])
-                left[s] -= take
-                room[row] -= take
-                gain[window[rows]] += np.minimum(room[rows], left[s])
-                self.claimed[best] += take
-                self.contested[best] += take * several[s]
-                for at, n in zip(*parts[kinds[s]], strict=True):
-                    where = (int(at), int(self.windows["tile_rec"][best]))
-                    self.paint[where] = self.paint.get(where, 0.0) + n * take / total[s]
-
-
-def _groups(values: np.ndarray, n: int) -> list[np.ndarray]:
-    order = np.argsort(values, kind="stable")
-    return np.split(order, np.cumsum(np.bincount(values, minlength=n))[:-1]) if n else []
+            rows = np.arange(ends[best], ends[best + 1])
+            take = np.minimum(left[kind[rows]], room[rows])
+            rows, take = rows[take > 0], take[take > 0]
+            which = kind[rows]
+            near, _ = of_kind.of(which)
+            before = np.minimum(room[near], left[kind[near]])
+            left[which] -= take
+            room[rows] -= take
+            gain += np.bincount(window[near], np.minimum(room[near], left[kind[near]]) - before, minlength=len(gain))
+            self.claimed[best] += take.sum()
+            self.contested[best] += take[several[which]].sum()
+            here, j = of_own.of(which)
+            rec = int(self.windows["tile_rec"].iloc[best])
+            painted[rec] = painted.get(rec, 0) + np.bincount(own_slice[here], own_n[here] * (take / total[which])[j], minlength=slices)
+        self.paint = {(int(i), rec): float(v[i]) for rec, v in painted.items() for i in np.flatnonzero(v)}
 
 
 def _run(rounds: int, share: float):
@@ -101,7 +112,10 @@ def _run(rounds: int, share: float):
 
 
 def gather(kmers: DataFrame, axis: DataFrame, rec: int, tile_bp: int | None = None, rounds: int = ROUNDS, share: float = SHARE, slices: int = SLICES) -> tuple[DataFrame, int, int]:
-    """Rows of kind `claim` (record, window start, mass, contested), `paint` (record, slice, mass) and `total` (truncated, mass); window and slice widths."""
+    """Rows of kind `claim` (record, window start, mass, contested), `paint` (record, slice, mass) and `total` (truncated, mass); window and slice widths.
+
+    Each round depends on the one before, so one task runs them. It gets the record's k-mers by slice, and those of the windows that share one: with k-mers sampled by value at the rate of scaled_for(total, SKETCH_CAP), as they should be for long axes, SKETCH_CAP rows of each at most.
+    """
     sizes = axis.agg(F.sum("len").alias("all"), F.max(F.when(F.col("rec") == rec, F.col("len"))).alias("own")).first()
     width = tile_width(max(1, sizes["all"] - sizes["own"]), tile_bp)
     slice_bp, _ = slice_width(sizes["own"], slices)
