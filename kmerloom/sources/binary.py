@@ -11,6 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 
 from kmerloom.model import EngineError
+from kmerloom.operators.intervals import check_windows
 
 #: Signatures and limits of the formats.
 TWOBIT, BIGBED, CHROM_TREE, RTREE = 0x1A412743, 0x8789F2EB, 0x78CA8C91, 0x2468ACE0
@@ -148,8 +149,9 @@ class BigBed:
         return sorted(found, key=lambda x: x[0])
 
 
-def read_twobit(spark: SparkSession, path: str, regions: list[tuple[str, int, int]]) -> DataFrame:
-    """name, offset (the region's start) and seq of each region."""
+def read_twobit(spark: SparkSession, path: str, regions: list[tuple[str, int, int]], confirm: bool = False) -> DataFrame:
+    """name, offset (the region's start) and seq of each region. A task holds the file, which may have 2 GB; regions of more than 300 Mb want to be confirmed."""
+    check_windows(sum(max(0, e - s) for _, s, e in regions), confirm)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:

@@ -499,3 +499,20 @@ def test_multiplicity_texture(spark):
 def test_grid_side_of_an_axis(spark):
     own = kmers.spread(axis(spark, bases(500, 1)))
     assert contain.side_of(own, 12) == 512 and contain.side_of(own, 12, 80) == 80 and contain.side_of(own, 12, 5000) == 1024
+
+
+def test_records_and_explanations(spark):
+    from kmerloom.plans.records import compare_records, explain_record
+
+    x, y = bases(6000, 1), bases(6000, 2)
+    a = axis(spark, x[:2500] + y[3000:5500] + bases(300, 3), x, y)
+    rows = {(r.i, r.j): r for r in compare_records(a).collect()}
+    assert rows[1, 0].containment > 0.4 and (1, 2) not in rows
+    with pytest.raises(EngineError):
+        compare_records(axis(spark, x))
+    with pytest.raises(EngineError):
+        compare_records(a, most=2)
+    e = explain_record(a, 0)
+    assert not e.truncated and {r.rec for r in e.components.collect()} == {1, 2} and math.isclose(sum(r.share for r in e.report.collect()), 1.0)
+    strip = {r.slice: (r.rec, r.explained) for r in e.strip.collect()}
+    assert strip[1] == (1, 1.0) and strip[80][0] == 2 and max(strip) < 94

@@ -204,3 +204,9 @@ def test_head_of_files(spark, tmp_path):
 def test_labels():
     assert grammar.regions_label([("chr1", 99, 2000, None)]) == "chr1:100-2,000" and grammar.regions_label([("c", 0, 1, "arm")]) == "arm" and grammar.regions_label([("c", 0, 1, None)] * 2) == "2 regions"
     assert formatting.record_labels(["a", "b"], ["b", "c"]) == ["a", "b (x)", "b (y)", "c"] and formatting.record_region("a", 1000, 0, 5000) == "a:1,001-6,000"
+
+
+def test_too_many_bases_are_asked_for(spark, tmp_path):
+    with pytest.raises(EngineError) as e:
+        binary.read_twobit(spark, str(tmp_path), [("a", 0, 400_000_000)])
+    assert e.value.remedies == {"confirm": True}
