@@ -140,7 +140,10 @@ def running_total(df: DataFrame, group: Sequence[str], part: str, order: Sequenc
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """The table `documents`. Where its scan has fewer tasks than there are cores, as that of one small file, its rows are dealt out."""
+    df = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
 
 
 def field(name: str, kind: str) -> T.StructField:
