@@ -11,6 +11,7 @@ from kmerloom.llm.quality import OP6_SQL, op6_quality
 from kmerloom.llm.secrets import op4_secrets
 from kmerloom.llm.sharding import OP10_SQL, op10_sharding
 from kmerloom.llm.token_counts import op2_token_counts
+from kmerloom.llm.toxicity import op12_toxicity
 from kmerloom.llm.whitening import op11_whitening
 
 QUERIES = {
@@ -25,6 +26,7 @@ QUERIES = {
     "op9_language_id": op9_language_id,
     "op10_sharding": op10_sharding,
     "op11_whitening": op11_whitening,
+    "op12_toxicity": op12_toxicity,
     "op13_prefix_trie": op13_prefix_trie,
 }
 
