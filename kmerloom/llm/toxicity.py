@@ -114,11 +114,11 @@ class Lexicon(dict):
         self.starts = {p[:least] for p in insults}
         self.short = {p[:-1] for p in insults if len(p) <= least}
 
-    def insult(self, word: str) -> float | None:
+    def insult(self, word: str) -> str | None:
+        """The word's pattern."""
         if word[: min(STEMS)] not in self.starts and word not in self.short:
             return None
-        found = [(self.insults[p], len(p)) for p in patterns(word) if p in self.insults]
-        return max(found, key=lambda x: (x[0][0], x[1]))[0][1] if found else None
+        return max((p for p in patterns(word) if p in self.insults), key=lambda p: (self.insults[p][0], len(p)), default=None)
 
     def __missing__(self, token: str) -> int:
         if len(self) > REMEMBERED:
@@ -127,8 +127,8 @@ class Lexicon(dict):
         lo, hi = edges(token)
         word = token[lo:hi].lower()
         out = [(QUOTE, 0.0) for c in token[:lo] if c in QUOTES]
-        weight = self.insult(word)
-        out.append((INSULT, weight) if weight is not None else (self.fixed.get(word, OTHER), THREAT_WEIGHT))
+        pattern = self.insult(word)
+        out.append((INSULT, self.insults[pattern][1]) if pattern is not None else (self.fixed.get(word, OTHER), THREAT_WEIGHT))
         for c in token[hi:]:
             if c in QUOTES:
                 out.append((QUOTE, 0.0))
@@ -219,22 +219,29 @@ def _signed(text: str):
     return run
 
 
-def _pattern_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in parts(batches):
-        found: tuple[Counter, Counter] = (Counter(), Counter())
-        for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist(), strict=True):
-            own = {w for _, tokens in lines(text or "") for w in map(bare, tokens) if w}
-            found[toxic].update({p for w in own for p in patterns(w)})
-        names = list(found[0] | found[1])
-        yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), *[pa.array([c[p] for p in names], pa.int64()) for c in found]], names=["pattern", "clean", "toxic"])
+def _pattern_counts(insults: dict | None):
+    """In how many clean and toxic texts patterns are: all that the words have, or of each word the one that counts in a lexicon."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lexicon = Lexicon(insults or {})
+        for batch in parts(batches):
+            found: tuple[Counter, Counter] = (Counter(), Counter())
+            for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist(), strict=True):
+                own = {w for _, tokens in lines(text or "") for w in map(bare, tokens) if w}
+                found[toxic].update({p for w in own for p in patterns(w)} if insults is None else {lexicon.insult(w) for w in own} - {None})
+            names = list(found[0] | found[1])
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), *[pa.array([c[p] for p in names], pa.int64()) for c in found]], names=["pattern", "clean", "toxic"])
+
+    return run
 
 
 def learn_insults(sample: DataFrame, clean: int, toxic: int) -> dict[str, tuple[float, float]]:
-    """pattern -> (likelihood ratio, log-odds) of the patterns that texts labelled toxic have more often than chance explains, over all patterns tested. sample: text and toxic (0 or 1)."""
+    """pattern -> (likelihood ratio, log-odds) of the patterns that texts labelled toxic have more often than chance explains, over all patterns tested. sample: text and toxic (0 or 1).
+
+    They are counted twice: first each by itself, then each with those words only for which no surer one counts. So the beginning of an insult's stem is not one unless it is so in other words.
+    """
     if not clean or not toxic:
         return {}
-    counts = sample.select("text", "toxic").mapInArrow(_pattern_counts, "pattern string, clean long, toxic long").groupBy("pattern").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")).filter(F.col("clean") + F.col("toxic") >= LEAST_TEXTS)
-    counts = materialize(counts, "toxicity-patterns")
     share = toxic / (clean + toxic)
     n = F.col("clean") + F.col("toxic")
 
@@ -246,14 +253,19 @@ def learn_insults(sample: DataFrame, clean: int, toxic: int) -> dict[str, tuple[
 
     ratio = 2 * (side(F.col("toxic"), n) + side(F.lit(toxic) - F.col("toxic"), F.lit(clean + toxic) - n))
     weight = F.log((F.col("toxic") + 0.5) / (toxic + 1)) - F.log((F.col("clean") + 0.5) / (clean + 1))
-    # The driver gets those patterns of the bounded sample's words that chance makes once in a thousand.
-    found = counts.select("pattern", ratio.alias("ratio"), weight.alias("weight")).filter((F.col("ratio") > LEAST_RATIO) & (F.col("weight") > LEAST_WEIGHT) & (F.col("pattern") != "$")).orderBy(F.desc("ratio"), "pattern").collect()
-    tested = counts.count()
-    discard(counts)
-    # False discovery control: the last place up to which chance explains no more than the share allowed.
-    chance = [0.5 * math.erfc(math.sqrt(r["ratio"] / 2)) for r in found]
-    passed = max((i for i, p in enumerate(chance, 1) if p <= FALSE_PATTERNS * i / tested), default=0)
-    return {r["pattern"]: (r["ratio"], r["weight"]) for r in found[:passed]}
+    insults, tested = None, 0
+    for _ in range(2):
+        counts = sample.select("text", "toxic").mapInArrow(_pattern_counts(insults), "pattern string, clean long, toxic long").groupBy("pattern").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")).filter(n >= LEAST_TEXTS)
+        counts = materialize(counts, "toxicity-patterns")
+        tested = tested or counts.count()
+        # The driver gets those patterns of the bounded sample's words that chance makes once in a thousand.
+        found = counts.select("pattern", ratio.alias("ratio"), weight.alias("weight")).filter((F.col("ratio") > LEAST_RATIO) & (F.col("weight") > LEAST_WEIGHT)).orderBy(F.desc("ratio"), "pattern").collect()
+        discard(counts)
+        # False discovery control: the last place up to which chance explains no more than the share allowed.
+        chance = [0.5 * math.erfc(math.sqrt(r["ratio"] / 2)) for r in found]
+        passed = max((i for i, p in enumerate(chance, 1) if p <= FALSE_PATTERNS * i / tested), default=0)
+        insults = {r["pattern"]: (r["ratio"], r["weight"]) for r in found[:passed]}
+    return insults
 
 
 def _featured(insults: dict):
