@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 from kmerloom.model import EngineError
 from kmerloom.plans.ordering import with_running_total
+from kmerloom.sources import bgzf
+from kmerloom.sources.heads import is_bgzf
 
 OFFSET = re.compile(r"(?:^|\s)@offset=(\d+)(?=\s|$)")
 BLANKS = re.compile(r"[ \t\r\n\f\v]+")
@@ -46,11 +48,14 @@ def _parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(rows, columns=["file", "block", "idx", "name", "named", "offset", "seq", "n_gt"])
 
 
-def read_records(spark: SparkSession, *paths: str) -> DataFrame:
-    """Records of FASTA files (plain or gzip) in their order: file_ord, rec_ord, name, offset, seq, n_gt."""
+def read_records(spark: SparkSession, *paths: str, split: int = bgzf.SPLIT) -> DataFrame:
+    """Records of FASTA files (plain, gzip or BGZF) in their order: file_ord, rec_ord, name, offset, seq, n_gt. split: compressed bytes of a BGZF file for a task."""
     parts = []
     for i, path in enumerate(paths):
-        lines = spark.read.text(path, lineSep="\n>").select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), "value")
+        if is_bgzf(spark, path):
+            lines = bgzf.read_bgzf(spark, path, "\n>", split)
+        else:
+            lines = spark.read.text(path, lineSep="\n>").select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), "value")
         rows = lines.mapInPandas(_parse, PARSED)
         order = rows.select("file", "block", "idx", F.row_number().over(Window.orderBy("file", "block", "idx")).alias("rec_ord"))
         parts.append(rows.join(order, ["file", "block", "idx"]).select(F.lit(i).alias("file_ord"), "rec_ord", F.coalesce("name", F.concat(F.lit("seq"), F.col("rec_ord"))).alias("name"), "offset", "seq", "n_gt"))
@@ -60,11 +65,11 @@ def read_records(spark: SparkSession, *paths: str) -> DataFrame:
     return out
 
 
-def read_axis(spark: SparkSession, *paths: str) -> DataFrame:
+def read_axis(spark: SparkSession, *paths: str, split: int = bgzf.SPLIT) -> DataFrame:
     """Files stacked on one axis: rec (from 0), name, start, len, offset, seq (in upper case, other than A, C, G, T, U as N)."""
     from kmerloom.functions.sequence import normalise
 
-    rows = read_records(spark, *paths)
+    rows = read_records(spark, *paths, split=split)
     order = rows.select("file_ord", "rec_ord", F.length("seq").cast("long").alias("len")).withColumn("rec", (F.row_number().over(Window.orderBy("file_ord", "rec_ord")) - 1).cast("long"))
     placed = with_running_total(order, "rec", "len", "start")
     axis = rows.join(placed, ["file_ord", "rec_ord"]).select("rec", "name", "start", "len", "offset", normalise(F.col("seq")).alias("seq"))

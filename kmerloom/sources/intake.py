@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
-import zlib
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 
 from kmerloom.model import EngineError
 from kmerloom.sources import fasta, paf
+from kmerloom.sources.heads import HEAD, head_of
+
+__all__ = ["HEAD", "Intake", "fasta_slot", "head_of", "kind_of", "route"]
 
-#: Bytes that are looked at to tell what a file is.
-HEAD = 64 * 1024
 NAMES = {"fasta": (".fa", ".fasta", ".fna"), "paf": (".paf",)}
 
 
@@ -22,17 +22,6 @@ class Intake:
     paf: str | None = None
 
 
-def head_of(spark: SparkSession, path: str, size: int = HEAD) -> bytes:
-    """The first bytes of a file, of its content if it is gzip; the file system that Spark knows opens it, and no more is read."""
-    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    stream = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).open(place)
-    try:
-        data = bytes(stream.readNBytes(size))
-    finally:
-        stream.close()
-    return zlib.decompressobj(31).decompress(data, size) if data[:2] == b"\x1f\x8b" else data
-
-
 def kind_of(spark: SparkSession, path: str) -> str:
     """By the name, else by the first bytes."""
     bare = path.lower().removesuffix(".gz")

@@ -6,18 +6,23 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from kmerloom.model import EngineError
+from kmerloom.sources import bgzf
+from kmerloom.sources.heads import is_bgzf
 
 #: The 12 columns of a line, and those among the first 11 that are unsigned numbers.
 COLUMNS = ("qname", "qlen", "qs", "qe", "strand", "tname", "tlen", "ts", "te", "nmatch", "alnlen", "mapq")
 NUMBERS = ("qlen", "qs", "qe", "tlen", "ts", "te", "nmatch", "alnlen")
 
 
-def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """line_no (from 0) and value, in the order of files and of places in them.
+def read_lines(spark: SparkSession, path: str, split: int = bgzf.SPLIT) -> DataFrame:
+    """line_no (from 0) and value, in the order of files and of places in them. split: compressed bytes of a BGZF file for a task.
 
     Inside a split of a file Spark numbers rows as it reads them; what comes before is added up from one row for each split, so no task sorts the lines.
     """
-    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_block_start").alias("b"), F.monotonically_increasing_id().alias("m"))
+    if is_bgzf(spark, path):
+        lines = bgzf.read_bgzf(spark, path, split=split).select("value", F.col("file").alias("f"), F.col("block").alias("b"), F.monotonically_increasing_id().alias("m"))
+    else:
+        lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_block_start").alias("b"), F.monotonically_increasing_id().alias("m"))
     splits = lines.groupBy("f", "b").agg(F.count(F.lit(1)).alias("n"), F.min("m").alias("first"))
     earlier = Window.orderBy("f", "b").rowsBetween(Window.unboundedPreceding, -1)
     splits = splits.select("f", "b", (F.coalesce(F.sum("n").over(earlier), F.lit(0)) - F.col("first")).alias("shift"))
