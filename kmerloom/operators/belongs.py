@@ -6,6 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kmerloom.model import BELONGS_MAX, BELONGS_MIN, EngineError
+from kmerloom.operators import pairs
+from kmerloom.operators.kmers import group_kmers, record_kmers
+from kmerloom.plans.tables import stored
 
 
 def species_counts(kmers: DataFrame) -> DataFrame:
@@ -37,6 +40,24 @@ def belongs(counts: DataFrame) -> DataFrame:
     )
 
 
+def between(pieces: DataFrame, k: int, by: str = "rec", scaled: int = 1) -> tuple[DataFrame, DataFrame]:
+    """belongs() and masses() of the groups `by` of an axis in pieces (spread), whose k-mers are enumerated and dealt out once: pairs of groups are added up where k-mers meet, and stored. With more groups than that takes, by joins."""
+    names = stored(pieces.select(by).distinct().withColumn("g", (F.row_number().over(Window.orderBy(by)) - 1).cast("long")), "groups")
+    n = names.count()
+    if not pairs.fits(n):
+        counts = stored(record_kmers(pieces, k, scaled, by).withColumnRenamed(by, "rec"), "records", by="kv")
+        return belongs(counts), masses(counts)
+    coded = pieces.join(F.broadcast(names), pieces[by].eqNullSafe(names[by])).drop(names[by])
+    sums = stored(pairs.pair_sums(group_kmers(coded, k, scaled, "g"), n), "belongs")
+    i, j = (names.select(F.col("g").alias(x), F.col(by).alias(f"{x}_name")) for x in "ij")
+    totals = sums.filter("i = j").join(F.broadcast(i), "i").select(F.col("i_name").alias("rec"), "total", F.col("unique").alias("unique_total"))
+    both = sums.filter("i <> j")
+    half = both.select("i", "j", "shared", "exclusive").filter("i < j")
+    common = half.unionByName(half.select(F.col("j").alias("i"), F.col("i").alias("j"), "shared", "exclusive"))
+    rows = both.select("i", "j", "unique", "cross_mass").join(F.broadcast(common), ["i", "j"]).join(F.broadcast(i), "i").join(F.broadcast(j), "j")
+    return rows.select(F.col("i_name").alias("i"), F.col("j_name").alias("j"), "shared", "exclusive", "unique", "cross_mass"), totals
+
+
 def with_metrics(pairs: DataFrame, totals: DataFrame, k: int) -> DataFrame:
     """containment (of i in j), back (of j in i), identity, exclusive_share, unique_share (null if i has no single k-mer) and copy_ratio (of j's copies to i's, null within 15 per cent of 1)."""
     i, j = (totals.select(F.col("rec").alias(x), F.col("total").alias(f"total_{x}"), F.col("unique_total").alias(f"unique_{x}")) for x in "ij")

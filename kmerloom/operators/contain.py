@@ -1,24 +1,26 @@
 """Containment of tile pairs: how much of a tile's k-mers, counted with copies, another tile holds, and the identity that this stands for.
 
-Counts are added up for each tile and k-mer before the join, so a pair costs by tiles that a k-mer touches, not by its copies. They are dealt out by k-mer once, for the counts and for the join.
+Copies are added up for each tile and k-mer, so a pair costs by tiles that a k-mer touches, not by its copies.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kmerloom.model import EngineError
+from kmerloom.operators import pairs
 from kmerloom.operators.kmers import kmers, tile_kmers
 from kmerloom.operators.profile import occurrences
 from kmerloom.plans.density import grid_side
+from kmerloom.plans.tables import stored
 
 
 def tile_counts(axis: DataFrame, lo: int, hi: int, n: int, k: int) -> DataFrame:
     """tile, kv and n: copies of each k-mer in each of n equal tiles of [lo, hi)."""
     if hi - lo < 100:
         raise EngineError("The window is too small: 100 bases on each side are needed.")
-    return tile_kmers(axis, k, grid=(lo, hi, n))
+    return tile_kmers(axis, k, grid=(lo, hi, n), merged=False)
 
 
 def side_of(axis: DataFrame, k: int, asked: int | None = None, most: int = 512) -> int:
@@ -32,22 +34,19 @@ def side_of(axis: DataFrame, k: int, asked: int | None = None, most: int = 512)
 def containment_grid(x_axis: DataFrame, y_axis: DataFrame | None, x_range: tuple[int, int], y_range: tuple[int, int] | None, n: int, k: int) -> DataFrame:
     """tx, ty, shared, containment and identity = containment^(1/k) of tile pairs that share a k-mer; forward k-mers, no occurrence cap. Axes come in pieces (spread). Without a second axis, or with one that is the first, x_range is held against y_range of the same axis; without y_range against itself.
 
-    Of a grid against itself a tile shares all its k-mers with itself, and only k-mers of several tiles are paired, each pair of tiles once.
+    Each axis is enumerated once, and its k-mers are dealt out once: pairs are added up where they meet (pairs.pair_sums), tiles of a second axis being numbered on. The sums are stored, a row for each pair of tiles.
     """
-    x = tile_counts(x_axis, *x_range, n, k)
+    x, sums = tile_counts(x_axis, *x_range, n, k).withColumnRenamed("tile", "g"), ("shared", "total")
     if y_axis is None and y_range in (None, x_range):
-        total = x.groupBy("tile").agg(F.sum("n").cast("long").alias("total"))
-        several = x.withColumn("tiles", F.count(F.lit(1)).over(Window.partitionBy("kv"))).filter("tiles > 1").drop("tiles")
-        a, b = (several.select("kv", F.col("tile").alias(t), F.col("n").alias(f"n_{t}")) for t in ("tx", "ty"))
-        half = a.join(b, "kv").filter("tx < ty").groupBy("tx", "ty").agg(F.sum(F.least("n_tx", "n_ty")).cast("long").alias("shared"))
-        both = half.select(F.explode(F.array(F.struct(F.col("tx").alias("tx"), F.col("ty").alias("ty")), F.struct(F.col("ty").alias("tx"), F.col("tx").alias("ty")))).alias("t"), "shared").select("t.*", "shared")
-        shared = both.unionByName(total.select(F.col("tile").alias("tx"), F.col("tile").alias("ty"), F.col("total").alias("shared")))
-        total_x, total_y = total, total
+        both = stored(pairs.pair_sums(x, n, sums=sums), "grid")
+        total_x = total_y = both.filter("i = j").select(F.col("i").alias("tile"), "total")
+        half = both.filter("i < j").select("i", "j", "shared")
+        found = half.unionByName(half.select(F.col("j").alias("i"), F.col("i").alias("j"), "shared")).unionByName(total_x.select(F.col("tile").alias("i"), F.col("tile").alias("j"), F.col("total").alias("shared")))
     else:
-        y = tile_counts(x_axis if y_axis is None else y_axis, *(y_range or x_range), n, k)
-        total_x, total_y = (c.groupBy("tile").agg(F.sum("n").cast("long").alias("total")) for c in (x, y))
-        a, b = (c.select("kv", F.col("tile").alias(t), F.col("n").alias(f"n_{t}")) for c, t in ((x, "tx"), (y, "ty")))
-        shared = a.join(b, "kv").groupBy("tx", "ty").agg(F.sum(F.least("n_tx", "n_ty")).cast("long").alias("shared"))
-    rows = shared.join(total_x.select(F.col("tile").alias("tx"), F.col("total").alias("total_x")), "tx").join(total_y.select(F.col("tile").alias("ty"), F.col("total").alias("total_y")), "ty")
+        y = tile_counts(x_axis if y_axis is None else y_axis, *(y_range or x_range), n, k).select((F.col("tile") + n).alias("g"), "kv", "n")
+        both = stored(pairs.pair_sums(x.unionByName(y), 2 * n, n, sums), "grid")
+        total_x, total_y = (both.filter(F.col("i") == F.col("j")).filter(half).select((F.col("i") - shift).alias("tile"), "total") for half, shift in ((F.col("i") < n, 0), (F.col("i") >= n, n)))
+        found = both.filter("i < j").select("i", (F.col("j") - n).alias("j"), "shared")
+    rows = found.select(F.col("i").alias("tx"), F.col("j").alias("ty"), "shared").join(total_x.select(F.col("tile").alias("tx"), F.col("total").alias("total_x")), "tx").join(total_y.select(F.col("tile").alias("ty"), F.col("total").alias("total_y")), "ty")
     c = F.col("shared") / F.least("total_x", "total_y")
     return rows.select(F.col("tx").cast("int").alias("tx"), F.col("ty").cast("int").alias("ty"), "shared", c.alias("containment"), F.pow(c, F.lit(1.0) / max(1, k)).alias("identity"))

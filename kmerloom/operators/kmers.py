@@ -12,24 +12,31 @@ from pyspark.sql import functions as F
 from kmerloom.functions.sequence import batch_codes, batch_kmers, canonical, hash32_array, packed, reverse_complement
 from kmerloom.model import K_MAX, K_MIN, EngineError
 from kmerloom.plans.ordering import with_running_total
+from kmerloom.plans.tables import stored
 
 #: Bases that are packed at a time, and bases of a piece of a record.
 BATCH, PIECE = 1 << 20, 1 << 21
 
 
 def as_axis(df: DataFrame, order: str, name: str, seq: str, offset: str | None = None) -> DataFrame:
-    """Records laid end to end in the order of an integer column that no two rows share: rec (that integer), name, start, len, offset, seq."""
+    """Records laid end to end in the order of an integer column that no two rows share: rec (that integer), name, start, len, offset, seq.
+
+    Where records begin is stored once, a small row for each: what is asked of the axis later reads the sequences once, and its catalog and its length without them.
+    """
     rows = df.select(F.col(order).cast("long").alias("rec"), F.col(name).cast("string").alias("name"), F.coalesce(F.col(offset), F.lit(0)).cast("long").alias("offset") if offset else F.lit(0).cast("long").alias("offset"), F.col(seq).alias("seq"))
-    placed = with_running_total(rows.select("rec", F.length("seq").cast("long").alias("len")), "rec", "len", "start")
-    return rows.join(placed, "rec").select("rec", "name", "start", "len", "offset", "seq")
+    placed = stored(with_running_total(rows.select("rec", "name", "offset", F.length("seq").cast("long").alias("len")), "rec", "len", "start"), "axis")
+    axis = rows.select("rec", "seq").join(placed, "rec").select("rec", "name", "start", "len", "offset", "seq")
+    axis._kmerloom_catalog = placed.select("rec", "name", "start", "len", "offset")
+    return axis
 
 
 def catalog(axis: DataFrame) -> DataFrame:
-    return axis.select("rec", "name", "start", (F.col("start") + F.col("len")).alias("end"), "offset")
+    own = getattr(axis, "_kmerloom_catalog", axis)
+    return own.select("rec", "name", "start", (F.col("start") + F.col("len")).alias("end"), "offset")
 
 
 def total_length(axis: DataFrame) -> int:
-    return axis.agg(F.coalesce(F.sum("len"), F.lit(0))).first()[0]
+    return getattr(axis, "_kmerloom_catalog", axis).agg(F.coalesce(F.sum("len"), F.lit(0))).first()[0]
 
 
 def concatenate(first: DataFrame, second: DataFrame) -> DataFrame:
@@ -113,7 +120,11 @@ def _counted(group: np.ndarray, kv: np.ndarray) -> tuple[np.ndarray, np.ndarray,
 def _by_record(k: int, scaled: int, by: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, row, _, kv, _ in _windows(batches, k, 1, scaled, False, True):
-            row, kv, n = _counted(row, kv)
+            # Rows of one group count together: the first of them stands for it.
+            codes = batch.column(by).dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False)
+            first = np.full(int(codes.max(initial=-1)) + 2, -1)
+            first[codes[::-1]] = np.arange(len(codes))[::-1]
+            row, kv, n = _counted(first[codes][row], kv)
             yield pa.RecordBatch.from_arrays([batch.column(by).take(pa.array(row)), pa.array(kv, pa.int64()), pa.array(n, pa.int64())], names=[by, "kv", "n"])
 
     return run
@@ -163,22 +174,30 @@ def canonical_kmers(axis: DataFrame, k: int, scaled: int = 1) -> DataFrame:
     return _rows(axis).mapInArrow(_kmers(k, 1, scaled, False, True), "rec long, pos long, kv long")
 
 
+def group_kmers(axis: DataFrame, k: int, scaled: int = 1, by: str = "rec") -> DataFrame:
+    """As record_kmers(), but a k-mer and group may have several rows, whose copies add up: nothing is shuffled."""
+    _checked(k)
+    return axis.select(*dict.fromkeys(["rec", by]), "start", "len", "seq").mapInArrow(_by_record(k, scaled, by), f"{by} {axis.schema[by].dataType.simpleString()}, kv long, n long")
+
+
 def record_kmers(axis: DataFrame, k: int, scaled: int = 1, by: str = "rec") -> DataFrame:
     """`by` (rec, or a column that spread() has kept), kv and n: copies of each canonical k-mer in each record or group of records. Copies are added up in each piece first, then dealt out by k-mer: what is asked of k-mers afterwards needs no further shuffle."""
-    _checked(k)
-    each = axis.select(*dict.fromkeys(["rec", by]), "start", "len", "seq").mapInArrow(_by_record(k, scaled, by), f"{by} {axis.schema[by].dataType.simpleString()}, kv long, n long")
-    return each.repartition("kv").groupBy(by, "kv").agg(F.sum("n").alias("n"))
+    return group_kmers(axis, k, scaled, by).repartition("kv").groupBy(by, "kv").agg(F.sum("n").alias("n"))
 
 
-def tile_kmers(axis: DataFrame, k: int, width: int | None = None, stride: int = 1, grid: tuple[int, int, int] | None = None) -> DataFrame:
-    """tile, kv and n: copies of each forward k-mer in each tile of `width` bases, or in each of n equal tiles of lo to hi (`grid`: lo, hi, n), where what falls past the last edge by rounding counts to the last tile. Dealt out by k-mer, as record_kmers()."""
+def tile_kmers(axis: DataFrame, k: int, width: int | None = None, stride: int = 1, grid: tuple[int, int, int] | None = None, merged: bool = True) -> DataFrame:
+    """tile, kv and n: copies of each forward k-mer in each tile of `width` bases, or in each of n equal tiles of lo to hi (`grid`: lo, hi, n), where what falls past the last edge by rounding counts to the last tile. Dealt out by k-mer, as record_kmers().
+
+    merged=False: a k-mer and tile may have several rows, whose copies add up, and nothing is shuffled: for sums that are linear in the copies.
+    """
     _checked(k)
     if grid:
         lo, hi, n = grid
         tile = lambda place: np.where((place >= lo) & (place < hi), np.minimum(n - 1, np.floor((place - lo) * (n / (hi - lo))).astype(np.int64)), -1)
     else:
         tile = lambda place: place // width
-    return _rows(axis).mapInArrow(_by_tile(k, stride, tile), "tile long, kv long, n long").repartition("kv").groupBy("tile", "kv").agg(F.sum("n").alias("n"))
+    each = _rows(axis).mapInArrow(_by_tile(k, stride, tile), "tile long, kv long, n long")
+    return each.repartition("kv").groupBy("tile", "kv").agg(F.sum("n").alias("n")) if merged else each
 
 
 def distinct_kmers(axis: DataFrame, k: int, scaled: int = 1) -> DataFrame:

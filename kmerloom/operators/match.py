@@ -7,17 +7,18 @@ from pyspark.sql import functions as F
 
 from kmerloom.model import SEGMENT_WALL_HARD, EngineError, MatchOptions
 from kmerloom.operators.kmers import kmers, spread, total_length
+from kmerloom.plans.tables import stored
 
-#: Starts of a range in which the anchors of a diagonal are put together.
-RANGE = 1 << 20
+#: Starts of a range in which the anchors of a diagonal are put together; rows of an index that may be sent to all tasks (some 30 MB).
+RANGE, BROADCAST_ROWS = 1 << 20, 400_000
 
 
 def occurrence_cap(index: DataFrame, cap: int | None) -> DataFrame:
-    """Index entries whose k-mer has at most `cap` of them. Counted before the join, so a repeat never multiplies."""
+    """Index entries whose k-mer has at most `cap` of them. Counted before the join, so a repeat never multiplies. The k-mers above the cap are the few: entries are held against those."""
     if cap is None:
         return index
-    few = index.groupBy("kv").count().filter(F.col("count") <= cap).select("kv")
-    return index.join(few, "kv", "left_semi")
+    many = index.groupBy("kv").count().filter(F.col("count") > cap).select("kv")
+    return index.join(many, "kv", "left_anti")
 
 
 def probes(query: DataFrame, options: MatchOptions, q_total: int, window: tuple[int, int] | None = None) -> DataFrame:
@@ -43,11 +44,21 @@ def target_index(target: DataFrame, options: MatchOptions) -> DataFrame:
     return kmers(target, options.k, options.stride).select(F.col("rec").alias("trec"), F.col("pos").alias("t"), "kv")
 
 
+def stored_index(target: DataFrame, options: MatchOptions) -> DataFrame:
+    """The index of a target axis, enumerated once: it is stored and counted."""
+    index = stored(target_index(target, options), "index")
+    index._kmerloom_rows = index.count()
+    return index
+
+
 def anchors(index: DataFrame, query: DataFrame, options: MatchOptions, q_total: int, t_window: tuple[int, int] | None = None, q_window: tuple[int, int] | None = None) -> DataFrame:
-    """strand, qrec, trec, p, t: one row for each pair of equal k-mers of the index and the query axis."""
+    """strand, qrec, trec, p, t: one row for each pair of equal k-mers of the index and the query axis. An index that was counted (stored_index) and has few rows goes to the probes, which then aren't shuffled."""
     if t_window:
         index = index.filter((F.col("t") >= t_window[0]) & (F.col("t") < t_window[1]))
-    return probes(query, options, q_total, q_window).join(occurrence_cap(index, options.cap), "kv").select("strand", "qrec", "trec", "p", "t")
+    known = occurrence_cap(index, options.cap)
+    if getattr(index, "_kmerloom_rows", BROADCAST_ROWS + 1) <= BROADCAST_ROWS:
+        known = F.broadcast(known)
+    return probes(query, options, q_total, q_window).join(known, "kv").select("strand", "qrec", "trec", "p", "t")
 
 
 def _runs(rows: DataFrame, keys: list[str], first: str, last: str, missing: Column, options: MatchOptions) -> DataFrame:
@@ -62,14 +73,15 @@ def _runs(rows: DataFrame, keys: list[str], first: str, last: str, missing: Colu
 def merge_runs(found: DataFrame, options: MatchOptions, q_total: int) -> DataFrame:
     """Runs: on one diagonal of one pair of records an anchor goes on with the run if at most max_gap starts are missing between, those that sampling leaves out not counted. The gap is in k-mer starts: one substitution costs k of them.
 
-    A diagonal may hold as many anchors as a record has bases, so runs are formed in ranges of RANGE starts first. Only the first and the last run of a range may go on in another; these are put together by diagonal, two for each range at most.
+    A diagonal may hold as many anchors as a record has bases, so runs are formed in ranges of RANGE starts first. A run may go on in another range only if it comes as near to the range's border as a gap may be wide: these alone, of many runs a few, are put together by diagonal. The runs are stored in between, so they are formed once.
     """
-    k, line = options.k, ["strand", "qrec", "trec", "diag"]
+    k, line, reach = options.k, ["strand", "qrec", "trec", "diag"], options.max_gap + options.hole
     rows = found.withColumns({"diag": F.col("p") - F.col("t"), "part": F.floor(F.col("p") / RANGE)})
-    runs = _runs(rows, [*line, "part"], "p", "p", F.lit(0), options)
-    edge = (F.col("run") == 1) | (F.col("run") == F.max("run").over(Window.partitionBy(*line, "part")))
-    runs = runs.withColumn("edge", edge).withColumn("part", F.when(F.col("edge"), F.lit(-1).cast("long")).otherwise(F.col("part"))).drop("run", "edge")
-    runs = _runs(runs, [*line, "part"], "first", "last", F.col("missing"), options)
+    runs = stored(_runs(rows, [*line, "part"], "p", "p", F.lit(0), options).drop("run"), "runs")
+    border = (F.col("first") - F.col("part") * RANGE <= reach) | ((F.col("part") + 1) * RANGE - 1 - F.col("last") <= reach)
+    near = _runs(runs.filter(border), line, "first", "last", F.col("missing"), options)
+    columns = [*line, "t", "first", "last", "missing"]
+    runs = runs.filter(~border).select(columns).unionByName(near.select(columns))
     length = F.col("last") - F.col("first") + k
     y = F.when(F.col("strand") == 0, F.col("first")).otherwise(F.lit(q_total) - F.col("last") - k)
     runs = runs.select(F.col("t").alias("x"), y.cast("long").alias("y"), length.cast("long").alias("dx"), length.cast("long").alias("dy"), "strand", "qrec", "trec", F.col("missing").alias("gap_bases"), ((length - F.col("missing")) / length).alias("identity"))
@@ -79,7 +91,7 @@ def merge_runs(found: DataFrame, options: MatchOptions, q_total: int) -> DataFra
 def match(target: DataFrame, query: DataFrame, options: MatchOptions = MatchOptions(), t_window: tuple[int, int] | None = None, q_window: tuple[int, int] | None = None) -> DataFrame:
     """Segments of two axes. A self comparison is match(axis, axis): the diagonal and both mirror images stay."""
     q_total = total_length(query)
-    return merge_runs(anchors(target_index(spread(target), options), spread(query), options, q_total, t_window, q_window), options, q_total)
+    return merge_runs(anchors(stored_index(spread(target), options), spread(query), options, q_total, t_window, q_window), options, q_total)
 
 
 def guarded(segments: DataFrame, options: MatchOptions = MatchOptions()) -> DataFrame:

@@ -5,8 +5,6 @@ The tables hold no sequences: a text's letters stand in for bases (functions.seq
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -19,6 +17,7 @@ from kmerloom.operators import belongs as B
 from kmerloom.operators import contain, gather, intervals, kmers, match, profile, raster, summary
 from kmerloom.plans import density
 from kmerloom.plans.ordering import with_running_total
+from kmerloom.plans.tables import scratch, stored
 from kmerloom.sources import fasta, paf
 
 K = 15
@@ -278,7 +277,7 @@ saturated AS (SELECT CAST(min(t) * 512 AS BIGINT) AS start, CAST(least((max(t) +
 def saturated(spark, sf_dir) -> tuple[DataFrame, int]:
     axis = document_axis(spark, sf_dir)
     total = kmers.total_length(axis)
-    return profile.saturated(kmers.tile_kmers(kmers.spread(axis), K, SATURATION_TILE), total, 1), total
+    return profile.saturated(kmers.tile_kmers(kmers.spread(axis), K, SATURATION_TILE, merged=False), total, 1), total
 
 
 @query(f"WITH {SATURATED} SELECT * FROM saturated")
@@ -305,7 +304,7 @@ profile AS (SELECT r.tile, coalesce(pow(2, lg), 0) AS mult, coalesce(u, 0) AS un
 
 def multiplicity(spark, sf_dir) -> DataFrame:
     axis = document_axis(spark, sf_dir)
-    return profile.multiplicity(kmers.tile_kmers(kmers.spread(axis), K, TILE), kmers.total_length(axis), TILE)
+    return profile.multiplicity(kmers.tile_kmers(kmers.spread(axis), K, TILE, merged=False), kmers.total_length(axis), TILE)
 
 
 @query(f"WITH {PROFILE} SELECT tile, round(mult, 6) AS mult, round(CAST(uniq_frac AS DOUBLE), 6) AS uniq_frac FROM profile")
@@ -331,7 +330,7 @@ def multiplicity_texture(spark, sf_dir):
     """A23."""
     axis = document_axis(spark, sf_dir)
     total = kmers.total_length(axis)
-    found = profile.multiplicity(kmers.tile_kmers(kmers.spread(axis), K, TILE), total, TILE)
+    found = profile.multiplicity(kmers.tile_kmers(kmers.spread(axis), K, TILE, merged=False), total, TILE)
     return profile.multiplicity_texture(found, (total + TILE - 1) // TILE, TEXELS)
 
 
@@ -395,22 +394,23 @@ pairs AS (
   FROM sk a JOIN sk b ON a.c = b.c AND a.rec IS DISTINCT FROM b.rec JOIN many ON many.c = a.c GROUP BY 1, 2)"""
 
 
-def source_counts(spark, sf_dir) -> DataFrame:
+def source_sums(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """Pairs of sources and the masses of each."""
     names = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("rec"), "source")
     axis = document_axis(spark, sf_dir).join(names, "rec")
-    return kmers.record_kmers(kmers.spread(axis, keep=("source",)), K, by="source").withColumnRenamed("source", "rec")
+    return B.between(kmers.spread(axis, keep=("source",)), K, "source")
 
 
 @query(f"WITH {SOURCES} SELECT * FROM tot")
 def belongs_masses(spark, sf_dir):
     """Windows of each source, and k-mers that it holds once."""
-    return B.masses(source_counts(spark, sf_dir))
+    return source_sums(spark, sf_dir)[1]
 
 
 @query(f"WITH {SOURCES} SELECT * FROM pairs")
 def belongs_matrix(spark, sf_dir):
     """Shared, exclusive and unique k-mers of sources."""
-    return B.belongs(source_counts(spark, sf_dir))
+    return source_sums(spark, sf_dir)[0]
 
 
 @query(f"""WITH {SOURCES} SELECT p.i, p.j, round(p.shared / CAST(ti.total AS DOUBLE), 9) AS containment, round(p.shared / CAST(tj.total AS DOUBLE), 9) AS back, round(pow(p.shared / CAST(least(ti.total, tj.total) AS DOUBLE), 1e0 / {K}), 9) AS identity,
@@ -419,8 +419,7 @@ def belongs_matrix(spark, sf_dir):
 FROM pairs p JOIN pairs b ON p.i = b.j AND p.j = b.i JOIN tot ti ON ti.rec = p.i JOIN tot tj ON tj.rec = p.j""")
 def belongs_metrics(spark, sf_dir):
     """A8b."""
-    counts = source_counts(spark, sf_dir)
-    return nine(B.with_metrics(B.belongs(counts), B.masses(counts), K), "containment", "back", "identity", "exclusive_share", "unique_share", "copy_ratio")
+    return nine(B.with_metrics(*source_sums(spark, sf_dir), K), "containment", "back", "identity", "exclusive_share", "unique_share", "copy_ratio")
 
 
 CONTAMINATION = f"""WITH {ITEM}, {DOC}, {sql_kmers("ik", "item")}, {sql_kmers("dk", "doc")},
@@ -510,8 +509,8 @@ def axis_concat(spark, sf_dir):
 @query(f"""WITH {DOC}, {ITEM}, both_ AS (SELECT rec AS ord, 0 AS f, 'doc' || rec AS name, seq, len, CAST(3 * rec AS BIGINT) AS "offset" FROM doc UNION ALL SELECT rec, 1, 'item' || rec, seq, len, 0 FROM item)
 SELECT row_number() OVER o - 1 AS rec, name, CAST(sum(len) OVER (o ROWS UNBOUNDED PRECEDING) - len AS BIGINT) AS start, len, "offset", md5(seq) AS seq_md5 FROM both_ WINDOW o AS (ORDER BY f, ord)""")
 def fasta_axis(spark, sf_dir):
-    """Documents and benchmark items as two FASTA files, read back and stacked. The files stand in the shared folder, or in a local one where none is set."""
-    folder = f"{spark.conf.get('spark.checkpoint.dir', None) or 'file://' + tempfile.mkdtemp(prefix='kmerloom-')}/fasta-{uuid.uuid4().hex}"
+    """Documents and benchmark items as two FASTA files, written to the shared folder, read back and stacked."""
+    folder = scratch(spark, "fasta")
     for name, axis, offset in (("doc", document_axis(spark, sf_dir), 3 * F.col("rec")), ("item", benchmark_axis(spark, sf_dir), F.lit(0))):
         lines = F.regexp_replace("seq", "(.{60})", "$1\n")
         text = axis.select("rec", F.concat(F.lit(">"), "name", F.lit(" @offset="), offset.cast("string"), F.lit("\n"), lines).alias("value"))
@@ -581,12 +580,12 @@ checked AS (SELECT *, strand IN ('+', '-') AND qe > qs AND te > ts AS valid, lea
 
 
 def paf_lines(spark, sf_dir) -> DataFrame:
-    """PAF text made of order lines; some lines have a strand or a span that is not valid."""
+    """PAF text made of order lines; some lines have a strand or a span that is not valid. The lines are stored, as a file's would be: the making of a text and its parsing in one generated method are more than the JVM compiles."""
     text = lambda c: c.cast("string")
     n, s, p = F.col("l_linenumber"), F.col("l_suppkey"), F.col("l_partkey")
     strand = F.when(F.col("l_returnflag") == "R", "-").when(F.col("l_returnflag") == "A", "+").otherwise(F.when(F.col("l_linestatus") == "O", "+").otherwise("*"))
     value = F.concat_ws("\t", F.concat(F.lit("doc"), s), text(F.when(n == 1, F.lit(100_000).cast("long")).otherwise(2000 + s)), text(n * 100), text(n * 100 + s), strand, F.concat(F.lit("item"), p % 60), F.lit("1000"), text(p % 500), text(p % 700), text(s), text(s + n), F.lit("60"))
-    return read(spark, sf_dir, "lineitem").select((F.col("l_orderkey") * 10 + n).alias("line_no"), value.alias("value"))
+    return stored(read(spark, sf_dir, "lineitem").select((F.col("l_orderkey") * 10 + n).alias("line_no"), value.alias("value")), "paf-lines")
 
 
 @query(f"WITH {PAF_TEXT} SELECT line_no, qname, qlen, qs, qe, strand, tname, tlen, ts, te, nmatch, alnlen, valid, round(identity, 9) AS identity FROM checked")
