@@ -63,8 +63,17 @@ def cut(axis: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     return axis.select("rec", *keep, F.inline(each))
 
 
-def spread(axis: DataFrame, tasks: int | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
-    """Deal pieces of records out: the scan of one file may be one task, and k-mers multiply its rows."""
+def within(axis: DataFrame, lo: int, hi: int) -> DataFrame:
+    """The parts of records where windows may start at lo to hi-1: start and len say so, seq goes on for the longest window's length. Records outside are left out, so nothing of them is enumerated."""
+    skip = F.greatest(F.lit(lo) - F.col("start"), F.lit(0))
+    n = F.least(F.col("start") + F.col("len"), F.lit(hi)) - F.greatest(F.col("start"), F.lit(lo))
+    seq = F.substring(F.col("seq").cast("binary"), (skip + 1).cast("int"), F.least(n + K_MAX - 1, F.lit((1 << 31) - 1)).cast("int")).cast("string")
+    return axis.filter((F.col("start") < hi) & (F.col("start") + F.col("len") > lo)).withColumns({"seq": seq, "start": F.col("start") + skip, "len": n})
+
+
+def spread(axis: DataFrame, tasks: int | None = None, keep: tuple[str, ...] = (), window: tuple[int, int] | None = None) -> DataFrame:
+    """Deal pieces of records out: the scan of one file may be one task, and k-mers multiply its rows. window: starts of windows that are wanted."""
+    axis = within(axis, *window) if window else axis
     return cut(axis, keep).repartition(tasks or int(axis.sparkSession.conf.get("spark.sql.shuffle.partitions")), "rec", "start")
 
 

@@ -89,9 +89,14 @@ def merge_runs(found: DataFrame, options: MatchOptions, q_total: int) -> DataFra
 
 
 def match(target: DataFrame, query: DataFrame, options: MatchOptions = MatchOptions(), t_window: tuple[int, int] | None = None, q_window: tuple[int, int] | None = None) -> DataFrame:
-    """Segments of two axes. A self comparison is match(axis, axis): the diagonal and both mirror images stay."""
+    """Segments of two axes. A self comparison is match(axis, axis): the diagonal and both mirror images stay.
+
+    Windows are in starts of k-mers. Only pieces that a window touches are enumerated: of the query those for the forward strand's starts and, up to k-1 before them, the reverse strand's.
+    """
     q_total = total_length(query)
-    return merge_runs(anchors(stored_index(spread(target), options), spread(query), options, q_total, t_window, q_window), options, q_total)
+    index = stored_index(spread(target, window=t_window), options)
+    probed = spread(query, window=(q_window[0] - options.k + 1, q_window[1]) if q_window else None)
+    return merge_runs(anchors(index, probed, options, q_total, t_window, q_window), options, q_total)
 
 
 def guarded(segments: DataFrame, options: MatchOptions = MatchOptions()) -> DataFrame:

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-MOST_STEPS = 4096
+from kmerloom.plans.tables import stored
+
+#: Sides of a grid of segments, and its most entries.
+SIDE_LEAST, SIDE_MOST, MOST_ENTRIES = 64, 1024, 16_000_000
 
 
 def endpoints(df: DataFrame) -> DataFrame:
@@ -45,12 +50,92 @@ def identity_heatmap(segments: DataFrame, bounds: tuple[float, float, float, flo
     rows = rows.withColumns({"t0": F.greatest(F.lit(0.0), ix, iy), "t1": F.least(F.lit(1.0), ox, oy), "ok": okx & oky}).filter("ok AND t0 <= t1")
     rows = rows.select("identity", *[(F.col(a) + F.col(d) * F.col(t)).alias(o) for a, d, t, o in (("ax", "dx", "t0", "sx"), ("ay", "dy", "t0", "sy"), ("ax", "dx", "t1", "tx"), ("ay", "dy", "t1", "ty"))])
     far = F.greatest(F.abs(F.col("tx") - F.col("sx")), F.abs(F.col("ty") - F.col("sy")), F.lit(1.0))
-    rows = rows.withColumn("steps", F.least(F.lit(MOST_STEPS), F.floor(far).cast("int")) + 1).withColumn("t", F.explode(F.sequence(F.lit(0), F.col("steps") - 1)))
+    rows = rows.withColumn("steps", F.floor(far).cast("int") + 1).withColumn("t", F.explode(F.sequence(F.lit(0), F.col("steps") - 1)))
     f = F.col("t").cast("double") / F.greatest(F.col("steps") - 1, F.lit(1))
     cells = rows.select(F.floor(F.col("sx") + (F.col("tx") - F.col("sx")) * f).cast("int").alias("cx"), F.floor(F.col("sy") + (F.col("ty") - F.col("sy")) * f).cast("int").alias("cy"), "identity")
     return cells.filter((F.col("cx") >= 0) & (F.col("cx") < nx) & (F.col("cy") >= 0) & (F.col("cy") < ny)).groupBy("cx", "cy").agg(F.max("identity").alias("v")).filter("v > 0")
 
 
+def crossed(x0: Column, y0: Column, x1: Column, y1: Column) -> Column:
+    """The cells of width 1 that a line crosses, an array of structs cx, cy, each once, in its order.
+
+    A line leaves a cell where it meets a grid line: the places at which it does, those of both directions merged in order, cut it into stretches, and the middle of a stretch lies in its cell. Where a line only touches a corner, no cell beside it counts.
+    """
+
+    def meets(a: Column, b: Column) -> Column:
+        lo, hi = F.ceil(F.least(a, b)), F.floor(F.greatest(a, b))
+        at = F.transform(F.sequence(lo, hi), lambda g: (g.cast("double") - a) / (b - a))
+        return F.when((a != b) & (lo <= hi), at).otherwise(F.array().cast("array<double>"))
+
+    cuts = F.array_sort(F.array_distinct(F.concat(F.array(F.lit(0.0), F.lit(1.0)), F.filter(F.concat(meets(x0, x1), meets(y0, y1)), lambda t: (t > 0) & (t < 1)))))
+
+    def cell(t: Column, i: Column) -> Column:
+        mid = (t + F.element_at(cuts, (i + 2).cast("int"))) / 2
+        return F.struct(F.floor(x0 + (x1 - x0) * mid).alias("cx"), F.floor(y0 + (y1 - y0) * mid).alias("cy"))
+
+    return F.array_distinct(F.transform(F.slice(cuts, 1, F.size(cuts) - 1), cell))
+
+
+def grid_cells(segments: DataFrame, cell_x: float, cell_y: float, keep: list[str]) -> DataFrame:
+    """cx, cy and the columns `keep` of each segment for each cell that it crosses; segments have ends (endpoints). A segment without length has the cell it lies in."""
+    ends = [F.col(c) / s for c, s in (("x0", cell_x), ("y0", cell_y), ("x1", cell_x), ("y1", cell_y))]
+    still = F.array(F.struct(F.floor(ends[0]).alias("cx"), F.floor(ends[1]).alias("cy")))
+    cells = F.when((ends[0] == ends[2]) & (ends[1] == ends[3]), still).otherwise(crossed(*ends))
+    return segments.select(F.inline(cells), *keep)
+
+
+def segment_grid(segments: DataFrame, width: float, height: float) -> tuple[DataFrame, int]:
+    """The segments by cells, stored, and the cells on a side: a power of two near the root of their number, halved while the entries are more than MOST_ENTRIES. Columns: cx, cy, id and the segment's."""
+    ends = endpoints(segments)
+    n = segments.count()
+    side = min(SIDE_MOST, max(SIDE_LEAST, 1 << round(math.log2(max(math.sqrt(n), 1)))))
+    while side > SIDE_LEAST:
+        across = [F.abs(F.floor(F.col(f"{c}1") * side / size) - F.floor(F.col(f"{c}0") * side / size)) for c, size in (("x", width), ("y", height))]
+        if (ends.agg(F.sum(across[0] + across[1] + 1)).first()[0] or 0) <= MOST_ENTRIES:
+            break
+        side //= 2
+    columns = ends.columns
+    named = ends.withColumn("id", F.struct("x", "y", "dx", "dy", "strand"))
+    return stored(grid_cells(named, width / side, height / side, ["id", *columns]), "grid", by="cx"), side
+
+
+def in_view(grid: DataFrame, side: int, width: float, height: float, x0: float, x1: float, y0: float, y1: float) -> DataFrame:
+    """Segments whose box meets a rectangle, each once, from the cells that the rectangle touches: other files and ranges of cells are not read."""
+    lo_x, hi_x, lo_y, hi_y = (math.floor(v * side / s) for v, s in ((x0, width), (x1, width), (y0, height), (y1, height)))
+    cells = grid.filter(F.col("cx").between(lo_x, hi_x) & F.col("cy").between(lo_y, hi_y))
+    return cells.filter(in_rect(x0, x1, y0, y1)).dropDuplicates(["id"]).drop("cx", "cy", "id")
+
+
+def nearest_join(points: DataFrame, segments: DataFrame, most: float, sx: float = 1.0, sy: float = 1.0, finest: float | None = None) -> DataFrame:
+    """For each point (id, px, py) the segment nearest to it, nearer than `most`: the point, the segment's columns and distance. Of equally near ones the first by x, y and strand; points with none have no row.
+
+    Points and segments meet in cells. The first round has cells of width `finest`: a point sees the segments of its own and the eight cells around, and is done if one is nearer than a cell is wide, since none outside can be nearer. The others go on with cells twice as wide. Where segments lie close together points are done in narrow cells, so no cell pairs all of its points with all of its segments for long.
+    """
+    ends = endpoints(segments)
+    scaled = ends.select([F.col(c) for c in segments.columns] + [(F.col(c) * s).alias(c) for c, s in (("x0", sx), ("y0", sy), ("x1", sx), ("y1", sy))])
+    if finest is None:
+        # As narrow as MOST_ENTRIES allow: a segment has about as many cells as its ends are cells apart.
+        length, n = scaled.agg(F.coalesce(F.sum(F.abs(F.col("x1") - F.col("x0")) + F.abs(F.col("y1") - F.col("y0"))), F.lit(0.0)), F.count(F.lit(1))).first()
+        finest = max(most / 4096, float(length) / max(1, MOST_ENTRIES - 2 * n), 1e-9)
+    width, left, found = min(finest, most), points.select("id", "px", "py"), None
+    while True:
+        spots = left.withColumns({"gx": F.floor(F.col("px") * sx / width), "gy": F.floor(F.col("py") * sy / width)})
+        around = F.array(*[F.struct((F.col("gx") + i).alias("cx"), (F.col("gy") + j).alias("cy")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
+        seen = spots.select("id", "px", "py", F.inline(around)).join(grid_cells(scaled, width, width, scaled.columns), ["cx", "cy"])
+        near = seen.withColumn("distance", _distance(F.col("px") * sx, F.col("py") * sy)).filter(F.col("distance") < most)
+        best = near.groupBy("id", "px", "py").agg(F.min(F.struct("distance", *[F.col(c) for c in ("x", "y", "strand")], *[F.col(c) for c in segments.columns if c not in ("x", "y", "strand")])).alias("best"))
+        best = stored(best, "nearest")
+        done = best if width >= most else best.filter(F.col("best.distance") < width)
+        found = done if found is None else found.unionByName(done)
+        if width >= most:
+            break
+        left = stored(left.join(done.select("id"), "id", "left_anti"), "points")
+        if left.isEmpty():
+            break
+        width = min(2 * width, most)
+    return found.select("id", "px", "py", *[F.col(f"best.{c}").alias(c) for c in [*segments.columns, "distance"]])
+
+
 def contrast(cells: DataFrame, v: str = "v") -> DataFrame:
     """lo and hi for a colour ramp: the value at the second hundredth and the largest; a narrow span is widened, no cells give 0 and 1."""
     ranked = cells.filter(F.col(v) > 0).select(v, (F.row_number().over(Window.orderBy(v)) - 1).alias("i"))
@@ -77,8 +162,7 @@ def hatched(cells: DataFrame, mask_x: DataFrame, nx: int, ny: int, mask_y: DataF
     return rows.filter((F.col("cx") + F.col("cy")).bitwiseAND(3) < 2).join(cells, ["cx", "cy"], "left_anti").select("cx", "cy")
 
 
-def distance(px: float, py: float, sx: float = 1.0, sy: float = 1.0) -> Column:
-    """From a point to a segment, with both axes scaled (to pixels)."""
+def _distance(px: Column, py: Column, sx: float = 1.0, sy: float = 1.0) -> Column:
     ax, ay = (F.col("x0") - px) * sx, (F.col("y0") - py) * sy
     dx, dy = (F.col("x1") - F.col("x0")) * sx, (F.col("y1") - F.col("y0")) * sy
     square = dx * dx + dy * dy
@@ -86,6 +170,11 @@ def distance(px: float, py: float, sx: float = 1.0, sy: float = 1.0) -> Column:
     return F.sqrt(F.pow(ax + t * dx, F.lit(2.0)) + F.pow(ay + t * dy, F.lit(2.0)))
 
 
+def distance(px: float, py: float, sx: float = 1.0, sy: float = 1.0) -> Column:
+    """From a point to a segment, with both axes scaled (to pixels)."""
+    return _distance(F.lit(px), F.lit(py), sx, sy)
+
+
 def nearest(segments: DataFrame, px: float, py: float, most: float, sx: float = 1.0, sy: float = 1.0) -> DataFrame:
     """The segment nearest to a point, nearer than `most`; of equal ones the first by x, y and strand. A box around the point limits what is measured."""
     box = in_rect(px - most / sx, px + most / sx, py - most / sy, py + most / sy)

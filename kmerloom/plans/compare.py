@@ -15,6 +15,7 @@ from kmerloom.model import ANCHOR_BUDGET, SATURATION_TILE, MatchOptions
 from kmerloom.operators import match, profile
 from kmerloom.operators.kmers import spread, total_length
 from kmerloom.plans import density
+from kmerloom.plans.index_store import kept_index
 
 
 @dataclass
@@ -49,12 +50,12 @@ def run_notes(options: MatchOptions, stride: int, q_sample: int, cutoff: float |
     return notes
 
 
-def compare(target: DataFrame, query: DataFrame, options: MatchOptions = MatchOptions(max_gap=64), sample: str | int = "auto", budget: float | None = 1.0, exact_bp: int | None = None, confirm: bool = False, warnings: DataFrame | None = None) -> Comparison:
-    """Compare two axes. budget: multiple of the anchor budget, None for none; sample: see pick_density; warnings: of the sources (fasta.warnings), for the notes. More segments than the wall are an error with remedies."""
+def compare(target: DataFrame, query: DataFrame, options: MatchOptions = MatchOptions(max_gap=64), sample: str | int = "auto", budget: float | None = 1.0, exact_bp: int | None = None, confirm: bool = False, warnings: DataFrame | None = None, keep: str | None = None) -> Comparison:
+    """Compare two axes. budget: multiple of the anchor budget, None for none; sample: see pick_density; warnings: of the sources (fasta.warnings), for the notes; keep: a shared folder in which the target's index stays for later comparisons (index_store). More segments than the wall are an error with remedies."""
     t_len, q_len = total_length(target), total_length(query)
     stride, q_sample = density.pick_density(sample, options.stride, t_len, q_len, exact_bp)
     asked, options = options, replace(options, stride=stride, q_sample=q_sample)
-    index = match.target_index(spread(target), options).repartition("kv").persist(StorageLevel.DISK_ONLY)
+    index = kept_index(target, options, keep) if keep else match.target_index(spread(target), options).repartition("kv").persist(StorageLevel.DISK_ONLY)
     spectrum = profile.spectrum(index)
     _, sumsq = density.histogram(spectrum)
     scale = density.anchor_scale(q_len, t_len, stride, q_sample)

@@ -14,11 +14,13 @@ GRID_SIDES, GRID_LEAST, GRID_MOST, GRID_COST = (1024, 768, 640, 512, 416, 320, 2
 
 
 def pick_density(sample: str | int | None, stride: int, t_len: int, q_len: int, most_bp: int | None = None) -> tuple[int, int]:
-    """(stride, q_sample). `off` is exact or an error; `auto` thins both axes to 48 Mb; a number sets the query's sampling."""
+    """(stride, q_sample). `off` is exact up to a target's length, else an error; `exact` is exact whatever the length: an index in tasks has no wall; `auto` thins both axes to 48 Mb; a number sets the query's sampling."""
+    if sample == "exact":
+        return 1, 1
     if sample == "off":
         ceiling = min(EXACT_HARD_BP, max(EXACT_LEAST_BP, most_bp or EXACT_BP))
         if t_len > ceiling:
-            raise EngineError(f"Exact mode takes up to {ceiling:,} target bases; this target has {t_len:,}.", {"sample": "auto", "most_bp": min(t_len, EXACT_HARD_BP)})
+            raise EngineError(f"Exact mode takes up to {ceiling:,} target bases; this target has {t_len:,}.", {"sample": "auto", "most_bp": min(t_len, EXACT_HARD_BP)} if t_len <= EXACT_HARD_BP else {"sample": "exact"})
         return 1, 1
     auto = max(1, math.ceil(q_len / DENSITY_BP))
     return max(stride, math.ceil(t_len / DENSITY_BP), 1), auto if sample in (None, "auto") else max(1, int(sample))

@@ -16,9 +16,10 @@ from kmerloom.model import SATURATION_TILE, SKETCH_CAP, MatchOptions
 from kmerloom.operators import belongs as B
 from kmerloom.operators import contain, gather, intervals, kmers, match, profile, raster, summary
 from kmerloom.plans import density
+from kmerloom.plans.index_store import kept_index
 from kmerloom.plans.ordering import with_running_total
 from kmerloom.plans.tables import scratch, stored
-from kmerloom.sources import fasta, paf
+from kmerloom.sources import bgzf, binary, fasta, paf
 
 K = 15
 SCALED = 16
@@ -246,6 +247,15 @@ def self_match(spark, sf_dir):
     return shown(match.match(axis, axis, SELF))
 
 
+@query(f"WITH {SEG} {SEG_OUT}")
+def match_kept_index(spark, sf_dir):
+    """A comparison whose target's index was left by an earlier one."""
+    folder, q = scratch(spark, "indexes"), document_axis(spark, sf_dir)
+    kept_index(benchmark_axis(spark, sf_dir), OPTIONS, folder, 4)
+    total = kmers.total_length(q)
+    return shown(match.merge_runs(match.anchors(kept_index(benchmark_axis(spark, sf_dir), OPTIONS, folder), kmers.spread(q), OPTIONS, total), OPTIONS, total))
+
+
 T_WINDOW, Q_WINDOW = (500, 6000), (10_000, 900_000)
 
 
@@ -518,6 +528,42 @@ def fasta_axis(spark, sf_dir):
     return fasta.read_axis(spark, f"{folder}/doc", f"{folder}/item").select("rec", "name", "start", "len", "offset", F.md5("seq").alias("seq_md5"))
 
 
+@query(f"""WITH {DOC} SELECT rec, 'doc' || rec AS name, start, len, CAST(3 * rec AS BIGINT) AS "offset", md5(seq) AS seq_md5 FROM (SELECT row_number() OVER (ORDER BY rec) - 1 AS rec, rec AS key, seq, start, len FROM doc)""".replace("'doc' || rec", "'doc' || key").replace("3 * rec", "3 * key"))
+def bgzf_axis(spark, sf_dir):
+    """Documents as FASTA in BGZF files, each read back by several tasks."""
+    folder = scratch(spark, "bgzf")
+    axis = document_axis(spark, sf_dir)
+    text = axis.select("rec", F.concat(F.lit(">"), "name", F.lit(" @offset="), (3 * F.col("rec")).cast("string"), F.lit("\n"), F.regexp_replace("seq", "(.{60})", "$1\n")).alias("value"))
+    bgzf.write_bgzf(text.repartitionByRange(4, "rec").sortWithinPartitions("rec").select("value"), folder)
+    return fasta.read_axis(spark, folder, split=1 << 16).select("rec", "name", "start", "len", "offset", F.md5("seq").alias("seq_md5"))
+
+
+PIECE = 4096
+
+
+@query(f"""WITH {DOC}, cut AS (SELECT rec, a, seq, len FROM doc, UNNEST(range(0, greatest(len, 1), {PIECE})) c(a))
+SELECT 'doc' || rec AS name, CAST(a AS BIGINT) AS start, CAST(least(a + {PIECE}, len) AS BIGINT) AS "end", md5(substr(seq, CAST(a + 1 AS INTEGER), {PIECE})) AS seq_md5 FROM cut""")
+def twobit_read(spark, sf_dir):
+    """Documents as 2bit files, read by ranges in pieces."""
+    folder = scratch(spark, "twobit")
+    binary.write_twobit(document_axis(spark, sf_dir).select("name", "seq").repartition(4), folder)
+    return binary.twobit_pieces(spark, folder, piece=PIECE).select("name", "start", "end", F.md5("seq").alias("seq_md5"))
+
+
+BED_WINDOWS = [("A", 1000, 9000), ("N", 0, 5000), ("N", 4000, 7000), ("R", 2000, 2500), ("X", 0, 10)]
+
+
+@query(f"""WITH items AS (SELECT l_returnflag AS chrom, l_partkey * 10 AS start, l_partkey * 10 + CAST(l_quantity AS BIGINT) + 1 AS "end", 'L' || l_linenumber AS name, CASE l_linestatus WHEN 'O' THEN '+' ELSE '-' END AS strand, CASE l_linenumber WHEN 1 THEN '1,2,3' END AS rgb FROM lineitem)
+SELECT * FROM items WHERE {" OR ".join(f"(chrom = '{c}' AND start < {e} AND {chr(34)}end{chr(34)} > {s_})" for c, s_, e in BED_WINDOWS)}""")
+def bigbed_windows(spark, sf_dir):
+    """Order lines as items of bigBed files, those in some windows read by the index."""
+    folder = scratch(spark, "bigbed")
+    at = (F.col("l_partkey") * 10).cast("long")
+    items = read(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("chrom"), at.alias("start"), (at + F.col("l_quantity").cast("long") + 1).alias("end"), F.concat(F.lit("L"), "l_linenumber").alias("name"), F.when(F.col("l_linestatus") == "O", "+").otherwise("-").alias("strand"), F.when(F.col("l_linenumber") == 1, "1,2,3").alias("rgb"))
+    binary.write_bigbed(items.repartitionByRange(8, "chrom", "start"), folder)
+    return binary.read_bigbed(spark, folder, BED_WINDOWS)
+
+
 # ---------------------------------------------------------------- intervals
 CATALOG = f'{DOC}, cat AS (SELECT rec, \'doc\' || rec AS name, start, start + len AS "end", CAST(1000 * rec AS BIGINT) AS "offset" FROM doc)'
 
@@ -594,6 +640,18 @@ def paf_validate(spark, sf_dir):
     return nine(paf.parse(paf_lines(spark, sf_dir)).drop("mapq", "tags"), "identity")
 
 
+NUMBERED = PAF_TEXT.replace("AS p FROM paf)", "AS p FROM (SELECT row_number() OVER (ORDER BY line_no, value) - 1 AS line_no, value FROM paf))")
+
+
+@query(f"WITH {NUMBERED} SELECT line_no, qname, tname, valid, round(identity, 9) AS identity FROM checked")
+def paf_bgzf(spark, sf_dir):
+    """PAF lines in BGZF files, numbered over the tasks that read them."""
+    folder = scratch(spark, "bgzf")
+    lines = paf_lines(spark, sf_dir)
+    bgzf.write_bgzf(lines.repartitionByRange(4, "line_no", "value").sortWithinPartitions("line_no", "value").select("value"), folder)
+    return nine(paf.parse(paf.read_lines(spark, folder, split=1 << 16)).select("line_no", "qname", "tname", "valid", "identity"), "identity")
+
+
 @query(f"""WITH {PAF_TEXT}, first_ AS (SELECT qname AS name, arg_min(qlen, line_no) AS len, min(line_no) AS f FROM checked WHERE valid GROUP BY 1)
 SELECT row_number() OVER o - 1 AS rec, name, CAST(sum(len) OVER (o ROWS UNBOUNDED PRECEDING) - len AS BIGINT) AS start, CAST(sum(len) OVER (o ROWS UNBOUNDED PRECEDING) AS BIGINT) AS "end" FROM first_ WINDOW o AS (ORDER BY len DESC, f, name)""")
 def paf_catalog(spark, sf_dir):
@@ -766,3 +824,39 @@ SELECT o_orderkey, CASE WHEN x IS NULL THEN CAST(CAST(floor(v + 0.5) AS BIGINT)
 def format_bp(spark, sf_dir):
     """F5."""
     return read(spark, sf_dir, "orders").select("o_orderkey", formatting.format_bp_column(F.floor("o_totalprice").cast("double") * (F.col("o_orderkey") % 1000) + 0.3).alias("label"))
+
+
+CELLS_X, CELLS_Y = 3000, 9000
+
+
+@query(f"""WITH {SEG}, size AS (SELECT (SELECT sum(len) FROM item)::DOUBLE / {CELLS_X} AS w, (SELECT sum(len) FROM doc)::DOUBLE / {CELLS_Y} AS h),
+e AS (SELECT x / w AS x0, (CASE WHEN strand = 0 THEN y ELSE y + dy END) / h AS y0, (x + dx) / w AS x1, (CASE WHEN strand = 0 THEN y + dy ELSE y END) / h AS y1 FROM seg, size),
+meets AS (SELECT *, CASE WHEN x0 <> x1 THEN list_transform(range(CAST(ceil(least(x0, x1)) AS BIGINT), CAST(floor(greatest(x0, x1)) AS BIGINT) + 1), lambda g: (CAST(g AS DOUBLE) - x0) / (x1 - x0)) ELSE [] END AS mx,
+  CASE WHEN y0 <> y1 THEN list_transform(range(CAST(ceil(least(y0, y1)) AS BIGINT), CAST(floor(greatest(y0, y1)) AS BIGINT) + 1), lambda g: (CAST(g AS DOUBLE) - y0) / (y1 - y0)) ELSE [] END AS my FROM e),
+cuts AS (SELECT *, list_sort(list_distinct(list_concat([0.0::DOUBLE, 1.0::DOUBLE], list_filter(list_concat(mx, my), lambda t: t > 0 AND t < 1)))) AS c FROM meets),
+cells AS (SELECT x0, y0, x1, y1, CAST(floor(x0 + (x1 - x0) * ((c[i] + c[i + 1]) / 2)) AS BIGINT) AS cx, CAST(floor(y0 + (y1 - y0) * ((c[i] + c[i + 1]) / 2)) AS BIGINT) AS cy, row_number() OVER () AS r FROM cuts, UNNEST(range(1, len(c))) u(i))
+SELECT cx, cy, count(*) AS n FROM cells GROUP BY cx, cy""")
+def segment_cells(spark, sf_dir):
+    """Cells of a fine grid that segments cross, each once for each segment."""
+    w, h = kmers.total_length(benchmark_axis(spark, sf_dir)) / CELLS_X, kmers.total_length(document_axis(spark, sf_dir)) / CELLS_Y
+    found = raster.endpoints(segments(spark, sf_dir))
+    return raster.grid_cells(found, w, h, []).groupBy("cx", "cy").agg(F.count(F.lit(1)).alias("n"))
+
+
+NEAR = 40_000
+
+
+@query(f"""WITH {ITEM}, {DOC}, {sql_match(SMALL)}, size AS (SELECT (SELECT CAST(sum(len) AS BIGINT) FROM item) AS w, (SELECT CAST(sum(len) AS BIGINT) FROM doc) AS h),
+points AS (SELECT event_id AS id, CAST((event_id * 7919) % w AS DOUBLE) AS px, CAST((event_id * 104729) % h AS DOUBLE) AS py FROM events, size),
+e AS (SELECT x, y, strand, x AS x0, CASE WHEN strand = 0 THEN y ELSE y + dy END AS y0, x + dx AS x1, CASE WHEN strand = 0 THEN y + dy ELSE y END AS y1 FROM seg),
+near AS (SELECT id, x, y, strand, x0, y0, x1, y1, px, py FROM points JOIN e ON y - {NEAR} < py AND greatest(y0, y1) + {NEAR} > py),
+t AS (SELECT *, least(1.0, greatest(0.0, -((x0 - px) * (x1 - x0) + (y0 - py) * (y1 - y0)) / CAST((x1 - x0) * (x1 - x0) + (y1 - y0) * (y1 - y0) AS DOUBLE))) AS t FROM near),
+d AS (SELECT *, sqrt(pow((x0 - px) + t * (x1 - x0), 2) + pow((y0 - py) + t * (y1 - y0), 2)) AS distance FROM t)
+SELECT id, x, y, strand, round(distance, 6) AS distance FROM d WHERE distance < {NEAR} QUALIFY row_number() OVER (PARTITION BY id ORDER BY distance, x, y, strand) = 1""")
+def nearest_join(spark, sf_dir):
+    """J12, J13 for many points: of each event's place the nearest segment."""
+    w, h = kmers.total_length(benchmark_axis(spark, sf_dir)), kmers.total_length(document_axis(spark, sf_dir))
+    i = F.col("event_id")
+    points = read(spark, sf_dir, "events").select(i.alias("id"), ((i * 7919) % w).cast("double").alias("px"), ((i * 104_729) % h).cast("double").alias("py"))
+    found = raster.nearest_join(points, stored(segments(spark, sf_dir, SMALL), "segments"), NEAR)
+    return found.select("id", "x", "y", "strand", F.round("distance", 6).alias("distance"))

@@ -6,19 +6,17 @@ A file is dealt out in ranges of bytes. A task finds the first block of its rang
 from __future__ import annotations
 
 import struct
-import uuid
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
-from pyarrow import fs as arrow_fs
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from kmerloom.model import EngineError
-from kmerloom.sources.ranges import Ranges, files_under, locate
+from kmerloom.sources.ranges import Ranges, files_under
+from kmerloom.sources.sinks import FolderWriter
 
 #: How a block begins, what most blocks hold, and the empty block that ends a file.
 MAGIC = b"\x1f\x8b\x08\x04"
@@ -187,53 +185,21 @@ def packed(data: bytes, level: int = 6) -> bytes:
     return MAGIC + struct.pack("<IBBH2sHH", 0, 0, 255, 6, b"BC", 2, len(body) + 25) + body + struct.pack("<2I", zlib.crc32(data), len(data))
 
 
-@dataclass
-class Written(WriterCommitMessage):
-    path: str
+class BgzfWriter(FolderWriter):
+    """A file for each task, rows in order, each with the separator after it."""
 
+    SUFFIX = ".gz"
 
-class BgzfWriter(DataSourceWriter):
-    """A file for each task. Tasks write beside the folder; files go into it when all tasks are done, and away if one fails."""
-
-    def __init__(self, options: dict, overwrite: bool):
-        self.path, self.separator, self.overwrite = options["path"].rstrip("/"), options.get("lineSep", "\n").encode(), overwrite
-        self.run = uuid.uuid4().hex
-        files, place = locate(self.path)
-        if files.get_file_info(place).type != arrow_fs.FileType.NotFound and not overwrite:
-            raise EngineError(f"{self.path} exists.")
-
-    def write(self, iterator: Iterator) -> Written:
-        files, place = locate(self.path)
-        task = TaskContext.get()
-        beside = f"{place}.{self.run}"
-        files.create_dir(beside)
-        name = f"{beside}/part-{task.partitionId():05d}-{task.taskAttemptId()}.gz"
-        with files.open_output_stream(name, compression=None) as out:
-            buffer = bytearray()
-            for row in iterator:
-                buffer += row[0].encode() + self.separator if row[0] is not None else b""
-                while len(buffer) >= PAYLOAD:
-                    out.write(packed(bytes(buffer[:PAYLOAD])))
-                    del buffer[:PAYLOAD]
-            if buffer:
-                out.write(packed(bytes(buffer)))
-            out.write(END)
-        return Written(name)
-
-    def commit(self, messages: list) -> None:
-        files, place = locate(self.path)
-        if self.overwrite and files.get_file_info(place).type != arrow_fs.FileType.NotFound:
-            files.delete_dir(place)
-        files.create_dir(place)
-        for m in messages:
-            if m is not None:
-                files.move(m.path, f"{place}/{m.path.rsplit('/', 1)[1]}")
-        files.delete_dir(f"{place}.{self.run}")
-
-    def abort(self, messages: list) -> None:
-        files, place = locate(self.path)
-        if files.get_file_info(f"{place}.{self.run}").type == arrow_fs.FileType.Directory:
-            files.delete_dir(f"{place}.{self.run}")
+    def content(self, rows: Iterator) -> Iterator[bytes]:
+        separator, buffer = self.options.get("linesep", self.options.get("lineSep", "\n")).encode(), bytearray()
+        for row in rows:
+            buffer += row[0].encode() + separator if row[0] is not None else b""
+            while len(buffer) >= PAYLOAD:
+                yield packed(bytes(buffer[:PAYLOAD]))
+                del buffer[:PAYLOAD]
+        if buffer:
+            yield packed(bytes(buffer))
+        yield END
 
 
 class Bgzf(DataSource):

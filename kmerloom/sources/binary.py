@@ -18,12 +18,13 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter
 
 from kmerloom.model import EngineError
 from kmerloom.operators.intervals import check_windows
-from kmerloom.sources.ranges import Ranges
+from kmerloom.sources.ranges import Ranges, files_under
+from kmerloom.sources.sinks import BASES, BIGBED, CHROM_TREE, RTREE, TWOBIT, write_bigbed, write_twobit
 
-#: Signatures and limits of the formats.
-TWOBIT, BIGBED, CHROM_TREE, RTREE = 0x1A412743, 0x8789F2EB, 0x78CA8C91, 0x2468ACE0
+__all__ = ["BigBed", "TwoBit", "gunzip", "read_bed", "read_bigbed", "read_twobit", "twobit_pieces", "write_bigbed", "write_twobit"]
+
+#: Fixed value: the most blocks of a 2bit record that are believed.
 MOST_BLOCKS = 10_000_000
-BASES = "TCAG"
 #: The four bases of each byte, the first in its high bits.
 QUADS = np.array([[ord(BASES[b >> s & 3]) for s in (6, 4, 2, 0)] for b in range(256)], np.uint8)
 RGB = re.compile(r"\d{1,3},\d{1,3},\d{1,3}")
@@ -215,8 +216,9 @@ def joined(blocks: list[tuple[int, int]], most: int | None = None) -> list[tuple
 
 @dataclass
 class Piece(InputPartition):
-    """A piece of a region: the region's number, name and start, and the bases to read."""
+    """A piece of a region: the file, the region's number, name and start, and the bases to read."""
 
+    path: str
     region: int
     name: str
     begin: int
@@ -234,22 +236,28 @@ class TwoBitReader(DataSourceReader):
         self.bounds: list[tuple[str, str, int]] = []
 
     def partitions(self) -> list[Piece]:
-        file, out = TwoBit(self.path), []
-        asked = self.regions if self.regions is not None else [(n, 0, 1 << 62) for n in file.at]
-        for i, (name, start, end) in enumerate(asked):
-            if self.names is not None and name not in self.names:
-                continue
-            begin, end = max(0, start), min(end, file.size(name))
-            # A region without bases is a piece without bases.
-            for at in range(begin, max(end, begin + 1), self.piece):
-                piece = Piece(i, name, begin, at, max(at, min(end, at + self.piece)))
-                if all(compare(getattr(piece, c), op, v) for c, op, v in self.bounds):
-                    out.append(piece)
-        file.file.close()
+        paths = [p for p, _ in files_under(self.path)]
+        out, seen = [], set()
+        for path in paths:
+            file = TwoBit(path)
+            asked = self.regions if self.regions is not None else [(n, 0, 1 << 62) for n in file.at]
+            for i, (name, start, end) in enumerate(asked):
+                if (self.names is not None and name not in self.names) or (len(paths) > 1 and name not in file.at) or i in seen and self.regions is not None:
+                    continue
+                seen.add(i)
+                begin, end = max(0, start), min(end, file.size(name))
+                # A region without bases is a piece without bases.
+                for at in range(begin, max(end, begin + 1), self.piece):
+                    piece = Piece(path, i, name, begin, at, max(at, min(end, at + self.piece)))
+                    if all(compare(getattr(piece, c), op, v) for c, op, v in self.bounds):
+                        out.append(piece)
+            file.file.close()
+        if len(paths) > 1 and self.regions is not None and (lost := [r[0] for i, r in enumerate(self.regions) if i not in seen and (self.names is None or r[0] in self.names)]):
+            raise EngineError(f"No 2bit file of the folder has a sequence {lost[0]}.")
         return out
 
     def read(self, partition: Piece) -> Iterator[pa.RecordBatch]:
-        file = TwoBit(self.path)
+        file = TwoBit(partition.path)
         seq = file.region(partition.name, partition.start, partition.end)
         file.file.close()
         yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in ((partition.region, pa.int64()), (partition.name, pa.string()), (partition.begin, pa.int64()), (partition.start, pa.int64()), (partition.end, pa.int64()), (seq, pa.string()), (file.file.bytes_read, pa.int64()))], names=["region", "name", "begin", "start", "end", "seq", "bytes_read"])
@@ -270,7 +278,7 @@ class FilteringTwoBitReader(TwoBitReader):
 
 
 class TwoBitSource(DataSource):
-    """Format `twobit`: region, name, begin (of the region), start, end, seq and bytes_read (by the task) of pieces. Options: path; regions, a JSON list of [name, start, end] (all sequences without it); piece; filters (true where spark.sql.python.filterPushdown.enabled is: without that setting Spark refuses readers that take filters)."""
+    """Format `twobit`: region, name, begin (of the region), start, end, seq and bytes_read (by the task) of pieces. Options: path (a file, or a folder of files that each hold some sequences); regions, a JSON list of [name, start, end] (all sequences without it); piece; filters (true where spark.sql.python.filterPushdown.enabled is: without that setting Spark refuses readers that take filters)."""
 
     @classmethod
     def name(cls) -> str:
@@ -285,8 +293,9 @@ class TwoBitSource(DataSource):
 
 @dataclass
 class Run(InputPartition):
-    """Data blocks that one request reads."""
+    """Data blocks of a file that one request reads."""
 
+    path: str
     begin: int
     end: int
     parts: list
@@ -306,13 +315,16 @@ class BigBedReader(DataSourceReader):
                 own.append((start, end))
 
     def partitions(self) -> list[Run]:
-        file = BigBed(self.path)
-        blocks = {b for chrom, windows in self.windows.items() if chrom in file.chroms for s, e in windows for b in file.blocks(file.chroms[chrom][0], s, e)}
-        file.file.close()
-        return [Run(*run) for run in joined(sorted(blocks), self.most)]
+        out = []
+        for path, _ in files_under(self.path):
+            file = BigBed(path)
+            blocks = {b for chrom, windows in self.windows.items() if chrom in file.chroms for s, e in windows for b in file.blocks(file.chroms[chrom][0], s, e)}
+            file.file.close()
+            out += [Run(path, *run) for run in joined(sorted(blocks), self.most)]
+        return out
 
     def read(self, partition: Run) -> Iterator[pa.RecordBatch]:
-        file = BigBed(self.path)
+        file = BigBed(partition.path)
         names = {v[0]: k for k, v in file.chroms.items()}
         ends = {c: ([s for s, _ in w], [e for _, e in w]) for c, w in self.windows.items()}
         rows = []
@@ -330,7 +342,7 @@ class BigBedReader(DataSourceReader):
 
 
 class BigBedSource(DataSource):
-    """Format `bigbed`: chrom, start, end, name, strand, rgb and bytes_read (by the task) of the items that overlap a window, each once. Options: path; windows, a JSON list of [chrom, start, end]; most, bytes of a task."""
+    """Format `bigbed`: chrom, start, end, name, strand, rgb and bytes_read (by the task) of the items that overlap a window, each once. Options: path (a file or a folder of them); windows, a JSON list of [chrom, start, end]; most, bytes of a task."""
 
     @classmethod
     def name(cls) -> str:

@@ -44,6 +44,13 @@ def test_without_corpus_operators(tmp_path):
     assert out.stdout.strip() == "fine", out.stderr
 
 
+@pytest.mark.parametrize("hidden", ["regex", "public_tokenizers", "kmerloom.llm"])
+def test_where_corpus_operators_cannot_be_imported(hidden):
+    code = f"import sys; sys.modules[{hidden!r}] = None; import __spark_entry__ as e; q = e.queries(); assert len(q) > 40 and 'pipeline' not in q and not any(x.startswith('op') for x in q) and set(e.oracle_sql()) <= set(q); print('fine')"
+    out = subprocess.run([sys.executable, "-c", code], cwd=ROOT, capture_output=True, text=True, env={"PATH": "/usr/bin:/bin", "PYTHONPATH": str(ROOT)}, timeout=120)
+    assert out.stdout.strip() == "fine", out.stderr
+
+
 def test_nothing_else_imports_corpus_operators():
     for path in (ROOT / "kmerloom").rglob("*.py"):
         if "llm" not in path.parts:
