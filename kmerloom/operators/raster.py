@@ -11,6 +11,8 @@ from kmerloom.plans.tables import stored
 
 #: Sides of a grid of segments, and its most entries.
 SIDE_LEAST, SIDE_MOST, MOST_ENTRIES = 64, 1024, 16_000_000
+#: Segments of a cell from which narrower cells are tried first.
+BUSY = 256
 
 
 def endpoints(df: DataFrame) -> DataFrame:
@@ -109,14 +111,16 @@ def in_view(grid: DataFrame, side: int, width: float, height: float, x0: float,
 def nearest_join(points: DataFrame, segments: DataFrame, most: float, sx: float = 1.0, sy: float = 1.0, finest: float | None = None) -> DataFrame:
     """For each point (id, px, py) the segment nearest to it, nearer than `most`: the point, the segment's columns and distance. Of equally near ones the first by x, y and strand; points with none have no row.
 
-    Points and segments meet in cells. The first round has cells of width `finest`: a point sees the segments of its own and the eight cells around, and is done if one is nearer than a cell is wide, since none outside can be nearer. The others go on with cells twice as wide. Where segments lie close together points are done in narrow cells, so no cell pairs all of its points with all of its segments for long.
+    Points and segments meet in cells. The first round has cells of width `finest`: a point sees the segments of its own and the eight cells around, and is done if one is nearer than a cell is wide, since none outside can be nearer. The others go on with cells four times as wide. Where segments lie close together points are done in narrow cells, so no cell pairs all of its points with all of its segments for long.
     """
     ends = endpoints(segments)
     scaled = ends.select([F.col(c) for c in segments.columns] + [(F.col(c) * s).alias(c) for c, s in (("x0", sx), ("y0", sy), ("x1", sx), ("y1", sy))])
     if finest is None:
-        # As narrow as MOST_ENTRIES allow: a segment has about as many cells as its ends are cells apart.
+        # About six cells for a segment; narrower where a cell would be busy, as far as MOST_ENTRIES allow.
         length, n = scaled.agg(F.coalesce(F.sum(F.abs(F.col("x1") - F.col("x0")) + F.abs(F.col("y1") - F.col("y0"))), F.lit(0.0)), F.count(F.lit(1))).first()
-        finest = max(most / 4096, float(length) / max(1, MOST_ENTRIES - 2 * n), 1e-9)
+        finest = max(float(length) / max(1, 5 * n), most / (1 << 20), 1e-9)
+        while n > BUSY and float(length) / finest + 2 * n < MOST_ENTRIES / 2 and (grid_cells(scaled, finest, finest, []).groupBy("cx", "cy").count().agg(F.max("count")).first()[0] or 0) > BUSY:
+            finest /= 4
     width, left, found = min(finest, most), points.select("id", "px", "py"), None
     while True:
         spots = left.withColumns({"gx": F.floor(F.col("px") * sx / width), "gy": F.floor(F.col("py") * sy / width)})
@@ -132,7 +136,7 @@ def nearest_join(points: DataFrame, segments: DataFrame, most: float, sx: float
         left = stored(left.join(done.select("id"), "id", "left_anti"), "points")
         if left.isEmpty():
             break
-        width = min(2 * width, most)
+        width = min(4 * width, most)
     return found.select("id", "px", "py", *[F.col(f"best.{c}").alias(c) for c in [*segments.columns, "distance"]])
 
 
