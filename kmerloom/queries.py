@@ -19,7 +19,7 @@ from kmerloom.plans import density
 from kmerloom.plans.index_store import kept_index
 from kmerloom.plans.ordering import with_running_total
 from kmerloom.plans.tables import scratch, stored
-from kmerloom.sources import bgzf, binary, fasta, paf
+from kmerloom.sources import bgzf, binary, fasta, paf, svg
 
 K = 15
 SCALED = 16
@@ -860,3 +860,15 @@ def nearest_join(spark, sf_dir):
     points = read(spark, sf_dir, "events").select(i.alias("id"), ((i * 7919) % w).cast("double").alias("px"), ((i * 104_729) % h).cast("double").alias("py"))
     found = raster.nearest_join(points, stored(segments(spark, sf_dir, SMALL), "segments"), NEAR)
     return found.select("id", "x", "y", "strand", F.round("distance", 6).alias("distance"))
+
+
+VIEW, PIXELS = (0, 4000, 100_000, 900_000), (640, 480)
+
+
+@query(f"""WITH {SEG}, e AS (SELECT *, CASE WHEN strand = 0 THEN y ELSE y + dy END AS y0, CASE WHEN strand = 0 THEN y + dy ELSE y END AS ye FROM seg WHERE identity + 1e-6 >= 0.5 AND dx + 0.5 >= 20 AND x < {VIEW[1]} AND x + dx > {VIEW[0]} AND y < {VIEW[3]} AND y + dy > {VIEW[2]})
+SELECT x, y, strand, round((x - {VIEW[0]}) * ({PIXELS[0]} / {VIEW[1] - VIEW[0]}::DOUBLE), 2) AS x1, round(({VIEW[3]}::DOUBLE - y0) * ({PIXELS[1]} / {VIEW[3] - VIEW[2]}::DOUBLE), 2) AS y1, round((x + dx - {VIEW[0]}) * ({PIXELS[0]} / {VIEW[1] - VIEW[0]}::DOUBLE), 2) AS x2, round(({VIEW[3]}::DOUBLE - ye) * ({PIXELS[1]} / {VIEW[3] - VIEW[2]}::DOUBLE), 2) AS y2,
+  CAST(floor(least(1.0, greatest(0.0, (identity - 0.5) / 0.5)) * 255 + 0.5) AS INTEGER) AS tone FROM e""")
+def svg_segments(spark, sf_dir):
+    """K1: lines of a picture of the visible segments in a view."""
+    found = segments(spark, sf_dir).filter(raster.visible(0.5, 20))
+    return svg.svg_lines(found, tuple(map(float, VIEW)), *PIXELS, identity_low=0.5)

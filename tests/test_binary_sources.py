@@ -10,7 +10,7 @@ import pytest
 from test_sources import LINES, bigbed, twobit, write
 
 from kmerloom.model import EngineError
-from kmerloom.sources import bgzf, binary, fasta, intake, paf
+from kmerloom.sources import bgzf, binary, fasta, intake, paf, svg
 from kmerloom.sources.ranges import Ranges
 
 
@@ -183,3 +183,28 @@ def test_blocks_that_lie_close_are_read_together():
     runs = binary.joined(blocks)
     assert [(b, e, len(p)) for b, e, p in runs] == [(0, 18 + binary.NEAR, 3), (19 + 2 * binary.NEAR, 20 + 2 * binary.NEAR, 1)]
     assert len(binary.joined(blocks, 15)) == 3
+
+
+def test_svg(spark, tmp_path, monkeypatch):
+    from xml.etree import ElementTree
+
+    from kmerloom.model import SEGMENT
+
+    rows = [(0, 0, 100, 100, 0, 0, 0, 0, 1.0), (50, 20, 40, 40, 1, 0, 0, 0, 0.5), (900, 900, 50, 50, 0, 0, 0, 0, 0.75), (2000, 0, 5, 5, 0, 0, 0, 0, 1.0)]
+    found = spark.createDataFrame(rows, SEGMENT).repartition(3)
+    lines = svg.svg_lines(found, (0.0, 1000.0, 0.0, 1000.0), 300, 150, identity_low=0.5)
+    assert sorted(map(tuple, lines.collect())) == [(0, 0, 0, 0.0, 150.0, 30.0, 135.0, 255), (50, 20, 1, 15.0, 141.0, 27.0, 147.0, 0), (900, 900, 0, 270.0, 15.0, 285.0, 7.5, 128)]
+    path = str(tmp_path / "a.svg")
+    assert svg.write_svg(lines, path, 300, 150, 'two "axes" <&>') == 3
+    root = ElementTree.parse(path).getroot()
+    drawn = [x.attrib for x in root.iter("{http://www.w3.org/2000/svg}line")]
+    assert root.attrib["aria-label"] == 'two "axes" <&>' and [(d["x1"], d["y2"]) for d in drawn] == [("0.00", "135.00"), ("15.00", "147.00"), ("270.00", "7.50")] and drawn[0]["stroke"] == "rgb(16,44,110)" and drawn[1]["stroke"] == "rgb(250,214,190)"
+    profile = spark.createDataFrame([(0, 1.0), (1, 10**2.5)], "tile long, mult double")
+    assert [r.tone for r in svg.svg_lines(found, (0.0, 1000.0, 0.0, 1000.0), 300, 150, "multiplicity", 0.0, profile, 500).orderBy("x").collect()] == [0, 0, 255]
+    monkeypatch.setattr(svg, "MOST_LINES", 2)
+    with pytest.raises(EngineError, match="at most") as e:
+        svg.write_svg(lines, str(tmp_path / "b.svg"), 300, 150)
+    assert e.value.remedies and [x.name for x in tmp_path.iterdir()] == ["a.svg"]
+    for by in ("colour", "multiplicity"):
+        with pytest.raises(EngineError):
+            svg.svg_lines(found, (0.0, 1.0, 0.0, 1.0), 3, 3, by)
