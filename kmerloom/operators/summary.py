@@ -75,12 +75,12 @@ def identity_floor(least: float) -> float:
     return 0.9 if least >= 0.999 else math.floor(least * 100) / 100
 
 
-def dense_length(segments: DataFrame) -> int | None:
-    """For more than 2M segments the least length of the choices that leaves 500k at most, or the last; else none. One pass counts all choices."""
+def dense_length(segments: DataFrame, dense: int = DENSE, shown: int = DENSE_SHOWN) -> int | None:
+    """For more than `dense` segments the least length of the choices that leaves `shown` at most, or the last; else none. One pass counts all choices exactly, so nothing is sampled."""
     row = segments.agg(F.count(F.lit(1)).alias("n"), *[F.count_if(F.col("dx") >= c).alias(f"n{c}") for c in DENSE_LENGTHS]).first()
-    if row["n"] <= DENSE:
+    if row["n"] <= dense:
         return None
-    return next((c for c in DENSE_LENGTHS if row[f"n{c}"] <= DENSE_SHOWN), DENSE_LENGTHS[-1])
+    return next((c for c in DENSE_LENGTHS if row[f"n{c}"] <= shown), DENSE_LENGTHS[-1])
 
 
 def composition(spectrum: DataFrame, cap: int | None) -> DataFrame:

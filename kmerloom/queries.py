@@ -769,6 +769,17 @@ def scale_picks(spark, sf_dir):
     return spark.createDataFrame([(summary.dense_length(found), round(summary.identity_floor(found.agg(F.min("identity")).first()[0]), 9))], "dense int, floor double")
 
 
+PICTURES = ((100, 5), (100, 60), (100, 390), (10**9, 1))
+
+
+@query(f"""WITH {SEG}, n AS (SELECT count(*) AS n, {", ".join(f"count(*) FILTER (WHERE dx >= {c}) AS n{c}" for c in summary.DENSE_LENGTHS)} FROM seg)
+SELECT CAST(dense AS INTEGER) AS dense, CAST(shown AS INTEGER) AS shown, CAST(CASE WHEN n > dense THEN CASE {" ".join(f"WHEN n{c} <= shown THEN {c}" for c in summary.DENSE_LENGTHS)} ELSE {summary.DENSE_LENGTHS[-1]} END END AS INTEGER) AS least FROM n, (VALUES {", ".join(map(str, PICTURES))}) v(dense, shown)""")
+def dense_picks(spark, sf_dir):
+    """The least length that is shown of a dense result, for several sizes of a picture."""
+    found = stored(segments(spark, sf_dir), "segments")
+    return spark.createDataFrame([(d, n, summary.dense_length(found, d, n)) for d, n in PICTURES], "dense int, shown int, least int")
+
+
 LANE = "SELECT doc_id AS w0, doc_id + 3 + doc_id % 40 AS w1, source AS item_name, CASE doc_id % 3 WHEN 0 THEN '1,2,3' END AS rgb FROM documents"
 
 

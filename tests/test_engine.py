@@ -392,6 +392,7 @@ def test_distributions(spark):
     lo, n = summary.identity_bins(min(r[2] for r in rows))
     assert {(r.bin, r.strand): r.n for r in summary.identity_distribution(seg).collect()} == Counter((min(n - 1, max(0, int((v - lo) / ((1 - lo) / n)))), s) for _, s, v in rows)
     assert summary.identity_distribution(seg.limit(0)).count() == 0 and summary.dense_length(seg) is None
+    assert [summary.dense_length(seg, 0, n) for n in (10**9, 0)] == [summary.DENSE_LENGTHS[0], next((c for c in summary.DENSE_LENGTHS if not seg.filter(F.col("dx") >= c).count()), summary.DENSE_LENGTHS[-1])]
 
 
 def test_stream_counts(spark, tmp_path):
