@@ -42,11 +42,13 @@ def belongs(counts: DataFrame) -> DataFrame:
 
 def between(pieces: DataFrame, k: int, by: str = "rec", scaled: int = 1) -> tuple[DataFrame, DataFrame]:
     """belongs() and masses() of the groups `by` of an axis in pieces (spread), whose k-mers are enumerated and dealt out once: pairs of groups are added up where k-mers meet, and stored. With more groups than that takes, by joins."""
-    names = stored(pieces.select(by).distinct().withColumn("g", (F.row_number().over(Window.orderBy(by)) - 1).cast("long")), "groups")
+    names = stored(pieces.select(by).distinct(), "groups")
     n = names.count()
     if not pairs.fits(n):
         counts = stored(record_kmers(pieces, k, scaled, by).withColumnRenamed(by, "rec"), "records", by="kv")
         return belongs(counts), masses(counts)
+    # So few names are numbered in one task, and sent to all.
+    names = stored(names.withColumn("g", (F.row_number().over(Window.orderBy(by)) - 1).cast("long")), "numbered")
     coded = pieces.join(F.broadcast(names), pieces[by].eqNullSafe(names[by])).drop(names[by])
     sums = stored(pairs.pair_sums(group_kmers(coded, k, scaled, "g"), n), "belongs")
     i, j = (names.select(F.col("g").alias(x), F.col(by).alias(f"{x}_name")) for x in "ij")

@@ -11,11 +11,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from kmerloom.functions import formatting, grammar
-from kmerloom.functions.sequence import HASH_HIGH, HASH_LOW, HASH_STEP, letters_as_bases, scaled_for, text_as_bases
-from kmerloom.model import SATURATION_TILE, SKETCH_CAP, MatchOptions
+from kmerloom.functions.sequence import HASH_HIGH, HASH_LOW, HASH_STEP, letters_as_bases, text_as_bases
+from kmerloom.model import SATURATION_TILE, MatchOptions
 from kmerloom.operators import belongs as B
 from kmerloom.operators import contain, gather, intervals, kmers, match, profile, raster, summary
-from kmerloom.plans import density
+from kmerloom.plans import density, records
 from kmerloom.plans.index_store import kept_index
 from kmerloom.plans.ordering import with_running_total
 from kmerloom.plans.tables import scratch, stored
@@ -463,12 +463,11 @@ def source_axis(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
 
 
 @query()
-def gather_components(spark, sf_dir):
-    """The first source as a cover by windows of the others. Rounds have no SQL; tests hold them against a plain model."""
+def gather_components(spark, sf_dir, scaled: int | None = None):
+    """The first source as a cover by windows of the others. Rounds have no SQL; tests hold them against a plain model. Long axes are sampled by value unless `scaled` is 1."""
     axis, pieces = source_axis(spark, sf_dir)
     rec = axis.agg(F.min("rec")).first()[0]
-    scaled = scaled_for(kmers.total_length(axis), SKETCH_CAP)
-    rows, width, _ = gather.gather(kmers.canonical_kmers(kmers.spread(pieces), K, scaled), axis, rec)
+    rows, width, _ = gather.gather(kmers.canonical_kmers(kmers.spread(pieces), K, records.sampling(axis, scaled)), axis, rec)
     return gather.components(rows, axis, width)
 
 
