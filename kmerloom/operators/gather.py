@@ -1,6 +1,6 @@
 """Explain one record as a cover by windows of the others: each round claims the window that explains most of what is left, within the copies that it has.
 
-The k-mer tables of windows and slices are made by the cluster. Rounds depend on each other, so they run in one task over the record's own k-mers in compact form.
+Rounds depend on each other, but only through how much each window still explains: the cluster adds that up, and several rounds come out of one pass.
 """
 
 from __future__ import annotations
@@ -9,12 +9,16 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from kmerloom.plans.tables import release, stored
+
 #: Tile budgets, slices of the record, rounds, and the least share of the mass that a round must explain.
 TILES, LEAST_TILES, LEAST_BP, FORCED_BP, FORCED_TILES, SLICES, ROUNDS, SHARE = 192, 16, 1024, 256, 8192, 96, 2048, 0.001
+#: Windows whose rounds are taken from one pass, and rows that describe them.
+BATCH, MOST = 64, 200_000
 
 
 def tile_width(other_bp: int, tile_bp: int | None = None, tiles: int = TILES, least_bp: int = LEAST_BP) -> int:
@@ -30,99 +34,159 @@ def slice_width(length: int, slices: int = SLICES) -> tuple[int, int]:
 
 
 def species(kmers: DataFrame, axis: DataFrame, rec: int, tile_bp: int, slice_bp: int) -> tuple[DataFrame, DataFrame]:
-    """Copies of the record's k-mers: by slice (kv, slice, n), and by window of other records (kv, tile_rec, lo, n)."""
+    """Copies of the record's k-mers: by slice, stored (kv, slice, n), and by window of other records (kv, tile_rec, lo, n)."""
     placed = kmers.join(axis.select("rec", "start"), "rec").withColumn("at", F.col("pos") - F.col("start"))
     own = placed.filter(F.col("rec") == rec).groupBy("kv", F.floor(F.col("at") / slice_bp).cast("int").alias("slice")).agg(F.count(F.lit(1)).alias("n"))
+    own = stored(own, "cover-own")
     there = placed.filter(F.col("rec") != rec).join(own.select("kv").distinct(), "kv", "left_semi")
     tiles = there.groupBy("kv", F.col("rec").alias("tile_rec"), (F.floor(F.col("at") / tile_bp) * tile_bp).cast("long").alias("lo")).agg(F.count(F.lit(1)).alias("n"))
     return own, tiles
 
 
-class Lists:
-    """Rows by the number of the list that they are in, as one array; of many lists at once the rows."""
-
-    def __init__(self, number: np.ndarray, n: int):
-        self.rows, self.size = np.argsort(number, kind="stable"), np.bincount(number, minlength=n)
-        self.first = np.cumsum(self.size) - self.size
-
-    def of(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Rows of the lists, and for each the place in `which` of its list."""
-        size = self.size[which]
-        place = np.repeat(np.arange(len(which)), size)
-        return self.rows[np.arange(len(place)) + np.repeat(self.first[which] - (np.cumsum(size) - size), size)], place
-
-
-class Cover:
-    """Greedy rounds over species (k-mers that a window shares) and windows of copies. A window has a row for each of its species, so a round takes all of them at once."""
-
-    def __init__(self, own: pd.DataFrame, tiles: pd.DataFrame, rounds: int = ROUNDS, share: float = SHARE):
-        self.mass = int(own["n"].sum())
-        tiles = tiles.sort_values(["tile_rec", "lo", "kv"], kind="stable")
-        place = tiles[["tile_rec", "lo"]].to_numpy(np.int64).reshape(-1, 2)
-        begins = np.flatnonzero(np.append(True, (place[1:] != place[:-1]).any(1))) if len(place) else np.zeros(0, np.int64)
-        self.windows = pd.DataFrame(place[begins], columns=["tile_rec", "lo"])
-        window = np.repeat(np.arange(len(begins)), np.diff(np.append(begins, len(place))))
-        kinds, kind = np.unique(tiles["kv"].to_numpy(np.int64), return_inverse=True)
-        at = np.searchsorted(kinds, own["kv"].to_numpy(np.int64))
-        shared = (at < len(kinds)) & (kinds[np.minimum(at, len(kinds) - 1)] == own["kv"].to_numpy(np.int64)) if len(kinds) else np.zeros(len(own), bool)
-        own_kind, own_slice, own_n = at[shared], own["slice"].to_numpy(np.int64)[shared], own["n"].to_numpy(float)[shared]
-        total = np.bincount(own_kind, own_n, minlength=len(kinds))
-        left, room = total.copy(), tiles["n"].to_numpy(float)
-        pairs = np.unique(np.stack([kind, place[:, 0]]), axis=1)[0] if len(kinds) else kind
-        several = np.bincount(pairs, minlength=len(kinds)) > 1
-        of_kind, of_own = Lists(kind, len(kinds)), Lists(own_kind, len(kinds))
-        gain = np.bincount(window, np.minimum(room, left[kind]), minlength=len(begins)) if len(room) else np.zeros(0)
-        slices = int(own_slice.max()) + 1 if len(own_slice) else 0
-        painted: dict[int, np.ndarray] = {}
-        self.claimed, self.contested, self.truncated = np.zeros(len(begins)), np.zeros(len(begins)), False
-        ends = np.append(begins, len(place))
-        for turn in range(rounds):
-            if not len(gain) or gain.max() < max(1.0, share * self.mass):
-                break
-            self.truncated = turn == rounds - 1
-            best = int(gain.argmax())  # of equal ones the first by record and place
-            rows = np.arange(ends[best], ends[best + 1])
-            take = np.minimum(left[kind[rows]], room[rows])
-            rows, take = rows[take > 0], take[take > 0]
-            which = kind[rows]
-            near, _ = of_kind.of(which)
-            before = np.minimum(room[near], left[kind[near]])
-            left[which] -= take
-            room[rows] -= take
-            gain += np.bincount(window[near], np.minimum(room[near], left[kind[near]]) - before, minlength=len(gain))
-            self.claimed[best] += take.sum()
-            self.contested[best] += take[several[which]].sum()
-            here, j = of_own.of(which)
-            rec = int(self.windows["tile_rec"].iloc[best])
-            painted[rec] = painted.get(rec, 0) + np.bincount(own_slice[here], own_n[here] * (take / total[which])[j], minlength=slices)
-        self.paint = {(int(i), rec): float(v[i]) for rec, v in painted.items() for i in np.flatnonzero(v)}
-
-
-def _run(rounds: int, share: float):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(batches), ignore_index=True)
-        own = rows[rows["side"] == 0].rename(columns={"place": "slice"})
-        cover = Cover(own, rows[rows["side"] == 1].rename(columns={"place": "lo"}), rounds, share)
-        hit = np.flatnonzero(cover.claimed > 0)
-        yield pd.DataFrame({"kind": "claim", "rec": cover.windows["tile_rec"].iloc[hit].to_numpy(), "place": cover.windows["lo"].iloc[hit].to_numpy(), "mass": cover.claimed[hit], "contested": cover.contested[hit]})
-        yield pd.DataFrame([("paint", r, s, m, 0.0) for (s, r), m in sorted(cover.paint.items())], columns=["kind", "rec", "place", "mass", "contested"])
-        yield pd.DataFrame([("total", -1, int(cover.truncated), float(cover.mass), 0.0)], columns=["kind", "rec", "place", "mass", "contested"])
+def _state(batch: pa.RecordBatch, order: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of each copy count of a window in `held`: its row, window, count and whether the window is claimed; and what the claimed windows leave of each row's species.
+
+    A claim takes as much as the window has or is left, so what is left does not depend on the order of claims.
+    """
+    held = batch.column("held")
+    flat = held.flatten()
+    row = np.repeat(np.arange(batch.num_rows), held.value_lengths().to_numpy())
+    w, n = flat.field("w").to_numpy(), flat.field("n").to_numpy()
+    done = np.isin(w, order)
+    used = np.bincount(row, np.where(done, n, 0), minlength=batch.num_rows).astype(np.int64)
+    return row, w, n, done, np.maximum(batch.column("total").to_numpy() - used, 0)
+
+
+def _gains(order: np.ndarray):
+    """w, gain: what windows that aren't claimed explain of what is left."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            row, w, n, done, left = _state(batch, order)
+            gain = np.where(done, 0, np.minimum(n, left[row]) * batch.column("copies").to_numpy()[row])
+            ids, at = np.unique(w[gain > 0], return_inverse=True)
+            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(np.bincount(at, gain[gain > 0], minlength=len(ids)).astype(np.int64))], names=["w", "gain"])
+
+    return run
+
+
+def _among(order: np.ndarray, picks: np.ndarray):
+    """The state as far as the windows `picks` (ascending) see it: several, left, the numbers of those of them that hold the species, their room, copies."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            row, w, n, _, left = _state(batch, order)
+            here = np.isin(w, picks) & (left[row] > 0)
+            row, which = row[here], np.searchsorted(picks, w[here])
+            room = np.minimum(n[here], left[row])
+            rows, size = np.unique(row, return_counts=True)
+            first = np.cumsum(size) - size
+            ends = pa.array(np.append(first, len(row)).astype(np.int32))
+            binds = np.minimum(left[rows], np.add.reduceat(room, first)) if len(rows) else left[rows]
+            yield pa.RecordBatch.from_arrays([
+                batch.column("several").take(pa.array(rows)), pa.array(binds), pa.ListArray.from_arrays(ends, pa.array(which.astype(np.int32))), pa.ListArray.from_arrays(ends, pa.array(room)), batch.column("copies").take(pa.array(rows)),
+            ], names=["several", "left", "which", "room", "copies"])
+
+    return run
+
+
+def _shares(order: np.ndarray, stride: int):
+    """kv, rec, share: of each species how much of it a record's claims have taken."""
+    ranked = np.argsort(order, kind="stable")
+    sorted_ = order[ranked]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            row, w, n, done, _ = _state(batch, order)
+            row, w, n = row[done], w[done], n[done]
+            turn = np.lexsort((ranked[np.searchsorted(sorted_, w)], row)) if len(w) else np.zeros(0, np.int64)
+            row, w, n = row[turn], w[turn], n[turn]
+            total = batch.column("total").to_numpy()[row]
+            run_up = np.cumsum(n) - n
+            opens = np.append(True, row[1:] != row[:-1])[: len(row)]
+            before = run_up - np.maximum.accumulate(np.where(opens, run_up, 0)) if len(row) else run_up
+            take = np.clip(total - before, 0, n)
+            hit = take > 0
+            yield pa.RecordBatch.from_arrays([batch.column("kv").take(pa.array(row[hit])), pa.array(w[hit] // stride), pa.array(take[hit] / total[hit])], names=["kv", "rec", "share"])
 
     return run
 
 
-def gather(kmers: DataFrame, axis: DataFrame, rec: int, tile_bp: int | None = None, rounds: int = ROUNDS, share: float = SHARE, slices: int = SLICES) -> tuple[DataFrame, int, int]:
+class Few:
+    """Rounds among a few windows, over what _among() has found of them."""
+
+    def __init__(self, rows: pa.Table, picks: np.ndarray):
+        which = rows.column("which").combine_chunks()
+        self.row = np.repeat(np.arange(rows.num_rows), which.value_lengths().to_numpy())
+        self.which, self.room = which.flatten().to_numpy(), rows.column("room").combine_chunks().flatten().to_numpy()
+        self.left, self.copies, self.several = rows.column("left").to_numpy().copy(), rows.column("copies").to_numpy(), rows.column("several").to_numpy()
+        self.picks, self.open = picks, np.ones(len(picks), bool)
+
+    def best(self) -> tuple[int, int]:
+        """The window that explains most of what is left, of equal ones the first, and how much."""
+        gain = np.bincount(self.which, np.minimum(self.room, self.left[self.row]) * self.copies[self.row], minlength=len(self.picks)).astype(np.int64)
+        gain[~self.open] = -1
+        i = int(gain.argmax())
+        return i, int(gain[i])
+
+    def claim(self, i: int) -> int:
+        """Claims the window; how much of it records contest."""
+        at = self.which == i
+        row = self.row[at]
+        take = np.minimum(self.room[at], self.left[row])
+        self.left[row] -= take
+        self.open[i] = False
+        return int((take * self.copies[row])[self.several[row]].sum())
+
+
+def _rounds(kinds: DataFrame, mass: int, rounds: int, share: float, batch: int, most: int) -> list[tuple[int, int, int]]:
+    """window, mass, contested of each round. Gains only fall, so among the windows of the largest gains rounds go on as long as the best of them still beats what the next window had at the start; then all gains are added up again."""
+    claims: list[tuple[int, int, int]] = []
+    least = max(1.0, share * mass)
+    while len(claims) < rounds:
+        order = np.array([c[0] for c in claims], np.int64)
+        top = kinds.mapInArrow(_gains(order), "w long, gain long").groupBy("w").agg(F.sum("gain").alias("gain")).orderBy(F.desc("gain"), "w").limit(batch + 1).collect()
+        if not top or top[0]["gain"] < least:
+            break
+        while True:
+            picks = np.sort(np.array([r["w"] for r in top[:batch]], np.int64))
+            state = kinds.mapInArrow(_among(order, picks), "several boolean, left long, which array<int>, room array<long>, copies long")
+            rows = state.groupBy("several", "left", "which", "room").agg(F.sum("copies").alias("copies")).limit(most + 1).toArrow()
+            if rows.num_rows <= most or batch == 1:
+                break
+            batch //= 2
+        few, beyond = Few(rows, picks), top[batch] if len(top) > batch else None
+        while len(claims) < rounds and few.open.any():
+            i, gain = few.best()
+            w = int(picks[i])
+            if gain < least or (beyond is not None and (-gain, w) > (-beyond["gain"], beyond["w"])):
+                break
+            claims.append((w, gain, few.claim(i)))
+    return claims
+
+
+def gather(kmers: DataFrame, axis: DataFrame, rec: int, tile_bp: int | None = None, rounds: int = ROUNDS, share: float = SHARE, slices: int = SLICES, batch: int = BATCH, most: int = MOST) -> tuple[DataFrame, int, int]:
     """Rows of kind `claim` (record, window start, mass, contested), `paint` (record, slice, mass) and `total` (truncated, mass); window and slice widths.
 
-    Each round depends on the one before, so one task runs them. It gets the record's k-mers by slice, and those of the windows that share one: with k-mers sampled by value at the rate of scaled_for(total, SKETCH_CAP), as they should be for long axes, SKETCH_CAP rows of each at most.
+    No task holds the record: its k-mers stay a stored table, those alike in copies and windows as one row. A pass over it adds up the gains of all windows; a second one what the `batch` windows of the largest gains have in common, up to `most` rows for the driver (with fewer windows if there are more), which takes rounds from it until another window may be better. The result is that of one round at a time. A row lists the windows that hold its k-mer.
     """
-    sizes = axis.agg(F.sum("len").alias("all"), F.max(F.when(F.col("rec") == rec, F.col("len"))).alias("own")).first()
+    sizes = axis.agg(F.sum("len").alias("all"), F.max(F.when(F.col("rec") == rec, F.col("len"))).alias("own"), F.max("len").alias("longest")).first()
     width = tile_width(max(1, sizes["all"] - sizes["own"]), tile_bp)
     slice_bp, _ = slice_width(sizes["own"], slices)
+    stride = sizes["longest"] // width + 1
     own, tiles = species(kmers, axis, rec, width, slice_bp)
-    both = own.select(F.lit(0).alias("side"), "kv", F.lit(-1).cast("long").alias("tile_rec"), F.col("slice").cast("long").alias("place"), "n").unionByName(tiles.select(F.lit(1).alias("side"), "kv", "tile_rec", F.col("lo").alias("place"), "n"))
-    rows = both.repartition(1).mapInPandas(_run(rounds, share), "kind string, rec long, place long, mass double, contested double")
-    return rows, width, slice_bp
+    held = tiles.groupBy("kv").agg((F.min("tile_rec") < F.max("tile_rec")).alias("several"), F.array_sort(F.collect_list(F.struct((F.col("tile_rec") * stride + F.col("lo") / width).cast("long").alias("w"), "n"))).alias("held"))
+    each = stored(own.groupBy("kv").agg(F.sum("n").alias("total")).join(held, "kv"), "cover-kmers")
+    kinds = stored(each.groupBy("total", "several", "held").agg(F.count(F.lit(1)).alias("copies")), "cover-kinds")
+    mass = int(own.agg(F.sum("n")).first()[0] or 0)
+    claims = _rounds(kinds, mass, rounds, share, batch, most)
+    order = np.array([c[0] for c in claims], np.int64)
+    taken = each.mapInArrow(_shares(order, stride), "kv long, rec long, share double")
+    paint = stored(own.join(taken, "kv").groupBy("rec", F.col("slice").cast("long").alias("place")).agg(F.sum(F.col("n") * F.col("share")).alias("mass")), "cover-paint")
+    release(each, kinds, own)
+    told = [("claim", w // stride, w % stride * width, float(m), float(c)) for w, m, c in claims] + [("total", -1, int(len(claims) == rounds), float(mass), 0.0)]
+    rows = kmers.sparkSession.createDataFrame(told, "kind string, rec long, place long, mass double, contested double")
+    return rows.unionByName(paint.select(F.lit("paint").alias("kind"), "rec", "place", "mass", F.lit(0.0).alias("contested"))), width, slice_bp
 
 
 def components(claims: DataFrame, axis: DataFrame, tile_bp: int) -> DataFrame:
@@ -135,9 +199,12 @@ def components(claims: DataFrame, axis: DataFrame, tile_bp: int) -> DataFrame:
 
 def summary(components_: DataFrame, total: float, top: int = 8) -> DataFrame:
     """The heaviest components, the others as one row, and what is left unexplained, as shares of the mass."""
-    ranked = components_.withColumn("place", F.row_number().over(Window.orderBy(F.desc("mass"), "rec", "lo")))
-    named = ranked.select(F.when(F.col("place") <= top, F.col("place")).otherwise(top + 1).alias("place"), "mass").groupBy("place").agg(F.sum("mass").alias("mass"))
-    rest = ranked.agg((F.lit(total) - F.coalesce(F.sum("mass"), F.lit(0.0))).alias("mass")).select(F.lit(top + 2).alias("place"), "mass")
+    named = components_.orderBy(F.desc("mass"), "rec", "lo").limit(top)
+    named = named.select(F.row_number().over(Window.orderBy(F.desc("mass"), "rec", "lo")).alias("place"), "mass")
+    both = components_.agg(F.sum("mass").alias("all"), F.count(F.lit(1)).alias("n")).join(named.agg(F.sum("mass").alias("top"), F.count(F.lit(1)).alias("m")))
+    others = both.filter("n > m").select(F.lit(top + 1).alias("place"), (F.col("all") - F.col("top")).alias("mass"))
+    rest = both.select(F.lit(top + 2).alias("place"), (F.lit(total) - F.coalesce("all", F.lit(0.0))).alias("mass"))
+    named = named.unionByName(others)
     return named.unionByName(rest).withColumn("share", F.col("mass") / max(total, 1.0))
 
 

@@ -291,6 +291,29 @@ def test_gather(spark):
     assert math.isclose(sum(r.share for r in table), 1.0)
 
 
+def test_rounds_of_any_batch(spark):
+    """The cover is that of one round at a time, however many windows a pass takes and however few rows may describe them; ties go to the first window."""
+    x, y, z = bases(4000, 4), bases(4000, 5), bases(900, 6)
+    seqs = [x + y[:2000] + z * 2, x[1000:] + z, y + z, z + x[:2500], y[500:1500] * 2, x[1000:] + z]
+    a, k = axis(spark, *seqs), 15
+    table = kmers.canonical_kmers(a, k).cache()
+    own, tiles = Counter(min(w, rc(w)) for _, _, w in windows(seqs[:1], k)), defaultdict(Counter)
+    for i, s in enumerate(seqs[1:], 1):
+        for _, p, w in windows([s], k):
+            if min(w, rc(w)) in own:
+                tiles[i, p // 256 * 256][min(w, rc(w))] += 1
+    claimed, _ = cover_by_hand(own, tiles, 0.0)
+    told = []
+    for batch, most in ((1, 1), (3, 200_000), (64, 4), (64, 200_000)):
+        rows, width, _ = gather.gather(table, a, 0, tile_bp=256, share=0.0, batch=batch, most=most)
+        got = rows.collect()
+        assert width == 256 and {(r.rec, r.place): r.mass for r in got if r.kind == "claim"} == dict(claimed)
+        told.append(sorted((r.kind, r.rec, r.place, round(r.mass, 6), r.contested) for r in got))
+    assert all(t == told[0] for t in told)
+    (total,) = [r for r in gather.gather(table, a, 0, tile_bp=256, rounds=3)[0].collect() if r.kind == "total"]
+    assert total.place == 1
+
+
 def test_source_axis_of_any_names(spark, tmp_path):
     from kmerloom.queries import source_axis
 
