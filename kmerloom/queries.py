@@ -15,7 +15,7 @@ from kmerloom.functions.sequence import HASH_HIGH, HASH_LOW, HASH_STEP, letters_
 from kmerloom.model import SATURATION_TILE, MatchOptions
 from kmerloom.operators import belongs as B
 from kmerloom.operators import contain, gather, intervals, kmers, match, profile, raster, summary
-from kmerloom.plans import density, records
+from kmerloom.plans import density
 from kmerloom.plans.index_store import kept_index
 from kmerloom.plans.ordering import with_running_total
 from kmerloom.plans.tables import scratch, stored
@@ -462,15 +462,72 @@ def source_axis(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     return records, pieces.select("rec", (F.col("start") + F.col("at")).alias("start"), F.length("seq").cast("long").alias("len"), "seq")
 
 
-@query()
-def gather_components(spark, sf_dir, scaled: int | None = None):
-    """The first source as a cover by windows of the others. Rounds have no SQL; tests hold them against a plain model. Long axes are sampled by value unless `scaled` is 1."""
+# Sources as source_axis() lays them out, what windows hold of the first one, and rounds: `steps` has the state before each.
+COVER = f"""{DOC_KM}, number AS (SELECT source AS name, row_number() OVER (ORDER BY TRY_CAST(regexp_extract(source, '[0-9]+') AS BIGINT) NULLS LAST, source NULLS LAST) - 1 AS r FROM (SELECT DISTINCT source FROM documents)),
+laid AS (SELECT doc.rec AS d, r, doc.start AS s, sum(doc.len + 1) OVER (PARTITION BY r ORDER BY doc.rec) - doc.len - 1 AS ahead, doc.len FROM doc JOIN documents ON doc.rec = doc_id JOIN number ON source IS NOT DISTINCT FROM name),
+long AS (SELECT r, CAST(max(ahead + len) AS BIGINT) AS len FROM laid GROUP BY 1),
+wide AS (SELECT CAST(greatest({gather.LEAST_BP}, ceil(coalesce(sum(len) FILTER (WHERE r <> 0), 1) / {gather.TILES}.0)) AS BIGINT) AS tile, CAST(ceil(max(len) FILTER (WHERE r = 0) / {gather.SLICES}.0) AS BIGINT) AS slice FROM long),
+put AS MATERIALIZED (SELECT r, CAST(ahead + pos - s AS BIGINT) AS p, least(km, {rc("km")}) AS c FROM dk JOIN laid ON dk.rec = d),
+own AS MATERIALIZED (SELECT c, count(*) AS total FROM put WHERE r = 0 GROUP BY 1),
+tiles AS (SELECT c, r, p // tile AS t, count(*) AS n FROM put, wide WHERE r <> 0 AND c IN (SELECT c FROM own) GROUP BY 1, 2, 3),
+kinds AS MATERIALIZED (SELECT *, row_number() OVER () AS kind FROM (SELECT total, several, held, count(*) AS copies FROM (
+  SELECT total, min(r) < max(r) AS several, list({{'r': r, 't': t, 'n': n}} ORDER BY r, t) AS held FROM tiles JOIN own USING (c) GROUP BY c, total) GROUP BY 1, 2, 3)),
+least_ AS (SELECT greatest(1, {gather.SHARE} * sum(total)) AS least FROM own),
+steps AS (
+  SELECT 0 AS turn, kind, h.r, h.t, h.n, CAST(total AS BIGINT) AS room, several, copies FROM kinds, UNNEST(held) u(h)
+  UNION ALL
+  SELECT turn + 1, s.kind, s.r, s.t, s.n, s.room - coalesce(x.take, 0), several, copies
+  FROM steps s CROSS JOIN least_ CROSS JOIN (SELECT r, t, sum(copies * least(n, room)) AS gain FROM steps GROUP BY 1, 2 ORDER BY gain DESC, r, t LIMIT 1) b
+    LEFT JOIN (SELECT kind, least(n, room) AS take FROM steps JOIN (SELECT r, t, sum(copies * least(n, room)) AS gain FROM steps GROUP BY 1, 2 ORDER BY gain DESC, r, t LIMIT 1) USING (r, t)) x ON x.kind = s.kind
+  WHERE b.gain >= least AND turn < {gather.ROUNDS - 1} AND NOT (s.r = b.r AND s.t = b.t) AND s.room > coalesce(x.take, 0)),
+gains AS (SELECT turn, r, t, sum(copies * least(n, room)) AS mass, sum(CASE WHEN several THEN copies * least(n, room) ELSE 0 END) AS contested FROM steps GROUP BY 1, 2, 3),
+claimed AS (SELECT g.* FROM gains g, least_ WHERE mass >= least QUALIFY row_number() OVER (PARTITION BY turn ORDER BY mass DESC, r, t) = 1),
+found AS (
+  SELECT r AS rec, CAST(min(t) * any_value(tile) AS BIGINT) AS lo, CAST(least((max(t) + 1) * any_value(tile), any_value(len)) AS BIGINT) AS hi, CAST(sum(mass) AS DOUBLE) AS mass, CAST(sum(contested) AS DOUBLE) AS contested
+  FROM (SELECT *, t - row_number() OVER (PARTITION BY r ORDER BY t) AS g FROM claimed) JOIN long USING (r), wide GROUP BY r, g)"""
+
+
+def first_source(spark, sf_dir) -> tuple[DataFrame, int, DataFrame]:
+    """The sources' records, the first one's number, and the k-mers of all."""
     axis, pieces = source_axis(spark, sf_dir)
-    rec = axis.agg(F.min("rec")).first()[0]
-    rows, width, _ = gather.gather(kmers.canonical_kmers(kmers.spread(pieces), K, records.sampling(axis, scaled)), axis, rec)
+    return axis, axis.agg(F.min("rec")).first()[0], kmers.canonical_kmers(kmers.spread(pieces), K)
+
+
+@query(f"WITH RECURSIVE {COVER} SELECT * FROM found")
+def gather_components(spark, sf_dir):
+    """The first source as a cover by windows of the others, from all k-mers of both."""
+    axis, rec, table = first_source(spark, sf_dir)
+    rows, width, _ = gather.gather(table, axis, rec)
     return gather.components(rows, axis, width)
 
 
+@query(f"""WITH RECURSIVE {COVER}, ranked AS (SELECT mass, row_number() OVER (ORDER BY mass DESC, rec, lo) AS p FROM found), whole AS (SELECT CAST(sum(total) AS DOUBLE) AS m FROM own),
+parts AS (SELECT CAST(least(p, 9) AS INTEGER) AS place, sum(mass) AS mass FROM ranked GROUP BY 1 UNION ALL SELECT 10, m - coalesce((SELECT sum(mass) FROM found), 0) FROM whole)
+SELECT place, mass, round(mass / greatest(m, 1), 9) AS share FROM parts, whole""")
+def gather_summary(spark, sf_dir):
+    """The heaviest components of the first source's cover, the others and what is unexplained."""
+    axis, rec, table = first_source(spark, sf_dir)
+    rows, width, _ = gather.gather(table, axis, rec)
+    told = gather.summary(gather.components(rows, axis, width), rows.filter("kind = 'total'").first()["mass"])
+    return nine(told.withColumn("place", F.col("place").cast("int")), "share")
+
+
+@query(f"""WITH RECURSIVE {COVER}, used AS (SELECT kind, c.r, c.turn, least(s.n, s.room) * 1e0 / total AS part FROM claimed c JOIN steps s USING (turn, r, t) JOIN kinds USING (kind)),
+named AS (SELECT c, kind FROM (SELECT c, total, min(r) < max(r) AS several, list({{'r': r, 't': t, 'n': n}} ORDER BY r, t) AS held FROM tiles JOIN own USING (c) GROUP BY c, total) JOIN kinds USING (total, several, held)),
+cut AS (SELECT c, p // slice AS slice, count(*) AS n FROM put, wide WHERE r = 0 GROUP BY 1, 2),
+totals AS (SELECT slice, sum(n) AS total FROM cut GROUP BY 1),
+paint AS (SELECT slice, r AS rec, sum(n * part) AS mass FROM cut JOIN named USING (c) JOIN used USING (kind) GROUP BY 1, 2),
+top AS (SELECT slice, arg_max(rec, (round(mass, 6), -rec)) AS rec, sum(mass) AS mass FROM paint GROUP BY 1)
+SELECT CAST(slice AS BIGINT) AS slice, rec, round(least(1e0, mass / total), 6) AS explained FROM top JOIN totals USING (slice) WHERE least(1e0, mass / total) > 0.02""")
+def gather_strip(spark, sf_dir):
+    """Of each slice of the first source the record that explains most of it. Sums are rounded, so that their order decides no tie."""
+    axis, rec, table = first_source(spark, sf_dir)
+    rows, _, slice_bp = gather.gather(table, axis, rec)
+    rows = rows.withColumn("mass", F.when(F.col("kind") == "paint", F.round("mass", 6)).otherwise(F.col("mass")))
+    own = table.filter(F.col("rec") == rec).join(axis.select("rec", "start"), "rec").groupBy(F.floor((F.col("pos") - F.col("start")) / slice_bp).cast("long").alias("slice")).agg(F.count(F.lit(1)).alias("total"))
+    return gather.strip(rows, own).withColumn("explained", F.round("explained", 6))
+
+
 # Claims that stand in for a cover: records and windows of 1,024 bases with a mass.
 CLAIMS = """claims AS (SELECT l_suppkey AS rec, CAST(1024 * (l_partkey % 40) AS BIGINT) AS place, CAST(sum(l_quantity) AS DOUBLE) AS mass, CAST(sum(CASE WHEN l_linenumber = 1 THEN l_quantity ELSE 0 END) AS DOUBLE) AS contested FROM lineitem WHERE l_partkey % 3 < 2 GROUP BY 1, 2),
 comp AS (
