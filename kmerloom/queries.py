@@ -20,6 +20,7 @@ from kmerloom.plans.index_store import kept_index
 from kmerloom.plans.ordering import with_running_total
 from kmerloom.plans.tables import scratch, stored
 from kmerloom.sources import bgzf, binary, fasta, paf, svg
+from kmerloom.sources.tiles import TileCache
 
 K = 15
 SCALED = 16
@@ -609,15 +610,33 @@ def twobit_read(spark, sf_dir):
 BED_WINDOWS = [("A", 1000, 9000), ("N", 0, 5000), ("N", 4000, 7000), ("R", 2000, 2500), ("X", 0, 10)]
 
 
-@query(f"""WITH items AS (SELECT l_returnflag AS chrom, l_partkey * 10 AS start, l_partkey * 10 + CAST(l_quantity AS BIGINT) + 1 AS "end", 'L' || l_linenumber AS name, CASE l_linestatus WHEN 'O' THEN '+' ELSE '-' END AS strand, CASE l_linenumber WHEN 1 THEN '1,2,3' END AS rgb FROM lineitem)
-SELECT * FROM items WHERE {" OR ".join(f"(chrom = '{c}' AND start < {e} AND {chr(34)}end{chr(34)} > {s_})" for c, s_, e in BED_WINDOWS)}""")
-def bigbed_windows(spark, sf_dir):
-    """Order lines as items of bigBed files, those in some windows read by the index."""
+BED_ITEMS = """SELECT l_returnflag AS chrom, l_partkey * 10 AS start, l_partkey * 10 + CAST(l_quantity AS BIGINT) + 1 AS "end", 'L' || l_linenumber AS name, CASE l_linestatus WHEN 'O' THEN '+' ELSE '-' END AS strand, CASE l_linenumber WHEN 1 THEN '1,2,3' END AS rgb FROM lineitem"""
+
+
+def bed_file(spark, sf_dir) -> str:
+    """Order lines as items of bigBed files."""
     folder = scratch(spark, "bigbed")
     at = (F.col("l_partkey") * 10).cast("long")
     items = read(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("chrom"), at.alias("start"), (at + F.col("l_quantity").cast("long") + 1).alias("end"), F.concat(F.lit("L"), "l_linenumber").alias("name"), F.when(F.col("l_linestatus") == "O", "+").otherwise("-").alias("strand"), F.when(F.col("l_linenumber") == 1, "1,2,3").alias("rgb"))
     binary.write_bigbed(items.repartitionByRange(8, "chrom", "start"), folder)
-    return binary.read_bigbed(spark, folder, BED_WINDOWS)
+    return folder
+
+
+@query(f"""WITH items AS ({BED_ITEMS})
+SELECT * FROM items WHERE {" OR ".join(f"(chrom = '{c}' AND start < {e} AND {chr(34)}end{chr(34)} > {s_})" for c, s_, e in BED_WINDOWS)}""")
+def bigbed_windows(spark, sf_dir):
+    """Order lines as items of bigBed files, those in some windows read by the index."""
+    return binary.read_bigbed(spark, bed_file(spark, sf_dir), BED_WINDOWS)
+
+
+@query(f"""WITH items AS ({BED_ITEMS})
+SELECT chrom, start, "end", name, min(strand) AS strand, rgb FROM items WHERE chrom = 'N' AND start < 12345 AND "end" > 3210 GROUP BY ALL""")
+def annotation_view(spark, sf_dir):
+    """A view of annotations from tiles, some of which an earlier view has read."""
+    folder = bed_file(spark, sf_dir)
+    cache = TileCache(lambda windows: binary.read_bigbed(spark, folder, windows), tile_bp=1024)
+    cache.view("N", 2048, 6000)
+    return cache.view("N", 3210, 12345)
 
 
 # ---------------------------------------------------------------- intervals

@@ -283,3 +283,38 @@ def test_no_local_folder_on_a_cluster():
     cluster = SimpleNamespace(conf=SimpleNamespace(get=lambda *_: None), sparkContext=SimpleNamespace(master="spark://x:7077", applicationId="a"))
     with pytest.raises(EngineError, match="checkpoint"):
         shared_folder(cluster)
+
+
+def test_tiles_of_annotations(spark):
+    """A view from tiles equals one of all items; a repeated view reads nothing, and the first tiles go first."""
+    from kmerloom.sources.tiles import TileCache
+
+    rng = random.Random(11)
+    items = [("c", a := rng.randrange(0, 9500), a + rng.choice([1, 30, 2500]), rng.choice("xyz"), rng.choice(["+", "-", None]), None) for _ in range(300)]
+    items += items[:20] + [("d", 5, 50, "x", "+", "1,2,3"), ("c", 1000, 2000, None, None, None)]
+    table = spark.createDataFrame(items, "chrom string, start long, end long, name string, strand string, rgb string")
+    asked = []
+
+    def read(windows):
+        asked.append(windows)
+        return table.filter(" OR ".join(f"(chrom = '{c}' AND start < {e} AND end > {s})" for c, s, e in windows))
+
+    def plain(chrom, lo, hi):
+        held = {}
+        for x in items:
+            if x[0] == chrom and x[2] > lo and x[1] < hi:
+                held.setdefault(x[:4], []).append((x[4] is not None, x[4] or "", x[5]))
+        return sorted(((*k, min(v)[1] if min(v)[0] else None, min(v)[2]) for k, v in held.items()), key=repr)
+
+    cache = TileCache(read, tile_bp=1000, most=6)
+    told = lambda *x: sorted(map(tuple, cache.view(*x).collect()), key=repr)
+    assert told("c", 2500, 4100) == plain("c", 2500, 4100) and asked == [[("c", 2000, 5000)]]
+    assert told("c", 1000, 6000) == plain("c", 1000, 6000) and asked[1:] == [[("c", 1000, 2000), ("c", 5000, 6000)]]
+    assert told("c", 1200, 5500) == plain("c", 1200, 5500) and len(asked) == 2
+    assert told("d", 0, 100) == plain("d", 0, 100) == [("d", 5, 50, "x", "+", "1,2,3")] and len(cache.held) == 6
+    assert told("c", 7000, 7001) == plain("c", 7000, 7001) and ("c", 2) not in cache.held and len(cache.held) == 6
+    assert told("c", 2999, 3000) == plain("c", 2999, 3000) and asked[4:] == [[("c", 2000, 3000)]]
+    assert told("c", 0, 10_000) == plain("c", 0, 10_000) and len(cache.held) == 10
+    assert told("none", 0, 10) == []
+    with pytest.raises(EngineError):
+        TileCache(read, most=0)
