@@ -24,9 +24,19 @@ def normalise(seq: Column) -> Column:
     return F.regexp_replace(F.translate(F.upper(seq), "U", "T"), "[^ACGT]", "N")
 
 
+#: Of bytes: the base of each letter, and those that are no letters.
+LETTER_BASES = bytes.maketrans((LETTERS + LETTERS.upper()).encode(), (("ACGT" * 7)[:26] * 2).encode())
+NO_LETTERS = bytes(b for b in range(256) if chr(b) not in LETTERS + LETTERS.upper())
+
+
+def _letters(text: pa.Array) -> pa.Array:
+    # Bytes of letters beyond ASCII are none of A-Z.
+    return pa.array([b"" if t is None else t.translate(LETTER_BASES, NO_LETTERS) for t in text.cast(pa.binary()).to_pylist()], pa.binary()).cast(pa.string())
+
+
 def letters_as_bases(text: Column) -> Column:
     """A stand-in for sequence data: a text's ASCII letters, each as the base at its place in the alphabet mod 4."""
-    return F.translate(F.lower(F.regexp_replace(F.coalesce(text, F.lit("")), "[^A-Za-z]", "")), LETTERS, ("ACGT" * 7)[:26])
+    return F.arrow_udf(_letters, "string")(text)
 
 
 def text_as_bases(text: Column) -> Column:

@@ -43,6 +43,11 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def tasks(spark: SparkSession) -> int:
+    """Tasks, and files, that a table is dealt out to."""
+    return max(4, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
 def document_axis(spark: SparkSession, sf_dir: str, bases=letters_as_bases) -> DataFrame:
     return kmers.as_axis(read(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("doc"), F.col("doc_id")).alias("name"), bases(F.col("text")).alias("seq")), "doc_id", "name", "seq")
 
@@ -581,7 +586,7 @@ def fasta_axis(spark, sf_dir):
     for name, axis, offset in (("doc", document_axis(spark, sf_dir), 3 * F.col("rec")), ("item", benchmark_axis(spark, sf_dir), F.lit(0))):
         lines = F.regexp_replace("seq", "(.{60})", "$1\n")
         text = axis.select("rec", F.concat(F.lit(">"), "name", F.lit(" @offset="), offset.cast("string"), F.lit("\n"), lines).alias("value"))
-        text.repartitionByRange(4, "rec").sortWithinPartitions("rec").select("value").write.text(f"{folder}/{name}")
+        text.repartitionByRange(tasks(spark), "rec").sortWithinPartitions("rec").select("value").write.text(f"{folder}/{name}")
     return fasta.read_axis(spark, f"{folder}/doc", f"{folder}/item").select("rec", "name", "start", "len", "offset", F.md5("seq").alias("seq_md5"))
 
 
@@ -591,8 +596,8 @@ def bgzf_axis(spark, sf_dir):
     folder = scratch(spark, "bgzf")
     axis = document_axis(spark, sf_dir)
     text = axis.select("rec", F.concat(F.lit(">"), "name", F.lit(" @offset="), (3 * F.col("rec")).cast("string"), F.lit("\n"), F.regexp_replace("seq", "(.{60})", "$1\n")).alias("value"))
-    bgzf.write_bgzf(text.repartitionByRange(4, "rec").sortWithinPartitions("rec").select("value"), folder)
-    return fasta.read_axis(spark, folder, split=1 << 16).select("rec", "name", "start", "len", "offset", F.md5("seq").alias("seq_md5"))
+    bgzf.write_bgzf(text.repartitionByRange(tasks(spark), "rec").sortWithinPartitions("rec").select("value"), folder)
+    return fasta.read_axis(spark, folder, split=bgzf.split_for(folder, 4 * tasks(spark))).select("rec", "name", "start", "len", "offset", F.md5("seq").alias("seq_md5"))
 
 
 PIECE = 4096
@@ -723,8 +728,8 @@ def paf_bgzf(spark, sf_dir):
     """PAF lines in BGZF files, numbered over the tasks that read them."""
     folder = scratch(spark, "bgzf")
     lines = paf_lines(spark, sf_dir)
-    bgzf.write_bgzf(lines.repartitionByRange(4, "line_no", "value").sortWithinPartitions("line_no", "value").select("value"), folder)
-    return nine(paf.parse(paf.read_lines(spark, folder, split=1 << 16)).select("line_no", "qname", "tname", "valid", "identity"), "identity")
+    bgzf.write_bgzf(lines.repartitionByRange(tasks(spark), "line_no", "value").sortWithinPartitions("line_no", "value").select("value"), folder)
+    return nine(paf.parse(paf.read_lines(spark, folder, split=bgzf.split_for(folder, 4 * tasks(spark)))).select("line_no", "qname", "tname", "valid", "identity"), "identity")
 
 
 @query(f"""WITH {PAF_TEXT}, first_ AS (SELECT qname AS name, arg_min(qlen, line_no) AS len, min(line_no) AS f FROM checked WHERE valid GROUP BY 1)

@@ -230,6 +230,11 @@ def read_bgzf(spark: SparkSession, path: str, separator: str = "\n", split: int
     return spark.read.format("bgzf").option("lineSep", separator).option("split", split).load(path)
 
 
+def split_for(path: str, tasks: int) -> int:
+    """Compressed bytes of a range that deal a file, or a folder, out to about so many tasks: a block's at least, SPLIT at most."""
+    return max(MOST, min(SPLIT, -(-sum(size for _, size in files_under(path)) // max(1, tasks))))
+
+
 def write_bgzf(text: DataFrame, path: str, separator: str = "\n", overwrite: bool = False) -> None:
     """The one text column of a table as a folder of BGZF files, one for each partition, rows in order."""
     text.sparkSession.dataSource.register(Bgzf)

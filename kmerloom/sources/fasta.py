@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from kmerloom.model import EngineError
 from kmerloom.plans.ordering import with_running_total
+from kmerloom.plans.tables import stored
 from kmerloom.sources import bgzf
 from kmerloom.sources.heads import is_bgzf
 
@@ -34,9 +35,10 @@ def _parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         rows = []
         for file, block, text in batch.itertuples(index=False):
-            idx = seen[file, block] = seen.get((file, block), -1) + 1
+            first = (file, block) not in seen
+            idx = seen.setdefault((file, block), 0)
             header = True
-            if block == 0 and idx == 0:  # what comes before the first header: comments, or a sequence without one
+            if block == 0 and first:  # what comes before the first header: comments, or a sequence without one
                 lead, sep, rest = ("", ">", text[1:]) if text.startswith(">") else (text, "", "")
                 if sep:
                     text = rest
@@ -45,20 +47,26 @@ def _parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             name, offset, seq, n_gt = parse_record(text, header)
             if header or seq:
                 rows.append((file, block, idx, name, header, offset, seq, n_gt))
+                seen[file, block] = idx + 1
         yield pd.DataFrame(rows, columns=["file", "block", "idx", "name", "named", "offset", "seq", "n_gt"])
 
 
 def read_records(spark: SparkSession, *paths: str, split: int = bgzf.SPLIT) -> DataFrame:
-    """Records of FASTA files (plain, gzip or BGZF) in their order: file_ord, rec_ord, name, offset, seq, n_gt. split: compressed bytes of a BGZF file for a task."""
+    """Records of FASTA files (plain, gzip or BGZF) in their order: file_ord, rec_ord, name, offset, seq, n_gt. split: compressed bytes of a BGZF file for a task.
+
+    Files are parsed once, and stored. Records are numbered where they are parsed, from 0 in each split; what comes before is added up from one row for each split.
+    """
     parts = []
     for i, path in enumerate(paths):
         if is_bgzf(spark, path):
             lines = bgzf.read_bgzf(spark, path, "\n>", split)
         else:
             lines = spark.read.text(path, lineSep="\n>").select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), "value")
-        rows = lines.mapInPandas(_parse, PARSED)
-        order = rows.select("file", "block", "idx", F.row_number().over(Window.orderBy("file", "block", "idx")).alias("rec_ord"))
-        parts.append(rows.join(order, ["file", "block", "idx"]).select(F.lit(i).alias("file_ord"), "rec_ord", F.coalesce("name", F.concat(F.lit("seq"), F.col("rec_ord"))).alias("name"), "offset", "seq", "n_gt"))
+        rows = stored(lines.mapInPandas(_parse, PARSED), "records")
+        earlier = Window.orderBy("file", "block").rowsBetween(Window.unboundedPreceding, -1)
+        splits = rows.groupBy("file", "block").agg(F.count(F.lit(1)).alias("n")).select("file", "block", (F.coalesce(F.sum("n").over(earlier), F.lit(0)) + 1).alias("before"))
+        rows = rows.join(F.broadcast(splits), ["file", "block"]).withColumn("rec_ord", F.col("idx") + F.col("before"))
+        parts.append(rows.select(F.lit(i).alias("file_ord"), "rec_ord", F.coalesce("name", F.concat(F.lit("seq"), F.col("rec_ord"))).alias("name"), "offset", "seq", "n_gt"))
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)
@@ -70,10 +78,12 @@ def read_axis(spark: SparkSession, *paths: str, split: int = bgzf.SPLIT) -> Data
     from kmerloom.functions.sequence import normalise
 
     rows = read_records(spark, *paths, split=split)
-    order = rows.select("file_ord", "rec_ord", F.length("seq").cast("long").alias("len")).withColumn("rec", (F.row_number().over(Window.orderBy("file_ord", "rec_ord")) - 1).cast("long"))
-    placed = with_running_total(order, "rec", "len", "start")
-    axis = rows.join(placed, ["file_ord", "rec_ord"]).select("rec", "name", "start", "len", "offset", normalise(F.col("seq")).alias("seq"))
-    if not axis.filter("len > 0").limit(1).count():
+    earlier = Window.orderBy("file_ord").rowsBetween(Window.unboundedPreceding, -1)
+    files = rows.groupBy("file_ord").agg(F.count(F.lit(1)).alias("n")).select("file_ord", (F.coalesce(F.sum("n").over(earlier), F.lit(0)) - 1).alias("before"))
+    rows = rows.join(F.broadcast(files), "file_ord").withColumn("rec", (F.col("rec_ord") + F.col("before")).cast("long"))
+    placed = stored(with_running_total(rows.select("rec", F.length("seq").cast("long").alias("len")), "rec", "len", "start"), "axis")
+    axis = rows.select("rec", "name", "offset", "seq").join(placed, "rec").select("rec", "name", "start", "len", "offset", normalise(F.col("seq")).alias("seq"))
+    if placed.filter("len > 0").isEmpty():
         raise EngineError("No sequence found.")
     return axis
 
