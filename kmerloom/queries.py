@@ -608,8 +608,9 @@ SELECT 'doc' || rec AS name, CAST(a AS BIGINT) AS start, CAST(least(a + {PIECE},
 def twobit_read(spark, sf_dir):
     """Documents as 2bit files, read by ranges in pieces."""
     folder = scratch(spark, "twobit")
-    binary.write_twobit(document_axis(spark, sf_dir).select("name", "seq").repartition(4), folder)
-    return binary.twobit_pieces(spark, folder, piece=PIECE).select("name", "start", "end", F.md5("seq").alias("seq_md5"))
+    axis = document_axis(spark, sf_dir)
+    binary.write_twobit(axis.select("name", "seq").repartition(max(tasks(spark), kmers.total_length(axis) >> 25)), folder)
+    return binary.twobit_pieces(spark, folder, piece=PIECE, task=binary.PIECE).select("name", "start", "end", F.md5("seq").alias("seq_md5"))
 
 
 BED_WINDOWS = [("A", 1000, 9000), ("N", 0, 5000), ("N", 4000, 7000), ("R", 2000, 2500), ("X", 0, 10)]

@@ -30,6 +30,8 @@ QUADS = np.array([[ord(BASES[b >> s & 3]) for s in (6, 4, 2, 0)] for b in range(
 RGB = re.compile(r"\d{1,3},\d{1,3},\d{1,3}")
 #: Bases of a task, bytes of the index and blocks of unknown bases that are read at a time; data blocks less than NEAR bytes apart are read together, up to RUN bytes in a task.
 PIECE, INDEX_STEP, BLOCK_STEP, NEAR, RUN = 1 << 21, 1 << 16, 1 << 12, 1 << 16, 4 << 20
+#: Bases that a record counts for beside its own where tasks are made, and rows of a batch.
+RECORD, ROWS = 256, 1 << 14
 BOUNDS = {LessThan: "<", LessThanOrEqual: "<=", GreaterThan: ">", GreaterThanOrEqual: ">="}
 
 
@@ -57,8 +59,12 @@ def gunzip(data: bytes) -> bytes:
 class TwoBit:
     """Sequences of a 2bit file (version 0, little-endian), or of its bytes. Only what is asked for is read: the index once, of a sequence some bytes and those blocks of unknown bases that a region may touch, a quarter of a byte for each base."""
 
-    def __init__(self, source: str | bytes):
+    def __init__(self, source: str | bytes, at: dict[str, int] | None = None):
+        """at: places of the sequences that are wanted, where they are known; the index then isn't read."""
         self.file = Ranges(source)
+        if at is not None:
+            self.at = at
+            return
         head = self.file.read(0, 16)
         if len(head) < 16:
             raise EngineError("Not a 2bit file: too short for a header.")
@@ -215,31 +221,32 @@ def joined(blocks: list[tuple[int, int]], most: int | None = None) -> list[tuple
 
 
 @dataclass
-class Piece(InputPartition):
-    """A piece of a region: the file, the region's number, name and start, and the bases to read."""
+class Spans(InputPartition):
+    """Parts of regions of a file, which the task cuts into pieces: the region's number, name, place in the file and start, and the bases to read."""
 
     path: str
-    region: int
-    name: str
-    begin: int
-    start: int
-    end: int
+    spans: list[tuple[int, str, int, int, int, int]]
 
 
 class TwoBitReader(DataSourceReader):
-    """Plans pieces of PIECE bases."""
+    """Plans tasks of `task` bases, and of one piece where that is less."""
 
     def __init__(self, options: dict):
         self.path, self.piece = options["path"], int(options.get("piece", PIECE))
+        self.task = int(options.get("task", PIECE if self.piece >= PIECE else 0))
         self.regions = [(n, int(s), int(e)) for n, s, e in json.loads(options["regions"])] if "regions" in options else None
         self.names: set[str] | None = None
         self.bounds: list[tuple[str, str, int]] = []
 
-    def partitions(self) -> list[Piece]:
+    def wanted(self, start: int, end: int) -> bool:
+        return all(compare({"start": start, "end": end}[c], op, v) for c, op, v in self.bounds)
+
+    def partitions(self) -> list[Spans]:
         paths = [p for p, _ in files_under(self.path)]
-        out, seen = [], set()
+        # A span is some pieces of a region; where it is one, it may be left out here.
+        out, seen, step = [], set(), max(1, self.task // self.piece) * self.piece
         for path in paths:
-            file = TwoBit(path)
+            file, spans, bases = TwoBit(path), [], 0
             asked = self.regions if self.regions is not None else [(n, 0, 1 << 62) for n in file.at]
             for i, (name, start, end) in enumerate(asked):
                 if (self.names is not None and name not in self.names) or (len(paths) > 1 and name not in file.at) or i in seen and self.regions is not None:
@@ -247,20 +254,41 @@ class TwoBitReader(DataSourceReader):
                 seen.add(i)
                 begin, end = max(0, start), min(end, file.size(name))
                 # A region without bases is a piece without bases.
-                for at in range(begin, max(end, begin + 1), self.piece):
-                    piece = Piece(path, i, name, begin, at, max(at, min(end, at + self.piece)))
-                    if all(compare(getattr(piece, c), op, v) for c, op, v in self.bounds):
-                        out.append(piece)
+                for at in range(begin, max(end, begin + 1), step):
+                    stop = max(at, min(end, at + step))
+                    if step == self.piece and not self.wanted(at, stop):
+                        continue
+                    if spans and bases + stop - at + RECORD > self.task:
+                        out.append(Spans(path, spans))
+                        spans, bases = [], 0
+                    spans.append((i, name, file.at[name], begin, at, stop))
+                    bases += stop - at + RECORD
+            if spans:
+                out.append(Spans(path, spans))
             file.file.close()
         if len(paths) > 1 and self.regions is not None and (lost := [r[0] for i, r in enumerate(self.regions) if i not in seen and (self.names is None or r[0] in self.names)]):
             raise EngineError(f"No 2bit file of the folder has a sequence {lost[0]}.")
         return out
 
-    def read(self, partition: Piece) -> Iterator[pa.RecordBatch]:
-        file = TwoBit(partition.path)
-        seq = file.region(partition.name, partition.start, partition.end)
+    def read(self, partition: Spans) -> Iterator[pa.RecordBatch]:
+        file = TwoBit(partition.path, {name: place for _, name, place, *_ in partition.spans})
+        kinds, rows, size = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64()], [], 0
+
+        def batch() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["region", "name", "begin", "start", "end", "seq", "bytes_read"])
+
+        for region, name, _, begin, start, end in partition.spans:
+            for at in range(start, max(end, start + 1), self.piece):
+                stop = min(end, at + self.piece)
+                if self.wanted(at, stop):
+                    rows.append((region, name, begin, at, stop, file.region(name, at, stop), file.file.bytes_read))
+                    size += stop - at
+                if size >= PIECE or len(rows) >= ROWS:
+                    yield batch()
+                    rows, size = [], 0
+        if rows:
+            yield batch()
         file.file.close()
-        yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in ((partition.region, pa.int64()), (partition.name, pa.string()), (partition.begin, pa.int64()), (partition.start, pa.int64()), (partition.end, pa.int64()), (seq, pa.string()), (file.file.bytes_read, pa.int64()))], names=["region", "name", "begin", "start", "end", "seq", "bytes_read"])
 
 
 class FilteringTwoBitReader(TwoBitReader):
@@ -278,7 +306,7 @@ class FilteringTwoBitReader(TwoBitReader):
 
 
 class TwoBitSource(DataSource):
-    """Format `twobit`: region, name, begin (of the region), start, end, seq and bytes_read (by the task) of pieces. Options: path (a file, or a folder of files that each hold some sequences); regions, a JSON list of [name, start, end] (all sequences without it); piece; filters (true where spark.sql.python.filterPushdown.enabled is: without that setting Spark refuses readers that take filters)."""
+    """Format `twobit`: region, name, begin (of the region), start, end, seq and bytes_read (by the task) of pieces. Options: path (a file, or a folder of files that each hold some sequences); regions, a JSON list of [name, start, end] (all sequences without it); piece; task (bases of a task, which takes neighbouring pieces up to so many); filters (true where spark.sql.python.filterPushdown.enabled is: without that setting Spark refuses readers that take filters)."""
 
     @classmethod
     def name(cls) -> str:
@@ -327,18 +355,24 @@ class BigBedReader(DataSourceReader):
         file = BigBed(partition.path)
         names = {v[0]: k for k, v in file.chroms.items()}
         ends = {c: ([s for s, _ in w], [e for _, e in w]) for c, w in self.windows.items()}
-        rows = []
+        kinds, rows = [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64()], []
+
+        def batch() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["chrom", "start", "end", "name", "strand", "rgb", "bytes_read"])
+
         for number, s, e, *rest in file.items(partition.begin, partition.end, partition.parts):
             chrom = names.get(number)
             if chrom in ends:
                 # Windows don't touch each other: the first that ends after the item's start decides.
                 i = bisect_right(ends[chrom][1], s)
                 if i < len(ends[chrom][0]) and ends[chrom][0][i] < e:
-                    rows.append((chrom, s, e, *rest))
-        read, kinds = file.file.bytes_read, [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string()]
+                    rows.append((chrom, s, e, *rest, file.file.bytes_read))
+                    if len(rows) >= ROWS:
+                        yield batch()
+                        rows = []
+        if rows:
+            yield batch()
         file.file.close()
-        columns = list(zip(*rows, strict=True)) or [[]] * 6
-        yield pa.RecordBatch.from_arrays([*[pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], pa.array([read] * len(rows), pa.int64())], names=["chrom", "start", "end", "name", "strand", "rgb", "bytes_read"])
 
 
 class BigBedSource(DataSource):
@@ -355,10 +389,12 @@ class BigBedSource(DataSource):
         return BigBedReader(self.options)
 
 
-def twobit_pieces(spark: SparkSession, path: str, regions: list[tuple[str, int, int]] | None = None, confirm: bool = False, piece: int = PIECE) -> DataFrame:
-    """Regions of a 2bit file (all sequences without them) as pieces, a task for each: region, name, begin, start, end, seq, bytes_read. Regions of more than 300 Mb want to be confirmed."""
+def twobit_pieces(spark: SparkSession, path: str, regions: list[tuple[str, int, int]] | None = None, confirm: bool = False, piece: int = PIECE, task: int | None = None) -> DataFrame:
+    """Regions of a 2bit file (all sequences without them) as pieces: region, name, begin, start, end, seq, bytes_read. A task takes pieces up to `task` bases: PIECE unless pieces are smaller than that, then one piece. Regions of more than 300 Mb want to be confirmed."""
     spark.dataSource.register(TwoBitSource)
     reader = spark.read.format("twobit").option("piece", piece).option("filters", spark.conf.get("spark.sql.python.filterPushdown.enabled", "false"))
+    if task is not None:
+        reader = reader.option("task", task)
     if regions is not None:
         check_windows(sum(max(0, e - s) for _, s, e in regions), confirm)
         reader = reader.option("regions", json.dumps(regions))

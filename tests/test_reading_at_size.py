@@ -18,3 +18,15 @@ def test_bgzf_ranges_grow_with_the_folder(spark, tmp_path):
     (tmp_path / "x.gz").write_bytes(bytes(100 * bgzf.MOST))
     assert bgzf.split_for(str(tmp_path), 10) == 10 * bgzf.MOST
     assert bgzf.split_for(str(tmp_path), 1000) == bgzf.MOST and bgzf.split_for(str(tmp_path), 1) == 100 * bgzf.MOST
+
+
+def test_small_twobit_records_share_tasks(spark, tmp_path):
+    from kmerloom.sources import binary
+
+    seqs = [(f"s{i}", "ACGTN"[i % 5] * (i % 40)) for i in range(3000)] + [("long", "ACGTT" * 4000)]
+    binary.write_twobit(spark.createDataFrame(seqs, "name string, seq string").coalesce(2), str(tmp_path / "t"))
+    pieces = binary.twobit_pieces(spark, str(tmp_path / "t"), piece=4096, task=binary.PIECE)
+    assert pieces.rdd.getNumPartitions() <= 4
+    rows = pieces.orderBy("name", "start").collect()
+    assert {n: "".join(r.seq for r in rows if r.name == n) for n in ("s7", "s39", "long")} == {n: s for n, s in seqs if n in ("s7", "s39", "long")}
+    assert len(rows) == 3000 + 5
