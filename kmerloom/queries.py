@@ -624,7 +624,7 @@ def bed_file(spark, sf_dir) -> str:
     folder = scratch(spark, "bigbed")
     at = (F.col("l_partkey") * 10).cast("long")
     items = read(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("chrom"), at.alias("start"), (at + F.col("l_quantity").cast("long") + 1).alias("end"), F.concat(F.lit("L"), "l_linenumber").alias("name"), F.when(F.col("l_linestatus") == "O", "+").otherwise("-").alias("strand"), F.when(F.col("l_linenumber") == 1, "1,2,3").alias("rgb"))
-    binary.write_bigbed(items.repartitionByRange(8, "chrom", "start"), folder)
+    binary.write_bigbed(items.repartitionByRange(max(8, tasks(spark)), "chrom", "start"), folder)
     return folder
 
 

@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import struct
+import tempfile
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -22,6 +23,8 @@ TWOBIT, BIGBED, CHROM_TREE, RTREE = 0x1A412743, 0x8789F2EB, 0x78CA8C91, 0x2468AC
 BASES = "TCAG"
 #: Items of a bigBed data block, and of a node of its trees.
 BLOCK_ITEMS, NODE_ITEMS = 512, 256
+#: Bytes that are copied at a time.
+COPY = 1 << 20
 
 
 @dataclass
@@ -142,41 +145,63 @@ def _levels(leaves: list[bytes], at: int, node_item: int, above) -> tuple[bytes,
     return b"".join(out), place - at
 
 
-def bigbed_file(items: list[tuple]) -> Iterator[bytes]:
-    """A bigBed file of items: chrom, start, end, name, strand, rgb."""
-    chroms = {c: i for i, c in enumerate(sorted({x[0] for x in items}))}
-    sizes = {c: max(x[2] for x in items if x[0] == c) for c in chroms}
-    key = max([1, *(len(c.encode()) for c in chroms)])
-    leaves = [c.encode().ljust(key, b"\0") + struct.pack("<2I", i, sizes[c]) for c, i in chroms.items()]
-    tree, _ = _levels(leaves, 64 + 32, key + 8, lambda below, at: below[0][:key] + struct.pack("<Q", at))
-    tree = struct.pack("<4I2Q", CHROM_TREE, NODE_ITEMS, key, 8, len(chroms), 0) + tree
-    rows = sorted(((chroms[c], s, e, f"{n or ''}\t0\t{strand or '.'}\t{s}\t{e}\t{rgb or '0'}") for c, s, e, n, strand, rgb in items), key=lambda x: x[:3])
-    blocks, data, at, i = [], [], 64 + len(tree) + 8, 0
-    while i < len(rows):
-        own = [r for r in rows[i : i + BLOCK_ITEMS] if r[0] == rows[i][0]]
-        raw = zlib.compress(b"".join(struct.pack("<3I", *r[:3]) + r[3].encode() + b"\0" for r in own))
-        blocks.append(struct.pack("<4I2Q", own[0][0], own[0][1], own[0][0], max(r[2] for r in own), at, len(raw)))
-        data.append(raw)
-        at, i = at + len(raw), i + len(own)
-
-    def above(below: list[bytes], place: int) -> bytes:
-        ends = [struct.unpack_from("<4I", b) for b in below]
-        return struct.pack("<4IQ", *min(e[:2] for e in ends), *max(e[2:] for e in ends), place)
-
-    index, _ = _levels(blocks, at + 48, 32, above)
-    head = struct.pack("<IHH3QHH2QII", BIGBED, 4, 0, 64, 64 + len(tree), at, 9, 9, 0, 0, 1 << 16, 0).ljust(64, b"\0")
-    yield head + tree + struct.pack("<Q", len(rows))
-    yield from data
-    yield struct.pack("<2IQ4IQ2I", RTREE, NODE_ITEMS, len(blocks), 0, 0, len(chroms), 0, at, BLOCK_ITEMS, 0) + index
+def bigbed_file(items: Iterable[tuple]) -> Iterator[bytes]:
+    """A bigBed file of items: chrom, start, end, name, strand, rgb, in the order of the first three. Packed blocks wait in a file of the task's own disk for the header, which says where they end; in memory are a block, and a row of the index for each."""
+    chroms: dict[str, int] = {}
+    longest: list[int] = []
+    blocks: list[tuple[int, int, int, int]] = []  # chromosome, first start, last end, bytes
+    with tempfile.TemporaryFile() as data:
+
+        def close(rows: list[tuple[int, int, int, str]]) -> None:
+            raw = zlib.compress(b"".join(struct.pack("<3I", *r[:3]) + r[3].encode() + b"\0" for r in rows))
+            blocks.append((rows[0][0], rows[0][1], max(r[2] for r in rows), len(raw)))
+            data.write(raw)
+
+        rows, count, before = [], 0, None
+        for c, s, e, n, strand, rgb in items:
+            if before is not None and (c, s, e) < before:
+                raise EngineError("Items of a bigBed file come in the order of chrom, start and end.")
+            before = (c, s, e)
+            if rows and (len(rows) == BLOCK_ITEMS or c not in chroms):
+                close(rows)
+                rows = []
+            if c not in chroms:
+                chroms[c] = len(chroms)
+                longest.append(0)
+            longest[-1] = max(longest[-1], e)
+            rows.append((chroms[c], s, e, f"{n or ''}\t0\t{strand or '.'}\t{s}\t{e}\t{rgb or '0'}"))
+            count += 1
+        if rows:
+            close(rows)
+        key = max([1, *(len(c.encode()) for c in chroms)])
+        leaves = [c.encode().ljust(key, b"\0") + struct.pack("<2I", i, longest[i]) for c, i in chroms.items()]
+        tree, _ = _levels(leaves, 64 + 32, key + 8, lambda below, at: below[0][:key] + struct.pack("<Q", at))
+        tree = struct.pack("<4I2Q", CHROM_TREE, NODE_ITEMS, key, 8, len(chroms), 0) + tree
+        at, places = 64 + len(tree) + 8, []
+        for c, s, e, size in blocks:
+            places.append(struct.pack("<4I2Q", c, s, c, e, at, size))
+            at += size
+
+        def above(below: list[bytes], place: int) -> bytes:
+            ends = [struct.unpack_from("<4I", b) for b in below]
+            return struct.pack("<4IQ", *min(e[:2] for e in ends), *max(e[2:] for e in ends), place)
+
+        index, _ = _levels(places, at + 48, 32, above)
+        head = struct.pack("<IHH3QHH2QII", BIGBED, 4, 0, 64, 64 + len(tree), at, 9, 9, 0, 0, 1 << 16, 0).ljust(64, b"\0")
+        yield head + tree + struct.pack("<Q", count)
+        data.seek(0)
+        while piece := data.read(COPY):
+            yield piece
+        yield struct.pack("<2IQ4IQ2I", RTREE, NODE_ITEMS, len(blocks), 0, 0, len(chroms), 0, at, BLOCK_ITEMS, 0) + index
 
 
 class BigBedWriter(FolderWriter):
-    """Rows: chrom, start, end, name, strand, rgb. A task's items are held and sorted."""
+    """Rows: chrom, start, end, name, strand, rgb, in the order of the first three."""
 
     SUFFIX = ".bb"
 
     def content(self, rows: Iterator) -> Iterator[bytes]:
-        return bigbed_file([tuple(r) for r in rows])
+        return bigbed_file(rows)
 
 
 class BigBedSink(DataSource):
@@ -204,6 +229,6 @@ def write_twobit(records: DataFrame, path: str, overwrite: bool = False) -> None
 
 
 def write_bigbed(items: DataFrame, path: str, overwrite: bool = False) -> None:
-    """chrom, start, end, name, strand, rgb as a folder of bigBed files, one for each partition."""
+    """chrom, start, end, name, strand, rgb as a folder of bigBed files, one for each partition, whose rows Spark sorts."""
     items.sparkSession.dataSource.register(BigBedSink)
-    items.select("chrom", "start", "end", "name", "strand", "rgb").write.format("bigbed_sink").mode("overwrite" if overwrite else "append").save(path)
+    items.select("chrom", "start", "end", "name", "strand", "rgb").sortWithinPartitions("chrom", "start", "end").write.format("bigbed_sink").mode("overwrite" if overwrite else "append").save(path)

@@ -30,3 +30,17 @@ def test_small_twobit_records_share_tasks(spark, tmp_path):
     rows = pieces.orderBy("name", "start").collect()
     assert {n: "".join(r.seq for r in rows if r.name == n) for n in ("s7", "s39", "long")} == {n: s for n, s in seqs if n in ("s7", "s39", "long")}
     assert len(rows) == 3000 + 5
+
+
+def test_bigbed_writer_holds_a_block_only():
+    import tracemalloc
+
+    from kmerloom.sources import binary, sinks
+
+    items = lambda: (("c", i, i + 5, f"n{i}", "+", None) for i in range(200_000))
+    tracemalloc.start()
+    pieces = list(sinks.bigbed_file(items()))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 12 << 20
+    assert [x[0] for x in binary.BigBed(b"".join(pieces)).query("c", 1000, 1010)] == list(range(996, 1010))
