@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from kmerloom.model import OCC_CLASSES, SATURATION_TILE
 from kmerloom.plans.ordering import with_group
+from kmerloom.plans.tables import stored
 
 
 def occurrences(index: DataFrame) -> DataFrame:
@@ -39,7 +40,8 @@ def saturated(tiles: DataFrame, t_len: int, cap: int, tile: int = SATURATION_TIL
     """start, end of runs of tiles in which half of the entries or more are of k-mers above the cap. The last tile ends with the axis. tiles: tile_kmers() of width `tile`."""
     each = tile_occurrences(tiles).groupBy(F.col("tile").alias("t")).agg(F.sum("n").alias("n"), F.sum(F.when(F.col("occ") > cap, F.col("n")).otherwise(0)).alias("over"))
     hot = each.filter(2 * F.col("over") >= F.col("n")).select((F.col("t") * tile).cast("long").alias("start"), F.least((F.col("t") + 1) * tile, F.lit(t_len)).cast("long").alias("end"))
-    return islands(hot, "start", "end")
+    # Unions go over their rows several times: the axis is enumerated once, and what is left of it is a row for each tile.
+    return stored(islands(stored(hot, "hot"), "start", "end"), "saturated")
 
 
 def splice(old: DataFrame, new: DataFrame, lo: int, hi: int) -> DataFrame:
@@ -47,7 +49,7 @@ def splice(old: DataFrame, new: DataFrame, lo: int, hi: int) -> DataFrame:
     left = old.select("start", F.least("end", F.lit(lo)).alias("end"))
     right = old.select(F.greatest("start", F.lit(hi)).alias("start"), "end")
     mid = new.select(F.greatest("start", F.lit(lo)).alias("start"), F.least("end", F.lit(hi)).alias("end"))
-    return islands(left.unionByName(right).unionByName(mid).filter("start < end"), "start", "end")
+    return islands(stored(left.unionByName(right).unionByName(mid).filter("start < end"), "splice"), "start", "end")
 
 
 def multiplicity(tiles: DataFrame, t_len: int, tile_bp: int, stride: int = 1) -> DataFrame:

@@ -44,3 +44,14 @@ def test_bigbed_writer_holds_a_block_only():
     tracemalloc.stop()
     assert peak < 12 << 20
     assert [x[0] for x in binary.BigBed(b"".join(pieces)).query("c", 1000, 1010)] == list(range(996, 1010))
+
+
+def test_saturated_intervals_are_stored(spark):
+    from kmerloom.operators import profile
+
+    tiles = spark.createDataFrame([(t, k, 1) for t in (0, 1, 2, 5, 6) for k in range(4)], "tile long, kv long, n long").mapInArrow(lambda b: b, "tile long, kv long, n long")
+    found = profile.saturated(tiles, 3500, 1, tile=512)
+    spliced = profile.splice(found, spark.createDataFrame([(600, 700)], "start long, end long"), 500, 1200)
+    assert "MapInArrow" not in found._jdf.queryExecution().toString() + spliced._jdf.queryExecution().toString()
+    assert sorted(map(tuple, found.collect())) == [(0, 1536), (2560, 3500)]
+    assert sorted(map(tuple, spliced.collect())) == [(0, 500), (600, 700), (1200, 1536), (2560, 3500)]
