@@ -132,9 +132,7 @@ def shown(df: DataFrame) -> DataFrame:
 @query(f"WITH {DOC_KM} SELECT rec, count(*) AS windows, CAST(sum(pos) AS BIGINT) AS pos_sum, count(DISTINCT km) AS distinct_kmers FROM dk GROUP BY rec")
 def kmer_enumerate(spark, sf_dir):
     """Windows of each record."""
-    each = kmers.kmers(kmers.spread(document_axis(spark, sf_dir)), K)
-    counts = each.groupBy("rec", "kv").agg(F.count(F.lit(1)).alias("n"), F.sum("pos").alias("s"))
-    return counts.groupBy("rec").agg(F.sum("n").cast("long").alias("windows"), F.sum("s").cast("long").alias("pos_sum"), F.count(F.lit(1)).alias("distinct_kmers"))
+    return kmers.record_windows(kmers.spread(document_axis(spark, sf_dir)), K)
 
 
 @query(f"WITH {sql_axis('doc', 'documents', 'doc_id', WITH_N)}, {sql_kmers('dk', 'doc', 5)} SELECT rec, count(*) AS windows, CAST(sum(pos) AS BIGINT) AS pos_sum FROM dk GROUP BY rec")

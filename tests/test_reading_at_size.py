@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from kmerloom.sources import bgzf, fasta
 
 
@@ -55,3 +57,21 @@ def test_saturated_intervals_are_stored(spark):
     assert "MapInArrow" not in found._jdf.queryExecution().toString() + spliced._jdf.queryExecution().toString()
     assert sorted(map(tuple, found.collect())) == [(0, 1536), (2560, 3500)]
     assert sorted(map(tuple, spliced.collect())) == [(0, 500), (600, 700), (1200, 1536), (2560, 3500)]
+
+
+def test_windows_of_records_need_no_shuffle_of_kmers(spark, monkeypatch):
+    from kmerloom.operators import kmers
+
+    monkeypatch.setattr(kmers, "PIECE", 50)
+    seqs = {0: "ACGTTGCA" * 20, 1: "ACG", 2: "AAAAAAANCCCCCC", 3: "ACGTACGTAA"}
+    axis = kmers.as_axis(spark.createDataFrame([(i, f"r{i}", s) for i, s in seqs.items()], "i long, name string, seq string"), "i", "name", "seq")
+    rows = {r.rec: (r.windows, r.pos_sum, r.distinct_kmers) for r in kmers.record_windows(kmers.spread(axis), 5).collect()}
+    at, want = 0, {}
+    for i, s in seqs.items():
+        own = [(at + j, s[j : j + 5]) for j in range(len(s) - 4) if "N" not in s[j : j + 5]]
+        if own:
+            want[i] = (len(own), sum(p for p, _ in own), len({w for _, w in own}))
+        at += len(s)
+    assert rows == want
+    each = axis.withColumn("parts", F.lit(1)).select("rec", "start", "len", "parts", "seq").mapInArrow(kmers._windowed(5), "rec long, windows long, pos_sum long, n long, kv long")
+    assert each.filter("kv IS NOT NULL").isEmpty()
