@@ -11,8 +11,8 @@ from kmerloom.plans.tables import stored
 
 
 def occurrences(index: DataFrame) -> DataFrame:
-    """kv and occ, its index entries."""
-    return index.groupBy("kv").agg(F.count(F.lit(1)).alias("occ"))
+    """kv and occ, its index entries; of an index with a column n (kmers.counted_kmers), the sum of that."""
+    return index.groupBy("kv").agg((F.sum("n") if "n" in index.columns else F.count(F.lit(1))).alias("occ"))
 
 
 def spectrum(index: DataFrame) -> DataFrame:

@@ -166,8 +166,8 @@ def fracminhash_sample(spark, sf_dir):
 
 
 # ---------------------------------------------------------------- occurrences, densities
-def document_index(spark, sf_dir, stride: int = 1) -> DataFrame:
-    return kmers.kmers(kmers.spread(document_axis(spark, sf_dir)), K, stride)
+def document_index(spark, sf_dir) -> DataFrame:
+    return kmers.counted_kmers(kmers.spread(document_axis(spark, sf_dir)), K)
 
 
 @query(f"WITH {SPECTRUM} SELECT * FROM spectrum")
@@ -364,7 +364,7 @@ def volume_preflight(spark, sf_dir):
     """Anchors of both strands and GB of diagonals of a self comparison with a cap of 200."""
     axis = document_axis(spark, sf_dir)
     total = kmers.total_length(axis)
-    _, sumsq = density.histogram(profile.spectrum(kmers.kmers(kmers.spread(axis), K)))
+    _, sumsq = density.histogram(profile.spectrum(kmers.counted_kmers(kmers.spread(axis), K)))
     found = density.check_volume(density.estimate_anchors(sumsq, 200, density.anchor_scale(total, total, 1, 1)), total, total, confirm=True)
     return spark.createDataFrame([(found["anchors"], round(found["table_gb"], 9))], "anchors double, table_gb double")
 

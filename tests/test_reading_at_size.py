@@ -75,3 +75,12 @@ def test_windows_of_records_need_no_shuffle_of_kmers(spark, monkeypatch):
     assert rows == want
     each = axis.withColumn("parts", F.lit(1)).select("rec", "start", "len", "parts", "seq").mapInArrow(kmers._windowed(5), "rec long, windows long, pos_sum long, n long, kv long")
     assert each.filter("kv IS NOT NULL").isEmpty()
+
+
+def test_occurrences_of_counted_kmers(spark):
+    from kmerloom.operators import kmers, profile
+
+    axis = kmers.spread(kmers.as_axis(spark.createDataFrame([(0, "a", "ACGTACGTACGT"), (1, "b", "ACGTAN")], "i long, name string, seq string"), "i", "name", "seq"))
+    counted = kmers.counted_kmers(axis, 5)
+    assert counted.count() < kmers.kmers(axis, 5).count()
+    assert {tuple(r) for r in profile.occurrences(counted).collect()} == {tuple(r) for r in profile.occurrences(kmers.kmers(axis, 5)).collect()}
