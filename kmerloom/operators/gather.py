@@ -13,12 +13,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from kmerloom.operators import packed
+from kmerloom.operators.kmers import cut
 from kmerloom.plans.tables import release, stored
 
 #: Tile budgets, slices of the record, rounds, and the least share of the mass that a round must explain.
 TILES, LEAST_TILES, LEAST_BP, FORCED_BP, FORCED_TILES, SLICES, ROUNDS, SHARE = 192, 16, 1024, 256, 8192, 96, 2048, 0.001
 #: Windows whose rounds are taken from one pass, and rows that describe them.
 BATCH, MOST = 64, 200_000
+#: Bases that are dealt out together, rows that are painted at a time, and multipliers of the hash of a kind.
+NEAR, PAINT = 1 << 18, 1024
+MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
+KINDS = "total long, several boolean, held array<struct<w: long, n: long>>, copies long, slices array<struct<slice: long, n: long>>"
 
 
 def tile_width(other_bp: int, tile_bp: int | None = None, tiles: int = TILES, least_bp: int = LEAST_BP) -> int:
@@ -33,14 +39,69 @@ def slice_width(length: int, slices: int = SLICES) -> tuple[int, int]:
     return width, math.ceil(length / width) if length else 0
 
 
-def species(kmers: DataFrame, axis: DataFrame, rec: int, tile_bp: int, slice_bp: int) -> tuple[DataFrame, DataFrame]:
-    """Copies of the record's k-mers: by slice, stored (kv, slice, n), and by window of other records (kv, tile_rec, lo, n)."""
-    placed = kmers.join(axis.select("rec", "start"), "rec").withColumn("at", F.col("pos") - F.col("start"))
-    own = placed.filter(F.col("rec") == rec).groupBy("kv", F.floor(F.col("at") / slice_bp).cast("int").alias("slice")).agg(F.count(F.lit(1)).alias("n"))
-    own = stored(own, "cover-own")
-    there = placed.filter(F.col("rec") != rec).join(own.select("kv").distinct(), "kv", "left_semi")
-    tiles = there.groupBy("kv", F.col("rec").alias("tile_rec"), (F.floor(F.col("at") / tile_bp) * tile_bp).cast("long").alias("lo")).agg(F.count(F.lit(1)).alias("n"))
-    return own, tiles
+def species(kmers: DataFrame, axis: DataFrame, rec: int, tile_bp: int, slice_bp: int, stride: int, slices: int, k: int | None = None) -> DataFrame:
+    """Kinds of the record's k-mers, those alike in copies and windows in one row: total (copies in the record), several (records hold it), held (windows of other records, each with its copies), copies (k-mers of the kind), slices (how many copies lie in each slice). Those that no window holds have a row with copies 0.
+
+    kmers: pieces, of which canonical k-mers of k bases are taken, or a table with a row for each. A kind may have several rows, from several tasks.
+    """
+    sizes = axis.agg(F.max("rec").alias("rec"), F.sum("len").alias("bases")).first()
+    groups, bases = slices + (sizes["rec"] + 1) * stride, sizes["bases"]
+    placed = kmers.join(axis.select("rec", F.col("start").alias("base")), "rec")
+
+    def number(rec_: np.ndarray, at: np.ndarray) -> np.ndarray:
+        return np.where(rec_ == rec, at // slice_bp, slices + rec_ * stride + at // tile_bp)
+
+    if "seq" in kmers.columns:
+        lay = packed.layout(k, groups, bases)
+        # Neighbours go to one task, where copies in a window are added up.
+        near = cut(placed, ("base",)).repartition("rec", F.floor(F.col("start") / NEAR)).sortWithinPartitions("rec", "start")
+        rows = packed.packed(near, ["rec", "base"], lambda batch, row, place: number(batch.column("rec").to_numpy()[row], place - batch.column("base").to_numpy()[row]), lay, least=True)
+    else:
+        k = k or max(1, (int(kmers.agg(F.max("kv")).first()[0] or 0).bit_length() + 1) // 2)
+        lay = packed.layout(k, groups, bases)
+        rows = packed.packed_table(placed, lambda batch: number(batch.column("rec").to_numpy(), batch.column("pos").to_numpy() - batch.column("base").to_numpy()), lay)
+    return stored(packed.dealt(rows).mapInArrow(_kinds(lay, slices, stride), KINDS), "cover-kinds")
+
+
+def _alike(total: np.ndarray, first: np.ndarray, size: np.ndarray, w: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each k-mer the number of its kind, and of each kind a k-mer. A hash finds kinds; where it is that of another kind, a k-mer is a kind of its own."""
+    mixed = (w.astype(np.uint64) * MIX[0] ^ n.astype(np.uint64) * MIX[1]) * MIX[2]
+    mixed = (mixed ^ mixed >> np.uint64(29)) * MIX[1]
+    _, one, kind = np.unique(np.add.reduceat(mixed, first) + total.astype(np.uint64) * MIX[0], return_index=True, return_inverse=True)
+    rep = one[kind]
+    same = (total == total[rep]) & (size == size[rep])
+    there = np.repeat(np.where(same, first[rep], first) - first, size) + np.arange(len(w))
+    same &= np.logical_and.reduceat((w == w[there]) & (n == n[there]), first)
+    other = np.flatnonzero(~same)
+    kind[other] = len(one) + np.arange(len(other))
+    return kind, np.append(one, other)
+
+
+def _lists(size: np.ndarray, **columns: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(size)).astype(np.int32)), pa.StructArray.from_arrays([pa.array(x.astype(np.int64)) for x in columns.values()], names=list(columns)))
+
+
+def _kinds(lay: packed.Layout, slices: int, stride: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for kv, g, n in packed.buckets(batches, lay):
+            begin = packed._starts(kv)
+            which, own = np.repeat(np.arange(len(begin)), np.diff(np.append(begin, len(kv)))), g < slices
+            total = np.bincount(which, np.where(own, n, 0), minlength=len(begin)).astype(np.int64)
+            there = ~own & (total[which] > 0)
+            w, m = g[there] - slices, n[there]
+            first = packed._starts(which[there])
+            hit, size = which[there][first], np.diff(np.append(first, len(w)))
+            kind, rep = _alike(total[hit], first, size, w, m) if len(hit) else (hit, hit)
+            of = np.full(len(begin), len(rep))  # the last row is of those that no window holds
+            of[hit] = kind
+            at, back = np.unique(of[which[own]] * slices + g[own], return_inverse=True)
+            held = np.repeat(first[rep], size[rep]) + np.arange(int(size[rep].sum())) - np.repeat(np.cumsum(size[rep]) - size[rep], size[rep])
+            yield pa.RecordBatch.from_arrays([
+                pa.array(np.append(total[hit][rep], 0)), pa.array(np.append(w[first[rep]] // stride != w[(first + size - 1)[rep]] // stride, False)), _lists(np.append(size[rep], 0), w=w[held], n=m[held]),
+                pa.array(np.append(np.bincount(kind, minlength=len(rep)), 0)), _lists(np.bincount(at // slices, minlength=len(rep) + 1), slice=at % slices, n=np.bincount(back, n[own], minlength=len(at))),
+            ], names=["total", "several", "held", "copies", "slices"])
+
+    return run
 
 
 def _state(batch: pa.RecordBatch, order: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -91,23 +152,33 @@ def _among(order: np.ndarray, picks: np.ndarray):
 
 
 def _shares(order: np.ndarray, stride: int):
-    """kv, rec, share: of each species how much of it a record's claims have taken."""
+    """rec, place, mass: what a record's claims have taken of the species, by slices of the record that is explained."""
     ranked = np.argsort(order, kind="stable")
     sorted_ = order[ranked]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            row, w, n, done, _ = _state(batch, order)
-            row, w, n = row[done], w[done], n[done]
-            turn = np.lexsort((ranked[np.searchsorted(sorted_, w)], row)) if len(w) else np.zeros(0, np.int64)
-            row, w, n = row[turn], w[turn], n[turn]
-            total = batch.column("total").to_numpy()[row]
-            run_up = np.cumsum(n) - n
-            opens = np.append(True, row[1:] != row[:-1])[: len(row)]
-            before = run_up - np.maximum.accumulate(np.where(opens, run_up, 0)) if len(row) else run_up
-            take = np.clip(total - before, 0, n)
-            hit = take > 0
-            yield pa.RecordBatch.from_arrays([batch.column("kv").take(pa.array(row[hit])), pa.array(w[hit] // stride), pa.array(take[hit] / total[hit])], names=["kv", "rec", "share"])
+            for lo in range(0, batch.num_rows, PAINT):
+                part = batch.slice(lo, PAINT)
+                row, w, n, done, _ = _state(part, order)
+                row, w, n = row[done], w[done], n[done]
+                turn = np.lexsort((ranked[np.searchsorted(sorted_, w)], row)) if len(w) else np.zeros(0, np.int64)
+                row, w, n = row[turn], w[turn], n[turn]
+                total = part.column("total").to_numpy()[row]
+                run_up = np.cumsum(n) - n
+                opens = np.append(True, row[1:] != row[:-1])[: len(row)]
+                before = run_up - np.maximum.accumulate(np.where(opens, run_up, 0)) if len(row) else run_up
+                take = np.clip(total - before, 0, n)
+                recs, rec = np.unique(w // stride, return_inverse=True)
+                shares = np.zeros((len(recs), part.num_rows))
+                np.add.at(shares, (rec, row), take / total)
+                cells = part.column("slices")
+                places, place = np.unique(cells.flatten().field("slice").to_numpy(), return_inverse=True)
+                copies = np.zeros((part.num_rows, len(places)))
+                copies[np.repeat(np.arange(part.num_rows), cells.value_lengths().to_numpy()), place] = cells.flatten().field("n").to_numpy()
+                mass = shares @ copies
+                i, j = np.nonzero(mass)
+                yield pa.RecordBatch.from_arrays([pa.array(recs[i]), pa.array(places[j]), pa.array(mass[i, j])], names=["rec", "place", "mass"])
 
     return run
 
@@ -165,27 +236,24 @@ def _rounds(kinds: DataFrame, mass: int, rounds: int, share: float, batch: int,
     return claims
 
 
-def gather(kmers: DataFrame, axis: DataFrame, rec: int, tile_bp: int | None = None, rounds: int = ROUNDS, share: float = SHARE, slices: int = SLICES, batch: int = BATCH, most: int = MOST) -> tuple[DataFrame, int, int]:
-    """Rows of kind `claim` (record, window start, mass, contested), `paint` (record, slice, mass) and `total` (truncated, mass); window and slice widths.
+def gather(kmers: DataFrame, axis: DataFrame, rec: int, tile_bp: int | None = None, rounds: int = ROUNDS, share: float = SHARE, slices: int = SLICES, batch: int = BATCH, most: int = MOST, k: int | None = None) -> tuple[DataFrame, int, int]:
+    """Rows of kind `claim` (record, window start, mass, contested), `paint` (record, slice, mass), `slice` (-1, slice, its mass) and `total` (truncated, mass); window and slice widths. kmers: pieces, of which canonical k-mers of k bases are taken, or a table with a row for each.
 
-    No task holds the record: its k-mers stay a stored table, those alike in copies and windows as one row. A pass over it adds up the gains of all windows; a second one what the `batch` windows of the largest gains have in common, up to `most` rows for the driver (with fewer windows if there are more), which takes rounds from it until another window may be better. The result is that of one round at a time. A row lists the windows that hold its k-mer.
+    No task holds the record: all k-mers are dealt out packed, once, and the record's stay a stored table, those alike in copies and windows as one row. A pass over it adds up the gains of all windows; a second one what the `batch` windows of the largest gains have in common, up to `most` rows for the driver (with fewer windows if there are more), which takes rounds from it until another window may be better. The result is that of one round at a time. A row lists the windows that hold its k-mers.
     """
     sizes = axis.agg(F.sum("len").alias("all"), F.max(F.when(F.col("rec") == rec, F.col("len"))).alias("own"), F.max("len").alias("longest")).first()
     width = tile_width(max(1, sizes["all"] - sizes["own"]), tile_bp)
-    slice_bp, _ = slice_width(sizes["own"], slices)
+    slice_bp, n_slices = slice_width(sizes["own"], slices)
     stride = sizes["longest"] // width + 1
-    own, tiles = species(kmers, axis, rec, width, slice_bp)
-    held = tiles.groupBy("kv").agg((F.min("tile_rec") < F.max("tile_rec")).alias("several"), F.array_sort(F.collect_list(F.struct((F.col("tile_rec") * stride + F.col("lo") / width).cast("long").alias("w"), "n"))).alias("held"))
-    each = stored(own.groupBy("kv").agg(F.sum("n").alias("total")).join(held, "kv"), "cover-kmers")
-    kinds = stored(each.groupBy("total", "several", "held").agg(F.count(F.lit(1)).alias("copies")), "cover-kinds")
-    mass = int(own.agg(F.sum("n")).first()[0] or 0)
-    claims = _rounds(kinds, mass, rounds, share, batch, most)
+    kinds = species(kmers, axis, rec, width, slice_bp, stride, max(1, n_slices), k)
+    cut_ = kinds.select(F.inline("slices")).groupBy("slice").agg(F.sum("n").alias("n")).collect()
+    mass = sum(r["n"] for r in cut_)
+    claims = _rounds(kinds.filter("copies > 0"), mass, rounds, share, batch, most)
     order = np.array([c[0] for c in claims], np.int64)
-    taken = each.mapInArrow(_shares(order, stride), "kv long, rec long, share double")
-    paint = stored(own.join(taken, "kv").groupBy("rec", F.col("slice").cast("long").alias("place")).agg(F.sum(F.col("n") * F.col("share")).alias("mass")), "cover-paint")
-    release(each, kinds, own)
-    told = [("claim", w // stride, w % stride * width, float(m), float(c)) for w, m, c in claims] + [("total", -1, int(len(claims) == rounds), float(mass), 0.0)]
-    rows = kmers.sparkSession.createDataFrame(told, "kind string, rec long, place long, mass double, contested double")
+    paint = stored(kinds.filter("copies > 0").mapInArrow(_shares(order, stride), "rec long, place long, mass double").groupBy("rec", "place").agg(F.sum("mass").alias("mass")), "cover-paint")
+    release(kinds)
+    told = [("claim", w // stride, w % stride * width, float(m), float(c)) for w, m, c in claims] + [("slice", -1, r["slice"], float(r["n"]), 0.0) for r in cut_] + [("total", -1, int(len(claims) == rounds), float(mass), 0.0)]
+    rows = axis.sparkSession.createDataFrame(told, "kind string, rec long, place long, mass double, contested double")
     return rows.unionByName(paint.select(F.lit("paint").alias("kind"), "rec", "place", "mass", F.lit(0.0).alias("contested"))), width, slice_bp
 
 

@@ -492,16 +492,17 @@ found AS (
 
 
 def first_source(spark, sf_dir) -> tuple[DataFrame, int, DataFrame]:
-    """The sources' records, the first one's number, and the k-mers of all."""
+    """The sources' records, the first one's number, and the pieces of all."""
     axis, pieces = source_axis(spark, sf_dir)
-    return axis, axis.agg(F.min("rec")).first()[0], kmers.canonical_kmers(kmers.spread(pieces), K)
+    axis = stored(axis, "sources")
+    return axis, axis.agg(F.min("rec")).first()[0], pieces
 
 
 @query(f"WITH RECURSIVE {COVER} SELECT * FROM found")
 def gather_components(spark, sf_dir):
     """The first source as a cover by windows of the others, from all k-mers of both."""
     axis, rec, table = first_source(spark, sf_dir)
-    rows, width, _ = gather.gather(table, axis, rec)
+    rows, width, _ = gather.gather(table, axis, rec, k=K)
     return gather.components(rows, axis, width)
 
 
@@ -511,7 +512,7 @@ SELECT place, mass, round(mass / greatest(m, 1), 9) AS share FROM parts, whole""
 def gather_summary(spark, sf_dir):
     """The heaviest components of the first source's cover, the others and what is unexplained."""
     axis, rec, table = first_source(spark, sf_dir)
-    rows, width, _ = gather.gather(table, axis, rec)
+    rows, width, _ = gather.gather(table, axis, rec, k=K)
     told = gather.summary(gather.components(rows, axis, width), rows.filter("kind = 'total'").first()["mass"])
     return nine(told.withColumn("place", F.col("place").cast("int")), "share")
 
@@ -526,9 +527,9 @@ SELECT CAST(slice AS BIGINT) AS slice, rec, round(least(1e0, mass / total), 6) A
 def gather_strip(spark, sf_dir):
     """Of each slice of the first source the record that explains most of it. Sums are rounded, so that their order decides no tie."""
     axis, rec, table = first_source(spark, sf_dir)
-    rows, _, slice_bp = gather.gather(table, axis, rec)
+    rows, _, slice_bp = gather.gather(table, axis, rec, k=K)
     rows = rows.withColumn("mass", F.when(F.col("kind") == "paint", F.round("mass", 6)).otherwise(F.col("mass")))
-    own = table.filter(F.col("rec") == rec).join(axis.select("rec", "start"), "rec").groupBy(F.floor((F.col("pos") - F.col("start")) / slice_bp).cast("long").alias("slice")).agg(F.count(F.lit(1)).alias("total"))
+    own = rows.filter("kind = 'slice'").select(F.col("place").alias("slice"), F.col("mass").alias("total"))
     return gather.strip(rows, own).withColumn("explained", F.round("explained", 6))
 
 

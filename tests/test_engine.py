@@ -7,6 +7,7 @@ import random
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -540,3 +541,37 @@ def test_records_and_explanations(spark):
     assert not e.truncated and {r.rec for r in e.components.collect()} == {1, 2} and math.isclose(sum(r.share for r in e.report.collect()), 1.0)
     strip = {r.slice: (r.rec, r.explained) for r in e.strip.collect()}
     assert strip[1] == (1, 1.0) and strip[80][0] == 2 and max(strip) < 94
+
+
+def test_packed_kmers(spark, monkeypatch):
+    """A row holds a bucket's k-mers of many bases: what is shuffled are few rows, and copies by group come out as counted."""
+    from kmerloom.operators import packed
+
+    monkeypatch.setattr(packed, "LEAST", 2)
+    seqs = [bases(3000, 7), bases(2000, 8) + "N" + "A" * 400, "ACG"]
+    pieces, lay = kmers.spread(axis(spark, *seqs), 2), packed.layout(9, 5000, 1)
+    rows = packed.packed(pieces, [], lambda batch, row, place: np.where(place < 4900, place // 100, -1), lay)
+    assert rows.count() <= 2 * 4
+
+    def told(batches):
+        for kv, g, n in packed.buckets(batches, lay):
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (kv, g, n)], names=["kv", "g", "n"])
+
+    got = Counter({(r.kv, r.g): r.n for r in packed.dealt(rows).mapInArrow(told, "kv long, g long, n long").collect()})
+    code = lambda w: int("".join("0123"["ACGT".index(c)] for c in w), 4)
+    assert got == Counter((code(w) * int(packed.ODD) % 4**9, p // 100) for _, p, w in windows(seqs, 9) if p < 4900)
+
+
+@pytest.mark.parametrize("at_once", [1 << 20, 7])
+def test_gather_of_pieces_and_tables(spark, monkeypatch, at_once):
+    """A cover of pieces, with what slices hold, is that of a table of k-mers."""
+    from kmerloom.operators import packed
+
+    monkeypatch.setattr(packed, "ROWS", at_once)
+    x, y = bases(3000, 11), bases(2500, 12)
+    a = axis(spark, x + y[:900] + "A" * 50, y + x[200:1700], x[1500:] + "A" * 90, y[300:] * 2)
+    of = lambda rows: sorted((r.kind, r.rec, r.place, round(r.mass, 6), r.contested) for r in rows[0].collect())
+    told = of(gather.gather(kmers.spread(a), a, 0, tile_bp=256, share=0.0, k=15))
+    assert told == of(gather.gather(kmers.canonical_kmers(a, 15), a, 0, tile_bp=256, share=0.0))
+    own = Counter(p // math.ceil(3950 / 96) for _, p, _ in windows([x + y[:900] + "A" * 50], 15))
+    assert {(place, mass) for kind, _, place, mass, _ in told if kind == "slice"} == set(own.items())
