@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kmerloom.model import BELONGS_MAX, BELONGS_MIN, EngineError
-from kmerloom.operators import pairs
-from kmerloom.operators.kmers import group_kmers, record_kmers
+from kmerloom.operators import packed, pairs
+from kmerloom.operators.kmers import record_kmers
 from kmerloom.plans.tables import stored
 
 
@@ -42,15 +42,17 @@ def belongs(counts: DataFrame) -> DataFrame:
 
 def between(pieces: DataFrame, k: int, by: str = "rec", scaled: int = 1) -> tuple[DataFrame, DataFrame]:
     """belongs() and masses() of the groups `by` of an axis in pieces (spread), whose k-mers are enumerated and dealt out once: pairs of groups are added up where k-mers meet, and stored. With more groups than that takes, by joins."""
-    names = stored(pieces.select(by).distinct(), "groups")
-    n = names.count()
+    names = stored(pieces.groupBy(by).agg(F.sum("len").alias("bases")), "groups")
+    n, bases = names.agg(F.count(F.lit(1)), F.coalesce(F.sum("bases"), F.lit(0))).first()
     if not pairs.fits(n):
         counts = stored(record_kmers(pieces, k, scaled, by).withColumnRenamed(by, "rec"), "records", by="kv")
         return belongs(counts), masses(counts)
     # So few names are numbered in one task, and sent to all.
-    names = stored(names.withColumn("g", (F.row_number().over(Window.orderBy(by)) - 1).cast("long")), "numbered")
+    names = stored(names.select(by).withColumn("g", (F.row_number().over(Window.orderBy(by)) - 1).cast("long")), "numbered")
     coded = pieces.join(F.broadcast(names), pieces[by].eqNullSafe(names[by])).drop(names[by])
-    sums = stored(pairs.pair_sums(group_kmers(coded, k, scaled, "g"), n), "belongs")
+    lay = packed.layout(k, n, bases // scaled)
+    rows = packed.packed(coded, ["g"], lambda batch, row, place: batch.column("g").to_numpy()[row], lay, scaled=scaled, least=True)
+    sums = stored(pairs.packed_sums(rows, lay, n), "belongs")
     i, j = (names.select(F.col("g").alias(x), F.col(by).alias(f"{x}_name")) for x in "ij")
     totals = sums.filter("i = j").join(F.broadcast(i), "i").select(F.col("i_name").alias("rec"), "total", F.col("unique").alias("unique_total"))
     both = sums.filter("i <> j")

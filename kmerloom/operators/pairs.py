@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kmerloom.model import EngineError
+from kmerloom.operators import packed
 
 #: Cells of a task's table, and rows that are paired at a time.
 CELLS, CHUNK = 1 << 23, 1 << 18
@@ -23,41 +24,53 @@ def fits(groups: int, sums: tuple[str, ...] = SUMS) -> bool:
     return groups * groups * len(sums) <= CELLS
 
 
-def _pairs(groups: int, first: int | None, sums: tuple[str, ...]):
-    """first: pairs are of one of the first groups with one of the others; without it, of any two."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out = {s: np.zeros(groups * groups, np.int64) for s in sums}
-
-        def add(name: str, at: np.ndarray, value: np.ndarray | int) -> None:
-            if name in out:
-                np.add.at(out[name], at, value)
-
-        def pair(kv: np.ndarray, g: np.ndarray, n: np.ndarray) -> None:
-            if not len(kv):
-                return
-            new = np.flatnonzero(np.append(True, (kv[1:] != kv[:-1]) | (g[1:] != g[:-1])))
-            kv, g, n = kv[new], g[new], np.add.reduceat(n, new)
-            begin = np.flatnonzero(np.append(True, kv[1:] != kv[:-1]))
-            size = np.diff(np.append(begin, len(kv)))
-            add("total", g * (groups + 1), n)
-            add("unique", g * (groups + 1), (n == 1).astype(np.int64))
-            holders = np.repeat(size, size)
-            after = np.repeat(begin + size, size) - np.arange(len(kv)) - 1  # rows of the same k-mer that follow
-            at, step = np.flatnonzero(after > 0), 1
-            while len(at):
-                kept = at if first is None else at[(g[at] < first) & (g[at + step] >= first)]
-                i, j, a, b = g[kept], g[kept + step], n[kept], n[kept + step]
-                less = np.minimum(a, b)
-                add("shared", i * groups + j, less)
+class Table:
+    """Sums of pairs of groups. first: pairs are of one of the first groups with one of the others; without it, of any two."""
+
+    def __init__(self, groups: int, first: int | None, sums: tuple[str, ...]):
+        self.groups, self.first, self.out = groups, first, {s: np.zeros(groups * groups, np.int64) for s in sums}
+
+    def add(self, name: str, at: np.ndarray, value: np.ndarray | int) -> None:
+        if name in self.out:
+            np.add.at(self.out[name], at, value)
+
+    def pair(self, kv: np.ndarray, g: np.ndarray, n: np.ndarray) -> None:
+        """Adds k-mers with all their rows, in order of k-mer and group; rows of one group are added up."""
+        if not len(kv):
+            return
+        groups, first, add = self.groups, self.first, self.add
+        new = np.flatnonzero(np.append(True, (kv[1:] != kv[:-1]) | (g[1:] != g[:-1])))
+        kv, g, n = kv[new], g[new], np.add.reduceat(n, new)
+        begin = np.flatnonzero(np.append(True, kv[1:] != kv[:-1]))
+        size = np.diff(np.append(begin, len(kv)))
+        add("total", g * (groups + 1), n)
+        add("unique", (g * (groups + 1))[n == 1], 1)
+        holders = np.repeat(size, size)
+        after = np.repeat(begin + size, size) - np.arange(len(kv)) - 1  # rows of the same k-mer that follow
+        at, step = np.flatnonzero(after > 0), 1
+        while len(at):
+            kept = at if first is None else at[(g[at] < first) & (g[at + step] >= first)]
+            i, j, a, b = g[kept], g[kept + step], n[kept], n[kept + step]
+            less = np.minimum(a, b)
+            add("shared", i * groups + j, less)
+            if "exclusive" in self.out:
                 two = holders[kept] == 2
                 add("exclusive", (i * groups + j)[two], less[two])
-                for x, y, own in ((i, j, a), (j, i, b)):
+            for x, y, own in ((i, j, a), (j, i, b)):
+                if "unique" in self.out:
                     add("unique", (x * groups + y)[own == 1], 1)
-                    add("cross_mass", x * groups + y, own)
-                step += 1
-                at = at[after[at] >= step]
+                add("cross_mass", x * groups + y, own)
+            step += 1
+            at = at[after[at] >= step]
+
+    def rows(self) -> pa.RecordBatch:
+        hit = np.flatnonzero(sum(np.abs(x) for x in self.out.values()))
+        return pa.RecordBatch.from_arrays([pa.array(hit // self.groups), pa.array(hit % self.groups), *[pa.array(x[hit]) for x in self.out.values()]], names=["i", "j", *self.out])
+
 
+def _pairs(groups: int, first: int | None, sums: tuple[str, ...]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = Table(groups, first, sums)
         held: list[list[np.ndarray]] = []
         rows = 0
         for batch in batches:
@@ -67,16 +80,30 @@ def _pairs(groups: int, first: int | None, sums: tuple[str, ...]):
                 kv, g, n = (np.concatenate(x) for x in zip(*held, strict=True))
                 # The last k-mer may go on in the next batch.
                 cut = int(np.searchsorted(kv, kv[-1]))
-                pair(kv[:cut], g[:cut], n[:cut])
+                table.pair(kv[:cut], g[:cut], n[:cut])
                 kv, g, n = kv[cut:], g[cut:], n[cut:]
                 if len(kv) >= CHUNK:  # a k-mer that fills a chunk: its rows of one group are added up
                     new = np.flatnonzero(np.append(True, g[1:] != g[:-1]))
                     kv, g, n = kv[new], g[new], np.add.reduceat(n, new)
                 held, rows = [[kv, g, n]], len(kv)
         if held:
-            pair(*(np.concatenate(x) for x in zip(*held, strict=True)))
-        hit = np.flatnonzero(sum(np.abs(x) for x in out.values()))
-        yield pa.RecordBatch.from_arrays([pa.array(hit // groups), pa.array(hit % groups), *[pa.array(x[hit]) for x in out.values()]], names=["i", "j", *out])
+            table.pair(*(np.concatenate(x) for x in zip(*held, strict=True)))
+        yield table.rows()
+
+    return run
+
+
+def _packed_pairs(lay: packed.Layout, groups: int, first: int | None, sums: tuple[str, ...]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = Table(groups, first, sums)
+        for kv, g, n in packed.buckets(batches, lay):
+            lo = 0
+            while lo < len(kv):
+                # A chunk ends with a k-mer.
+                hi = len(kv) if lo + CHUNK >= len(kv) else max(int(np.searchsorted(kv, kv[lo + CHUNK])), int(np.searchsorted(kv, kv[lo], "right")))
+                table.pair(kv[lo:hi], g[lo:hi], n[lo:hi])
+                lo = hi
+        yield table.rows()
 
     return run
 
@@ -91,3 +118,11 @@ def pair_sums(rows: DataFrame, groups: int, first: int | None = None, sums: tupl
     dealt = rows.select("kv", F.col("g").cast("long").alias("g"), "n").repartition("kv").sortWithinPartitions("kv", "g")
     each = dealt.mapInArrow(_pairs(groups, first, sums), "i long, j long, " + ", ".join(f"{s} long" for s in sums))
     return each.groupBy("i", "j").agg(*[F.sum(s).alias(s) for s in sums])
+
+
+def packed_sums(rows: DataFrame, lay: packed.Layout, groups: int, first: int | None = None, sums: tuple[str, ...] = SUMS) -> DataFrame:
+    """pair_sums() of packed rows."""
+    if not fits(groups, sums):
+        raise EngineError(f"{groups:,} groups are too many for a table of pairs.")
+    each = packed.dealt(rows).mapInArrow(_packed_pairs(lay, groups, first, sums), "i long, j long, " + ", ".join(f"{s} long" for s in sums))
+    return each.groupBy("i", "j").agg(*[F.sum(s).alias(s) for s in sums])

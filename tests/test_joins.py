@@ -318,3 +318,22 @@ def test_tiles_of_annotations(spark):
     assert told("none", 0, 10) == []
     with pytest.raises(EngineError):
         TileCache(read, most=0)
+
+
+@pytest.mark.parametrize("first", [None, 2])
+@pytest.mark.parametrize("chunk", [5, 1 << 18])
+def test_pair_sums_of_packed_rows(spark, monkeypatch, first, chunk):
+    """Sums of packed k-mers, a few rows for all of a batch, are those of a row for each k-mer."""
+    from kmerloom.operators import packed
+
+    monkeypatch.setattr(pairs, "CHUNK", chunk)
+    rng = random.Random(3)
+    parts = ["".join(rng.choice("ACGT") for _ in range(60)) for _ in range(6)]
+    seqs = ["".join(rng.choice(parts) for _ in range(12)) + "A" * 40 for _ in range(5)]
+    axis = kmers.as_axis(spark.createDataFrame([(i, str(i), s) for i, s in enumerate(seqs)], "i long, name string, seq string"), "i", "name", "seq")
+    pieces, lay = kmers.spread(axis), packed.layout(7, 5, 4000)
+    rows = packed.packed(pieces, ["rec"], lambda batch, row, place: batch.column("rec").to_numpy()[row], lay)
+    plain = kmers.kmers(pieces, 7).select("kv", "rec").withColumnsRenamed({"rec": "g"}).selectExpr("kv", "g", "1L AS n")
+    assert rows.count() * 4 < plain.count()
+    key = lambda df: sorted(tuple(r) for r in df.collect())
+    assert key(pairs.packed_sums(rows, lay, 5, first)) == key(pairs.pair_sums(plain, 5, first))
