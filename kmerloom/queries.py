@@ -445,7 +445,13 @@ SELECT item, doc, CAST(sum(least(ic.n, dc.n)) AS BIGINT) AS shared, round(sum(le
 @query(CONTAMINATION)
 def contamination_scan(spark, sf_dir):
     """How much of each benchmark item each document holds."""
-    items, docs = (kmers.record_kmers(kmers.spread(a), K) for a in (benchmark_axis(spark, sf_dir), document_axis(spark, sf_dir)))
+    items = stored(kmers.record_kmers(kmers.spread(benchmark_axis(spark, sf_dir)), K), "items")
+    docs = kmers.spread(document_axis(spark, sf_dir))
+    if items.count() <= match.BROADCAST_ROWS:  # so few are sent to all tasks, and nothing else of the documents is shuffled
+        known = items.select("kv").distinct().toArrow().column("kv").to_numpy()
+        items, docs = F.broadcast(items), kmers.record_kmers(docs, K, among=known)
+    else:
+        docs = kmers.record_kmers(docs, K)
     return nine(B.contamination(items, docs), "containment")
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from kmerloom.sources import bgzf, fasta
@@ -84,3 +86,16 @@ def test_occurrences_of_counted_kmers(spark):
     counted = kmers.counted_kmers(axis, 5)
     assert counted.count() < kmers.kmers(axis, 5).count()
     assert {tuple(r) for r in profile.occurrences(counted).collect()} == {tuple(r) for r in profile.occurrences(kmers.kmers(axis, 5)).collect()}
+
+
+def test_kmers_among_some(spark):
+    """Of k-mers that are wanted alone nothing else leaves the task that enumerates them."""
+    from kmerloom.operators import kmers
+
+    seqs = ["ACGTTGCAAC" * 30, "TTTTTTTACG", "GGGCATTTACCAGT" * 9]
+    axis = kmers.spread(kmers.as_axis(spark.createDataFrame([(i, str(i), s) for i, s in enumerate(seqs)], "i long, name string, seq string"), "i", "name", "seq"))
+    every = {(r.rec, r.kv): r.n for r in kmers.record_kmers(axis, 7).collect()}
+    for some in (np.array(sorted({kv for _, kv in every})[::3] + [4**7 + 1]), np.zeros(0, np.int64)):
+        got = {(r.rec, r.kv): r.n for r in kmers.record_kmers(axis, 7, among=some).collect()}
+        assert got == {x: n for x, n in every.items() if x[1] in set(some.tolist())}
+        assert kmers.group_kmers(axis, 7, among=some).filter(~F.col("kv").isin(some.tolist() or [-1])).isEmpty()
