@@ -2,13 +2,21 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kmerloom.model import OCC_CLASSES, SATURATION_TILE
+from kmerloom.operators import packed
 from kmerloom.plans.ordering import with_group
 from kmerloom.plans.tables import stored
 
+#: Sums of tiles that a task holds (64 MB).
+TILES_HELD = 1 << 21
+
 
 def occurrences(index: DataFrame) -> DataFrame:
     """kv and occ, its index entries; of an index with a column n (kmers.counted_kmers), the sum of that."""
@@ -52,11 +60,45 @@ def splice(old: DataFrame, new: DataFrame, lo: int, hi: int) -> DataFrame:
     return islands(stored(left.unionByName(right).unionByName(mid).filter("start < end"), "splice"), "start", "end")
 
 
-def multiplicity(tiles: DataFrame, t_len: int, tile_bp: int, stride: int = 1) -> DataFrame:
-    """tile, mult (geometric mean of copies, 0 without entries) and uniq_frac (share of entries that occur once), a row for each tile of the axis. tiles: tile_kmers() of width tile_bp."""
+def _copies(lay: packed.Layout, stride: int):
+    """tile, n, lg and single: sums over the entries that a task's k-mers have in each tile, put together over a number of buckets."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[list[np.ndarray]] = []
+
+        def put(rows: list[list[np.ndarray]]) -> list[np.ndarray]:
+            tile, *sums = (np.concatenate(x) for x in zip(*rows, strict=True))
+            tiles, at = np.unique(tile, return_inverse=True)
+            return [tiles, *[np.bincount(at, x, minlength=len(tiles)) for x in sums]]
+
+        def batch_of(tile: np.ndarray, n: np.ndarray, lg: np.ndarray, single: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(tile), pa.array(n.astype(np.int64)), pa.array(lg), pa.array(single.astype(np.int64))], names=["tile", "n", "lg", "single"])
+
+        for kv, tile, n in packed.buckets(batches, lay):
+            begin = packed._starts(kv)
+            occ = np.repeat(np.add.reduceat(n, begin), np.diff(np.append(begin, len(kv)))) if len(kv) else n
+            held.append(put([[tile, n, n * np.log2((occ - 1) * stride + 1.0), np.where(occ == 1, n, 0)]]))
+            if sum(len(x[0]) for x in held) > TILES_HELD:
+                held = [put(held)]
+                if len(held[0][0]) > TILES_HELD // 2:
+                    yield batch_of(*held.pop())
+        if held:
+            yield batch_of(*put(held))
+
+    return run
+
+
+def multiplicity(tiles: DataFrame, t_len: int, tile_bp: int, stride: int = 1, k: int | None = None) -> DataFrame:
+    """tile, mult (geometric mean of copies, 0 without entries) and uniq_frac (share of entries that occur once), a row for each tile of the axis. tiles: tile_kmers() of width tile_bp, or with k the pieces of the axis, whose k-mers are dealt out packed."""
     spark = tiles.sparkSession
-    copies, n = ((F.col("occ") - 1) * stride + 1).cast("double"), F.sum("n")
-    own = tile_occurrences(tiles).groupBy("tile").agg((F.sum(F.col("n") * F.log2(copies)) / n).alias("lg"), (F.sum(F.when(F.col("occ") == 1, F.col("n")).otherwise(0)) / n).alias("uniq_frac"))
+    if k is not None:
+        lay = packed.layout(k, t_len // tile_bp + 1, t_len // stride)
+        dealt = packed.dealt(packed.packed(tiles, [], lambda batch, row, place: place // tile_bp, lay, stride))
+        sums = dealt.mapInArrow(_copies(lay, stride), "tile long, n long, lg double, single long")
+        own = sums.groupBy("tile").agg((F.sum("lg") / F.sum("n")).alias("lg"), (F.sum("single") / F.sum("n")).alias("uniq_frac"))
+    else:
+        copies, n = ((F.col("occ") - 1) * stride + 1).cast("double"), F.sum("n")
+        own = tile_occurrences(tiles).groupBy("tile").agg((F.sum(F.col("n") * F.log2(copies)) / n).alias("lg"), (F.sum(F.when(F.col("occ") == 1, F.col("n")).otherwise(0)) / n).alias("uniq_frac"))
     every = spark.range((t_len + tile_bp - 1) // tile_bp).withColumnRenamed("id", "tile")
     return every.join(own, "tile", "left").select("tile", F.coalesce(F.pow(F.lit(2.0), "lg"), F.lit(0.0)).alias("mult"), F.coalesce("uniq_frac", F.lit(0.0)).alias("uniq_frac"))
 

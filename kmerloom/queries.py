@@ -318,7 +318,7 @@ profile AS (SELECT r.tile, coalesce(pow(2, lg), 0) AS mult, coalesce(u, 0) AS un
 
 def multiplicity(spark, sf_dir) -> DataFrame:
     axis = document_axis(spark, sf_dir)
-    return profile.multiplicity(kmers.tile_kmers(kmers.spread(axis), K, TILE, merged=False), kmers.total_length(axis), TILE)
+    return profile.multiplicity(kmers.spread(axis), kmers.total_length(axis), TILE, k=K)
 
 
 @query(f"WITH {PROFILE} SELECT tile, round(mult, 6) AS mult, round(CAST(uniq_frac AS DOUBLE), 6) AS uniq_frac FROM profile")
@@ -344,7 +344,7 @@ def multiplicity_texture(spark, sf_dir):
     """A23."""
     axis = document_axis(spark, sf_dir)
     total = kmers.total_length(axis)
-    found = profile.multiplicity(kmers.tile_kmers(kmers.spread(axis), K, TILE, merged=False), total, TILE)
+    found = profile.multiplicity(kmers.spread(axis), total, TILE, k=K)
     return profile.multiplicity_texture(found, (total + TILE - 1) // TILE, TEXELS)
 
 

@@ -99,3 +99,16 @@ def test_kmers_among_some(spark):
         got = {(r.rec, r.kv): r.n for r in kmers.record_kmers(axis, 7, among=some).collect()}
         assert got == {x: n for x, n in every.items() if x[1] in set(some.tolist())}
         assert kmers.group_kmers(axis, 7, among=some).filter(~F.col("kv").isin(some.tolist() or [-1])).isEmpty()
+
+
+@pytest.mark.parametrize("held", [1 << 21, 3])
+def test_multiplicity_of_packed_kmers(spark, monkeypatch, held):
+    """A profile of pieces, whose k-mers are packed, is that of a row for each k-mer and tile."""
+    from kmerloom.operators import kmers, profile
+
+    monkeypatch.setattr(profile, "TILES_HELD", held)
+    axis = kmers.as_axis(spark.createDataFrame([(i, str(i), s) for i, s in enumerate(["ACGTTGCAAC" * 30, "TTTTTTTACG", "GGGCATTTACCAGT" * 9 + "N" * 200])], "i long, name string, seq string"), "i", "name", "seq")
+    pieces, total = kmers.spread(axis), kmers.total_length(axis)
+    for stride in (1, 3):
+        key = lambda df: sorted((r.tile, round(r.mult, 9), round(r.uniq_frac, 9)) for r in df.collect())
+        assert key(profile.multiplicity(pieces, total, 50, stride, k=6)) == key(profile.multiplicity(kmers.tile_kmers(pieces, 6, 50, stride), total, 50, stride))
