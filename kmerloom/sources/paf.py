@@ -31,11 +31,13 @@ def read_lines(spark: SparkSession, path: str, split: int = bgzf.SPLIT) -> DataF
 
 def parse(lines: DataFrame) -> DataFrame:
     """All data lines: line_no, the columns, tags, valid and identity. Comments and blank lines are no data; a line is valid if it has 12 columns, numbers where they belong, a strand, and spans that are not empty."""
-    text = F.regexp_replace("value", "\r$", "")
-    parts = F.split(text, "\t", -1)
-    rows = lines.filter(~F.col("value").startswith("#") & (F.trim(F.regexp_replace("value", "[\r\t]", " ")) != "")).select("line_no", parts.alias("p"))
+    # What is split and cast goes through generators: a predicate on what they give, such as `valid`, is not pushed below them, which would have a line split again for each field that it looks at.
+    cr, value = F.lit("\r"), F.col("value")
+    text = F.when(F.contains(value, cr), F.regexp_replace(value, "\r$", "")).otherwise(value)
+    rows = lines.filter(~value.startswith("#") & (F.btrim(value, F.lit(" \r\t")) != "")).select("line_no", F.explode(F.array(F.split(text, "\t", -1))).alias("p"))
     number = lambda i: F.when(F.get("p", F.lit(i)).rlike("^[0-9]+$"), F.get("p", F.lit(i))).try_cast("long")
-    rows = rows.select("line_no", F.size("p").alias("n"), *[(number(i) if c in NUMBERS else F.get("p", F.lit(i))).alias(c) for i, c in enumerate(COLUMNS)], F.when(F.size("p") > 12, F.slice("p", F.lit(13), F.greatest(F.size("p") - 12, F.lit(0)))).otherwise(F.array().cast("array<string>")).alias("tags"))
+    fields = [F.size("p").alias("n"), *[(number(i) if c in NUMBERS else F.get("p", F.lit(i))).alias(c) for i, c in enumerate(COLUMNS)], F.when(F.size("p") > 12, F.slice("p", F.lit(13), F.greatest(F.size("p") - 12, F.lit(0)))).otherwise(F.array().cast("array<string>")).alias("tags")]
+    rows = rows.select("line_no", F.inline(F.array(F.struct(*fields))))
     good = (F.col("n") >= 12) & F.col("strand").isin("+", "-") & (F.col("qe") > F.col("qs")) & (F.col("te") > F.col("ts"))
     for c in NUMBERS:
         good = good & F.col(c).isNotNull()

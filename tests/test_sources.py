@@ -52,6 +52,14 @@ def test_paf(spark, tmp_path):
     assert paf.looks_like_paf(("#c\n" + LINES[0]).encode()) and not paf.looks_like_paf(b"a\tb\n")
 
 
+def test_a_line_is_split_once(spark, tmp_path):
+    """A filter on `valid` doesn't have a line split again for each field that it looks at."""
+    parsed = paf.parse(paf.read_lines(spark, write(tmp_path / "x.paf", "\n".join([*LINES, " \t \r", "q3\t9\t0\t9\t-\tt2\t9\t+1\t9\t9\t9\t60", "q4\t9\t0\t9\t-\tt2\t9\t0\t9\t9\t9\r"]))))
+    plan = paf.paf_catalog(parsed.filter("valid"), "qname", "qlen")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("split(") == 1
+    assert [(r.qname, r.valid, r.ts, r.alnlen, r.mapq) for r in parsed.orderBy("line_no").collect()][-2:] == [("q3", False, None, 9, "60"), ("q4", False, 0, 9, None)] and parsed.count() == 7
+
+
 def test_intake(spark, tmp_path):
     a, b, c = write(tmp_path / "a.fa", ">x\nACGT\n"), write(tmp_path / "b", ">y\nACGT\n"), write(tmp_path / "c", LINES[0] + "\n")
     got = intake.route(spark, [a, b, c])
