@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from kmerloom.model import SEGMENT_WALL_HARD, EngineError, MatchOptions
 from kmerloom.operators.kmers import kmers, spread, total_length
+from kmerloom.operators.runs import piece_runs
 from kmerloom.plans.tables import stored
 
 #: Starts of a range in which the anchors of a diagonal are put together; rows of an index that may be sent to all tasks (some 30 MB).
@@ -75,10 +76,16 @@ def merge_runs(found: DataFrame, options: MatchOptions, q_total: int) -> DataFra
 
     A diagonal may hold as many anchors as a record has bases, so runs are formed in ranges of RANGE starts first. A run may go on in another range only if it comes as near to the range's border as a gap may be wide: these alone, of many runs a few, are put together by diagonal. The runs are stored in between, so they are formed once.
     """
-    k, line, reach = options.k, ["strand", "qrec", "trec", "diag"], options.max_gap + options.hole
+    line, reach = ["strand", "qrec", "trec", "diag"], options.max_gap + options.hole
     rows = found.withColumns({"diag": F.col("p") - F.col("t"), "part": F.floor(F.col("p") / RANGE)})
     runs = stored(_runs(rows, [*line, "part"], "p", "p", F.lit(0), options).drop("run"), "runs")
     border = (F.col("first") - F.col("part") * RANGE <= reach) | ((F.col("part") + 1) * RANGE - 1 - F.col("last") <= reach)
+    return _joined(runs, border, options, q_total)
+
+
+def _joined(runs: DataFrame, border: Column, options: MatchOptions, q_total: int) -> DataFrame:
+    """Segments of runs, those with `border` put together by diagonal first."""
+    k, line = options.k, ["strand", "qrec", "trec", "diag"]
     near = _runs(runs.filter(border), line, "first", "last", F.col("missing"), options)
     columns = [*line, "t", "first", "last", "missing"]
     runs = runs.filter(~border).select(columns).unionByName(near.select(columns))
@@ -91,11 +98,18 @@ def merge_runs(found: DataFrame, options: MatchOptions, q_total: int) -> DataFra
 def match(target: DataFrame, query: DataFrame, options: MatchOptions = MatchOptions(), t_window: tuple[int, int] | None = None, q_window: tuple[int, int] | None = None) -> DataFrame:
     """Segments of two axes. A self comparison is match(axis, axis): the diagonal and both mirror images stay.
 
+    An index of few rows goes to all tasks, which put runs together where they enumerate the query: no anchor is a row, and only runs at the borders of pieces are shuffled. With a larger one anchors are joined.
+
     Windows are in starts of k-mers. Only pieces that a window touches are enumerated: of the query those for the forward strand's starts and, up to k-1 before them, the reverse strand's.
     """
     q_total = total_length(query)
     index = stored_index(spread(target, window=t_window), options)
     probed = spread(query, window=(q_window[0] - options.k + 1, q_window[1]) if q_window else None)
+    if index._kmerloom_rows <= BROADCAST_ROWS:
+        if t_window:
+            index = index.filter((F.col("t") >= t_window[0]) & (F.col("t") < t_window[1]))
+        runs = stored(piece_runs(occurrence_cap(index, options.cap), probed, options, q_total, q_window), "runs")
+        return _joined(runs, F.col("border"), options, q_total)
     return merge_runs(anchors(index, probed, options, q_total, t_window, q_window), options, q_total)
 
 

@@ -150,6 +150,48 @@ def test_windows_of_a_match(spark):
         assert sorted(map(tuple, match.match(target, query, o, t_window, q_window).collect())) == want
 
 
+@pytest.mark.parametrize("piece, chunk", [(1 << 21, 1 << 21), (90, 1 << 21), (1 << 21, 40), (70, 7)])
+def test_runs_where_pieces_are_enumerated(spark, monkeypatch, piece, chunk):
+    """Runs put together in the tasks are those of joined anchors, wherever records and anchors are cut, and no anchor is shuffled: what is stored are the runs."""
+    from kmerloom.operators import runs
+
+    rng = random.Random(31)
+    t = bases(rng, 700)
+    flip = lambda s: s[::-1].translate(str.maketrans("ACGT", "TGCA"))
+    mutated = "".join(c if rng.random() > 0.04 else rng.choice("ACGTN") for c in t)
+    target, query = axis_of(spark, [t[:400], t[400:], "AC" * 60]), axis_of(spark, [mutated, flip(mutated)[50:500], "", "CA" * 40, t[300:500] * 2])
+    q_total = kmers.total_length(query)
+    for o in (MatchOptions(k=7, max_gap=9, max_occ=5, min_run=12), MatchOptions(k=6, max_gap=20, max_occ=None, q_sample=3, stride=2), MatchOptions(k=6)):
+        for t_window, q_window in ((None, None), ((100, 600), (130, 1400))):
+            want = sorted(map(tuple, match.merge_runs(match.anchors(match.target_index(target, o), query, o, q_total, t_window, q_window), o, q_total).collect()))
+            monkeypatch.setattr(kmers, "PIECE", piece)
+            pieces = kmers.spread(query, window=(q_window[0] - o.k + 1, q_window[1]) if q_window else None)
+            index = match.target_index(target, o)
+            index = match.occurrence_cap(index.filter(F.col("t").between(t_window[0], t_window[1] - 1)) if t_window else index, o.cap)
+            found = list(_run_here(index, pieces, o, q_total, q_window, chunk))
+            got = sorted(map(tuple, match._joined(spark.createDataFrame(found, runs.RUN), F.col("border"), o, q_total).collect()))
+            assert got == want and len(want) > 3
+            if piece == chunk:
+                assert not any(r[-1] for r in found) and sorted(map(tuple, match.match(target, query, o, t_window, q_window).collect())) == want
+            monkeypatch.undo()
+
+
+def _run_here(index, pieces, o, q_total, q_window, chunk):
+    """piece_runs in this process, where the size of a chunk can be set."""
+    from types import SimpleNamespace
+
+    from kmerloom.operators import runs
+
+    rows = index.select("kv", "t", "trec").toArrow()
+    held = runs.Index(*[rows.column(c).to_numpy() for c in ("kv", "t", "trec")])
+    before, runs.CHUNK = runs.CHUNK, chunk
+    try:
+        for batch in runs._runs(SimpleNamespace(value=held), o, q_total, q_window)(iter(pieces.select("rec", "start", "len", "parts", "seq").toArrow().combine_chunks().to_batches())):
+            yield from (tuple(r.values()) for r in batch.to_pylist())
+    finally:
+        runs.CHUNK = before
+
+
 def test_kept_index(spark, tmp_path, monkeypatch):
     rng = random.Random(12)
     seqs = [bases(rng, 400), bases(rng, 300)]
