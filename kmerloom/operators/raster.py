@@ -11,8 +11,8 @@ from kmerloom.plans.tables import stored
 
 #: Sides of a grid of segments, and its most entries.
 SIDE_LEAST, SIDE_MOST, MOST_ENTRIES = 64, 1024, 16_000_000
-#: Segments of a cell from which narrower cells are tried first.
-BUSY = 256
+#: Segments of a cell from which narrower cells are tried first, and points of a width that are sent to all tasks instead of shuffling the segments.
+BUSY, FEW = 256, 50_000
 
 
 def endpoints(df: DataFrame) -> DataFrame:
@@ -81,8 +81,8 @@ def crossed(x0: Column, y0: Column, x1: Column, y1: Column) -> Column:
 def grid_cells(segments: DataFrame, cell_x: float, cell_y: float, keep: list[str]) -> DataFrame:
     """cx, cy and the columns `keep` of each segment for each cell that it crosses; segments have ends (endpoints). A segment without length has the cell it lies in."""
     ends = [F.col(c) / s for c, s in (("x0", cell_x), ("y0", cell_y), ("x1", cell_x), ("y1", cell_y))]
-    still = F.array(F.struct(F.floor(ends[0]).alias("cx"), F.floor(ends[1]).alias("cy")))
-    cells = F.when((ends[0] == ends[2]) & (ends[1] == ends[3]), still).otherwise(crossed(*ends))
+    own = F.array(F.struct(F.floor(ends[0]).alias("cx"), F.floor(ends[1]).alias("cy")))
+    cells = F.when((F.floor(ends[0]) == F.floor(ends[2])) & (F.floor(ends[1]) == F.floor(ends[3])), own).otherwise(crossed(*ends))
     return segments.select(F.inline(cells), *keep)
 
 
@@ -111,33 +111,55 @@ def in_view(grid: DataFrame, side: int, width: float, height: float, x0: float,
 def nearest_join(points: DataFrame, segments: DataFrame, most: float, sx: float = 1.0, sy: float = 1.0, finest: float | None = None) -> DataFrame:
     """For each point (id, px, py) the segment nearest to it, nearer than `most`: the point, the segment's columns and distance. Of equally near ones the first by x, y and strand; points with none have no row.
 
-    Points and segments meet in cells. The first round has cells of width `finest`: a point sees the segments of its own and the eight cells around, and is done if one is nearer than a cell is wide, since none outside can be nearer. The others go on with cells four times as wide. Where segments lie close together points are done in narrow cells, so no cell pairs all of its points with all of its segments for long.
+    Cells have widths from `finest` up to `most`, each four times the one before. How far the nearest segment can be is known from one segment that starts in a point's own cell of each width. A point then looks for segments in the cells that lie within this reach, of the least width that is no less: nine at most, and narrow ones where segments lie close together. So each point is searched once, and what it is paired with grows with what lies around it, not with the table.
     """
     ends = endpoints(segments)
     scaled = ends.select([F.col(c) for c in segments.columns] + [(F.col(c) * s).alias(c) for c, s in (("x0", sx), ("y0", sy), ("x1", sx), ("y1", sy))])
+    starts = scaled.select("x0", "y0")
     if finest is None:
-        # About six cells for a segment; narrower where a cell would be busy, as far as MOST_ENTRIES allow.
-        length, n = scaled.agg(F.coalesce(F.sum(F.abs(F.col("x1") - F.col("x0")) + F.abs(F.col("y1") - F.col("y0"))), F.lit(0.0)), F.count(F.lit(1))).first()
-        finest = max(float(length) / max(1, 5 * n), most / (1 << 20), 1e-9)
-        while n > BUSY and float(length) / finest + 2 * n < MOST_ENTRIES / 2 and (grid_cells(scaled, finest, finest, []).groupBy("cx", "cy").count().agg(F.max("count")).first()[0] or 0) > BUSY:
+        # About a quarter of what lies between neighbours, narrower where a cell would be busy, while a segment crosses some eight cells at most.
+        length, n, *box = scaled.agg(F.coalesce(F.sum(F.abs(F.col("x1") - F.col("x0")) + F.abs(F.col("y1") - F.col("y0"))), F.lit(0.0)), F.count(F.lit(1)), *[f(c) for c in ("x0", "y0") for f in (F.min, F.max)]).first()
+        area = (box[1] - box[0] + 1) * (box[3] - box[2] + 1) if n else 1.0
+        finest = max(min(math.sqrt(area / max(1, n)) / 4, most), most / (1 << 20), 1e-9)
+        while n > BUSY and float(length) * 4 / finest < 8 * n and starts.groupBy(*_cell("x0", "y0", finest)).count().agg(F.max("count")).first()[0] > BUSY:
             finest /= 4
-    width, left, found = min(finest, most), points.select("id", "px", "py"), None
-    while True:
-        spots = left.withColumns({"gx": F.floor(F.col("px") * sx / width), "gy": F.floor(F.col("py") * sy / width)})
-        around = F.array(*[F.struct((F.col("gx") + i).alias("cx"), (F.col("gy") + j).alias("cy")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
-        seen = spots.select("id", "px", "py", F.inline(around)).join(grid_cells(scaled, width, width, scaled.columns), ["cx", "cy"])
-        near = seen.withColumn("distance", _distance(F.col("px") * sx, F.col("py") * sy)).filter(F.col("distance") < most)
-        best = near.groupBy("id", "px", "py").agg(F.min(F.struct("distance", *[F.col(c) for c in ("x", "y", "strand")], *[F.col(c) for c in segments.columns if c not in ("x", "y", "strand")])).alias("best"))
-        best = stored(best, "nearest")
-        done = best if width >= most else best.filter(F.col("best.distance") < width)
-        found = done if found is None else found.unionByName(done)
-        if width >= most:
-            break
-        left = stored(left.join(done.select("id"), "id", "left_anti"), "points")
-        if left.isEmpty():
-            break
-        width = min(4 * width, most)
-    return found.select("id", "px", "py", *[F.col(f"best.{c}").alias(c) for c in [*segments.columns, "distance"]])
+    widths = [min(finest, most)]
+    while widths[-1] < most:
+        widths.append(min(4 * widths[-1], most))
+
+    def by_width(x: str, y: str) -> Column:
+        return F.inline(F.array(*[F.struct(F.lit(i).alias("level"), *_cell(x, y, w)) for i, w in enumerate(widths)]))
+
+    known = starts.select("x0", "y0", by_width("x0", "y0")).groupBy("level", "cx", "cy").agg(F.min("x0").alias("x0"), F.min_by("y0", "x0").alias("y0"))
+    spots = points.select("id", "px", "py", (F.col("px") * sx).alias("ux"), (F.col("py") * sy).alias("uy"))
+    apart = F.hypot(F.col("x0") - F.col("ux"), F.col("y0") - F.col("uy"))
+    reach = spots.select("*", by_width("ux", "uy")).join(known, ["level", "cx", "cy"], "left").groupBy("id", "px", "py", "ux", "uy").agg(F.least(F.coalesce(F.min(apart), F.lit(float(most))), F.lit(float(most))).alias("reach"))
+    # Some slack, so that rounding leaves nothing out.
+    reach = reach.withColumn("reach", F.col("reach") * (1 + 1e-9) + 1e-9)
+    level = F.lit(len(widths) - 1)
+    for i in range(len(widths) - 2, -1, -1):
+        level = F.when(F.col("reach") <= widths[i], i).otherwise(level)
+    spots = stored(reach.withColumn("level", level), "reach")
+    many, near = {r["level"]: r["count"] for r in spots.groupBy("level").count().collect()}, None
+    for i in sorted(many):
+        w = widths[i]
+        asked = spots.filter(F.col("level") == i).drop("level")
+        for cell, u in (("cx", "ux"), ("cy", "uy")):
+            asked = asked.withColumn(cell, F.explode(F.sequence(F.floor((F.col(u) - F.col("reach")) / w), F.floor((F.col(u) + F.col("reach")) / w))))
+        beyond = [F.greatest(F.lit(0.0), F.col(c) * w - F.col(u), F.col(u) - (F.col(c) + 1) * w) for c, u in (("cx", "ux"), ("cy", "uy"))]
+        asked = asked.filter(F.hypot(*beyond) <= F.col("reach") * (1 + 1e-6))
+        seen = grid_cells(scaled, w, w, scaled.columns).join(F.broadcast(asked) if many[i] <= FEW else asked, ["cx", "cy"])
+        seen = seen.withColumn("distance", _distance(F.col("ux"), F.col("uy"))).filter((F.col("distance") < most) & (F.col("distance") <= F.col("reach")))
+        seen = seen.select("id", "px", "py", *segments.columns, "distance")
+        near = seen if near is None else near.unionByName(seen)
+    if near is None:
+        near = points.select("id", "px", "py").join(segments.withColumn("distance", F.lit(0.0)), F.lit(False))
+    best = near.groupBy("id", "px", "py").agg(F.min(F.struct("distance", *[F.col(c) for c in ("x", "y", "strand")], *[F.col(c) for c in segments.columns if c not in ("x", "y", "strand")])).alias("best"))
+    return best.select("id", "px", "py", *[F.col(f"best.{c}").alias(c) for c in [*segments.columns, "distance"]])
+
+
+def _cell(x: str, y: str, width: float) -> list[Column]:
+    return [F.floor(F.col(x) / width).alias("cx"), F.floor(F.col(y) / width).alias("cy")]
 
 
 def contrast(cells: DataFrame, v: str = "v") -> DataFrame:

@@ -952,10 +952,11 @@ d AS (SELECT *, sqrt(pow((x0 - px) + t * (x1 - x0), 2) + pow((y0 - py) + t * (y1
 SELECT id, x, y, strand, round(distance, 6) AS distance FROM d WHERE distance < {NEAR} QUALIFY row_number() OVER (PARTITION BY id ORDER BY distance, x, y, strand) = 1""")
 def nearest_join(spark, sf_dir):
     """J12, J13 for many points: of each event's place the nearest segment."""
-    w, h = kmers.total_length(benchmark_axis(spark, sf_dir)), kmers.total_length(document_axis(spark, sf_dir))
+    target, documents = benchmark_axis(spark, sf_dir), document_axis(spark, sf_dir)
+    w, h = kmers.total_length(target), kmers.total_length(documents)
     i = F.col("event_id")
     points = read(spark, sf_dir, "events").select(i.alias("id"), ((i * 7919) % w).cast("double").alias("px"), ((i * 104_729) % h).cast("double").alias("py"))
-    found = raster.nearest_join(points, stored(segments(spark, sf_dir, SMALL), "segments"), NEAR)
+    found = raster.nearest_join(points, stored(match.match(target, documents, SMALL).select("x", "y", "dx", "dy", "strand"), "segments"), NEAR)
     return found.select("id", "x", "y", "strand", F.round("distance", 6).alias("distance"))
 
 

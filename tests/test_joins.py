@@ -309,6 +309,28 @@ def test_nearest_join(spark, most, sx, sy, finest):
     assert got == want
 
 
+def test_nearest_join_searches_a_point_once(spark, monkeypatch):
+    """Clusters of short segments far apart, points in them and between: no rounds, whatever the distances, and the results of a plain search."""
+    rng = random.Random(16)
+    found = {(cx + rng.randrange(60), cy + rng.randrange(60), 12, 12, rng.randrange(2), 0, 0, 0, 1.0) for cx, cy in ((0, 0), (40, 90_000), (30_000, 400_000)) for _ in range(150)}
+    points = [(i, float(cx + rng.randrange(-40, 100)), float(cy + rng.randrange(-40, 100))) for i, (cx, cy) in enumerate([(0, 0), (40, 90_000), (30_000, 400_000)] * 20)]
+    points += [(100 + i, rng.uniform(-100, 31_000), rng.uniform(-100, 410_000)) for i in range(60)]
+    made = []
+    monkeypatch.setattr(raster, "stored", lambda df, label, by=None: made.append(label) or stored(df, label, by))
+    got = {r.id: (r.x, r.y, r.strand, round(r.distance, 6)) for r in raster.nearest_join(spark.createDataFrame(points, "id long, px double, py double"), spark.createDataFrame(sorted(found), SEGMENT), 50_000.0, finest=8.0).collect()}
+    want = {}
+    for i, px, py in points:
+        best = []
+        for x, y, dx, dy, strand, *_ in found:
+            y0, up = (y, dy) if strand == 0 else (y + dy, -dy)
+            t = min(1.0, max(0.0, -((x - px) * dx + (y0 - py) * up) / (dx * dx + up * up)))
+            best.append((math.hypot(x - px + t * dx, y0 - py + t * up), x, y, strand))
+        d, x, y, s = min((round(b[0], 9), *b[1:]) for b in best)
+        if d < 50_000:
+            want[i] = (x, y, s, round(d, 6))
+    assert got == want and 60 < len(want) < 120 and made == ["reach"]
+
+
 # ------------------------------------------------------------------ stored tables
 def test_stored_tables(spark, tmp_path):
     df = stored(spark.range(100), "numbers")
