@@ -1,6 +1,6 @@
 """Byte-level BPE encoding and decoding.
 
-A piece's merges run on a segment tree over its byte positions: each leaf holds the rank of the pair that starts there, each inner node the smaller of its two, so that the root holds the leftmost pair of least rank. A merge changes the live neighbours' leaves, each in as many steps as the tree is high.
+A short piece's merges run on a list of its pairs' ranks, a long one's on a segment tree over its byte positions: each leaf holds the rank of the pair that starts there, each inner node the smaller of its two, so that the root holds the leftmost pair of least rank. A merge changes the live neighbours' leaves, each in as many steps as the tree is high.
 """
 
 from __future__ import annotations
@@ -22,9 +22,11 @@ from kmerloom.llm.common import documents, field, only
 from kmerloom.llm.textkit import give_back, parts
 
 #: Pieces that a worker remembers: twice so many, the older half goes first. None is longer than so many characters, which bounds their bytes.
-REMEMBERED, LONGEST = 100_000, 64
+REMEMBERED, LONGEST = 200_000, 64
 #: Ids that are decoded at a time, and bytes of decoded texts in a batch: Arrow's offsets have 32 bits.
 IDS, BATCH_BYTES = 1 << 18, 1 << 29
+#: Bytes up to which a piece is merged on a list: its smallest rank is found faster than a tree is kept.
+SHORT = 64
 NEVER = 1 << 62
 
 
@@ -38,11 +40,27 @@ def ranks_of(file: bytes) -> dict[bytes, int]:
     return {base64.b64decode(a): int(b) for a, b in (x.split() for x in file.splitlines() if x)}
 
 
+def encode_short(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
+    """Ids of a piece, in steps each as long as the piece."""
+    rank_of, at = ranks.get, list(range(len(piece) + 1))
+    pairs = [rank_of(piece[i : i + 2], NEVER) for i in range(len(piece) - 1)]
+    while pairs and (least := min(pairs)) != NEVER:
+        i = pairs.index(least)
+        del at[i + 1], pairs[i]
+        if i < len(pairs):
+            pairs[i] = rank_of(piece[at[i] : at[i + 2]], NEVER)
+        if i:
+            pairs[i - 1] = rank_of(piece[at[i - 1] : at[i + 1]], NEVER)
+    return [ranks[piece[a:b]] for a, b in zip(at, at[1:], strict=False)]
+
+
 def encode_piece(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     """Ids of one piece; every single byte has a rank."""
     if piece in ranks:
         return [ranks[piece]]
     n = len(piece)
+    if n <= SHORT:
+        return encode_short(piece, ranks)
     bits = max(1, (n - 1).bit_length())
     size, low = 1 << bits, (1 << bits) - 1
     after, before = list(range(1, n + 1)), list(range(-1, n - 1))

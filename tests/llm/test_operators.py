@@ -5,6 +5,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import math
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -246,6 +247,21 @@ def test_pieces_like_the_library(text):
         assert bpe.encode_piece(p.encode(), ranks) == enc._encode_single_piece(p.encode())
 
 
+def test_short_pieces_are_merged_on_a_list(monkeypatch):
+    """The same ids from a list and from a tree, and short pieces take the list."""
+    ranks, rng = bpe.ranks_of(bpe.read_ranks(RANKS)), random.Random(21)
+    pieces = ["".join(rng.choice(letters) for _ in range(n)).encode() for letters in ("ab", "etaoinshr", "äöß語言モ", "!?=") for n in (1, 2, 3, 9, 20, 30, 60, 150)]
+    lists = [bpe.encode_short(p, ranks) for p in pieces]
+    monkeypatch.setattr(bpe, "SHORT", 0)
+    assert [bpe.encode_piece(p, ranks) for p in pieces] == [[ranks[p]] if p in ranks else x for p, x in zip(pieces, lists, strict=True)]
+    monkeypatch.setattr(bpe, "SHORT", 64)
+    taken = []
+    monkeypatch.setattr(bpe, "encode_short", lambda p, r: taken.append(p))
+    for p in pieces:
+        bpe.encode_piece(p, ranks)
+    assert taken == [p for p in pieces if len(p) <= 64 and p not in ranks]
+
+
 def test_decode_of_any_ids(spark):
     df = spark.createDataFrame([([50, 200, 3],), (None,), ([],)], "ids array<int>")
     table = {i: t for t, i in bpe.ranks_of(bpe.read_ranks(RANKS)).items()}
