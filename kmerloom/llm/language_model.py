@@ -1,4 +1,4 @@
-"""A hidden Markov language model. Baum-Welch counts of all training texts, added up over the partitions, train the latent states; the scaled forward recursion gives the exact likelihood of a text.
+"""A hidden Markov language model. Counts of neighbouring words of all training texts give the latent states to start from, Baum-Welch counts of all training texts, added up over the partitions, train them; the scaled forward recursion gives the exact likelihood of a text.
 
 Words are observed through classes: a word's class is a function of its hash, and a state emits a class, the class a word. P(word | class) is the word's share of the class's counts plus one, so what the model keeps for states is bounded, and counts of single words cover the whole corpus.
 
@@ -17,27 +17,29 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from kmerloom.llm.common import documents, field, materialize, only, random_key
+from kmerloom.llm.common import documents, field, materialize, only
 from kmerloom.llm.language_id import remainder
 from kmerloom.llm.textkit import slices, words
 
 STATES, CLASSES = 6, 8192
 #: Passes of Baum-Welch over all training texts end when one has gained less than this share of the log-likelihood, and after so many.
 GAIN, PASSES = 0.01, 12
-#: Where the passes start from: steps over a sample of training texts that is expected to have so many words. Texts of any length are in it alike.
-SEED_STEPS, SEED_WORDS = 15, 120_000
+#: Where the passes start from: states fitted to counts of neighbours in all training texts, a class beside so many contexts. So many fits begin with noise, each makes so many steps, and the likeliest so many more.
+CONTEXTS, FITS, STEPS, LAST_STEPS = 128, 4, 40, 80
+#: Counts that a row holds on their way to the driver.
+PIECE = 512
 #: Words of a block of texts, and texts that the recursions run through side by side.
 BLOCK, LANES = 1 << 20, 512
 END = np.uint64(0x51ED270B27B4F3CF)
 
 
-def planes(numbers: np.ndarray) -> bytes:
-    """32-bit numbers byte by byte, all lowest bytes first: most higher ones are 0, which compresses."""
-    return np.ascontiguousarray(numbers.astype("<i4").view(np.uint8).reshape(-1, 4).T).tobytes()
+def planes(numbers: np.ndarray, kind: str = "<i4") -> bytes:
+    """Numbers (32-bit) byte by byte, all lowest bytes first: most higher ones are 0, which compresses."""
+    return np.ascontiguousarray(numbers.astype(kind).view(np.uint8).reshape(-1, np.dtype(kind).itemsize).T).tobytes()
 
 
-def from_planes(data: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(4, -1).T).view("<i4").ravel()
+def from_planes(data: bytes, kind: str = "<i4") -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
 
 
 class Model:
@@ -134,29 +136,55 @@ def expect(seen: np.ndarray, lanes: Lanes, model: Model) -> tuple[np.ndarray, np
     return starts, moves * model.move, emits, float(np.log(scale).sum())
 
 
-def seed_model(texts: list[str | None], states: int = STATES, n_classes: int = CLASSES, steps: int = SEED_STEPS) -> Model:
-    """Where training starts: Baum-Welch over a few texts, from emissions that differ by noise."""
+def contexts(mass: np.ndarray, n: int = CONTEXTS) -> np.ndarray:
+    """The context of each class: of n contexts the heaviest classes have half for themselves and the end has the last, the other classes share the rest."""
+    n_classes = len(mass) - 1
+    n = min(n, n_classes + 1)
+    own = n // 2
+    rank = np.empty(n_classes, np.int64)
+    rank[np.argsort(-mass[:-1], kind="stable")] = np.arange(n_classes)
+    return np.append(np.where(rank < own, rank, own + (rank - own) % max(1, n - 1 - own)), n - 1)
+
+
+def fit_step(before: np.ndarray, after: np.ndarray, context: np.ndarray, pair: np.ndarray, emit: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
+    """Expected counts of pairs of states and of emissions, and the log-likelihood of the neighbours. before, after: how often a class stands directly before or after a context; pair: the probability of two states side by side."""
+    wide = np.zeros((context.max() + 1, len(pair)))
+    np.add.at(wide, context, emit.T)
+    wide, small = wide.T, emit.astype(np.float32)
+    moves, emits, beside, like = np.zeros_like(pair), np.zeros_like(emit), np.zeros_like(wide), 0.0
+    for seen, turn in ((before, pair), (after, pair.T)):  # turn: state of the class, state of the context
+        chance = (turn @ wide).T.astype(np.float32) @ small
+        like += float((seen * np.log(chance)).sum(dtype=float))
+        ratio = seen / chance
+        classes_ = (ratio @ small.T).astype(float).T
+        own = turn * (classes_ @ wide.T)
+        moves += own if turn is pair else own.T
+        emits += turn @ (wide.astype(np.float32) @ ratio).astype(float)
+        beside += turn.T @ classes_
+    return moves, emit * (emits + beside[:, context]), like
+
+
+def start_model(before: np.ndarray, after: np.ndarray, opens: np.ndarray, context: np.ndarray, states: int = STATES) -> Model:
+    """Where training starts: expectation-maximisation over the counts of neighbours, from emissions that differ by noise. opens: how often a class opens a text."""
     rng = np.random.Generator(np.random.PCG64(8))
-    seen, lengths = [], []
-    for s in slices(pa.array(texts, pa.string())):
-        w = words(s)
-        h = w.hashes()
-        for i in range(s.hi - s.lo):
-            own = h[w.first[i] : w.first[i + 1]]
-            seen.append(classes(np.append(own, END), n_classes))
-            lengths.append(len(own) + 1)
-    emit = rng.gamma(1.0, size=(states, n_classes + 1))
-    move = np.full((states, states), 0.1) + np.eye(states) * 20
-    if not seen:
-        return Model.from_counts(np.ones(states), move, emit)
-    seen, lanes = np.concatenate(seen), Lanes(np.array(lengths))
-    ordered = np.empty_like(seen)
-    ordered[lanes.place] = seen
-    counts = np.bincount(seen, minlength=n_classes + 1) + 0.1
-    model = Model(np.full(states, 1 / states), move / move.sum(1, keepdims=True), (x := counts * (0.5 + emit)) / x.sum(1, keepdims=True))
-    for _ in range(steps):
-        model = Model.from_counts(*expect(ordered, lanes, model)[:3])
-    return model
+    often = opens + after.sum(0) + 0.1
+    before, after = before.astype(np.float32), after.astype(np.float32)
+
+    def steps(n: int, pair: np.ndarray, emit: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+        for _ in range(n):
+            moves, emits, like = fit_step(before, after, context, pair, emit)
+            pair, emit = (moves + 0.1) / (moves + 0.1).sum(), Model.from_counts(np.ones(states), moves, emits).emit
+        return like, pair, emit
+
+    fits = []
+    for _ in range(FITS):
+        emit = often * (0.5 + rng.gamma(1.0, size=(states, len(opens))))
+        pair = np.full((states, states), 0.1) + np.eye(states) * 20
+        fits.append(steps(STEPS, pair / pair.sum(), emit / emit.sum(1, keepdims=True)))
+    _, pair, emit = steps(LAST_STEPS, *max(fits, key=lambda x: x[0])[1:])
+    first = pair.sum(1, keepdims=True) * emit
+    start = (first / first.sum(0)) @ opens + 0.1
+    return Model(start / start.sum(), pair / pair.sum(1, keepdims=True), emit)
 
 
 def _blocks(size: int):
@@ -200,6 +228,58 @@ def _blocks(size: int):
     return run
 
 
+def _training(batch: pa.RecordBatch, i: int, n_classes: int) -> tuple[np.ndarray, np.ndarray]:
+    """The classes of a block's training texts, end to end, and the texts' lengths."""
+    size = np.frombuffer(batch.column("sizes")[i].as_py(), np.int32).astype(np.int64)
+    held = np.array(batch.column("held")[i].as_py(), bool)
+    if held.all():
+        return np.empty(0, np.int32), size[:0]
+    cls = classes(batch.column("words")[i].values.to_numpy().view(np.uint64), n_classes)
+    return cls[from_planes(batch.column("tokens")[i].as_py())][~np.repeat(held, size)], size[~held]
+
+
+def _neighbours(context: np.ndarray):
+    """Counts of a partition's training texts: for each context how often a class stands directly before it, then after it, and how often a class opens a text. One sequence of numbers, in rows of PIECE."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wide, n = len(context), int(context.max()) + 1
+        total = np.zeros((2 * n + 1) * wide, np.int64)
+        for batch in batches:
+            for i in range(batch.num_rows):
+                seen, size = _training(batch, i, wide - 1)
+                opens = np.cumsum(size) - size
+                inside = np.ones(len(seen), bool)
+                inside[opens] = False
+                at = np.flatnonzero(inside)
+                left, right = seen[at - 1], seen[at]
+                total[: n * wide] += np.bincount(context[right] * wide + left, minlength=n * wide)
+                total[n * wide : -wide] += np.bincount(context[left] * wide + right, minlength=n * wide)
+                total[-wide:] += np.bincount(seen[opens], minlength=wide)
+        pieces = [(i, x) for i in range(-(-len(total) // PIECE)) if (x := total[i * PIECE : (i + 1) * PIECE]).any()]
+        yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in pieces], pa.int32()), pa.array([planes(x, "<i8") for _, x in pieces], pa.binary())], names=["i", "v"])
+
+    return run
+
+
+def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row for each piece in a partition: the sum of its rows."""
+    total: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for i, v in zip(batch.column("i").to_pylist(), batch.column("v").to_pylist(), strict=True):
+            own = from_planes(v, "<i8")
+            total[i] = total[i] + own if i in total else own
+    yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([planes(x, "<i8") for x in total.values()], pa.binary())], names=["i", "v"])
+
+
+def neighbours(blocks: DataFrame, context: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """How often a class stands directly before and after a context and how often it opens a text, in all training texts of the blocks. Pieces of the partitions' counts are added up by the cluster; the driver gets as many numbers as there are classes by contexts, twice."""
+    schema, wide, n = "i int, v binary", len(context), int(context.max()) + 1
+    total = np.zeros((2 * n + 1) * wide, np.int64)
+    for i, v in blocks.select("held", "sizes", "tokens", "words").mapInArrow(_neighbours(context), schema).repartition("i").mapInArrow(_added, schema).collect():
+        total[i * PIECE : (i + 1) * PIECE] += from_planes(v, "<i8")
+    return total[: n * wide].reshape(n, wide), total[n * wide : -wide].reshape(n, wide), total[-wide:]
+
+
 def _expect(shared, n_classes: int):
     """Expected counts of a partition's training texts, in one row of numbers: starts, moves, emissions, log-likelihood."""
 
@@ -207,13 +287,10 @@ def _expect(shared, n_classes: int):
         model, total = shared.value, None
         for batch in batches:
             for i in range(batch.num_rows):
-                size = np.frombuffer(batch.column("sizes")[i].as_py(), np.int32).astype(np.int64)
-                held = np.array(batch.column("held")[i].as_py(), bool)
-                if held.all():
+                seen, size = _training(batch, i, n_classes)
+                if not len(size):
                     continue
-                cls = classes(batch.column("words")[i].values.to_numpy().view(np.uint64), n_classes)
-                seen = cls[from_planes(batch.column("tokens")[i].as_py())][~np.repeat(held, size)]
-                lanes = Lanes(size[~held])
+                lanes = Lanes(size)
                 ordered = np.empty_like(seen)
                 ordered[lanes.place] = seen
                 starts, moves, emits, like = expect(ordered, lanes, model)
@@ -273,7 +350,7 @@ def score(df: DataFrame, held_out: str, key: str = "doc_id", text: str = "text",
     """One row for each row of df: key, held_out, n_tokens, n_known, train_tokens, base_score, score, passes and train_gain, learned from the rows whose column `held_out` is not true.
 
     Words are runs of anything but white space, A-Z lower-cased; each text is followed by one end, which counts as a token. base_score: sum of log10((c + 1) / (N + V + 1)). score: log10 of the text's probability under the model, exact. passes: of training; train_gain: the share of the training texts' log-likelihood that the last pass but one has gained.
-    A null or empty text is its end alone; texts of any length are read whole, a text is never cut. Null in held_out counts as false. Repeated rows are learned from and scored each; without training rows the model is its seed's noise and scores are still finite. Other columns are not read; an empty table gives an empty one.
+    A null or empty text is its end alone; texts of any length are read whole, a text is never cut. Null in held_out counts as false. Repeated rows are learned from and scored each; without training rows all classes are alike to the model and scores are still finite. Other columns are not read; an empty table gives an empty one.
     """
     df = only(df, [key, text, held_out])
     kind = df.schema[key].dataType
@@ -281,12 +358,6 @@ def score(df: DataFrame, held_out: str, key: str = "doc_id", text: str = "text",
     spark = df.sparkSession
     schema = T.StructType([field("block", "long"), T.StructField("ids", T.ArrayType(kind)), field("held", "array<boolean>"), field("sizes", "binary"), field("tokens", "binary"), field("words", "array<long>"), field("counts", "array<long>")])
     blocks = materialize(rows.mapInArrow(_blocks(BLOCK), schema), "lm-blocks")
-    # The start: texts whose random key is below a bound that lets about so many words through, wholly equal rows once. The passes run over all texts.
-    total = (blocks.agg(F.sum(F.octet_length("tokens"))).first()[0] or 0) // 4
-    chance = random_key(F.col("__id"), F.xxhash64("__text")) / float(1 << 60)
-    few = [r[1] for r in rows.filter("NOT __held").filter(chance < SEED_WORDS / max(1, total)).select(F.col("__id").cast("string"), "__text").distinct().collect()]
-    few.sort(key=lambda x: x or "")
-    model, likes = train(blocks, seed_model(few, states, n_classes), gain, passes)
     # A row for each word of each block: a frequent word has one for a million words at most, some megabytes for a terabyte of text.
     each = blocks.select("block", F.posexplode(F.arrays_zip("words", "counts")).alias("local", "x")).select("block", "local", F.col("x.words").alias("word"), F.col("x.counts").alias("n"))
     counts = materialize(each.groupBy("word").agg(F.sum("n").alias("c")), "lm-counts")
@@ -296,6 +367,8 @@ def score(df: DataFrame, held_out: str, key: str = "doc_id", text: str = "text",
     mass = np.ones(n_classes + 1)
     for i, m in known.filter(F.col("word") != int(END.view(np.int64))).groupBy(cls.alias("i")).agg(F.sum(F.col("c") + 1).alias("m")).collect():
         mass[i] += m
+    context = contexts(mass)
+    model, likes = train(blocks, start_model(*neighbours(blocks, context), context, states), gain, passes)
     shared = spark.sparkContext.broadcast((model, mass, n_train, n_distinct))
     local = each.select(F.col("block").alias("at"), "local", "word").join(known, "word").select("at", "local", "c")
     local = materialize(local, "lm-local")

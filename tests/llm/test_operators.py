@@ -600,6 +600,86 @@ def test_training_and_scores_of_whole_texts(spark, monkeypatch):
         assert math.isclose(out[i].score, want, rel_tol=1e-6) and out[i].passes == len(likes)
 
 
+class Stopped(Exception):
+    pass
+
+
+def test_training_starts_from_all_texts(spark, monkeypatch):
+    """Every training text has a part in the model that training starts from, held-out texts and partitions have none; neighbours are counted as in plain loops."""
+    from kmerloom.llm.textkit import slices
+    from kmerloom.llm.textkit import words as cut
+
+    rng = np.random.default_rng(9)
+    vocabulary = [f"w{i}" for i in range(30)]
+    texts = [None, "", "w1", *[" ".join(rng.choice(vocabulary, 600)) for _ in range(400)]]
+    states, n, seen = 2, 7, {}
+
+    def stop(blocks, model, *_):
+        seen.update(blocks=blocks, model=model)
+        raise Stopped
+
+    def start(texts, parts=3):
+        df = spark.createDataFrame([(i, t, i % 5 == 0) for i, t in enumerate(texts)], "doc_id long, text string, held boolean").repartition(parts)
+        with pytest.raises(Stopped):
+            language_model.score(df, "held", states=states, n_classes=n)
+        model = seen["model"]
+        return np.concatenate([model.start, model.move.ravel(), model.emit.ravel()])
+
+    monkeypatch.setattr(language_model, "train", stop)
+    monkeypatch.setattr(language_model, "BLOCK", 20_000)
+    first, blocks = start(texts), seen["blocks"]
+    assert np.array_equal(start(texts, 5), first)
+    other = lambda i: [*texts[:i], " ".join(rng.choice(vocabulary, 600)), *texts[i + 1 :]]
+    assert not any(np.array_equal(start(other(i)), first) for i in (101, 202))
+    names = {}
+    for s in slices(pa.array(vocabulary)):
+        names = dict(zip(vocabulary, cut(s).hashes(), strict=True))
+    context = language_model.contexts(np.array([5.0, 9, 1, 2, 7, 3, 4, 1]), 5)
+    assert context.tolist() == [2, 0, 2, 3, 1, 2, 3, 4]
+    before, after, opens = np.zeros((5, n + 1), int), np.zeros((5, n + 1), int), np.zeros(n + 1, int)
+    for t in (t for i, t in enumerate(texts) if i % 5):
+        own = language_model.classes(np.array([*[names[w] for w in (t or "").split()], language_model.END], np.uint64), n).tolist()
+        opens[own[0]] += 1
+        for a, b in pairwise(own):
+            before[context[b], a] += 1
+            after[context[a], b] += 1
+    monkeypatch.setattr(language_model, "PIECE", 3)
+    for got, want in zip(language_model.neighbours(blocks, context), (before, after, opens), strict=True):
+        assert np.array_equal(got, want)
+    assert np.array_equal(start([t if i % 5 else "held out" for i, t in enumerate(texts)]), first)
+
+
+def test_start_fits_pairs_of_states():
+    """A step against plain loops, and states that a corpus has are found."""
+    rng = np.random.default_rng(3)
+    k, g, m = 2, 3, 5
+    context = np.array([0, 1, 1, 0, 2])
+    before, after, pair, emit = rng.integers(0, 9, (g, m)), rng.integers(0, 9, (g, m)), rng.dirichlet(np.ones(k * k)).reshape(k, k), rng.dirichlet(np.ones(m), k)
+    moves, emits, like = np.zeros((k, k)), np.zeros((k, m)), 0.0
+    for c, w in np.ndindex(g, m):
+        for often, at in ((before[c, w], 0), (after[c, w], 1)):
+            # The class is known on one side, its neighbour's context on the other: any class of that context may stand there.
+            paths = {(s, t, x): pair[s, t] * emit[(s, t)[at], w] * emit[(s, t)[1 - at], x] for s in range(k) for t in range(k) for x in range(m) if context[x] == c}
+            total = sum(paths.values())
+            like += often * math.log(total)
+            for (s, t, x), p in paths.items():
+                moves[s, t] += often * p / total
+                emits[(s, t)[at], w] += often * p / total
+                emits[(s, t)[1 - at], x] += often * p / total
+    got = language_model.fit_step(before.astype(np.float32), after.astype(np.float32), context, pair, emit)
+    assert np.allclose(got[0], moves, rtol=1e-4) and np.allclose(got[1], emits, rtol=1e-4) and math.isclose(got[2], like, rel_tol=1e-5)
+    # Runs of even classes and of odd ones, 20 words on average.
+    n, context = 40, language_model.contexts(np.ones(41), 16)
+    before, after, opens = np.zeros((16, n + 1)), np.zeros((16, n + 1)), np.zeros(n + 1)
+    words_ = rng.integers(0, n // 2, 200_000) * 2 + np.cumsum(rng.random(200_000) < 0.05) % 2
+    np.add.at(before, (context[words_[1:]], words_[:-1]), 1)
+    np.add.at(after, (context[words_[:-1]], words_[1:]), 1)
+    opens[words_[0]] = 1
+    model = language_model.start_model(before, after, opens, context, 2)
+    share = model.emit[:, :n:2].sum(1)
+    assert share.min() < 0.15 and share.max() > 0.85 and (np.diag(model.move) > 0.85).all()
+
+
 def test_mixture_against_plain_steps():
     """Proportions against expectation-maximisation and the choice of the set in plain loops."""
     rng = np.random.default_rng(8)
