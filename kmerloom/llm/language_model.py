@@ -23,7 +23,7 @@ from kmerloom.llm.textkit import slices, words
 
 STATES, CLASSES = 6, 8192
 #: Passes of Baum-Welch over all training texts end when one has gained less than this share of the log-likelihood, and after so many.
-GAIN, PASSES = 0.01, 12
+GAIN, PASSES = 0.002, 12
 #: Where the passes start from: states fitted to counts of neighbours in all training texts, a class beside so many contexts. So many fits begin with noise, each makes so many steps, and the likeliest so many more.
 CONTEXTS, FITS, STEPS, LAST_STEPS = 128, 4, 40, 80
 #: Counts that a row holds on their way to the driver.
