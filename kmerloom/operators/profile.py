@@ -11,11 +11,13 @@ from pyspark.sql import functions as F
 
 from kmerloom.model import OCC_CLASSES, SATURATION_TILE
 from kmerloom.operators import packed
+from kmerloom.operators.kmers import PIECE
 from kmerloom.plans.ordering import with_group
 from kmerloom.plans.tables import stored
 
-#: Sums of tiles that a task holds (64 MB).
-TILES_HELD = 1 << 21
+#: Sums of tiles that a task holds (64 MB), tiles of an axis up to which it has a place for each (128 MB), and tiles of a packed row of sums.
+TILES_HELD, TILES_PLACED, TILES_ROW = 1 << 21, 1 << 24, 1 << 13
+OVER = "part int, m int, tile binary, n binary, over binary"
 
 
 def occurrences(index: DataFrame) -> DataFrame:
@@ -44,9 +46,68 @@ def tile_occurrences(tiles: DataFrame) -> DataFrame:
     return tiles.withColumn("occ", F.sum("n").over(Window.partitionBy("kv")))
 
 
-def saturated(tiles: DataFrame, t_len: int, cap: int, tile: int = SATURATION_TILE) -> DataFrame:
-    """start, end of runs of tiles in which half of the entries or more are of k-mers above the cap. The last tile ends with the axis. tiles: tile_kmers() of width `tile`."""
-    each = tile_occurrences(tiles).groupBy(F.col("tile").alias("t")).agg(F.sum("n").alias("n"), F.sum(F.when(F.col("occ") > cap, F.col("n")).otherwise(0)).alias("over"))
+def _over(lay: packed.Layout, cap: int, tiles: int):
+    """Packed rows of what a task's k-mers have in each tile: entries, and those of k-mers above the cap. Of an axis of more tiles than TILES_PLACED each bucket has its own rows."""
+
+    def rows(tile: np.ndarray, n: np.ndarray, over: np.ndarray) -> pa.RecordBatch:
+        part = tile // TILES_ROW
+        first = packed._starts(part)
+        step = np.diff(tile, prepend=0)
+        step[first] = tile[first] % TILES_ROW
+        cuts = list(zip(first.tolist(), np.append(first[1:], len(tile)).tolist(), strict=True)) if len(tile) else []
+        columns = [pa.array(part[first], pa.int32()), pa.array([b - a for a, b in cuts], pa.int32())]
+        columns += [pa.array([packed.squeeze(x[a:b]) for a, b in cuts], pa.binary()) for x in (step, n, over)]
+        return pa.RecordBatch.from_arrays(columns, names=["part", "m", "tile", "n", "over"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros((2, tiles), np.int32) if tiles <= TILES_PLACED else None
+        for kv, tile, n in packed.buckets(batches, lay):
+            begin = packed._starts(kv)
+            over = np.where(np.repeat(np.add.reduceat(n, begin) > cap, np.diff(np.append(begin, len(kv)))), n, 0) if len(kv) else n
+            if sums is not None:
+                np.add.at(sums[0], tile, n.astype(np.int32))
+                np.add.at(sums[1], tile, over.astype(np.int32))
+            else:
+                own, at = np.unique(tile, return_inverse=True)
+                yield rows(own, *[np.bincount(at, x, minlength=len(own)).astype(np.int64) for x in (n, over)])
+        if sums is not None:
+            own = np.flatnonzero(sums[0])
+            yield rows(own, *sums[:, own].astype(np.int64))
+
+    return run
+
+
+def _tile_sums(width: int):
+    """t, n and over of each tile that has entries, from packed rows of `width` tiles in order of `part`."""
+
+    def told(part: int, sums: np.ndarray) -> pa.RecordBatch:
+        own = np.flatnonzero(sums[0])
+        return pa.RecordBatch.from_arrays([pa.array(own + part * width), *[pa.array(x[own]) for x in sums]], names=["t", "n", "over"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, sums = None, np.zeros((2, width), np.int64)
+        for batch in batches:
+            for part, m, tile, n, over in zip(*(batch.column(c).to_pylist() for c in ("part", "m", "tile", "n", "over")), strict=True):
+                if at not in (None, part):
+                    yield told(at, sums)
+                    sums[:] = 0
+                at = part
+                sums[:, np.cumsum(packed.unsqueeze(tile, m))] += [packed.unsqueeze(n, m), packed.unsqueeze(over, m)]
+        if at is not None:
+            yield told(at, sums)
+
+    return run
+
+
+def saturated(tiles: DataFrame, t_len: int, cap: int, tile: int = SATURATION_TILE, k: int | None = None) -> DataFrame:
+    """start, end of runs of tiles in which half of the entries or more are of k-mers above the cap. The last tile ends with the axis. tiles: tile_kmers() of width `tile`, or with k the pieces of the axis, whose k-mers are dealt out packed, and so are the sums of tiles that come of them."""
+    if k is not None:
+        count = -(-t_len // tile)
+        lay = packed.layout(k, max(1, count), t_len)
+        over = packed.dealt(packed.packed(tiles, [], lambda batch, row, place: place // tile, lay, apart=PIECE)).mapInArrow(_over(lay, cap, count), OVER)
+        each = over.repartition("part").sortWithinPartitions("part").mapInArrow(_tile_sums(TILES_ROW), "t long, n long, over long")
+    else:
+        each = tile_occurrences(tiles).groupBy(F.col("tile").alias("t")).agg(F.sum("n").alias("n"), F.sum(F.when(F.col("occ") > cap, F.col("n")).otherwise(0)).alias("over"))
     hot = each.filter(2 * F.col("over") >= F.col("n")).select((F.col("t") * tile).cast("long").alias("start"), F.least((F.col("t") + 1) * tile, F.lit(t_len)).cast("long").alias("end"))
     # Unions go over their rows several times: the axis is enumerated once, and what is left of it is a row for each tile.
     return stored(islands(stored(hot, "hot"), "start", "end"), "saturated")

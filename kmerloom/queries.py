@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from kmerloom.functions import formatting, grammar
 from kmerloom.functions.sequence import HASH_HIGH, HASH_LOW, HASH_STEP, letters_as_bases, text_as_bases
-from kmerloom.model import SATURATION_TILE, MatchOptions
+from kmerloom.model import MatchOptions
 from kmerloom.operators import belongs as B
 from kmerloom.operators import contain, gather, intervals, kmers, match, profile, raster, summary
 from kmerloom.plans import density
@@ -291,7 +291,7 @@ saturated AS (SELECT CAST(min(t) * 512 AS BIGINT) AS start, CAST(least((max(t) +
 def saturated(spark, sf_dir) -> tuple[DataFrame, int]:
     axis = document_axis(spark, sf_dir)
     total = kmers.total_length(axis)
-    return profile.saturated(kmers.tile_kmers(kmers.spread(axis), K, SATURATION_TILE, merged=False), total, 1), total
+    return profile.saturated(kmers.near(axis), total, 1, k=K), total
 
 
 @query(f"WITH {SATURATED} SELECT * FROM saturated")

@@ -112,3 +112,57 @@ def test_multiplicity_of_packed_kmers(spark, monkeypatch, held):
     for stride in (1, 3):
         key = lambda df: sorted((r.tile, round(r.mult, 9), round(r.uniq_frac, 9)) for r in df.collect())
         assert key(profile.multiplicity(pieces, total, 50, stride, k=6)) == key(profile.multiplicity(kmers.tile_kmers(pieces, 6, 50, stride), total, 50, stride))
+
+
+@pytest.mark.parametrize("placed", [1 << 24, 3])
+def test_saturation_of_packed_kmers(spark, monkeypatch, placed):
+    """Saturated tiles of pieces, whose k-mers and sums are packed, are those of a row for each k-mer and tile."""
+    from kmerloom.operators import kmers, profile
+
+    monkeypatch.setattr(profile, "TILES_PLACED", placed)
+    monkeypatch.setattr(profile, "TILES_ROW", 4)
+    rng = np.random.default_rng(3)
+    of = lambda n: "".join(rng.choice(list("ACGT"), n))
+    seqs = [of(700), "ACGTTGCAAC" * 30, "TTTTTTTACG", "N" * 120 + "GGGCATTTACCAGT" * 9 + "N" * 200, of(433) + "ACGTTGCAAC" * 20]
+    axis = kmers.as_axis(spark.createDataFrame([(i, str(i), s) for i, s in enumerate(seqs)], "i long, name string, seq string"), "i", "name", "seq")
+    pieces, total = kmers.spread(axis), kmers.total_length(axis)
+    told = {}
+    for cap in (1, 2, 45):
+        told[cap] = sorted(map(tuple, profile.saturated(pieces, total, cap, 50, k=9).collect()))
+        assert told[cap] == sorted(map(tuple, profile.saturated(kmers.tile_kmers(pieces, 9, 50), total, cap, 50).collect()))
+    assert len(told[1]) > 1 and told[1] != told[45]
+
+
+def test_saturation_deals_out_no_row_for_a_kmer(spark, data, monkeypatch):
+    from kmerloom import queries
+    from kmerloom.operators import profile
+
+    plans = {}
+
+    def stored(df, label, by=None):
+        plans[label] = df._jdf.queryExecution().toString()
+        return df
+
+    monkeypatch.setattr(profile, "stored", stored)
+    queries.saturated(spark, data)
+    assert "hashpartitioning(bucket" in plans["hot"] and "hashpartitioning(kv" not in plans["hot"] and "windowspecdefinition(kv" not in plans["hot"]
+
+
+@pytest.mark.parametrize("k,groups", [(15, 1 << 24), (26, 1 << 24), (26, 3)])
+def test_packed_rows_give_back_kmers_and_groups(k, groups):
+    """Of neighbours distance and group take three bytes; where both don't fit into one number they stand apart."""
+    from collections import Counter
+
+    from kmerloom.operators import packed
+
+    rng = np.random.default_rng(5)
+    lay = packed.layout(k, groups, 1 << 30)
+    assert lay.joint == (k == 15 or groups == 3)
+    kv, g = rng.integers(0, 4**k, 1 << 19), np.sort(rng.integers(groups // 2, groups // 2 + min(2, groups), 1 << 19)) + rng.integers(0, 1 + groups // (1 << 14), 1 << 19)
+    kv[::7] = kv[0]
+    rows = packed.pack(kv, g, lay)
+    want = Counter(zip((kv.astype(np.uint64) * packed.ODD & np.uint64(4**k - 1)).tolist(), g.tolist(), strict=True))
+    assert {(a, b): n for x in packed.buckets(iter([rows]), lay) for a, b, n in zip(*(y.tolist() for y in x), strict=True)} == want
+    if k == 15:
+        assert sum(len(x) for c in ("kv", "g") for x in rows.column(c).to_pylist()) <= 4 * len(want)
+    assert list(packed.buckets(iter([packed.pack(kv[:0], g[:0], lay)]), lay)) == []
