@@ -455,21 +455,16 @@ def contamination_scan(spark, sf_dir):
     return nine(B.contamination(items, docs), "containment")
 
 
-def source_texts(spark, sf_dir) -> DataFrame:
-    """Documents with the number of their source (rec): from 0 by the number in its name, then those without one by name, null last."""
-    docs = read(spark, sf_dir, "documents").select("doc_id", "source", letters_as_bases(F.col("text")).alias("seq"))
-    order = Window.orderBy(F.regexp_extract("source", "[0-9]+", 0).try_cast("long").asc_nulls_last(), F.col("source").asc_nulls_last())
-    numbers = docs.select("source").distinct().select(F.col("source").alias("name"), (F.row_number().over(order) - 1).cast("long").alias("rec"))
-    return docs.join(numbers, F.col("source").eqNullSafe(F.col("name"))).drop("source")
-
-
 def source_axis(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
-    """Sources as records, their documents' bases in the order of ids with an N between two: the records, without sequences, and the documents as pieces of them. No row and no task holds a source."""
-    texts = source_texts(spark, sf_dir)
-    sizes = with_running_total(texts.select("doc_id", "rec", (F.length("seq") + 1).cast("long").alias("size")), "doc_id", "size", "at", keys=("rec",))
-    records = with_running_total(texts.groupBy("rec", "name").agg((F.sum(F.length("seq") + 1) - 1).cast("long").alias("len")), "rec", "len", "start").select("rec", "name", "start", "len", F.lit(0).cast("long").alias("offset"))
-    pieces = texts.join(sizes.select("doc_id", "at"), "doc_id").join(records.select("rec", "start"), "rec")
-    return records, pieces.select("rec", (F.col("start") + F.col("at")).alias("start"), F.length("seq").cast("long").alias("len"), "seq")
+    """Sources as records, from 0 by the number in their name, then those without one by name, null last; their documents' bases in the order of ids with an N between two: the records, without sequences, and the documents as pieces of them. No row and no task holds a source, and sequences are joined once, with where they go."""
+    texts = read(spark, sf_dir, "documents").select("doc_id", "source", letters_as_bases(F.col("text")).alias("seq"))
+    order = Window.orderBy(F.regexp_extract("source", "[0-9]+", 0).try_cast("long").asc_nulls_last(), F.col("source").asc_nulls_last())
+    sizes = stored(texts.select("doc_id", "source", F.length("seq").cast("long").alias("len")), "sizes")
+    lengths = sizes.groupBy("source").agg((F.sum(F.col("len") + 1) - 1).cast("long").alias("len")).select(F.col("source").alias("name"), (F.row_number().over(order) - 1).cast("long").alias("rec"), "len")
+    records = stored(with_running_total(lengths, "rec", "len", "start").select("rec", "name", "start", "len", F.lit(0).cast("long").alias("offset")), "sources")
+    numbered = sizes.withColumn("size", F.col("len") + 1).join(records.select("rec", "name", "start"), F.col("source").eqNullSafe(F.col("name")))
+    placed = stored(with_running_total(numbered, "doc_id", "size", "at", keys=("rec",)).select("doc_id", "rec", (F.col("start") + F.col("at")).alias("start"), "len"), "places")
+    return records, texts.select("doc_id", "seq").join(placed, "doc_id").select("rec", "start", "len", "seq")
 
 
 # Sources as source_axis() lays them out, what windows hold of the first one, and rounds: `steps` has the state before each.
@@ -500,7 +495,6 @@ found AS (
 def first_source(spark, sf_dir) -> tuple[DataFrame, int, DataFrame]:
     """The sources' records, the first one's number, and the pieces of all."""
     axis, pieces = source_axis(spark, sf_dir)
-    axis = stored(axis, "sources")
     return axis, axis.agg(F.min("rec")).first()[0], pieces
 
 

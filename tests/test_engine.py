@@ -575,3 +575,25 @@ def test_gather_of_pieces_and_tables(spark, monkeypatch, at_once):
     assert told == of(gather.gather(kmers.canonical_kmers(a, 15), a, 0, tile_bp=256, share=0.0))
     own = Counter(p // math.ceil(3950 / 96) for _, p, _ in windows([x + y[:900] + "A" * 50], 15))
     assert {(place, mass) for kind, _, place, mass, _ in told if kind == "slice"} == set(own.items())
+
+
+@pytest.mark.parametrize("alone", [1 << 60, 0])
+def test_rounds_in_passes_and_together(spark, monkeypatch, alone):
+    """The cover is that of one round at a time over so many windows that twice their number is no byte, whether passes or tasks that run together take the rounds; few passes do."""
+    monkeypatch.setattr(gather, "ALONE", alone)
+    monkeypatch.setattr(gather, "AGAIN", 4)
+    x, y = bases(9000, 21), bases(40_000, 22)
+    seqs = [x + y + x[:700], bases(200, 23) + x[:2000] + y[:18_000], y[18_000:] + x[3000:7500], x[5000:] + y[:9000]]
+    a, k = axis(spark, *seqs), 15
+    own, tiles, passes = Counter(min(w, rc(w)) for _, _, w in windows(seqs[:1], k)), defaultdict(Counter), []
+    for i, s in enumerate(seqs[1:], 1):
+        for _, p, w in windows([s], k):
+            if min(w, rc(w)) in own:
+                tiles[i, p // 256 * 256][min(w, rc(w))] += 1
+    claimed, _ = cover_by_hand(own, tiles, 0.0)
+    trial = gather._trial
+    monkeypatch.setattr(gather, "_trial", lambda *of: passes.append(of) or trial(*of))
+    rounds = 24 if alone else 12
+    got = [(r.rec, r.place, r.mass) for r in gather.gather(kmers.spread(a), a, 0, tile_bp=256, share=0.0, rounds=rounds, k=k)[0].filter("kind = 'claim'").collect()]
+    assert len(tiles) > 128 and len(got) == rounds and all(claimed[r, p] == m for r, p, m in got)
+    assert len(passes) == 1 if not alone else len(passes) < rounds
