@@ -39,6 +39,23 @@ def letters_as_bases(text: Column) -> Column:
     return F.arrow_udf(_letters, "string")(text)
 
 
+def _squeezed(seq: pa.Array) -> pa.Array:
+    return pa.array([None if x is None else len(x).to_bytes(8, "little") + pa.compress(x, "zstd", asbytes=True) for x in seq.cast(pa.binary()).to_pylist()], pa.binary())
+
+
+def _unsqueezed(data: pa.Array) -> pa.Array:
+    return pa.array([None if x is None else pa.decompress(x[8:], int.from_bytes(x[:8], "little"), "zstd", asbytes=True) for x in data.to_pylist()], pa.binary()).cast(pa.string())
+
+
+def squeezed(seq: Column) -> Column:
+    """Sequences in some two bits a base, to be dealt out."""
+    return F.arrow_udf(_squeezed, "binary")(seq)
+
+
+def unsqueezed(data: Column) -> Column:
+    return F.arrow_udf(_unsqueezed, "string")(data)
+
+
 def text_as_bases(text: Column) -> Column:
     """As letters_as_bases, but what is not a letter stays as N, which no k-mer crosses."""
     return F.translate(F.lower(F.regexp_replace(F.coalesce(text, F.lit("")), "[^A-Za-z]", "0")), LETTERS + "0", ("ACGT" * 7)[:26] + "N")

@@ -35,10 +35,10 @@ def scratch(spark: SparkSession, label: str) -> str:
     return path
 
 
-def stored(df: DataFrame, label: str, by: str | None = None) -> DataFrame:
-    """df written as Parquet and read again: made once however often it is used, and a lost executor costs nothing that came before. by: a column that rows are sorted by inside each file, so that its ranges can be skipped."""
+def stored(df: DataFrame, label: str, by: str | None = None, codec: str | None = None) -> DataFrame:
+    """df written as Parquet and read again: made once however often it is used, and a lost executor costs nothing that came before. by: a column that rows are sorted by inside each file, so that its ranges can be skipped. codec: of the Parquet files."""
     spark, path = df.sparkSession, scratch(df.sparkSession, label)
-    (df.sortWithinPartitions(by) if by else df).write.parquet(path)
+    (df.sortWithinPartitions(by) if by else df).write.parquet(path, compression=codec)
     out = spark.read.schema(df.schema).parquet(path)
     out._kmerloom_path = path
     return out

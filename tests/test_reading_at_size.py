@@ -166,3 +166,18 @@ def test_packed_rows_give_back_kmers_and_groups(k, groups):
     if k == 15:
         assert sum(len(x) for c in ("kv", "g") for x in rows.column(c).to_pylist()) <= 4 * len(want)
     assert list(packed.buckets(iter([packed.pack(kv[:0], g[:0], lay)]), lay)) == []
+
+
+def test_neighbours_are_dealt_out_squeezed(spark):
+    """Pieces come back whole and in order, and take a third of their bytes while they are dealt out."""
+    from kmerloom.functions.sequence import squeezed, unsqueezed
+    from kmerloom.operators import kmers
+
+    rng = np.random.default_rng(9)
+    seqs = ["".join(rng.choice(list("ACGT"), n)) for n in (5000, 0, 3000, 900)] + ["ACGNNNN"]
+    df = spark.createDataFrame([(i, str(i), s) for i, s in enumerate(seqs)] + [(9, "9", None)], "i long, name string, seq string")
+    axis = kmers.as_axis(df.filter("seq IS NOT NULL"), "i", "name", "seq", squeeze=True)
+    rows = kmers.near(axis, width=4000).collect()
+    assert "".join(r.seq for r in sorted(rows, key=lambda r: (r.start, r.rec))) == "".join(seqs)
+    small, back = df.select(squeezed(F.col("seq")).alias("s"), "seq").select(F.sum(F.length("s")), F.count(F.when(~unsqueezed(F.col("s")).eqNullSafe(F.col("seq")), 1))).first()
+    assert small < 0.34 * sum(map(len, seqs)) and back == 0
