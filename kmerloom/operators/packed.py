@@ -16,7 +16,7 @@ from kmerloom.operators.kmers import _checked, _windows
 
 ODD = np.uint64(0x9E3779B97F4A7C15)
 #: Windows of a bucket, as a power of two; least and most buckets, likewise; rows of a k-mer table that are packed at a time.
-WINDOWS, LEAST, MOST, ROWS = 21, 6, 16, 1 << 20
+WINDOWS, LEAST, MOST, ROWS = 20, 6, 16, 1 << 20
 SCHEMA = "bucket int, m int, low long, span long, kv binary, g binary, n binary"
 
 
@@ -139,6 +139,7 @@ def buckets(batches: Iterator[pa.RecordBatch], lay: Layout) -> Iterator[tuple[np
 
     def merged(rows: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         kv, g, n = map(np.concatenate, zip(*rows, strict=True))
+        rows.clear()
         order = _order(kv, g, lay)
         kv, g, n = kv[order], g[order], n[order]
         new = _starts(kv, g)
@@ -148,8 +149,8 @@ def buckets(batches: Iterator[pa.RecordBatch], lay: Layout) -> Iterator[tuple[np
     for batch in batches:
         for bucket, m, low, span, kv, g, n in zip(*(batch.column(c).to_pylist() for c in ("bucket", "m", "low", "span", "kv", "g", "n")), strict=True):
             if held and bucket != at:
+                size = 0
                 yield merged(held)
-                held, size = [], 0
             elif size > 1 << WINDOWS + 2:  # k-mers that are everywhere: their copies are added up before more come
                 held = [merged(held)]
                 size = -len(held[0][0])
