@@ -39,21 +39,26 @@ def letters_as_bases(text: Column) -> Column:
     return F.arrow_udf(_letters, "string")(text)
 
 
-def _squeezed(seq: pa.Array) -> pa.Array:
-    return pa.array([None if x is None else len(x).to_bytes(8, "little") + pa.compress(x, "zstd", asbytes=True) for x in seq.cast(pa.binary()).to_pylist()], pa.binary())
+def _squeeze(seq: bytes) -> bytes:
+    return len(seq).to_bytes(8, "little") + pa.compress(seq, "zstd", asbytes=True)
 
 
-def _unsqueezed(data: pa.Array) -> pa.Array:
+def squeezed_length(data: pa.Buffer) -> int:
+    return int.from_bytes(data[:8].to_pybytes(), "little")
+
+
+def unsqueezed(data: pa.Array) -> pa.Array:
+    """The sequences of squeezed_pieces()."""
     return pa.array([None if x is None else pa.decompress(x[8:], int.from_bytes(x[:8], "little"), "zstd", asbytes=True) for x in data.to_pylist()], pa.binary()).cast(pa.string())
 
 
-def squeezed(seq: Column) -> Column:
-    """Sequences in some two bits a base, to be dealt out."""
-    return F.arrow_udf(_squeezed, "binary")(seq)
+def squeezed_pieces(seq: Column, piece: int, more: int) -> Column:
+    """An array of the pieces of a sequence, each of `piece` bases and `more` that follow, in some two bits a base, to be dealt out."""
 
+    def run(column: pa.Array) -> pa.Array:
+        return pa.array([None if x is None else [_squeeze(x[i : i + piece + more]) for i in range(0, max(1, len(x)), piece)] for x in column.cast(pa.binary()).to_pylist()], pa.list_(pa.binary()))
 
-def unsqueezed(data: Column) -> Column:
-    return F.arrow_udf(_unsqueezed, "string")(data)
+    return F.arrow_udf(run, "array<binary>")(seq)
 
 
 def text_as_bases(text: Column) -> Column:

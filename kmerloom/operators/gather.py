@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from kmerloom.operators import packed
-from kmerloom.operators.kmers import near
+from kmerloom.operators.kmers import cut, near
 from kmerloom.plans.tables import release, stored
 
 #: Tile budgets, slices of the record, rounds, and the least share of the mass that a round must explain.
@@ -60,7 +60,7 @@ def species(kmers: DataFrame, axis: DataFrame, rec: int, tile_bp: int, slice_bp:
     if "seq" in kmers.columns:
         lay = packed.layout(k, groups, bases)
         # Neighbours go to one task, where copies in a window are added up.
-        rows = packed.packed(near(placed, ("base",), NEAR, ("rec",)), ["rec", "base"], lambda batch, row, place: number(batch.column("rec").to_numpy()[row], place - batch.column("base").to_numpy()[row]), lay, least=True, apart=NEAR)
+        rows = packed.packed(near(placed if "binary" in dict(kmers.dtypes)["seq"] else cut(placed, ("base",)), NEAR, ("rec",)), ["rec", "base"], lambda batch, row, place: number(batch.column("rec").to_numpy()[row], place - batch.column("base").to_numpy()[row]), lay, least=True, apart=NEAR)
     else:
         k = k or max(1, (int(kmers.agg(F.max("kv")).first()[0] or 0).bit_length() + 1) // 2)
         lay = packed.layout(k, groups, bases)

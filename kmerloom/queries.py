@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from kmerloom.functions import formatting, grammar
-from kmerloom.functions.sequence import HASH_HIGH, HASH_LOW, HASH_STEP, letters_as_bases, squeezed, text_as_bases, unsqueezed
+from kmerloom.functions.sequence import HASH_HIGH, HASH_LOW, HASH_STEP, letters_as_bases, text_as_bases
 from kmerloom.model import MatchOptions
 from kmerloom.operators import belongs as B
 from kmerloom.operators import contain, gather, intervals, kmers, match, profile, raster, summary
@@ -48,8 +48,8 @@ def tasks(spark: SparkSession) -> int:
     return max(4, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
-def document_axis(spark: SparkSession, sf_dir: str, bases=letters_as_bases, squeeze: bool = False) -> DataFrame:
-    return kmers.as_axis(read(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("doc"), F.col("doc_id")).alias("name"), bases(F.col("text")).alias("seq")), "doc_id", "name", "seq", squeeze=squeeze)
+def document_axis(spark: SparkSession, sf_dir: str, bases=letters_as_bases) -> DataFrame:
+    return kmers.as_axis(read(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("doc"), F.col("doc_id")).alias("name"), bases(F.col("text")).alias("seq")), "doc_id", "name", "seq")
 
 
 def benchmark_axis(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -289,9 +289,11 @@ saturated AS (SELECT CAST(min(t) * 512 AS BIGINT) AS start, CAST(least((max(t) +
 
 
 def saturated(spark, sf_dir) -> tuple[DataFrame, int]:
-    axis = document_axis(spark, sf_dir, squeeze=True)
+    axis = document_axis(spark, sf_dir)
     total = kmers.total_length(axis)
-    return profile.saturated(kmers.near(axis), total, 1, k=K), total
+    texts = read(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("rec"), letters_as_bases(F.col("text")).alias("seq"))
+    placed = kmers.catalog(axis).select("rec", "start", (F.col("end") - F.col("start")).alias("len"))
+    return profile.saturated(kmers.near(kmers.squeezed(texts, "rec", placed)), total, 1, k=K), total
 
 
 @query(f"WITH {SATURATED} SELECT * FROM saturated")
@@ -464,7 +466,7 @@ def source_axis(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     records = stored(with_running_total(lengths, "rec", "len", "start").select("rec", "name", "start", "len", F.lit(0).cast("long").alias("offset")), "sources")
     numbered = sizes.withColumn("size", F.col("len") + 1).join(records.select("rec", "name", "start"), F.col("source").eqNullSafe(F.col("name")))
     placed = stored(with_running_total(numbered, "doc_id", "size", "at", keys=("rec",)).select("doc_id", "rec", (F.col("start") + F.col("at")).alias("start"), "len"), "places")
-    return records, texts.select("doc_id", squeezed(F.col("seq")).alias("seq")).join(placed, "doc_id").select("rec", "start", "len", unsqueezed(F.col("seq")).alias("seq"))
+    return records, kmers.squeezed(texts, "doc_id", placed)
 
 
 # Sources as source_axis() lays them out, what windows hold of the first one, and rounds: `steps` has the state before each.

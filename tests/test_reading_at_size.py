@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -168,16 +169,20 @@ def test_packed_rows_give_back_kmers_and_groups(k, groups):
     assert list(packed.buckets(iter([packed.pack(kv[:0], g[:0], lay)]), lay)) == []
 
 
-def test_neighbours_are_dealt_out_squeezed(spark):
-    """Pieces come back whole and in order, and take a third of their bytes while they are dealt out."""
-    from kmerloom.functions.sequence import squeezed, unsqueezed
+def test_neighbours_are_dealt_out_squeezed(spark, monkeypatch):
+    """Pieces come back whole and in order, give the k-mers of plain ones, and take a third of their bytes while they are dealt out."""
+    from kmerloom.functions.sequence import unsqueezed
     from kmerloom.operators import kmers
 
+    monkeypatch.setattr(kmers, "PIECE", 2000)
     rng = np.random.default_rng(9)
-    seqs = ["".join(rng.choice(list("ACGT"), n)) for n in (5000, 0, 3000, 900)] + ["ACGNNNN"]
-    df = spark.createDataFrame([(i, str(i), s) for i, s in enumerate(seqs)] + [(9, "9", None)], "i long, name string, seq string")
-    axis = kmers.as_axis(df.filter("seq IS NOT NULL"), "i", "name", "seq", squeeze=True)
-    rows = kmers.near(axis, width=4000).collect()
-    assert "".join(r.seq for r in sorted(rows, key=lambda r: (r.start, r.rec))) == "".join(seqs)
-    small, back = df.select(squeezed(F.col("seq")).alias("s"), "seq").select(F.sum(F.length("s")), F.count(F.when(~unsqueezed(F.col("s")).eqNullSafe(F.col("seq")), 1))).first()
-    assert small < 0.34 * sum(map(len, seqs)) and back == 0
+    seqs = ["".join(rng.choice(list("ACGT"), n)) for n in (5000, 0, 4000, 900)] + ["ACGNNNNACGTTTG"]
+    df = spark.createDataFrame([(i, str(i), s) for i, s in enumerate(seqs)], "i long, name string, seq string")
+    axis = kmers.as_axis(df, "i", "name", "seq")
+    placed = kmers.catalog(axis).select("rec", "start", (F.col("end") - F.col("start")).alias("len"))
+    pieces = kmers.near(kmers.squeezed(df.select(F.col("i").alias("rec"), "seq"), "rec", placed), 4000)
+    rows = sorted(((r.rec, r.start, r.len, r.seq) for r in pieces.collect()), key=lambda r: r[:2])
+    whole = "".join(seqs)
+    assert "".join(unsqueezed(pa.array([bytes(x)], pa.binary()))[0].as_py()[:n] for _, _, n, x in rows) == whole and len(rows) == 8
+    assert sum(len(x) for *_, x in rows) < 0.36 * len(whole)
+    assert sorted(map(tuple, kmers.kmers(pieces, 9).collect())) == sorted(map(tuple, kmers.kmers(kmers.spread(axis), 9).collect()))
