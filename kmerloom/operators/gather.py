@@ -26,7 +26,7 @@ BATCH, MOST, AGAIN = 5, 200_000, 32
 #: Bytes of blocks that a task holds at least and at most where tasks take rounds together, and rounds that they try at a time.
 ALONE, HELD, TRIED = 24 << 20, 256 << 20, 3
 #: Bases that are dealt out together, entries of a block, pairs that are painted at a time, and multipliers of the hash of a kind.
-NEAR, BLOCK, PAINT = 1 << 21, 1 << 19, 1 << 22
+NEAR, BLOCK, PAINT = 1 << 21, 1 << 18, 1 << 19
 MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
 #: A block of kinds: how many, entries (a window that holds the kind) and places (a slice that has copies of it); the windows; of each kind its copies in the record, k-mers, whether several records hold it, and how many entries and places it has; of entries the number of the window in `ids` and copies; of places slice and copies.
 STATE = "kinds int, entries int, ids binary, total binary, copies binary, several binary, size binary, w binary, n binary"
@@ -65,7 +65,7 @@ def species(kmers: DataFrame, axis: DataFrame, rec: int, tile_bp: int, slice_bp:
         k = k or max(1, (int(kmers.agg(F.max("kv")).first()[0] or 0).bit_length() + 1) // 2)
         lay = packed.layout(k, groups, bases)
         rows = packed.packed_table(placed, lambda batch: number(batch.column("rec").to_numpy(), batch.column("pos").to_numpy() - batch.column("base").to_numpy()), lay)
-    return stored(packed.dealt(rows).mapInArrow(_kinds(lay, slices, stride), KINDS), "cover-kinds", codec="zstd")
+    return stored(packed.dealt(rows).mapInArrow(_kinds(lay, slices, stride), KINDS), "cover-kinds")
 
 
 def _alike(total: np.ndarray, first: np.ndarray, size: np.ndarray, w: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
